@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.shared import workspace
 from tidemark.llm.token_records import read_token_records, write_token_records
 
@@ -21,5 +22,13 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "record")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_records": op1_token_records}
+def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_records": op1_token_records,
+    "op10_best_two_fit": op10_best_two_fit,
+}
 ORACLE_SQL: dict[str, str] = {}
