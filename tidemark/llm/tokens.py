@@ -13,7 +13,7 @@ import numpy as np
 
 from tidemark.llm.spans import Texts, group_starts
 
-CACHED_PIECES = 2_000_000
+CACHED_PIECES = 500_000
 _JOIN = 400
 
 
