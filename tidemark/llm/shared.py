@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the setting is missing (tests)."""
+    """The folder named by spark.checkpoint.dir, as a URI; a temporary one is set only where the setting is missing (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
+    return "file://" + root[len("file:") :] if root.startswith("file:/") and not root.startswith("file://") else root
 
 
 def workspace(spark: SparkSession, name: str) -> str:
