@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import decontam, fingerprints, katz, langid, licenses, near_dup, repeats
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.shared import workspace
 from tidemark.llm.token_records import read_token_records, write_token_records
@@ -23,9 +25,13 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "record")
 
 
-def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +40,40 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_warc(spark, path))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(table(spark, sf_dir, "documents"), lambda i: katz.remainder(i, 10) == 0)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", katz.remainder(F.col("doc_id"), 3) == 1)
+    profiles = langid.fit(docs.where("not held_out").select("text", "lang"))
+    return langid.predict(profiles, docs.select("doc_id", "held_out", "text")).drop("text")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_records": op1_token_records,
-    "op4_warc": op4_warc,
-    "op10_best_two_fit": op10_best_two_fit,
-}
+    f.__name__: f
+    for f in (
+        op1_token_records, op2_license_scan, op3_repeats, op4_warc, op5_near_duplicates,
+        op6_fingerprints, op7_katz, op8_language, op9_decontaminate, op10_best_two_fit,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
