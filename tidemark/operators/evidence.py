@@ -73,7 +73,7 @@ def ranked(df: DataFrame, column: str) -> DataFrame:
 def coefficient(a: Column, b: Column) -> Column:
     """Pearson's, NaN where a column is constant; at most 1 in size."""
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.coalesce(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), F.lit(float("nan")))
+    return F.when(r.isNull(), float("nan")).otherwise(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 def correlation(df: DataFrame, columns: list[str], how: str = "pearson") -> DataFrame:

@@ -200,7 +200,7 @@ class Normalise:
             arr = F.array(*map(F.lit, learned["knots"]))
             at = F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * (len(learned["knots"]) - 1)
             k = F.least(F.floor(at), F.lit(len(learned["knots"]) - 2)).cast("int")
-            return arr[k] + (at - k) * (arr[k + 1] - arr[k])
+            return F.when(v.isNotNull(), arr[k] + (at - k) * (arr[k + 1] - arr[k]))
         raw = v * learned["spread"] + learned["centre"]
         return yeo_johnson_back(raw, learned["lambda"]) if self.scale == "power" else raw
 
