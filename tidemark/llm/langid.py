@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, depth: int = DEPTH, rows: int = FIT_ROWS) -> Profil
                 names = np.array(batch.column(1).slice(i, j - i).to_pylist(), object)
                 frame = pd.DataFrame({"lang": names[owner] if len(owner) else [], "gram": code.view(np.int64), "n": n})
                 frame = frame.groupby(["lang", "gram"], as_index=False)["n"].sum()
-                yield pa.RecordBatch.from_arrays([pa.array(frame["lang"], pa.string()), pa.array(frame["gram"], pa.int64()), pa.array(frame["n"], pa.int64())], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(frame["lang"].tolist(), pa.string()), pa.array(frame["gram"].to_numpy(np.int64)), pa.array(frame["n"].to_numpy(np.int64))], names=["lang", "gram", "n"])
 
     total = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

@@ -73,14 +73,14 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     one, two, three = (F.try_element_at("words", F.col("pos") + k) for k in (2, 3, 4))
     grams = places.select(
         "doc_id", "th", "n_words", F.coalesce("pos", F.lit(0)).alias("pos"),
-        F.explode(F.array(F.lit(None).cast("string"), F.concat(F.col("word"), F.lit(" "), one), F.concat(F.col("word"), F.lit(" "), one, F.lit(" "), two, F.lit(" "), three))).alias("gram"),
+        F.explode(F.array(F.when(F.coalesce("pos", F.lit(0)) == 0, ""), F.concat(F.col("word"), F.lit(" "), one), F.concat(F.col("word"), F.lit(" "), one, F.lit(" "), two, F.lit(" "), three))).alias("gram"),
     )
-    # The null gram of the first word stands for the text itself.
-    grams = grams.where("gram is not null or pos = 0").withColumn("hash", F.xxhash64("gram"))
+    # The empty gram of the first word stands for the text itself.
+    grams = grams.where("gram is not null").withColumn("hash", F.xxhash64("gram"))
     # The templates' rows are bounded by the templates, not by the data.
-    joined = grams.join(F.broadcast(templates.withColumnRenamed("gram", "words")), (F.col("hash") == F.col("h")) & F.col("gram").isNotNull(), "left")
+    joined = grams.join(F.broadcast(templates.withColumnRenamed("gram", "words")), (F.col("hash") == F.col("h")) & (F.col("gram") != ""), "left")
     # verified on the words themselves
-    hits = joined.where("gram is null or gram = words").select("doc_id", "th", "n_words", "template", "phrase", "label", "grams", "length", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    hits = joined.where("gram = '' or gram = words").select("doc_id", "th", "n_words", "template", "phrase", "label", "grams", "length", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     votes = hits.groupBy("doc_id", "th", "n_words", "template", "phrase", "label", "grams", "length", "diagonal").agg(F.count("*").alias("votes"), F.collect_set("at").alias("seen"))
     key = ["doc_id", "th", "n_words"]
     by = Window.partitionBy(*key, "template").orderBy("diagonal")
