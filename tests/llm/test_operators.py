@@ -165,6 +165,45 @@ def test_large_groups_of_near_copies(spark):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("block", [near_dup.BLOCK_SHINGLES, 3000])
+def test_edits_of_edits_of_a_hot_text(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(3)
+    fresh = iter(range(10**6))
+
+    def edited(words, at):
+        return [f"q{next(fresh)}" if i in at else w for i, w in enumerate(words)]
+
+    base, rows = [f"w{x}" for x in rng.integers(0, 3000, 150)], []
+    rows.append((0, " ".join(base)))
+    for i in range(500):
+        light = edited(base, set(range(i % 146, i % 146 + 4)))
+        rows.append((1000 + i, " ".join(light)))
+        if i % 4 == 0:  # like its parent, not like the hot text
+            at = 10 + i % 50 if i % 146 > 75 else 80 + i % 50
+            rows.append((2000 + i, " ".join(edited(light, set(range(at, at + 15))))))
+    got = {r.doc_id: tuple(r)[1:] for r in near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_joining_finds_what_pairs_join():
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.choice(40, int(rng.integers(1, 12)), False)).astype(np.uint64) for _ in range(200)]
+    like = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+
+    def parts(links):
+        label = list(range(len(sets)))
+        for a, b in links:
+            label = [label[b] if x == label[a] else x for x in label]
+        return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+    every, half = np.arange(200), np.arange(100)
+    found = near_dup.joining(sets, every, every, np.arange(200), 80)
+    assert all(like(sets[a], sets[b]) for a, b in found) and parts(found) == parts((a, b) for a in every for b in every if like(sets[a], sets[b]))
+    found = near_dup.joining(sets, half, half + 100, np.arange(200), 80)
+    assert parts(found) == parts((a, b) for a in half for b in half + 100 if like(sets[a], sets[b]))
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**63, 300, dtype=np.uint64)

@@ -19,10 +19,10 @@ from tidemark.llm.shared import written
 from tidemark.llm.spans import NONSPACE, Texts, blocks, mix, pair
 
 BANDS, ROWS = 30, 5
-#: Buckets of so many classes are compared pair by pair; larger ones are dealt again.
+#: Buckets of so many classes are compared pair by pair; larger ones with a centre first, then block by block.
 SMALL_BUCKET = 16
-#: Larger ones are dealt again by so many bands, up to so many levels.
-NEXT_BANDS, LEVELS = 6, 6
+#: Shingles of a block of a larger bucket.
+BLOCK_SHINGLES = 1 << 18
 _GOLDEN = 0x9E3779B97F4A7C15
 _STEP = np.uint64(_GOLDEN)
 _LEVEL = np.uint64(52)
@@ -178,11 +178,81 @@ def _within(members: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "key").where((F.col("a") < F.col("b")) & similar_sizes("n", "m", percent)).select("a", "b").distinct()
 
 
-def _dealt_again(rows: DataFrame, classes: DataFrame, bands: int) -> DataFrame:
-    """rows (key, node, n, band: the last one of the key) with a key for each of the next bands, the class's own key of it being part."""
-    joined = rows.join(classes.select("node", "keys"), "node")
-    nearby = joined.select("key", "node", "n", "keys", F.explode(F.array(*(F.pmod(F.col("band") + k, F.lit(bands)) for k in range(1, NEXT_BANDS + 1)))).alias("next"))
-    return nearby.select(F.xxhash64("key", "next", F.col("keys")[F.col("next")]).alias("key"), "node", "n", F.col("next").alias("band"))
+def joining(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of a left and a right set (places in sets) that join all that such pairs join; label is what is joined so far.
+
+    Sets are compared where they share one of their rarest shingles, as sets that are similar enough must."""
+    n = np.array([len(x) for x in sets])
+    start = np.concatenate(([0], np.cumsum(n)))
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]
+    prefix = n + (-percent * n) // 100 + 1
+    listed = np.isin(owner, left) & (np.arange(len(token)) - start[owner] < prefix[owner])
+    order = np.argsort(token[listed], kind="stable")
+    key, holder = token[listed][order], owner[listed][order]
+    marked, found = np.zeros(len(count), bool), []
+    for u in right.tolist():
+        own = token[start[u] : start[u + 1]]
+        lo, hi = np.searchsorted(key, own[: prefix[u]]), np.searchsorted(key, own[: prefix[u]], "right")
+        near = np.unique(np.concatenate([holder[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
+        near = near[(label[near] != label[u]) & (100 * np.minimum(n[near], n[u]) >= percent * np.maximum(n[near], n[u]))]
+        if not len(near):
+            continue
+        marked[own] = True
+        first = np.cumsum(n[near]) - n[near]
+        at = np.arange(int(n[near].sum())) + np.repeat(start[near] - first, n[near])
+        both = np.add.reduceat(marked[token[at]].astype(np.int64), first)
+        marked[own] = False
+        near = near[100 * both >= percent * (n[near] + n[u] - both)]
+        joined, one = np.unique(label[near], return_index=True)
+        found += [(k, u) for k in near[one].tolist()]
+        label[np.isin(label, joined)] = label[u]
+    return found
+
+
+def _blockwise(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what similar pairs of a bucket join, for rows (key, node, n, with_centre) without the buckets' centres.
+
+    Those linked with the centre are one group already, so they are only compared with the others, and the others among themselves:
+    each pair of blocks is a cell (key, i, j) that one task compares; i is below zero in cells with the centre's group."""
+    sums = rows.groupBy("key").agg(F.sum(F.when(F.col("with_centre"), F.col("n"))).alias("inner"), F.sum(F.when(~F.col("with_centre"), F.col("n"))).alias("outer"))
+    blocks_of = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / BLOCK_SHINGLES).cast("int")
+    sums = sums.where("outer > 0").select("key", blocks_of("inner").alias("inner"), blocks_of("outer").alias("outer"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("with_centre"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    placed = rows.join(sums, "key").withColumn("own", own)
+    cells = F.expr("""explode(if(with_centre,
+        transform(filter(sequence(0, outer), x -> x < outer), x -> struct(-1 - own as i, x as j, 0 as role)),
+        concat(transform(filter(sequence(0, inner), x -> x < inner), x -> struct(-1 - x as i, own as j, 1 as role)),
+               transform(filter(sequence(0, outer), x -> x < outer), x -> struct(least(x, own) as i, greatest(x, own) as j, if(x = own, 2, int(x < own)) as role)))))""")
+    dealt = placed.select("key", "node", cells.alias("cell")).select("key", "cell.*", "node").join(sets, "node").select("key", "i", "j", "role", "node", "members")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(cell: tuple[int, int, int], held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            role = np.array([x[0] for x in held])
+            label = np.arange(len(held))
+            if cell[1] < 0:
+                label[role == 0] = len(held)
+            left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+            if len(left) and len(right):
+                found = joining([np.frombuffer(x[2], "<u8") for x in held], left, right, label, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([held[a][1] for a, _ in found], pa.binary()), pa.array([held[b][1] for _, b in found], pa.binary())], names=["a", "b"])
+
+        last, held = None, []
+        for batch in batches:
+            for *cell, role, node, members in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if cell != last and held:
+                    yield from out(last, held)
+                    held = []
+                last = cell
+                held.append((role, node, members))
+        if held:
+            yield from out(last, held)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a binary, b binary")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -190,9 +260,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS
 
     Two documents are similar when 100 * intersection >= percent * union of their distinct shingles of `size` words. Candidates
     share a band of their SuperMinHash signatures and sets of similar size. Buckets of up to SMALL_BUCKET classes are compared pair by
-    pair. The classes of a larger one are dealt again by each of the next NEXT_BANDS bands, as similar sets agree in about a third of
-    all bands and others hardly in two; what is still large is compared with its centre, the class that shares most buckets, and those
-    that are not linked with it are dealt again. So a bucket of any size costs its length a round, and nothing is capped.
+    pair. The classes of a larger one are compared with its centre, the class that shares most buckets; those that are not linked with
+    it are then compared with all others of the bucket, block by block. So every similar pair of a bucket ends in one group.
     A null or wordless text has no shingles and is linked with nothing; rows that repeat a doc_id are rows of their own, and each
     is kept if its id is the smallest; a null doc_id is never kept and, where all ids of a component are null, its id is null.
     Other columns are ignored; an empty table gives no rows."""
@@ -212,23 +281,15 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS
         texts = texts.union(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text"))
     sets = written(class_sets(texts, size).dropDuplicates(["node"]), "sets")
 
-    found = [written(linked(_within(members.where(F.col("size") <= SMALL_BUCKET), percent), sets, percent), "links")]
-    left = written(_dealt_again(members.where(F.col("size") > SMALL_BUCKET), classes, bands), "left")
-    level = 2
-    while left.limit(1).count():
-        sizes = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        sized = written(left.join(sizes, "key").join(weight, "node"), "dealt")
-        pairs = _within(sized.where(F.col("size") <= SMALL_BUCKET), percent)
-        big = sized.where(F.col("size") > SMALL_BUCKET)
-        centre = big.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
-        against = big.join(centre, "key").where("node != b")
-        star = against.where(similar_sizes("n", "m", percent)).select(F.col("node").alias("a"), "b")
-        found.append(written(linked(pairs.union(star).distinct(), sets, percent), "links"))
-        done = found[-1].select(F.col("a").alias("node"), "b")
-        rest = against.join(done, ["node", "b"], "left_anti").select("key", "node", "n", "band")
-        level += 1
-        left = written(_dealt_again(rest, classes, bands) if level < LEVELS else rest, "left")
-    label = components(reduce(DataFrame.union, found))
+    big = members.where(F.col("size") > SMALL_BUCKET).join(weight, "node")
+    centre = big.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
+    against = written(big.join(centre, "key").where("node != b").select("key", "node", "n", "b", "m"), "against")
+    pairs = _within(members.where(F.col("size") <= SMALL_BUCKET), percent)
+    star = against.where(similar_sizes("n", "m", percent)).select(F.col("node").alias("a"), "b")
+    found = written(linked(pairs.union(star).distinct(), sets, percent), "links")
+    done = found.select(F.col("a").alias("node"), "b", F.lit(True).alias("with_centre")).distinct()
+    rest = against.join(done, ["node", "b"], "left").select("key", "node", "n", F.coalesce("with_centre", F.lit(False)).alias("with_centre"))
+    label = components(found.union(written(_blockwise(written(rest, "rest"), sets, percent), "links")))
 
     by_class = rows_of.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node", "left")
     by_class = by_class.withColumn("label", F.coalesce("label", "node"))
