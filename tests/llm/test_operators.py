@@ -111,6 +111,19 @@ def test_repeats(spark, docs, odd):
     assert cut.columns == odd.columns and cut.count() == 8
 
 
+def test_repeats_of_rows_that_repeat(spark):
+    rng = np.random.default_rng(5)
+    alone, shared, early = (" ".join(f"w{x}" for x in rng.integers(0, 99999, 60)) for _ in range(3))
+    rows = [(None, shared), (None, shared), (2, early), (7, alone), (7, alone), (8, early), (8, early), (8, alone + "x"), (9, alone * 2)]
+    rows += [(None, f"{k} " + " ".join(f"v{x}" for x in rng.integers(0, 10**9, 25))) for k in range(3000)]
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), with_text=True).collect()
+    texts = collections.defaultdict(list)
+    for r in found:
+        texts[r.doc_id].append(r.kept)
+    assert sorted(texts.pop(None)) == sorted(t for d, t in rows if d is None)
+    assert {d: sorted(t) for d, t in texts.items()} == {2: [early], 7: [alone, alone], 8: ["", "", "x"], 9: [""]}
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(3, "u", "x" * 200, 1), (1, None, "x" * 200, 1), (2, "a\nb", "x" * 99, 2), (5, "c", "x" * 99, 2), (4, "d", None, 3), (None, "e", "x" * 200, 4)], "page_id long, url string, html string, payload int")
     warc.write_warc(pages, str(tmp_path / "w"))

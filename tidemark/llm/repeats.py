@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
@@ -26,7 +26,7 @@ from tidemark.llm.spans import Texts, blocks, mix, pair
 GRAM = 40
 _PLACE, _RUN = np.int64(31), np.int64(7)
 _GONE = np.int64(1) << np.int64(62)
-_TIE_BITS = 20
+_TIE_BITS = 24
 _PENDING_ROWS = 1_000_000
 _NO_ID = -(2**63)
 ROW = "h long, u long, doc long, pos long"
@@ -74,6 +74,15 @@ def runs(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return grams[anchor], pair(span, (anchor - first).astype(np.uint64)), text[first], first - texts.offsets[text[first]], count
 
 
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before. Rows that agree in all are one run, sent by rows that repeat a text of one doc_id."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 class _Reducer:
     """Gathers rows of a task; sends on the first of each bucket and span, and marks the others as repeats."""
 
@@ -94,6 +103,7 @@ class _Reducer:
         self.parts, self.rows = [], 0
         key = pair(h, u)
         order = np.lexsort((pos, doc, key))
+        order = order[_fresh(key[order], doc[order], pos[order])]
         later = np.concatenate(([False], key[order][1:] == key[order][:-1]))
         h, u, doc, pos = h[order], u[order], doc[order], pos[order]
         # A repeat needs no bucket any more; its row is dealt by its own place.
@@ -104,22 +114,44 @@ class _Reducer:
             yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(u[part].view(np.int64)), pa.array(doc[part]), pa.array(pos[part])], names=["h", "u", "doc", "pos"])
 
 
-def _keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
+def _keyed(docs: DataFrame, ties: DataFrame, rest: bool = False) -> DataFrame:
     """doc, tie (tells texts with one doc_id apart), text and, where asked for, rest: the row as it is."""
-    tie = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("text"), F.lit(1 << _TIE_BITS)))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), tie.cast("long").alias("tie"), "text", *[F.struct(*docs.drop("text").columns).alias("rest")] * rest)
+    rows = docs.select(*_row_key(), "text", *[F.struct(*docs.drop("text").columns).alias("rest")] * rest)
+    return rows.join(ties, ["doc", "hash", "size"], "left").select("doc", F.coalesce("tie", F.lit(0)).cast("long").alias("tie"), "text", *["rest"] * rest)
+
+
+def _row_key() -> list[Column]:
+    """What rows of one document agree in: doc, hash and size."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("hash"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size")]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc, hash, size and tie (from 0 by hash) for each text of a doc_id that has several."""
+    texts = docs.select(*_row_key()).distinct()
+    several = texts.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    ties = texts.join(several, "doc", "left_semi").withColumn("tie", F.row_number().over(Window.partitionBy("doc").orderBy("hash", "size")) - 1)
+    ties = written(ties, "ties")
+    if ties.where(F.col("tie") >= 1 << _TIE_BITS).limit(1).count():
+        raise ValueError(f"over {1 << _TIE_BITS} texts share a doc_id, or have none")
+    return ties
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """The rows that are repeats, and (open) those that stay undecided; one row of a bucket is looked at after the other."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h = last_u = None
+        last_h = last_u = last = None
         classes, held = 0, None  # of the bucket that the last batch ended in: spans so far, its first row if not yet sent
         for batch in batches:
             if not batch.num_rows:
                 continue
             h, u, doc, pos = (batch.column(k).to_numpy() for k in range(4))
+            fresh = _fresh(h, u, doc, pos)
+            fresh[0] = (h[0], u[0], doc[0], pos[0]) != last
+            last = h[-1], u[-1], doc[-1], pos[-1]
+            if not fresh.any():
+                continue
+            h, u, doc, pos = h[fresh], u[fresh], doc[fresh], pos[fresh]
             marked = (pos & _GONE) != 0
             new_bucket = np.concatenate(([last_h is None or h[0] != last_h], h[1:] != h[:-1])) | marked
             new_bucket[1:] |= marked[:-1]
@@ -150,8 +182,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "u", "doc", "pos").mapInArrow(sift, FOUND)
 
 
-def repeats(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
-    """doc, pos (packed) of runs of suffixes that occur earlier, for docs (doc_id, text)."""
+def repeats(keyed: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
+    """doc, pos (packed) of runs of suffixes that occur earlier, for keyed (doc, tie, text)."""
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Reducer()
@@ -190,7 +222,6 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
 
     if not gram < length <= gram + 126:
         raise ValueError("length must be over gram, by 126 at most")
-    keyed = _keyed(docs)
     found = written(_dealt(keyed.mapInArrow(bucketed, ROW)), "repeats")
     undecided = found.where("open").groupBy("doc").agg(F.collect_list("pos").alias("places"))
     again = _dealt(keyed.join(undecided, "doc", "left").select("doc", "tie", "text", "places").mapInArrow(refined, ROW))
@@ -206,7 +237,8 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, with_t
 
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a smaller doc_id or earlier in the same text;
     strings do not cross rows and are judged on the input. A null doc_id is smaller than all others. Texts that share a doc_id are
-    ordered by a hash, and equal texts of one doc_id count as one document. A null text is empty. Characters of kept that lose a
+    ordered by a hash, and equal texts of one doc_id count as one document, whose rows come out alike; over 2**24 texts of one doc_id
+    are an error. A null text is empty. Characters of kept that lose a
     part of their bytes go altogether. Other columns are ignored; an empty table gives no rows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +267,9 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, with_t
                     arrays, names = [*arrays, pa.array(columns[4], pa.string()), batch.column(4).slice(i, j - i)], [*names, "kept", "rest"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    gone = repeats(docs, length, gram).groupBy("doc").agg(F.collect_list("pos").alias("places"))
-    joined = _keyed(docs, with_text).join(gone, "doc", "left").select("doc", "tie", "text", "places", *["rest"] * with_text)
+    ties = numbered(docs)
+    gone = repeats(_keyed(docs, ties), length, gram).groupBy("doc").agg(F.collect_list("pos").alias("places"))
+    joined = _keyed(docs, ties, with_text).join(gone, "doc", "left").select("doc", "tie", "text", "places", *["rest"] * with_text)
     schema = f"{CUT}, kept string, rest {joined.schema['rest'].dataType.simpleString()}" if with_text else CUT
     return joined.mapInArrow(cut, schema).withColumn("doc", F.when(F.col("doc") != _NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
 
