@@ -293,6 +293,15 @@ def test_decontamination(spark, docs):
     assert sorted((r.doc_id or 0, r.contaminated) for r in found.collect()) == [(0, True), (1, True), (1, True), (2, False), (3, False), (4, False)]
 
 
+def test_decontamination_of_short_and_number_heavy_items(spark):
+    items = ["What is 12 + 35?", "Compute 12 + 35 + 7 + 9 + 11", "Tom has 5 apples and 5 oranges in the old basket that stands under the big table by the door of the barn", "Solve this one by hand"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    reset = items[2].replace("5 apples", "7 apples").replace("5 oranges", "9 oranges")
+    texts = [f"they say, {items[0]} and so on and on", f"a list, {items[1]}; and so on", reset, f"he said, {items[3]}", "Compute 1 + 2 + 3 + 4 + 5", "what is it and why is it so", None]
+    found = decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: r.item_id if r.contaminated else None for r in found} == {0: 0, 1: 1, 2: 2, 3: 3, 4: None, 5: None, 6: None}
+
+
 def test_packing(spark, docs, odd):
     rows = collections.defaultdict(list)
     places = collections.defaultdict(list)

@@ -1,8 +1,9 @@
 """Benchmark decontamination on templates: texts are compared after numbers, names and units have become typed placeholders.
 
 Windows of the benchmark's templates are joined by hash with windows of the documents'. Matches of a document and an item are
-taken together by diagonal (how far apart the two windows stand), and a diagonal counts only if its slots are consistent: what
-stands in a slot of the item always corresponds to the same thing in the document.
+taken together by diagonal (how far apart the two windows stand), and a window counts only if its slots are consistent: what
+stands in a slot of the item corresponds to the same thing in the document all along the diagonal. Windows of the same words
+count in any case.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tidemark.llm.spans import ALNUM, Texts, blocks, mix, pair
 WINDOW = 5
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.6
-#: A window with fewer plain words says too little to be compared.
+#: A window with fewer plain words says too little as a template; only its exact words are compared.
 LEAST_PLAIN = 2
 
 # Word lists of the typed slots.
@@ -28,6 +29,7 @@ UNIT_WORDS = "mm cm m km inch inches foot feet yard yards mile miles meter meter
 NAME_WORDS = "james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen alice bob carol emma olivia liam noah tom tim sam ben max anna maria peter paul mark lisa laura julia natalia weng betty randy janet mike jack kate emily daniel"
 
 _bits = 24
+_EXACT = np.uint64(0x9B05688C2B3E6C1F)
 _SLOT = [mix(np.full(1, 0x510E527F + k, np.uint64))[0] for k in range(3)]  # number, unit, name
 
 
@@ -76,27 +78,36 @@ def templates(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return word, stands, slot > 0, first
 
 
-def windows(texts: Texts, size: int) -> tuple[np.ndarray, ...]:
-    """Text, place, template hash of each window of `size` words with LEAST_PLAIN plain ones (a shorter text is one window), and the
-    words in all, which of them fill slots, and the first word of each text."""
+def windows(texts: Texts, lengths: list[int], size: int) -> tuple[np.ndarray, ...]:
+    """Text, place, number of words, hash, whether the hash is of the words themselves (else of the template) and whether the template
+    counts, for each window of so many words; and the words in all, which of them fill slots, and the first word of each text.
+
+    Windows with LEAST_PLAIN plain words have both hashes, others that of their words; a text of fewer than size words has one of
+    its whole template too."""
     word, stands, slot, first = templates(texts)
     count = np.diff(first)
-    run = stands
-    for _ in range(size - 1):
-        run = pair(run[: len(run) - 1], stands[len(stands) - len(run) + 1 :]) if len(run) > 1 else run[:0]
     text = np.repeat(np.arange(len(texts)), count)
     plain = np.concatenate(([0], np.cumsum(~slot)))
-    at = np.arange(len(run))
-    good = (at + size <= first[1:][text[: len(at)]]) & (plain[at + size] - plain[at] >= LEAST_PLAIN) if len(at) else np.zeros(0, bool)
-    at = at[good]
-    found = [(text[at], at - first[text[at]], run[at])]
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none, none.view(np.uint64), none.astype(bool), none.astype(bool))]
+    for exact, source in ((False, stands), (True, word)):
+        run = source
+        for length in range(1, max(lengths) + 1):
+            if length > 1:
+                run = pair(run[: len(run) - 1], source[len(source) - len(run) + 1 :]) if len(run) > 1 else run[:0]
+            if length not in lengths or not len(run):
+                continue
+            at = np.arange(len(run))
+            telling = plain[at + length] - plain[at] >= LEAST_PLAIN
+            at = at[(at + length <= first[1:][text[: len(at)]]) & (telling | exact)]
+            h = run[at] if length == size else pair(np.full(len(at), length, np.uint64), run[at])
+            found.append((text[at], at - first[text[at]], np.full(len(at), length), mix(h ^ _EXACT) if exact else h, np.full(len(at), exact), telling[at]))
     for k in np.flatnonzero((count > 0) & (count < size)):
         h = np.full(1, count[k], np.uint64)
         for w in stands[first[k] : first[k + 1]]:
             h = pair(h, np.full(1, w))
-        found.append((np.array([k]), np.zeros(1, np.int64), h))
-    t, p, h = (np.concatenate(x) for x in zip(*found, strict=True))
-    return t, p, h, word, slot, first
+        found.append((np.array([k]), np.zeros(1, np.int64), count[k : k + 1], h, np.zeros(1, bool), np.ones(1, bool)))
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), word, slot, first
 
 
 def _slots(word: np.ndarray, slot: np.ndarray, lo: int, hi: int) -> list[int]:
@@ -105,20 +116,25 @@ def _slots(word: np.ndarray, slot: np.ndarray, lo: int, hi: int) -> list[int]:
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, n_windows, place, h and slots for each window of benchmark (item_id, text); null texts have none."""
+    """item_id, n_windows, n_plain (windows whose template counts), place, length, h, exact, plain and slots for each hash of a window
+    of benchmark (item_id, text), an item of fewer than size words being one window; null texts have none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, texts in blocks(batch.column(1)):
-                t, p, h, word, slot, first = windows(texts, size)
-                n = np.bincount(t, minlength=j - i)
+                t, p, length, h, exact, plain, word, slot, first = windows(texts, list(range(1, size + 1)), size)
+                count = np.diff(first)
+                own = length == np.minimum(count, size)[t]
+                t, p, length, h, exact, plain = (x[own] for x in (t, p, length, h, exact, plain))
+                n = np.maximum(count - size + 1, 1)
+                n_plain = np.where(count < size, 1, np.bincount(t[~exact], minlength=j - i))
                 lo = first[t] + p
-                hi = np.minimum(lo + size, first[t + 1])
-                slots = [_slots(word, slot, a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                arrays = [batch.column(0).slice(i, j - i).take(pa.array(t)), pa.array(n[t]), pa.array(p), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["item_id", "n_windows", "place", "h", "slots"])
+                slots = [_slots(word, slot, a, b) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+                arrays = [batch.column(0).slice(i, j - i).take(pa.array(t)), *(pa.array(x) for x in (n[t], n_plain[t], p, length, h.view(np.int64), exact, plain)), pa.array(slots, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["item_id", "n_windows", "n_plain", "place", "length", "h", "exact", "plain", "slots"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, "item_id long, n_windows long, place long, h long, slots array<long>")
+    fields = "item_id long, n_windows long, n_plain long, place long, length long, h long, exact boolean, plain boolean, slots array<long>"
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, fields)
 
 
 def _filter_bits(items: DataFrame) -> np.ndarray:
@@ -134,22 +150,21 @@ def _filter_bits(items: DataFrame) -> np.ndarray:
 HITS = "doc_id long, th long, place long, h long, slots array<long>"
 
 
-def document_hits(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
-    """doc_id, th (a hash of the text) and a row with place -1 for each row of docs (doc_id, text), and one for each window whose hash
-    may be in the benchmark."""
+def document_hits(docs: DataFrame, bits: np.ndarray, lengths: list[int], size: int) -> DataFrame:
+    """doc_id, th (a hash of the text) and a row with place -1 for each row of docs (doc_id, text), and one for each window of
+    so many words whose hash may be in the benchmark."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             for i, j, texts in blocks(batch.column(2)):
-                t, p, h, word, slot, first = windows(texts, size)
+                t, p, length, h, _, _, word, slot, first = windows(texts, lengths, size)
                 low = h & np.uint64((1 << _bits) - 1)
                 may = (table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
-                t, p, h = t[may], p[may], h[may]
+                t, p, length, h = t[may], p[may], length[may], h[may]
                 lo = first[t] + p
-                hi = np.minimum(lo + size, first[t + 1])
-                slots = [_slots(word, slot, a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)] + [None] * (j - i)
+                slots = [_slots(word, slot, a, b) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)] + [None] * (j - i)
                 rows = pa.array(np.concatenate((t, np.arange(j - i))))
                 arrays = [batch.column(k).slice(i, j - i).take(rows) for k in (0, 1)]
                 arrays += [pa.array(np.concatenate((p, np.full(j - i, -1)))), pa.array(np.concatenate((h.view(np.int64), np.zeros(j - i, np.int64)))), pa.array(slots, pa.list_(pa.int64()))]
@@ -160,25 +175,31 @@ def document_hits(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, contaminated, item_id (the item of which most is there, the smallest of equal ones), coverage (share of its windows, 0
-    where no window matches) and n_items (how many reach `coverage`) for each row of docs (doc_id, text).
+    """doc_id, contaminated, item_id (the item of which most is there, the smallest of equal ones), coverage (share of its windows, or
+    of those whose template counts if that is more; 0 where no window matches) and n_items (how many reach `coverage`) for each row of docs (doc_id, text).
 
     Null, empty and wordless texts hold nothing; rows that repeat come out each; items without words and null item ids match nothing;
     other columns are ignored; an empty benchmark leaves every document clean."""
     items = item_windows(benchmark.where("item_id is not null"), size)
-    rows = document_hits(docs, _filter_bits(items), size)
-    found = rows.join(items.select("item_id", "n_windows", F.col("place").alias("at"), F.col("h").alias("hash"), F.col("slots").alias("own")), (F.col("h") == F.col("hash")) & (F.col("place") >= 0), "left")
+    lengths = sorted({size, *(r["length"] for r in items.select("length").distinct().collect())})  # size of them at most
+    rows = document_hits(docs, _filter_bits(items), lengths, size)
+    own = items.select("item_id", "n_windows", "n_plain", F.col("place").alias("at"), F.col("h").alias("hash"), "exact", "plain", F.col("slots").alias("own"))
+    found = rows.join(own, (F.col("h") == F.col("hash")) & (F.col("place") >= 0), "left")
     found = found.where("place < 0 or item_id is not null")
     diagonal = found.groupBy("doc_id", "th", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.first("n_windows").alias("n_windows"),
-        F.collect_set("at").alias("places"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("own").isNotNull(), F.arrays_zip("own", "slots"))))).alias("pairs"),
+        F.first("n_plain").alias("n_plain"),
+        F.collect_list(F.when(F.col("own").isNotNull(), F.struct("at", "exact", "plain", F.arrays_zip("own", "slots").alias("pairs")))).alias("matched"),
         F.count_if(F.col("place") < 0).alias("copies"),
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["own"])))
-    item = diagonal.where(F.col("item_id").isNull() | consistent).groupBy("doc_id", "th", "item_id").agg(
-        (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("n_windows")).alias("share"), F.sum("copies").alias("copies")
-    )
+    diagonal = diagonal.withColumn("pairs", F.expr("array_distinct(flatten(transform(matched, w -> w.pairs)))"))
+    torn = "array_distinct(transform(filter(pairs, x -> exists(pairs, y -> y.own = x.own and y.slots <> x.slots)), x -> x.own))"
+    diagonal = diagonal.withColumn("torn", F.expr(f"if(size(pairs) = size(array_distinct(transform(pairs, x -> x.own))), cast(array() as array<bigint>), {torn})"))
+    diagonal = diagonal.withColumn("matched", F.expr("if(size(torn) = 0, matched, filter(matched, w -> w.exact or not exists(w.pairs, x -> array_contains(torn, x.own))))"))
+    at = lambda which: F.size(F.array_distinct(F.flatten(F.collect_list(F.expr(f"transform({which}, w -> w.at)")))))
+    n, n_plain = F.first("n_windows"), F.first("n_plain")
+    share = F.greatest(at("matched") / n, F.when(n_plain > 0, at("filter(matched, w -> w.plain)") / n_plain))
+    item = diagonal.groupBy("doc_id", "th", "item_id").agg(share.alias("share"), F.sum("copies").alias("copies"))
     real = F.col("item_id").isNotNull()
     best = item.groupBy("doc_id", "th").agg(
         F.max(F.when(real, F.struct("share", (-F.col("item_id")).alias("less")))).alias("best"),
