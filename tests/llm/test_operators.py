@@ -47,10 +47,20 @@ def by_id(spark, name):
 
 def ids_of(path, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(path))
-    t.encode_special_tokens = True
     return [e.ids + [end] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n):
+    """Two strings of a and b, one the other's complement, on which polynomial hashes modulo a power of two meet."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+SPECIAL = ["say <|endoftext|> now", "<|startoftext|><|endoftext|>x <|endoftext|>", *thue_morse(2048), "a b " + " ".join(thue_morse(2048)) + " c", "", " ", "x <|endoftext|", "|>"]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -69,6 +79,27 @@ def test_token_records(spark, docs, odd, tmp_path):
     assert token_records.read_token_records(spark, path + "0").count() == 0
 
 
+@pytest.mark.parametrize("path", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_special_strings_and_of_texts_with_one_weak_hash(spark, path):
+    rows = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    got = packing.token_pieces(rows.coalesce(1), public_tokenizers.path(path), 0, 1 << 20).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == {k: crc(ids) for k, ids in enumerate(ids_of(path, SPECIAL, 0))}
+
+
+def test_pieces_with_one_hash_keep_their_own_ids(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import spans, tokens
+
+    monkeypatch.setattr(spans.Texts, "hashes", lambda self, starts, ends, second=False: np.full(len(starts), 7, np.uint64))
+    texts = ["all of the pieces meet", "under one hash", "all of them"]
+    made = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        for _, _, block in spans.blocks(pa.array(texts)):
+            ids, offsets = made.encode(block)
+            assert [ids[a:b].tolist() + [0] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == ids_of("byte_bpe_50k.json", texts, 0)
+
+
 def test_license_scan(spark, docs, odd):
     got = by_id(spark, "op2_license_scan")
     for d, t in docs.items():
@@ -86,6 +117,31 @@ def test_license_scan(spark, docs, odd):
     assert licenses.scan(odd).count() == 8 and licenses.scan(odd.limit(0)).count() == 0
 
 
+def longest_rising(hits):
+    best = {}
+    for pos, at in sorted(hits):
+        best[pos, at] = 1 + max((n for (p, a), n in best.items() if p < pos and a < at), default=0)
+    return max(best.values(), default=0)
+
+
+def test_license_notices_are_verified_in_order(spark):
+    w = licenses.NOTICES["mit"].split()
+    grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)]
+    texts = [" ".join(reversed(grams)), " ".join(w), " ".join(x + (" extra" if i % 12 == 5 else "") for i, x in enumerate(w)), " ".join(w[:10] + w[40:] + w[10:40]), "x y " + " ".join(w) + " z " + " ".join(w), " ".join(w[:20])]
+    texts += [" ".join(licenses.NOTICES[a].split()[:k] + licenses.NOTICES[b].split()[k:]) for a, b, k in (("gpl", "lgpl", 9), ("isc", "mit", 5), ("bsd", "mpl", 30))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for d, t in enumerate(texts):
+        words, labels = t.split(), set()
+        phrases = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {t} "}
+        for label, notice in licenses.NOTICES.items():
+            n = notice.split()
+            hits = [(p, a) for p in range(len(words) - 3) for a in range(len(n) - 3) if words[p : p + 4] == n[a : a + 4]]
+            share = max((longest_rising([(p, a) for p, a in hits if 0 <= p - a - d0 <= licenses.DRIFT]) for d0 in {p - a for p, a in hits}), default=0) / (len(n) - 3)
+            labels |= {label} if share >= licenses.SHARE else set()
+        assert got[d].labels == ",".join(sorted(labels | phrases))
+    assert got[0].labels == "" and got[1].score == 1 and [(x.first, x.last) for x in got[4].notices] == [(2, len(w) + 1), (len(w) + 3, 2 * len(w) + 2)]
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for d, t in rows:
@@ -130,6 +186,8 @@ def test_warc(spark, tmp_path):
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_records(warc.read_warc(spark, str(tmp_path / "w"))).collect()}
     assert got == {1: (200, "response", None), 3: (200, "revisit", 1), 2: (99, "response", None), 5: (99, "response", None), 4: (0, "response", None), None: (200, "response", None)}
     assert warc.read_warc(spark, str(tmp_path / "w"), splitBytes="64").where("record_type = 'revisit'").count() == 1
+    warc.write_warc(pages.limit(0), str(tmp_path / "none"))
+    assert warc.page_records(warc.read_warc(spark, str(tmp_path / "none"))).count() == 0
 
 
 def brute_groups(rows, size=2):
@@ -178,6 +236,22 @@ def test_large_groups_of_near_copies(spark):
     assert got == brute_groups(rows)
 
 
+def test_rows_and_not_ids_are_dropped(spark):
+    far = " ".join(f"v{i}" for i in range(60))
+    rows = [(4, LONG, "a", 1), (5, LONG, "b", 2), (5, far, "c", 3), (None, LONG, "d", 4), (None, far + " x", "e", 5), (None, "alone", "f", 6), (7, "", "g", 7), (8, None, "h", 8), (5, far, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string, gone_id int")
+    kept = near_dup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.th for r in kept.collect()) == ["a", "c", "c", "f", "g", "h"]
+    bench = spark.createDataFrame([(1, LONG[:98])], "item_id long, text string")
+    assert sorted(r.th for r in decontam.drop_contaminated(docs, bench).collect()) == ["c", "c", "e", "f", "g", "h"]
+
+
+def test_unlike_words_with_one_weak_hash_are_not_linked(spark):
+    a, b = thue_morse(2048)
+    found = near_dup.groups(spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}")], "doc_id long, text string"), size=2).collect()
+    assert all(r.kept for r in found)
+
+
 @pytest.mark.parametrize("block", [near_dup.BLOCK_SHINGLES, 3000])
 def test_edits_of_edits_of_a_hot_text(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block)
@@ -279,6 +353,9 @@ def test_language(spark, docs, odd):
     judged = langid.predict(langid.fit(odd), odd).collect()
     assert [r.lang_pred for r in judged if not r.text or not r.text.strip()] == ["und"] * 3 and len(judged) == 8
     assert langid.predict(langid.fit(odd.limit(0)), odd).where("lang_pred <> 'und'").count() == 0
+    clash = odd.withColumnsRenamed({"pos": "score", "h": "lang_pred"})
+    assert [r.score for r in langid.predict(langid.fit(odd), clash).where("doc_id = 2").collect()] == [0.0]
+    assert langid.keep_identified(clash, odd).columns == clash.columns
 
 
 def test_decontamination(spark, docs):

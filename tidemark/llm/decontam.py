@@ -9,10 +9,12 @@ count in any case.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.spans import ALNUM, Texts, blocks, mix, pair
@@ -26,7 +28,7 @@ LEAST_PLAIN = 2
 # Word lists of the typed slots.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice dozen"
 UNIT_WORDS = "mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg gram grams kilogram kilograms ounce ounces oz pound pounds lb lbs ton tons tonne tonnes ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees kmh mph"
-NAME_WORDS = "james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen alice bob carol emma olivia liam noah tom tim sam ben max anna maria peter paul mark lisa laura julia natalia weng betty randy janet mike jack kate emily daniel"
+NAME_WORDS = "james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen alice bob carol emma olivia liam noah tom tim sam ben max anna maria peter paul mark lisa laura mike jack kate emily daniel"
 
 _bits = 24
 _EXACT = np.uint64(0x9B05688C2B3E6C1F)
@@ -40,7 +42,20 @@ def _hashes(words: str) -> np.ndarray:
     return np.sort(t.hashes(starts, ends))
 
 
-_NUMBERS, _UNITS, _NAMES = _hashes(NUMBER_WORDS), _hashes(UNIT_WORDS), _hashes(NAME_WORDS)
+@dataclass
+class Lists:
+    """Words, lower-case and with spaces between them, that fill slots whatever their shape."""
+
+    numbers: str = NUMBER_WORDS
+    units: str = UNIT_WORDS
+    names: str = NAME_WORDS
+
+
+@lru_cache(maxsize=16)
+def _listed(numbers: str, units: str, names: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _hashes(numbers), _hashes(units), _hashes(names)
+
+
 _DIGIT, _UPPER, _STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
 _UPPER[0x41:0x5B] = True
@@ -48,21 +63,22 @@ _STOP[[0x0A, 0x0D, 0x21, 0x2E, 0x3A, 0x3F]] = True
 
 
 def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+    return np.zeros(len(keys), bool) if not len(known) else known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def templates(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def templates(texts: Texts, lists: Lists) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word (a run of ASCII letters, digits and bytes over 0x7F): its hash with A-Z lowered, the hash that stands for it in
     the template, and whether it fills a slot; and each text's first word.
 
-    Numbers are words of digits, or of NUMBER_WORDS; units those of UNIT_WORDS; names those of NAME_WORDS with a capital, and words
-    with a capital that do not begin a sentence."""
+    Numbers are words of digits, or listed; units are listed words; names are listed words with a capital, and words with a capital that do not
+    begin a sentence."""
+    numbers, units, names = _listed(lists.numbers, lists.units, lists.names)
     starts, ends, first = texts.words(ALNUM)
     word = texts.lower().hashes(starts, ends)
     if not len(word):
         return word, word, np.zeros(0, bool), first
     digits = np.concatenate(([0], np.cumsum(_DIGIT[texts.data])))
-    number = (digits[ends] - digits[starts] == ends - starts) | _among(_NUMBERS, word)
+    number = (digits[ends] - digits[starts] == ends - starts) | _among(numbers, word)
     stops = np.concatenate(([0], np.cumsum(_STOP[texts.data])))
     opens = np.concatenate(([True], stops[starts[1:]] > stops[ends[:-1]]))
     opens[first[:-1][first[:-1] < len(opens)]] = True
@@ -71,20 +87,20 @@ def templates(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     follows = np.concatenate(([False], capital[:-1])) & ~opens
     follows[first[:-1][first[:-1] < len(opens)]] = False
     after = np.concatenate((capital[1:], [False]))
-    name = capital & ((~opens & ~(follows & after)) | _among(_NAMES, word))
-    unit = _among(_UNITS, word)
+    name = capital & ((~opens & ~(follows & after)) | _among(names, word))
+    unit = _among(units, word)
     slot = np.select([number, unit, name], [1, 2, 3], 0)
     stands = np.where(slot > 0, np.array([0, *_SLOT], np.uint64)[slot], word)
     return word, stands, slot > 0, first
 
 
-def windows(texts: Texts, lengths: list[int], size: int) -> tuple[np.ndarray, ...]:
+def windows(texts: Texts, lengths: list[int], size: int, lists: Lists) -> tuple[np.ndarray, ...]:
     """Text, place, number of words, hash, whether the hash is of the words themselves (else of the template) and whether the template
     counts, for each window of so many words; and the words in all, which of them fill slots, and the first word of each text.
 
     Windows with LEAST_PLAIN plain words have both hashes, others that of their words; a text of fewer than size words has one of
     its whole template too."""
-    word, stands, slot, first = templates(texts)
+    word, stands, slot, first = templates(texts, lists)
     count = np.diff(first)
     text = np.repeat(np.arange(len(texts)), count)
     plain = np.concatenate(([0], np.cumsum(~slot)))
@@ -115,14 +131,14 @@ def _slots(word: np.ndarray, slot: np.ndarray, lo: int, hi: int) -> list[int]:
     return word[lo:hi][slot[lo:hi]].view(np.int64).tolist()
 
 
-def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
+def item_windows(benchmark: DataFrame, size: int, lists: Lists) -> DataFrame:
     """item_id, n_windows, n_plain (windows whose template counts), place, length, h, exact, plain and slots for each hash of a window
     of benchmark (item_id, text), an item of fewer than size words being one window; null texts have none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, texts in blocks(batch.column(1)):
-                t, p, length, h, exact, plain, word, slot, first = windows(texts, list(range(1, size + 1)), size)
+                t, p, length, h, exact, plain, word, slot, first = windows(texts, list(range(1, size + 1)), size, lists)
                 count = np.diff(first)
                 own = length == np.minimum(count, size)[t]
                 t, p, length, h, exact, plain = (x[own] for x in (t, p, length, h, exact, plain))
@@ -150,47 +166,50 @@ def _filter_bits(items: DataFrame) -> np.ndarray:
 HITS = "doc_id long, th long, place long, h long, slots array<long>"
 
 
-def document_hits(docs: DataFrame, bits: np.ndarray, lengths: list[int], size: int) -> DataFrame:
-    """doc_id, th (a hash of the text) and a row with place -1 for each row of docs (doc_id, text), and one for each window of
-    so many words whose hash may be in the benchmark."""
+def document_hits(docs: DataFrame, bits: np.ndarray, lengths: list[int], size: int, lists: Lists) -> DataFrame:
+    """doc_id, th (a hash of the text), place, h and slots for each window of docs (doc_id, text) of so many words whose hash may be in
+    the benchmark."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             for i, j, texts in blocks(batch.column(2)):
-                t, p, length, h, _, _, word, slot, first = windows(texts, lengths, size)
+                t, p, length, h, _, _, word, slot, first = windows(texts, lengths, size, lists)
                 low = h & np.uint64((1 << _bits) - 1)
                 may = (table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
                 t, p, length, h = t[may], p[may], length[may], h[may]
                 lo = first[t] + p
-                slots = [_slots(word, slot, a, b) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)] + [None] * (j - i)
-                rows = pa.array(np.concatenate((t, np.arange(j - i))))
-                arrays = [batch.column(k).slice(i, j - i).take(rows) for k in (0, 1)]
-                arrays += [pa.array(np.concatenate((p, np.full(j - i, -1)))), pa.array(np.concatenate((h.view(np.int64), np.zeros(j - i, np.int64)))), pa.array(slots, pa.list_(pa.int64()))]
+                slots = [_slots(word, slot, a, b) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+                arrays = [batch.column(k).slice(i, j - i).take(pa.array(t)) for k in (0, 1)]
+                arrays += [pa.array(p), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "place", "h", "slots"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
-    return keyed.mapInArrow(look, HITS)
+    return docs.select(*_named(), "text").mapInArrow(look, HITS)
+
 
+def _named() -> list[Column]:
+    """What a document is known by: its id and a hash of its text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")]
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, contaminated, item_id (the item of which most is there, the smallest of equal ones), coverage (share of its windows, or
-    of those whose template counts if that is more; 0 where no window matches) and n_items (how many reach `coverage`) for each row of docs (doc_id, text).
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE, lists: Lists | None = None) -> DataFrame:
+    """doc_id, th (a hash of the text), contaminated, item_id (the item of which most is there, the smallest of equal ones), coverage
+    (share of its windows, or of those whose template counts if that is more; 0 where no window matches) and n_items (how many reach
+    `coverage`) for each row of docs (doc_id, text).
 
     Null, empty and wordless texts hold nothing; rows that repeat come out each; items without words and null item ids match nothing;
     other columns are ignored; an empty benchmark leaves every document clean."""
-    items = item_windows(benchmark.where("item_id is not null"), size)
+    lists = lists or Lists()
+    items = item_windows(benchmark.where("item_id is not null"), size, lists)
     lengths = sorted({size, *(r["length"] for r in items.select("length").distinct().collect())})  # size of them at most
-    rows = document_hits(docs, _filter_bits(items), lengths, size)
+    rows = document_hits(docs, _filter_bits(items), lengths, size, lists)
     own = items.select("item_id", "n_windows", "n_plain", F.col("place").alias("at"), F.col("h").alias("hash"), "exact", "plain", F.col("slots").alias("own"))
-    found = rows.join(own, (F.col("h") == F.col("hash")) & (F.col("place") >= 0), "left")
-    found = found.where("place < 0 or item_id is not null")
+    found = rows.join(own, F.col("h") == F.col("hash"))
     diagonal = found.groupBy("doc_id", "th", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.first("n_windows").alias("n_windows"),
         F.first("n_plain").alias("n_plain"),
-        F.collect_list(F.when(F.col("own").isNotNull(), F.struct("at", "exact", "plain", F.arrays_zip("own", "slots").alias("pairs")))).alias("matched"),
-        F.count_if(F.col("place") < 0).alias("copies"),
+        F.collect_set(F.struct("at", "exact", "plain", F.arrays_zip("own", "slots").alias("pairs"))).alias("matched"),
     )
     diagonal = diagonal.withColumn("pairs", F.expr("array_distinct(flatten(transform(matched, w -> w.pairs)))"))
     torn = "array_distinct(transform(filter(pairs, x -> exists(pairs, y -> y.own = x.own and y.slots <> x.slots)), x -> x.own))"
@@ -199,24 +218,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cove
     at = lambda which: F.size(F.array_distinct(F.flatten(F.collect_list(F.expr(f"transform({which}, w -> w.at)")))))
     n, n_plain = F.first("n_windows"), F.first("n_plain")
     share = F.greatest(at("matched") / n, F.when(n_plain > 0, at("filter(matched, w -> w.plain)") / n_plain))
-    item = diagonal.groupBy("doc_id", "th", "item_id").agg(share.alias("share"), F.sum("copies").alias("copies"))
-    real = F.col("item_id").isNotNull()
-    best = item.groupBy("doc_id", "th").agg(
-        F.max(F.when(real, F.struct("share", (-F.col("item_id")).alias("less")))).alias("best"),
-        F.count_if(real & (F.col("share") >= coverage)).alias("n_items"),
-        F.max(F.when(~real, F.col("copies"))).alias("copies"),
-    )
-    each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    item = diagonal.groupBy("doc_id", "th", "item_id").agg(share.alias("share"))
+    best = item.groupBy("doc_id", "th").agg(F.max(F.struct("share", (-F.col("item_id")).alias("less"))).alias("best"), F.count_if(F.col("share") >= coverage).alias("n_items"))
+    best = best.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "best", "n_items")
+    each = docs.select(*_named()).join(best, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
     return each.select(
         "doc_id",
-        (F.col("n_items") > 0).alias("contaminated"),
+        "th",
+        (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"),
         (-F.col("best.less")).alias("item_id"),
         F.coalesce("best.share", F.lit(0.0)).alias("coverage"),
-        "n_items",
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item; rows without doc_id stay."""
-    gone = contaminated(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that hold an item, whatever their ids and the names of their other columns."""
+    gone = contaminated(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_th"]), "left_anti")

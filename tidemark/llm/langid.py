@@ -57,8 +57,6 @@ def grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, n-gram and count, by text and then by falling count (equal ones by code)."""
     point, offsets = letters(texts)
     n = len(texts)
-    if n > 1 << 16:
-        raise ValueError("a block has too many texts")
     # one mark before and after each word
     text = np.repeat(np.arange(n), np.diff(offsets) + 2)
     flat = np.zeros(len(point) + 2 * n, np.uint64)
@@ -131,8 +129,8 @@ def predict(profiles: Profiles, docs: DataFrame) -> DataFrame:
     """docs with lang_pred and score, from `text` alone.
 
     lang_pred is the language that is least out of place (of equal ones the first by name), or `und` where the text is null, has no
-    letter, or there is no profile. score is 1 less the distance over the largest that is possible; 0 for `und`. Other columns stay
-    as they are; an empty table gives no rows."""
+    letter, or there is no profile. score is 1 less the distance over the largest that is possible; 0 for `und`. A column of docs named
+    lang_pred or score is replaced; others stay as they are; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +163,8 @@ def predict(profiles: Profiles, docs: DataFrame) -> DataFrame:
 
     rest = docs.select("text", F.struct(*docs.columns).alias("row"))
     found = rest.mapInArrow(judge, f"row {rest.schema['row'].dataType.simpleString()}, lang_pred string, score double")
-    return found.select("row.*", "lang_pred", "score")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return found.select(*(F.col("row").getField(c).alias(c) for c in kept), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:

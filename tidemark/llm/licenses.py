@@ -2,7 +2,8 @@
 
 Every place of every text gives the hash of the words that begin there, in two lengths. They are joined with the same hashes of known
 phrases and notices. A match votes for the diagonal on which the template would begin in the text; neighbouring diagonals of a notice
-are merged, as a word more or less shifts what follows, and the share of the notice that the merged diagonals hold is its score.
+are merged, as a word more or less shifts what follows, up to DRIFT in all. The span they cover is then verified: of the grams that
+matched only the longest series counts that stands in the notice's own order, and its share of the notice is the score.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ NOTICES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
 }
 PHRASE_GRAM, NOTICE_GRAM = 2, 4
-#: Diagonals of a notice this near are one, and this share of its grams makes it a finding.
-NEAR, SHARE = 8, 0.5
+#: Diagonals of a notice that are no further apart are one, and this share of its grams, in order, makes it a finding.
+DRIFT, SHARE = 16, 0.5
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -57,6 +58,22 @@ def template_grams(spark: SparkSession, phrases: dict[str, str], notices: dict[s
     return frame.withColumn("h", F.xxhash64("gram"))
 
 
+def in_order(hits: str) -> Column:
+    """Of the hits (pos, at) the longest series in which both rise. The state holds, for each length, the series found so far that ends at
+    the smallest `at`."""
+    ends = lambda series: F.element_at(series, -1)["at"]
+
+    def step(state: Column, hit: Column) -> Column:
+        shorter = F.filter(state, lambda x: ends(x) < hit["at"])
+        series = F.concat(F.when(F.size(shorter) > 0, F.element_at(shorter, -1)).otherwise(F.slice(F.array(hit), 1, 0)), F.array(hit))
+        return F.concat(shorter, F.array(series), F.slice(state, F.size(shorter) + 2, F.size(state)))
+
+    kind = "array<array<struct<pos:int,at:int>>>"
+    # Hits of one place are taken from the last to the first, so that only one of them can join a series.
+    falling = F.array_sort(hits, lambda a, b: F.when(a["pos"] != b["pos"], a["pos"] - b["pos"]).otherwise(b["at"] - a["at"]))
+    return F.aggregate(falling, F.array().cast(kind), step, lambda state: F.when(F.size(state) > 0, F.element_at(state, -1)).otherwise(F.array().cast("array<struct<pos:int,at:int>>")))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and notices (label, first and last word of each notice
     found) for each row of docs (doc_id, text).
@@ -84,12 +101,17 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     votes = hits.groupBy("doc_id", "th", "n_words", "template", "phrase", "label", "grams", "length", "diagonal").agg(F.count("*").alias("votes"), F.collect_set("at").alias("seen"))
     key = ["doc_id", "th", "n_words"]
     by = Window.partitionBy(*key, "template").orderBy("diagonal")
-    # A phrase must stand as it is; diagonals of notices that are near are numbered as one.
-    gap = F.when(F.col("phrase"), F.lit(True)).otherwise(F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > NEAR, F.lit(True)))
-    runs = votes.withColumn("run", F.sum(gap.cast("int")).over(by))
-    merged = runs.groupBy(*key, "template", "phrase", "label", "grams", "length", "run").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("found"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.sum("votes").alias("votes")
-    )
+    # A phrase must stand as it is. Of a notice, each diagonal is taken with those up to DRIFT behind it: as many hits as the notice has
+    # grams for each of them at most.
+    pairs = F.transform("seen", lambda at: F.struct((F.col("diagonal") + at).alias("pos"), at.alias("at")))
+    near = votes.withColumn("hits", F.flatten(F.collect_list(F.when(~F.col("phrase"), pairs)).over(by.rangeBetween(0, DRIFT))))
+    aligned = near.withColumn("line", F.when(F.col("phrase"), F.array()).otherwise(in_order("hits")))
+    found = F.when(F.col("phrase"), F.size("seen")).otherwise(F.size("line"))
+    rated = aligned.select("*", found.alias("found"), F.when(~F.col("phrase"), F.greatest("diagonal", F.lit(0))).alias("from"))
+    # Of diagonals that share hits the one with the longest series stands for all; of equal ones the first.
+    rank = F.struct("found", (-F.col("diagonal")).alias("first"))
+    best = F.col("phrase") | (rank == F.max(rank).over(by.rangeBetween(-DRIFT, DRIFT)))
+    merged = rated.select("*", best.alias("best")).where("template is null or best").withColumn("first", F.col("diagonal"))
     share = F.col("found") / F.col("grams")
     whole = F.col("phrase") & (share == 1)
     notice = ~F.col("phrase") & (share >= SHARE)
@@ -101,7 +123,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         F.collect_set(F.when(whole, F.col("label"))).alias("base"),
         F.collect_set(F.when(notice, F.col("label"))).alias("more"),
         F.max(F.when(~F.col("phrase"), share)).alias("share"),
-        F.sort_array(F.collect_set(F.when(notice, F.struct("label", F.greatest("first", F.lit(0)).alias("first"), (F.col("last") + F.col("length") - 1).alias("last"))))).alias("notices"),
+        F.sort_array(F.collect_set(F.when(notice, F.struct("label", F.get(F.sort_array("line"), F.lit(0))["pos"].alias("first"), (F.element_at(F.sort_array("line"), -1)["pos"] + NOTICE_GRAM - 1).alias("last"))))).alias("notices"),
     )
     joined_labels = lambda c: F.concat_ws(",", F.sort_array(c))
     each = text.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -27,7 +27,6 @@ _GOLDEN = 0x9E3779B97F4A7C15
 _STEP = np.uint64(_GOLDEN)
 _LEVEL = np.uint64(52)
 _NONE = np.uint64(2**64 - 1)
-_SET_MASK = np.uint64(2**48 - 1)
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,36 +111,38 @@ def set_names(keys: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
 
 
 def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (its class, null for an empty set) and keys (of its bands) for each row of docs (doc_id, text)."""
+    """doc_id, th (a hash of the text), n_shingles, node (its class, null for an empty set) and keys (of its bands) for each row of docs
+    (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, texts in blocks(batch.column(1)):
+            for i, j, texts in blocks(batch.column(2)):
                 keys, offsets = shingle_sets(texts, size)
                 bucket = band_keys(superminhash(keys, offsets, bands * rows), bands, rows).view(np.int64)
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
                         pa.array(n),
                         pa.array(set_names(keys, offsets), pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))), pa.int32()), pa.array(bucket[n > 0].ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "keys"],
+                    names=["doc_id", "th", "n_shingles", "node", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node binary, keys array<long>")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return named.mapInArrow(sign, "doc_id long, th long, n_shingles long, node binary, keys array<long>")
 
 
 def class_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node and its set (48 bits of each hash, ascending, little-endian uint64) for each row of docs."""
+    """node and its set (the hashes, ascending, little-endian uint64) for each row of docs."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in blocks(batch.column(0)):
                 keys, offsets = shingle_sets(texts, size)
-                short = keys & _SET_MASK
-                rows = [np.sort(short[a:b]).astype("<u8").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                rows = [keys[a:b].astype("<u8").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(set_names(keys, offsets), pa.binary()), pa.array(rows, pa.binary())], names=["node", "members"])
 
     return docs.select("text").mapInArrow(build, "node binary, members binary").where("node is not null")
@@ -255,30 +256,27 @@ def _blockwise(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a binary, b binary")
 
 
-def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that similar documents lead to) and kept for each row of docs (doc_id, text).
+def labelled(docs: DataFrame, size: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n_shingles, node) of docs (doc_id, text), and for each node the component: component_id, and (id, th) of the
+    document that stays, the one with the smallest id (nulls last) and hash.
 
-    Two documents are similar when 100 * intersection >= percent * union of their distinct shingles of `size` words. Candidates
-    share a band of their SuperMinHash signatures and sets of similar size. Buckets of up to SMALL_BUCKET classes are compared pair by
-    pair. The classes of a larger one are compared with its centre, the class that shares most buckets; those that are not linked with
-    it are then compared with all others of the bucket, block by block. So every similar pair of a bucket ends in one group.
-    A null or wordless text has no shingles and is linked with nothing; rows that repeat a doc_id are rows of their own, and each
-    is kept if its id is the smallest; a null doc_id is never kept and, where all ids of a component are null, its id is null.
-    Other columns are ignored; an empty table gives no rows."""
+    Candidates share a band of their SuperMinHash signatures and have sets of similar size. Buckets of up to SMALL_BUCKET classes are
+    compared pair by pair. The classes of a larger one are compared with its centre, the class that shares most buckets; those that
+    are not linked with it are then compared with all others of the bucket, block by block. So every similar pair of a bucket ends in
+    one group."""
     rows_of = written(signed(docs, size, bands, rows), "signed")
-    classes = rows_of.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = written(classes, "classes")
+    some = rows_of.where("node is not null")
+    classes = written(some.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(keyed.join(shared, "key"), "buckets")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
 
     # One row of documents for each class that shares a bucket, and its set.
-    wanted = rows_of.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(weight.select("node"), "node", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    unnamed = wanted.where("doc_id is null").limit(1).count()
-    if unnamed:  # classes that only rows without an id have
-        texts = texts.union(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text"))
+    wanted = some.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one")).join(weight.select("node"), "node", "left_semi")
+    wanted = wanted.select(F.col("one.doc_id").alias("wanted_id"), F.col("one.th").alias("wanted_th")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.xxhash64("text") == F.col("wanted_th")), "left_semi")
     sets = written(class_sets(texts, size).dropDuplicates(["node"]), "sets")
 
     big = members.where(F.col("size") > SMALL_BUCKET).join(weight, "node")
@@ -291,17 +289,32 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS
     rest = against.join(done, ["node", "b"], "left").select("key", "node", "n", F.coalesce("with_centre", F.lit(False)).alias("with_centre"))
     label = components(found.union(written(_blockwise(written(rest, "rest"), sets, percent), "links")))
 
-    by_class = rows_of.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node", "left")
-    by_class = by_class.withColumn("label", F.coalesce("label", "node"))
-    smallest = by_class.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = by_class.join(smallest, "label").select("node", "component_id")
-    found = rows_of.drop("keys").join(of, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    # Nulls sort first in a struct, so a flag puts documents without an id behind the others.
+    of_class = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("first")).join(label, "node", "left")
+    of_class = of_class.withColumn("label", F.coalesce("label", "node"))
+    smallest = of_class.groupBy("label").agg(F.min("first").alias("stays"))
+    component = of_class.join(smallest, "label").select("node", F.col("stays.doc_id").alias("component_id"), F.col("stays.th").alias("stays_th"))
+    return rows_of.drop("keys"), component
+
+
+def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that similar documents lead to) and kept for each row of docs (doc_id, text).
+
+    Two documents are similar when 100 * intersection >= percent * union of their distinct shingles of `size` words.
+    A null or wordless text has no shingles and is linked with nothing; rows that repeat a doc_id are rows of their own, and each
+    is kept if its id is the smallest; a null doc_id is never kept and, where all ids of a component are null, its id is null.
+    Other columns are ignored; an empty table gives no rows."""
+    rows_of, component = labelled(docs, size, percent, bands, rows)
+    found = rows_of.join(component, "node", "left")
+    smallest = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", smallest.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that are not kept in their group; of rows that repeat a kept doc_id all stay, and so do rows without
-    doc_id."""
-    gone = groups(docs, size, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group of docs: that with the smallest doc_id, nulls being last, and of documents with one id that with the
+    smallest hash. Rows with equal ids and equal texts are one document, and stay or go together; documents without words stay. Other
+    columns stay as they are, whatever their names."""
+    rows_of, component = labelled(docs, size, percent)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("stays_th"))
+    gone = rows_of.join(component, "node").where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_th"]), "left_anti")

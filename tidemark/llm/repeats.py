@@ -1,13 +1,17 @@
 """Removes every byte that a string of `length` bytes covers which also starts earlier in the corpus.
 
-The suffixes that matter are those of `length` bytes. Their buckets are found by pointer refinement:
+The suffixes that matter are those of `length` bytes. Buckets of them are refined, by sorting on bucket numbers of other offsets, until a
+bucket holds equal suffixes alone:
 1. A suffix is first put in the bucket of one of its q-grams, the smallest by hash, which its content alone decides. Neighbouring
-   suffixes choose the same gram, so a whole run of them enters a bucket as one row, with a hash of all bytes the run spans.
-2. A bucket with one row is final: none of its suffixes occurs twice. Rows of a bucket with the same span are equal suffix for
-   suffix; all but the first are repeats. Only the first rows of buckets with several spans stay open.
-3. Each suffix of an open run is bucketed again by the bucket numbers (gram hashes) at its later offsets, numbers of two grams
-   being reused for all suffixes that hold them; equal numbers now mean equal strings.
-Rows are reduced to the first of their bucket within a task before they are shuffled, so copies cost no more than one text a task.
+   suffixes choose the same gram, so a whole run of them enters a bucket as one row, with the number of all bytes the run spans.
+2. Only buckets with several spans stay open. Their suffixes are dealt again by the number of the long core of bytes that up to STEP
+   neighbours have in common (which their distance from the gram decides), and sorted by the few bytes on either side of it.
+3. Where a core has several surroundings, each suffix gets a bucket of its own: the number of its core, which is used again, and
+   its own bytes beside it. The text is not needed any more.
+A bucket with one row is final: none of its suffixes occurs twice. Of equal rows of a bucket all but the first are repeats. A number is
+a hash of the bytes it stands for, not a rank: ranks would have to be joined back by place for each step. Equality is decided by two
+independent ones, of 62 bits each (of 62 and 57 in the first step). Rows are reduced to the first of their bucket within a task before
+they are shuffled, so copies cost no more than one text a task.
 """
 
 from __future__ import annotations
@@ -24,13 +28,18 @@ from tidemark.llm.shared import written
 from tidemark.llm.spans import Texts, blocks, mix, pair
 
 GRAM = 40
+#: Suffixes of a run that have a core in common: those whose distances from the gram agree when divided by this.
+STEP = 8
 _PLACE, _RUN = np.int64(31), np.int64(7)
 _GONE = np.int64(1) << np.int64(62)
 _TIE_BITS = 24
 _PENDING_ROWS = 1_000_000
 _NO_ID = -(2**63)
-ROW = "h long, u long, doc long, pos long"
-FOUND = "doc long, pos long, open boolean"
+_SHIFT = np.uint64(127)
+#: Rows of the three steps: bucket, what tells its members apart (second number and bytes on either side), place.
+ROWS = "h long, u long, doc long, pos long"
+CORES = "h long, u long, before long, after long, doc long, pos long"
+FOUND = "doc long, pos long, open boolean, u long"
 
 
 def packed(tie: np.ndarray, place: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -43,7 +52,8 @@ def unpacked(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, span hash, text, start in the text and number of suffixes of each run of suffixes that choose the same gram."""
+    """Bucket, number of the span (its lowest 7 bits: where the gram begins), text, start in the text and number of suffixes of each
+    run of suffixes that choose the same gram."""
     n, ends = len(texts.data), texts.offsets[1:]
     none = np.zeros(0, np.int64)
     if n < length:
@@ -70,8 +80,50 @@ def runs(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     at = np.flatnonzero(head)
     first, count = starts[at], np.diff(np.append(at, len(starts)))
     anchor = pick[at]
-    span = texts.hashes(first, first + count - 1 + length)
-    return grams[anchor], pair(span, (anchor - first).astype(np.uint64)), text[first], first - texts.offsets[text[first]], count
+    span = texts.hashes(first, first + count - 1 + length, second=True)
+    shift = (anchor - first).astype(np.uint64)
+    return grams[anchor], (pair(span, shift) & ~_SHIFT) | shift, text[first], first - texts.offsets[text[first]], count
+
+
+def _side(texts: Texts, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sizes[i] < STEP bytes from starts[i] on, in one number: the first lowest, and how many they are in the highest byte."""
+    out = sizes << np.int64(56)
+    for k in range(STEP - 1):
+        there = np.flatnonzero(sizes > k)
+        out[there] |= texts.data[starts[there] + k].astype(np.int64) << np.int64(8 * k)
+    return out
+
+
+def cores(texts: Texts, text: np.ndarray, place: np.ndarray, count: np.ndarray, shift: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Cores of the runs: number, second number, bytes before and after, run, first suffix and number of suffixes of each. The run's
+    gram begins `shift` bytes after its first suffix, so i suffixes later it is at shift - i; suffixes for which that is the same when
+    divided by STEP share all but STEP - 1 bytes."""
+    far = shift // STEP
+    classes = far - (shift - count + 1) // STEP + 1
+    run = np.repeat(np.arange(len(text)), classes)
+    j = far[run] - (np.arange(len(run)) - np.repeat(np.cumsum(classes) - classes, classes))
+    high, low = np.minimum(shift[run], STEP * j + STEP - 1), np.maximum((shift - count + 1)[run], STEP * j)
+    anchor = texts.offsets[text[run]] + place[run] + shift[run]
+    start, end = anchor - STEP * j, anchor - STEP * j - STEP + 1 + length
+    number = pair(texts.hashes(start, end), j.astype(np.uint64))
+    before = _side(texts, anchor - high, high - STEP * j)
+    after = _side(texts, end, STEP * j + STEP - 1 - low)
+    return number, texts.hashes(start, end, second=True), before, after, run, place[run] + shift[run] - high, high - low + 1
+
+
+def suffixes(h: np.ndarray, u: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (ROWS) of the suffixes of cores: the numbers of the core and the suffix's own bytes beside it make its number."""
+    tie, place, count = unpacked(pos)
+    row = np.repeat(np.arange(len(h)), count)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)  # the core's k-th suffix
+    behind = (before >> np.int64(56))[row]
+    low = np.int64(0xFF_FFFF_FFFF_FFFF)
+    left = (before[row] & low) >> (8 * k)  # bytes before the core that the suffix has
+    n_left = behind - k
+    n_right = STEP - 1 - n_left
+    right = after[row] & ((np.int64(1) << (8 * n_right)) - 1)
+    own = (left | (right << (8 * n_left)) | (n_left << np.int64(56))).view(np.uint64)
+    return pair(h.view(np.uint64)[row], own), pair(own, u.view(np.uint64)[row]), doc[row], packed(tie[row], place[row] + k, np.ones(len(row), np.int64))
 
 
 def _fresh(*columns: np.ndarray) -> np.ndarray:
@@ -84,9 +136,11 @@ def _fresh(*columns: np.ndarray) -> np.ndarray:
 
 
 class _Reducer:
-    """Gathers rows of a task; sends on the first of each bucket and span, and marks the others as repeats."""
+    """Gathers rows of a task (columns; the last two are doc and pos); sends on the first of those that agree in all others, and marks
+    the rest as repeats."""
 
-    def __init__(self) -> None:
+    def __init__(self, fields: str) -> None:
+        self.names = [x.split()[0] for x in fields.split(", ")]
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.rows = 0
 
@@ -99,19 +153,19 @@ class _Reducer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
-        h, u, doc, pos = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        columns = [np.concatenate(c).view(np.int64) for c in zip(*self.parts, strict=True)]
         self.parts, self.rows = [], 0
-        key = pair(h, u)
-        order = np.lexsort((pos, doc, key))
-        order = order[_fresh(key[order], doc[order], pos[order])]
-        later = np.concatenate(([False], key[order][1:] == key[order][:-1]))
-        h, u, doc, pos = h[order], u[order], doc[order], pos[order]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        fresh = _fresh(*columns)
+        columns = [c[fresh] for c in columns]
+        later = ~_fresh(*columns[:-2])
+        doc, pos = columns[-2:]
         # A repeat needs no bucket any more; its row is dealt by its own place.
-        h = np.where(later, mix(doc.view(np.uint64) ^ mix(pos.view(np.uint64))), h)
-        pos = np.where(later, pos | _GONE, pos)
-        for lo in range(0, len(h), 100_000):
-            part = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(u[part].view(np.int64)), pa.array(doc[part]), pa.array(pos[part])], names=["h", "u", "doc", "pos"])
+        columns[0] = np.where(later, mix(doc.view(np.uint64) ^ mix(pos.view(np.uint64))).view(np.int64), columns[0])
+        columns[-1] = np.where(later, pos | _GONE, pos)
+        for lo in range(0, len(doc), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in columns], names=self.names)
 
 
 def _keyed(docs: DataFrame, ties: DataFrame, rest: bool = False) -> DataFrame:
@@ -136,57 +190,61 @@ def numbered(docs: DataFrame) -> DataFrame:
     return ties
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """The rows that are repeats, and (open) those that stay undecided; one row of a bucket is looked at after the other."""
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h = last_u = last = None
-        classes, held = 0, None  # of the bucket that the last batch ended in: spans so far, its first row if not yet sent
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, u, doc, pos = (batch.column(k).to_numpy() for k in range(4))
-            fresh = _fresh(h, u, doc, pos)
-            fresh[0] = (h[0], u[0], doc[0], pos[0]) != last
-            last = h[-1], u[-1], doc[-1], pos[-1]
-            if not fresh.any():
-                continue
-            h, u, doc, pos = h[fresh], u[fresh], doc[fresh], pos[fresh]
-            marked = (pos & _GONE) != 0
-            new_bucket = np.concatenate(([last_h is None or h[0] != last_h], h[1:] != h[:-1])) | marked
-            new_bucket[1:] |= marked[:-1]
-            new_class = new_bucket | np.concatenate(([last_u is None or u[0] != last_u], u[1:] != u[:-1]))
-            bucket = np.cumsum(new_bucket)  # 0: the one that goes on
-            spans = np.bincount(bucket[new_class], minlength=bucket[-1] + 1)
-            spans[0] += classes
-            repeat = marked | ~new_class
-            undecided = new_class & ~marked & (spans[bucket] > 1)
-            parts = []
-            if held is not None and spans[0] > 1:
-                parts.append((np.array([held[0]]), np.array([held[1]]), np.array([True])))
-                held = None
-            if bucket[-1] > 0:
-                held = None
-            final = int(bucket[-1])
-            if spans[final] == 1 and held is None and not marked[-1]:
-                k = int(np.flatnonzero((bucket == final) & new_class)[0]) if (final or not classes) else None
-                if k is not None:
-                    held = (doc[k], pos[k])
-            take = repeat | undecided
-            parts.append((doc[take], pos[take] & ~_GONE, undecided[take]))
-            last_h, last_u, classes = (None, None, 0) if marked[-1] else (h[-1], u[-1], int(spans[final]))
-            d, p, o = (np.concatenate(c) for c in zip(*parts, strict=True))
-            if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(o)], names=["doc", "pos", "open"])
-
-    return rows.repartition("h").sortWithinPartitions("h", "u", "doc", "pos").mapInArrow(sift, FOUND)
+def _sifted(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """Sorted rows that are repeats or undecided, column by column, and which are undecided. Rows of a bucket agree in the first
+    `bucket` columns, equal ones in all but doc and pos; the first rows of several that differ are undecided."""
+    last: tuple | None = None  # the row before, while its bucket goes on
+    classes, held = 0, None  # of that bucket: how many differ so far, its first row if not yet sent
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        fresh = _fresh(*columns)
+        if last is not None:
+            fresh[0] = tuple(c[0] for c in columns) != last
+        if not fresh.any():
+            continue
+        columns = [c[fresh] for c in columns]
+        pos = columns[-1]
+        marked = (pos & _GONE) != 0
+        new_bucket = _fresh(*columns[:bucket]) | marked
+        new_bucket[1:] |= marked[:-1]
+        same = last is not None and not marked[0] and tuple(c[0] for c in columns[:bucket]) == last[:bucket]
+        new_bucket[0] = not same
+        new_class = _fresh(*columns[:-2]) | new_bucket
+        new_class[0] = not same or tuple(c[0] for c in columns[:-2]) != last[:-2]
+        number = np.cumsum(new_bucket)  # 0: the one that goes on
+        differ = np.bincount(number[new_class], minlength=number[-1] + 1)
+        differ[0] += classes
+        undecided = new_class & ~marked & (differ[number] > 1)
+        out, is_open = [c[marked | ~new_class | undecided] for c in columns], undecided[marked | ~new_class | undecided]
+        if held is not None and differ[0] > 1:
+            out, is_open = [np.concatenate(([x], c)) for x, c in zip(held, out, strict=True)], np.concatenate(([True], is_open))
+            held = None
+        final = int(number[-1])
+        if final > 0:
+            held = None
+        if differ[final] == 1 and held is None and not marked[-1] and (final or not classes):
+            k = int(np.flatnonzero((number == final) & new_class)[0])
+            held = tuple(c[k] for c in columns)
+        last, classes = (None, 0) if marked[-1] else (tuple(c[-1] for c in columns), int(differ[final]))
+        if len(is_open):
+            yield tuple(out[:-1]) + (out[-1] & ~_GONE,), is_open
+
+
+def _sorted(rows: DataFrame, *bucket: str) -> DataFrame:
+    return rows.repartition(*bucket).sortWithinPartitions(*rows.columns)
+
+
+def _found(columns: tuple[np.ndarray, ...], is_open: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[-2]), pa.array(columns[-1]), pa.array(is_open), pa.array(columns[1])], names=["doc", "pos", "open", "u"])
 
 
 def repeats(keyed: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """doc, pos (packed) of runs of suffixes that occur earlier, for keyed (doc, tie, text)."""
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Reducer()
+        kept = _Reducer(ROWS)
         for batch in batches:
             docs, ties = (batch.column(k).to_numpy() for k in (0, 1))
             for i, _, texts in blocks(batch.column(2)):
@@ -194,38 +252,52 @@ def repeats(keyed: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
                 yield from kept.add(h, u, docs[text + i], packed(ties[text + i], place, count))
         yield from kept.flush()
 
-    def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Reducer()
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, is_open in _sifted(batches, 1):
+            yield _found(columns, is_open)
+
+    def cored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _Reducer(CORES)
         for batch in batches:
-            docs, ties, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            docs, ties, places, shifts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3), batch.column(4)
             for i, j, texts in blocks(batch.column(2)):
-                grams = None
-                for k in range(i, j):
-                    if not places[k].is_valid:
-                        continue
-                    tie, place, count = unpacked(np.unique(places[k].values.to_numpy()))
-                    place, count = place[tie == ties[k]], count[tie == ties[k]]
-                    if not len(place):
-                        continue
-                    if grams is None:
-                        grams = texts.windows(gram)
-                        twice = pair(grams[: len(grams) - gram], grams[gram:])  # numbers of 2 * gram bytes
-                    inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    start = np.repeat(place, count) + inner
-                    s = start + texts.offsets[k - i]
-                    number, covered = (twice[s], 2 * gram) if length >= 2 * gram else (grams[s], gram)
-                    while covered < length:
-                        step = min(covered, length - gram)
-                        number, covered = pair(number, grams[s + step]), step + gram
-                    yield from kept.add(number, np.zeros(len(s), np.uint64), np.full(len(s), docs[k]), packed(np.full(len(s), ties[k]), start, np.ones(len(s), np.int64)))
+                some = [k for k in range(i, j) if places[k].is_valid]
+                if not some:
+                    continue
+                text = np.repeat(some, [len(places[k]) for k in some])
+                _, place, count = unpacked(np.concatenate([places[k].values.to_numpy() for k in some]))
+                shift = np.concatenate([shifts[k].values.to_numpy() for k in some]).astype(np.int64)
+                h, u, before, after, run, start, n = cores(texts, text - i, place, count, shift, length)
+                yield from kept.add(h, u, before, after, docs[text[run]], packed(ties[text[run]], start, n))
+        yield from kept.flush()
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, none = _Reducer(ROWS), np.zeros(0, np.int64)
+        for columns, is_open in _sifted(batches, 2):
+            done, rest = tuple(c[~is_open] for c in columns), tuple(c[is_open] for c in columns)
+            if len(done[0]):
+                h = mix(done[-2].view(np.uint64) ^ mix(done[-1].view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(done[1]), pa.array(done[-2]), pa.array(done[-1] | _GONE)], names=["h", "u", "doc", "pos"])
+            if len(rest[0]):
+                yield from kept.add(*suffixes(*rest))
         yield from kept.flush()
 
-    if not gram < length <= gram + 126:
+    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, is_open in _sifted(batches, 2):
+            yield _found(columns, is_open)
+
+    if not max(gram, STEP) < length <= gram + 126:
         raise ValueError("length must be over gram, by 126 at most")
-    found = written(_dealt(keyed.mapInArrow(bucketed, ROW)), "repeats")
-    undecided = found.where("open").groupBy("doc").agg(F.collect_list("pos").alias("places"))
-    again = _dealt(keyed.join(undecided, "doc", "left").select("doc", "tie", "text", "places").mapInArrow(refined, ROW))
-    return found.where("not open").select("doc", "pos").union(again.select("doc", "pos"))
+    found = written(_sorted(keyed.mapInArrow(bucketed, ROWS), "h").mapInArrow(first, FOUND), "repeats")
+    undecided = found.where("open").distinct().groupBy("doc", _tie().alias("tie")).agg(F.collect_list(F.struct("pos", F.expr("int(u & 127)").alias("shift"))).alias("runs"))
+    again = keyed.join(undecided, ["doc", "tie"]).select("doc", "tie", "text", "runs.pos", "runs.shift")
+    again = _sorted(again.mapInArrow(cored, CORES), "h").mapInArrow(second, ROWS)
+    return found.where("not open").select("doc", "pos").union(_sorted(again, "h").mapInArrow(third, FOUND).where("not open").select("doc", "pos"))
+
+
+def _tie() -> Column:
+    """tie of a packed place."""
+    return F.shiftright("pos", int(_PLACE + _RUN)).bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
 
 
 CUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -243,18 +315,17 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, with_t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ties, places = batch.column(1).to_numpy(), batch.column(3)
+            places = batch.column(3)
             for i, j, texts in blocks(batch.column(2)):
                 rows = []
                 for k in range(i, j):
                     data = texts.data[texts.offsets[k - i] : texts.offsets[k - i + 1]]
                     spans, kept = 0, data
                     if places[k].is_valid:
-                        tie, place, count = unpacked(places[k].values.to_numpy())
-                        own = tie == ties[k]
+                        _, place, count = unpacked(places[k].values.to_numpy())
                         change = np.zeros(len(data) + 1, np.int64)
-                        np.add.at(change, place[own], 1)
-                        np.add.at(change, place[own] + count[own] - 1 + length, -1)
+                        np.add.at(change, place, 1)
+                        np.add.at(change, place + count - 1 + length, -1)
                         gone = np.cumsum(change[:-1]) > 0
                         spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
                         kept = data[~gone]
@@ -268,8 +339,8 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, with_t
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     ties = numbered(docs)
-    gone = repeats(_keyed(docs, ties), length, gram).groupBy("doc").agg(F.collect_list("pos").alias("places"))
-    joined = _keyed(docs, ties, with_text).join(gone, "doc", "left").select("doc", "tie", "text", "places", *["rest"] * with_text)
+    gone = repeats(_keyed(docs, ties), length, gram).groupBy("doc", _tie().alias("tie")).agg(F.collect_list("pos").alias("places"))
+    joined = _keyed(docs, ties, with_text).join(gone, ["doc", "tie"], "left").select("doc", "tie", "text", "places", *["rest"] * with_text)
     schema = f"{CUT}, kept string, rest {joined.schema['rest'].dataType.simpleString()}" if with_text else CUT
     return joined.mapInArrow(cut, schema).withColumn("doc", F.when(F.col("doc") != _NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
 

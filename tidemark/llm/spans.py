@@ -1,7 +1,8 @@
 """Words and hashes of many texts at once, on numpy arrays over Arrow's string buffers.
 
-Hashes are polynomials modulo 2**64 over random byte values, finished by a mixing step, so the hash of any span comes from
-two entries of a running sum. They are the same in every process.
+A span's hash joins two polynomials modulo the prime 2**31 - 1, over random values of the bytes and two random bases, and is finished by
+a mixing step. Two different spans of n bytes meet with a chance of (n / 2**31)**2 at most, whatever they hold. The sums run along the
+block, so the hash of any span comes from two entries of each. Hashes are the same in every process.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 1 << 15
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_PRIME, _BITS = np.uint64(2**31 - 1), np.uint64(31)
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_VALUES = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_VALUES = [_rng.integers(1, 2**31 - 1, 256, dtype=np.uint64) for _ in range(4)]
+_BASES = [int(x) for x in _rng.integers(2**30, 2**31 - 1, 4)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -34,17 +36,25 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(3) + mix(b + np.uint64(0x632BE59BD9B4E019)))
 
 
+def _reduced(x: np.ndarray, folds: int = 1) -> np.ndarray:
+    """x modulo the prime, in place. One fold is enough for a product of two residues, two for a sum of up to 2**33 of them."""
+    for _ in range(folds):
+        high = x >> _BITS
+        x &= _PRIME
+        x += high
+    return np.minimum(x, x - _PRIME, out=x)  # a difference below zero wraps round and is the larger
+
+
 def _power_tables(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the lane's base, and of its inverse."""
     have = _powers.get(lane)
     if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        m = (_M1, _M2)[lane]
-        inverse = np.uint64(pow(int(m), -1, 2**64))
-        tables = []
-        for base in (m, inverse):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
+        size, tables = max(n, BLOCK_BYTES + 1), []
+        for base in (_BASES[lane], pow(_BASES[lane], -1, int(_PRIME))):
+            t = np.ones(1, np.uint64)
+            while len(t) < size:
+                t = np.concatenate((t, _reduced(t * np.uint64(pow(base, len(t), int(_PRIME))))))
+            tables.append(t[:size])
         have = tables[0], tables[1]
         if size <= 4 * BLOCK_BYTES:
             _powers[lane] = have
@@ -80,25 +90,34 @@ class Texts:
         starts, ends = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-        """64-bit hashes of the spans."""
-        sums = self._sums.get(lane)
+    def _summed(self, lane: int) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the lane's terms, and the powers of its base's inverse."""
         n = len(self.data)
         powers, inverses = _power_tables(n + 1, lane)
+        sums = self._sums.get(lane)
         if sums is None:
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_VALUES[lane][self.data] * powers[:n], out=sums[1:])
+            np.cumsum(_reduced(_VALUES[lane][self.data] * powers[:n]), out=sums[1:])
             self._sums[lane] = sums
-        return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+        return sums, inverses
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+        """64-bit hashes of the spans; second: others, independent of the first."""
+        out = np.zeros(len(starts), np.uint64)
+        for lane in (2, 3) if second else (0, 1):
+            sums, inverses = self._summed(lane)
+            out = (out << _BITS) | _reduced(_reduced(sums[ends] - sums[starts], 2) * inverses[starts])
+        return mix(out)
 
-    def windows(self, size: int, lane: int = 0) -> np.ndarray:
+    def windows(self, size: int) -> np.ndarray:
         """Hashes of the windows of size bytes at every place of the block (those that cross texts too); empty if it is shorter."""
         n = len(self.data) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        self.hashes(np.zeros(1, np.int64), np.zeros(1, np.int64), lane)
-        sums, inverses = self._sums[lane], _power_tables(len(self.data) + 1, lane)[1]
-        return mix((sums[size:] - sums[:n]) * inverses[:n] + np.uint64(size))
+        out = np.zeros(max(n, 0), np.uint64)
+        if n > 0:
+            for lane in range(2):
+                sums, inverses = self._summed(lane)
+                out = (out << _BITS) | _reduced(_reduced(sums[size:] - sums[:n], 2) * inverses[:n])
+        return mix(out)
 
 
 def byte_table(words: str) -> np.ndarray:
@@ -119,7 +138,8 @@ NONSPACE, ALNUM = byte_table("nonspace"), byte_table("alnum")
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """Consecutive runs (first, past the last, texts) of an Arrow string or binary column, null as empty; a run has at most limit bytes or one text."""
+    """Consecutive runs (first, past the last, texts) of an Arrow string or binary column, null as empty; a run has at most limit bytes or one text,
+    and BLOCK_TEXTS texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -137,7 +157,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + BLOCK_TEXTS)
         yield i, j, Texts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 

@@ -1,7 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, each distinct piece of text between spaces encoded once per worker.
 
 A text is cut before a single space that stands between two visible characters. No pre-tokenizer of the two supported kinds
-lets a token cross such a place, so the ids of the pieces, joined, are the ids of the text. tests/llm compare both.
+lets a token cross such a place, so the ids of the pieces, joined, are the ids of the text. tests/llm compare both. Pieces are found
+again by hash and then compared byte by byte. A text that holds one of the vocabulary's special strings is encoded as a whole, as the
+tokenizer reads it.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         # A byte-level vocabulary without end-of-word marks shows where a piece starts by its space; else pieces are joined by a mark.
         self.spaced = not self.tokenizer.model.end_of_word_suffix
@@ -71,8 +73,9 @@ class Encoder:
 
     def _clear(self) -> None:
         none = np.zeros(0, np.int64)
-        self.levels = [(np.zeros(0, np.uint64), none, none), (np.zeros(0, np.uint64), none, none)]
+        self.levels = [(np.zeros(0, np.uint64), none, none, none, none), (np.zeros(0, np.uint64), none, none, none, none)]
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.seen, self.n_seen = np.zeros(1 << 16, np.uint8), 0  # bytes of the kept pieces
 
     def _keep(self, ids: np.ndarray) -> int:
         while self.used + len(ids) > len(self.pool):
@@ -116,42 +119,89 @@ class Encoder:
                 starts[k], lengths[k] = self._keep(ids), len(ids)
         return starts, lengths
 
+    def _remember(self, data: np.ndarray) -> int:
+        while self.n_seen + len(data) > len(self.seen):
+            self.seen = np.concatenate((self.seen, np.zeros_like(self.seen)))
+        self.seen[self.n_seen : self.n_seen + len(data)] = data
+        self.n_seen += len(data)
+        return self.n_seen - len(data)
+
+    def _whole(self, texts: Texts) -> list[int]:
+        """Which texts hold a special string."""
+        raw, found = texts.data.tobytes(), set()
+        for content in self.special:
+            at = raw.find(content)
+            while at >= 0:
+                k = int(np.searchsorted(texts.offsets, at, "right")) - 1
+                if at + len(content) <= texts.offsets[k + 1]:
+                    found.add(k)
+                at = raw.find(content, at + 1)
+        return sorted(found)
+
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and where each text's ids start (one more at the end)."""
+        ids, offsets = self._by_piece(texts)
+        for k in self._whole(texts):
+            text = texts.data[texts.offsets[k] : texts.offsets[k + 1]].tobytes().decode("utf-8", "replace")
+            own = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            ids = np.concatenate((ids[: offsets[k]], own, ids[offsets[k + 1] :]))
+            offsets[k + 1 :] += len(own) - (offsets[k + 1] - offsets[k])
+        return ids, offsets
+
+    def _by_piece(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, firsts = cuts(texts)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         if len(self.levels[0][0]) + len(self.levels[1][0]) > CACHED_PIECES:
             self._clear()
-        keys = texts.hashes(starts, ends)
+        keys, sizes = texts.hashes(starts, ends), ends - starts
         order = np.argsort(keys)
         heads = group_starts(keys[order])
         inverse = np.empty(len(keys), np.int64)
         inverse[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
         unique, sample = keys[order[heads]], order[heads]
         at, length = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
-        for known, where, size in self.levels:
+        for known, where, count, place, size in self.levels:
             if len(known):
                 i = np.minimum(np.searchsorted(known, unique), len(known) - 1)
-                hit = known[i] == unique
-                at[hit], length[hit] = where[i[hit]], size[i[hit]]
+                hit = np.flatnonzero((known[i] == unique) & (size[i] == sizes[sample]))
+                hit = hit[same_bytes(texts.data, starts[sample[hit]], self.seen, place[i[hit]], sizes[sample[hit]])]
+                at[hit], length[hit] = where[i[hit]], count[i[hit]]
+        raw = None
         new = np.flatnonzero(at < 0)
         if len(new):
             raw, s = texts.data.tobytes(), sample[new]
             at[new], length[new] = self._encode([raw[a:b] for a, b in zip(starts[s].tolist(), ends[s].tolist(), strict=True)])
-            recent = tuple(np.concatenate(x) for x in zip(self.levels[1], (unique[new], at[new], length[new]), strict=True))
+            own = np.cumsum(sizes[s]) - sizes[s]
+            place = own + self._remember(texts.data[np.repeat(starts[s] - own, sizes[s]) + np.arange(int(sizes[s].sum()))])
+            recent = tuple(np.concatenate(x) for x in zip(self.levels[1], (unique[new], at[new], length[new], place, sizes[s]), strict=True))
             if len(recent[0]) > 150_000:
                 recent, base = tuple(x[:0] for x in recent), tuple(np.concatenate(x) for x in zip(self.levels[0], recent, strict=True))
                 by = np.argsort(base[0])
                 self.levels[0] = tuple(x[by] for x in base)
             by = np.argsort(recent[0])
             self.levels[1] = tuple(x[by] for x in recent)
-        at, length = at[inverse], length[inverse]
+        at, length, like = at[inverse], length[inverse], sample[inverse]
+        same = sizes[like] == sizes
+        same[same] = same_bytes(texts.data, starts[same], texts.data, starts[like[same]], sizes[same])
+        odd = np.flatnonzero(~same)  # unlike pieces with one hash
+        if len(odd):
+            raw = raw or texts.data.tobytes()
+            at[odd], length[odd] = self._encode([raw[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
         before = np.cumsum(length) - length
         ids = self.pool[np.repeat(at - before, length) + np.arange(int(length.sum()))]
         return ids, np.append(before, len(ids))[firsts]
 
 
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of a from `at` and those of b from `other` agree, for each pair of spans of so many bytes (one at least)."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    first = np.cumsum(sizes) - sizes
+    step = np.arange(int(sizes.sum()))
+    return np.logical_and.reduceat(a[np.repeat(at - first, sizes) + step] == b[np.repeat(other - first, sizes) + step], first)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """This process's encoder of the file."""

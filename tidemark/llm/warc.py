@@ -77,7 +77,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_SHARED, files: in
     The payload is html in UTF-8 (null: empty). Of the pages whose payloads are equal and have at least `least` bytes, those with
     the smallest page_id are written whole and the others as revisits of it. A null page_id never revisits and gets a random
     record id; rows that share a page_id are each written; a null url gives a record without target; control characters in a
-    url become spaces; other columns are ignored."""
+    url become spaces; other columns are ignored. An empty table gives a folder without archives, of which read_warc makes no rows."""
     where, root = _place(path)
     where.create_dir(root, recursive=True)
 
@@ -209,7 +209,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: FileRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a folder without archives
+            return
         place, top = _place(part.path)
         with place.open_input_file(top) as f:
             rows, held = [], 0
