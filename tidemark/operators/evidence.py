@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.kinds import finite, is_not_finite
+from tidemark.functions.kinds import finite, is_not_finite, kind_of
 
 
 def _is_number(df: DataFrame, name: str) -> bool:
@@ -46,13 +47,101 @@ def duplicates(df: DataFrame, key: Column, part: Column | None = None) -> DataFr
     )
 
 
-def pairings(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of columns whose values go one to one: at least two values, each twice on average."""
-    pairs = list(combinations(columns, 2))
-    rows = df.select(F.inline(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"`{a}`").cast("string").alias("x"), F.col(f"`{b}`").cast("string").alias("y")) for a, b in pairs))))
-    cells = rows.where("x is not null and y is not null").groupBy("left", "right", "x", "y").count()
-    told = cells.groupBy("left", "right").agg(F.count("*").alias("both"), F.countDistinct("x").alias("xs"), F.countDistinct("y").alias("ys"), F.sum("count").alias("n"))
-    return told.where("both = xs and both = ys and both >= 2 and n >= 2 * both").select("left", "right", F.col("both").alias("values"))
+@dataclass
+class Alerts:
+    """What a profile finds wrong with columns of the measured rows, and how each is answered. table() is a row for each alert: place,
+    column, other (the column it repeats), alert, rows (how many it counts), action (step, leaveout or saymissing), verb and value.
+
+    Alerts: gaps; notfinite; constant; category; text; identifier (words no two rows share, or a running number, unless the rows are put
+    in order or divided by it); nothingknown (0, -1 or nines as the smallest or largest value of two rows or more, further from the next
+    than ten times the median step between values); answer (goes one to one with the answer); repeats (one to one with an earlier
+    column); ranks (keeps the order of an earlier column, by Spearman above rank_above)."""
+
+    df: DataFrame
+    columns: list[str]
+    answers: list[str]
+    ordered_by: list[str]
+    rank_above: float | None = None
+
+    def table(self) -> DataFrame:
+        kinds = {c: self.df.schema[c].metadata.get("kind") or kind_of(self.df.schema[c]) for c in self.columns}
+        seen = {r["column"]: r for r in profile(self.df, self.columns).collect()}  # a row for each column
+        out = []
+        for place, c in enumerate(self.columns):
+            r, kind = seen[c], kinds[c]
+            say = lambda alert, rows, action, verb=None, value=None, other=None, c=c, place=place: out.append((place, c, other, alert, int(rows), action, verb, value))
+            if r["gaps"]:
+                say("gaps", r["gaps"], "step", {"number": "fill.missing", "integer": "fill.missing", "category": "encode.categories", "text": "encode"}.get(kind, "drop.gaps"))
+            if r["not_finite"]:
+                say("notfinite", r["not_finite"], "step", "fill.nan")
+            if r["distinct"] == 1:
+                say("constant", r["rows"], "leaveout")
+            if kind in ("category", "text"):
+                say(kind, r["rows"], "step", "encode.categories" if kind == "category" else "encode")
+            values = r["rows"] - r["gaps"]
+            running = kind == "integer" and r["max"] is not None and r["max"] - r["min"] + 1 == values
+            if values >= 2 and r["distinct"] == values and c not in self.ordered_by and (kind == "text" or running):
+                say("identifier", values, "leaveout")
+            if kind in ("number", "integer"):
+                for value, rows in self._nothing_known(c, r):
+                    say("nothingknown", rows, "saymissing", value=f"{value:.0f}")
+        out += self._pairs(seen)
+        if self.rank_above is not None:
+            out += self._ranks(kinds, {o[1] for o in out if o[5] == "leaveout"})
+        schema = "place int, column string, other string, alert string, rows long, action string, verb string, value string"
+        return self.df.sparkSession.createDataFrame(out, schema)
+
+    def _nothing_known(self, c: str, r) -> list[tuple[float, int]]:
+        written = lambda v: v in (0, -1) or (v == int(v) and abs(v) >= 9 and set(str(int(abs(v)))) == {"9"})
+        ends = [e for e in ("min", "max") if r[e] is not None and written(r[e])]
+        if not ends or r["distinct"] < 3:
+            return []
+        counts = self.df.select(finite(F.col(f"`{c}`")).alias("v")).where("v is not null").groupBy("v").count()
+        low = counts.orderBy("v").limit(2).collect()
+        high = counts.orderBy(F.desc("v")).limit(2).collect()
+        usual = steps(counts, "v").agg(F.percentile("step", 0.5)).first()[0]
+        found = []
+        for e, two in (("min", low), ("max", high)):
+            if e in ends and len(two) == 2 and two[0]["count"] >= 2 and abs(two[0]["v"] - two[1]["v"]) > 10 * usual:
+                found.append((two[0]["v"], two[0]["count"]))
+        return found
+
+    def _pairs(self, seen: dict) -> list[tuple]:
+        """Columns are compared where they have equally many values (a gap being one), at least two of them and two rows a value."""
+        rows = next(iter(seen.values()))["rows"] if seen else 0
+        extra = [a for a in self.answers if a not in seen]
+        more = {r["column"]: r for r in profile(self.df, extra).collect()} if extra else {}
+        size = {c: r["distinct"] + (r["gaps"] > 0) for c, r in {**seen, **more}.items()}
+        able = [c for c in [*self.columns, *extra] if size[c] >= 2 and 2 * size[c] <= rows]
+        asked = []
+        for place, c in enumerate(self.columns):
+            if c in able and c not in self.answers:
+                asked += [(place, c, a, "answer") for a in self.answers if a in able and size[a] == size[c]]
+                asked += [(place, c, b, "repeats") for b in self.columns[:place] if b in able and b not in self.answers and size[b] == size[c]]
+        if not asked:
+            return []
+        text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))
+        cells = self.df.select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), text(c).alias("x"), text(o).alias("y")) for k, (_, c, o, _) in enumerate(asked))))).distinct()
+        both = {r["k"]: r["n"] for r in cells.groupBy("k").agg(F.count("*").alias("n")).collect()}
+        out, done = [], set()
+        for k, (place, c, other, alert) in enumerate(asked):
+            if c not in done and both[k] == size[c]:
+                done.add(c)
+                out.append((place, c, other, alert, int(rows), "leaveout", None, None))
+        return out
+
+    def _ranks(self, kinds: dict[str, str], left: set[str]) -> list[tuple]:
+        numbers = [c for c in self.columns if kinds[c] in ("number", "integer", "boolean") and c not in left and c not in self.answers]
+        out = []
+        for at in range(1, len(numbers)):
+            best = None
+            for earlier in numbers[:at]:
+                r = correlation(self.df, [earlier, numbers[at]], "spearman").first()
+                if abs(r["coefficient"]) > self.rank_above and (best is None or abs(r["coefficient"]) > abs(best[0])):
+                    best = r["coefficient"], earlier, r["kept"]
+            if best:
+                out.append((self.columns.index(numbers[at]), numbers[at], best[1], "ranks", int(best[2]), "leaveout", None, None))
+        return out
 
 
 def average_rank(c: Column, part: list[str] | None = None) -> Column:
@@ -61,12 +150,49 @@ def average_rank(c: Column, part: list[str] | None = None) -> Column:
     return F.rank().over(Window.partitionBy(*(part or [])).orderBy(c)) + (F.count(F.lit(1)).over(same) - 1) / 2.0
 
 
+def running(counts: DataFrame, value: str, sums: dict[str, str], by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """counts with, for each entry of sums (name: column), the sum of the column over the rows up to and with its own, by rising value
+    (a number), within `by`. Values are cut into ranges at approximate quantiles; a task adds up one range, and what lies below a range
+    is taken from a table of one row for each range. No task orders all values."""
+    by, n = by or [], buckets or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n < 2:
+        window = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({name: F.sum(c).over(window) for name, c in sums.items()})
+    shares = [i / n for i in range(1, n)]
+    cuts = counts.agg(F.percentile_approx(value, shares, 10 * n)).first()[0] or []  # n numbers
+    cuts = sorted({x for x in cuts if x is not None})
+    at = F.lit(0)
+    if cuts:
+        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(value)))
+    dealt = counts.withColumn("_range", at)
+    totals = dealt.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = totals.select(*(F.col(b).alias(f"_b_{b}") for b in by), F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_t_{name}").over(below), F.lit(0)).alias(f"_o_{name}") for name in sums))
+    inner = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({f"_i_{name}": F.sum(c).over(inner) for name, c in sums.items()})
+    met = own.join(F.broadcast(offsets), [F.col("_range") == F.col("_at"), *(F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by)])  # ranges x groups rows
+    return met.select(*counts.columns, *((F.col(f"_i_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums))
+
+
+def steps(counts: DataFrame, value: str) -> DataFrame:
+    """step: from each value to the next larger one. Ranges of values are ordered by a task each; the first value of a range is told to
+    the range below it."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted({x for x in counts.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0] or [] if x is not None}) if n > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(value))) if cuts else F.lit(0)
+    dealt = counts.select(value, at.alias("_range"))
+    firsts = dealt.groupBy("_range").agg(F.min(value).alias("_first"))  # a row for each range
+    follows = firsts.select(F.col("_range").alias("_at"), F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+    met = dealt.join(F.broadcast(follows), F.col("_range") == F.col("_at"))
+    after = F.coalesce(F.lead(value).over(Window.partitionBy("_range").orderBy(value)), F.col("_after"))
+    return met.select((after - F.col(value)).alias("step")).where("step is not null")
+
+
 def ranked(df: DataFrame, column: str) -> DataFrame:
     """df with the average rank of column as {column}_rank. Values are counted first and only their counts are ordered: as many rows
     as there are distinct values, however many rows share one."""
     counts = df.groupBy(F.col(f"`{column}`").alias("_v")).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.select("_v", (below + (F.col("_n") + 1) / 2.0).alias(f"{column}_rank"))
+    placed = running(counts, "_v", {"_upto": "_n"}).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"{column}_rank"))
     return df.join(placed, F.col(f"`{column}`") == F.col("_v")).drop("_v")
 
 
@@ -97,16 +223,21 @@ def apart(df: DataFrame, column: str, side: str, number: bool) -> DataFrame:
     the sum of the differences of shares (words). Values are counted by side first."""
     there = df.where(F.col(f"`{column}`").isNotNull() & F.col(side).isNotNull())
     counts = there.groupBy(F.col(side).alias("side"), F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("n"))
-    total = Window.partitionBy("side")
-    shares = counts.withColumn("share", F.col("n") / F.sum("n").over(total)).select("side", "v", "share")
-    sides = shares.select("side").distinct()
-    pairs = sides.select(F.col("side").alias("left")).join(sides.select(F.col("side").alias("right")), F.col("left") < F.col("right"))  # a few parts
-    signed = shares.join(pairs, (F.col("side") == F.col("left")) | (F.col("side") == F.col("right")))
-    diff = signed.groupBy("left", "right", "v").agg(F.sum(F.when(F.col("side") == F.col("left"), F.col("share")).otherwise(-F.col("share"))).alias("d"))
+    sides = {r["side"]: r["n"] for r in counts.groupBy("side").agg(F.sum("n").alias("n")).collect()}  # a few parts
+    pairs = [(x, y) for x in sorted(sides) for y in sorted(sides) if x < y]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, distance double")
+    wide = counts.groupBy("v").agg(*(F.coalesce(F.sum(F.when(F.col("side") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(sorted(sides))))
+    share = lambda x, prefix: F.col(f"{prefix}{sorted(sides).index(x)}") / F.lit(float(sides[x]))
     if number:
-        along = Window.partitionBy("left", "right").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        return diff.withColumn("c", F.abs(F.sum("d").over(along))).groupBy("left", "right").agg(F.max("c").alias("distance"))
-    return diff.groupBy("left", "right").agg((F.sum(F.abs("d")) / 2).alias("distance"))
+        moment = df.schema[column].dataType.typeName() in ("timestamp", "date", "timestamp_ntz")
+        v = F.unix_micros(F.col("v").cast("timestamp")) if moment else F.col("v").cast("double")
+        along = running(wide.withColumn("v", v), "v", {f"c{i}": f"n{i}" for i in range(len(sides))})
+        gaps = [F.max(F.abs(share(x, "c") - share(y, "c"))) for x, y in pairs]
+    else:
+        along, gaps = wide, [F.sum(F.abs(share(x, "n") - share(y, "n"))) / 2 for x, y in pairs]
+    rows = F.array(*(F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.col(f"d{i}").alias("distance")) for i, (x, y) in enumerate(pairs)))
+    return along.agg(*(g.alias(f"d{i}") for i, g in enumerate(gaps))).select(F.inline(rows))
 
 
 def likeness(df: DataFrame, columns: list[str], part: str = "_part", warn_above: float = 0.1) -> DataFrame:
@@ -120,17 +251,31 @@ def likeness(df: DataFrame, columns: list[str], part: str = "_part", warn_above:
     return out.withColumn("warned", F.col("distance") > warn_above)
 
 
+def _tallied(df: DataFrame, c: str) -> Column:
+    """The number a value is compared by: a moment counts as days; words have none."""
+    if df.schema[c].dataType.typeName() in ("timestamp", "date", "timestamp_ntz"):
+        return F.unix_micros(F.col(f"`{c}`").cast("timestamp")) / 86_400_000_000.0
+    return finite(F.col(f"`{c}`")) if _is_number(df, c) else F.lit(None).cast("double")
+
+
 def tallies(train: DataFrame, columns: list[str]) -> DataFrame:
-    """column, value (as text), number, n: how often each value stands in the training rows."""
-    rows = train.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"), (F.col(f"`{c}`").cast("double") if _is_number(train, c) else F.lit(None).cast("double")).alias("number")) for c in columns))))
+    """column, value (as text), number, n: how often each value stands in the training rows. Numbers that are not finite count as gaps."""
+    has = lambda c: _is_number(train, c) or train.schema[c].dataType.typeName() in ("timestamp", "date", "timestamp_ntz")
+    cell = lambda c: F.when(_tallied(train, c).isNotNull() if has(c) else F.lit(True), F.col(f"`{c}`").cast("string"))
+    rows = train.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), cell(c).alias("value"), _tallied(train, c).alias("number")) for c in columns))))
     return rows.where("value is not null").groupBy("column", "value", "number").agg(F.count("*").alias("n"))
 
 
 def watched(reference: DataFrame, window: DataFrame, columns: list[str], warn_above: float) -> DataFrame:
-    """column, distance and warned: how far the rows of a window are from the tallies of training."""
+    """column, distance and warned: how far the rows of a window are from the tallies of training. Kolmogorov-Smirnov for numbers and
+    moments, total variation for words; null where either side has no value."""
     both = reference.select("column", "value", "number", "n", F.lit("a").alias("side")).unionByName(tallies(window, columns).withColumn("side", F.lit("b")))
-    shares = both.where(F.col("column").isin(*columns)).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("column", "side")))
-    diff = shares.groupBy("column", "value", "number").agg(F.sum(F.when(F.col("side") == "a", F.col("share")).otherwise(-F.col("share"))).alias("d"))
-    along = Window.partitionBy("column").orderBy("number").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    told = diff.withColumn("c", F.abs(F.sum("d").over(along))).groupBy("column").agg(F.max(F.when(F.col("number").isNotNull(), F.col("c"))).alias("ks"), (F.sum(F.abs("d")) / 2).alias("tv"))
-    return told.select("column", F.coalesce("ks", "tv").alias("distance")).withColumn("warned", F.col("distance") > warn_above)
+    wide = both.where(F.col("column").isin(*columns)).groupBy("column", F.when(F.col("number").isNull(), F.col("value")).alias("word"), "number").agg(
+        F.coalesce(F.sum(F.when(F.col("side") == "a", F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("side") == "b", F.col("n"))), F.lit(0)).alias("b")
+    )
+    total = wide.groupBy("column").agg(F.sum("a").alias("of_a"), F.sum("b").alias("of_b"))  # a row for each column
+    words = wide.where("number is null").join(F.broadcast(total), "column")
+    tv = words.groupBy("column").agg((F.sum(F.abs(F.try_divide("a", "of_a") - F.try_divide("b", "of_b"))) / 2).alias("distance"))
+    along = running(wide.where("number is not null").select("column", "number", "a", "b"), "number", {"ca": "a", "cb": "b"}, ["column"]).join(F.broadcast(total), "column")
+    ks = along.groupBy("column").agg(F.max(F.abs(F.try_divide("ca", "of_a") - F.try_divide("cb", "of_b"))).alias("distance"))
+    return ks.unionByName(tv).withColumn("warned", F.coalesce(F.col("distance") > warn_above, F.lit(False)))

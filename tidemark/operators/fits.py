@@ -64,7 +64,13 @@ class FillMissing:
 
 
 def fill_previous(df: DataFrame, column: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Each gap takes the last value before it in the order; a gap before every value stays. Learns nothing."""
+    """Each gap takes the last value before it in the order (of its series, where `by` tells series apart); a gap with nothing before it is
+    refused. Learns nothing. The first row of a series and its first value are compared for that: an aggregation, no ordering of rows."""
+    place = F.struct(*(f"`{c}`" for c in order))
+    ends = df.groupBy(*(by or [])).agg(F.min(place).alias("start"), F.min(F.when(_c(column).isNotNull(), place)).alias("value"))
+    bad = ends.where("start is not null and (value is null or value > start)").limit(1).collect()
+    if bad:
+        raise Refused(f"fill.missing: {column} is a gap with nothing before it to carry forward at {tuple(bad[0]['start'])}")
     window = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(f"{column}_was_missing", was_missing(_c(column))).withColumn(column, F.last(_c(column), ignorenulls=True).over(window))
 
@@ -225,6 +231,8 @@ class ClipOutliers:
     def learn(self, s: dict) -> dict:
         if s["odd"]:
             raise Refused(f"outliers.clip: {self.column} has {s['odd']} values that are no finite numbers")
+        if s.get("mean") is None and s.get("q") is None:
+            raise Refused(f"outliers.clip: {self.column} has no value in the training rows")
         if self.bounds == "sigma":
             return {"lower": s["mean"] - self.at * s["sd"], "upper": s["mean"] + self.at * s["sd"]}
         low, high = s["q"]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators.fits import Refused
 
@@ -19,9 +23,10 @@ def learn_trees(train: DataFrame, features: list[str], answer: str, trainer: dic
     """trainer: {"kind": "fasttree" | "fastforest", "trees": n, "leaves": n, "leastRows": n, "rate": x}. A number of leaves becomes the depth
     that can hold it."""
     given = {"seed": seed, "labelCol": answer, "featuresCol": "_features", "maxDepth": _depth(trainer.get("leaves", 20)), "minInstancesPerNode": trainer.get("leastRows", 10)}
-    if trainer["kind"] == "fasttree":
+    kind = trainer["kind"].lower()
+    if kind == "fasttree":
         made = (GBTClassifier if classes else GBTRegressor)(**given, maxIter=trainer.get("trees", 100), stepSize=trainer.get("rate", 0.2))
-    elif trainer["kind"] == "fastforest":
+    elif kind == "fastforest":
         made = (RandomForestClassifier if classes else RandomForestRegressor)(**given, numTrees=trainer.get("trees", 100))
     else:
         raise Refused(f"no trainer {trainer['kind']}")
@@ -30,13 +35,38 @@ def learn_trees(train: DataFrame, features: list[str], answer: str, trainer: dic
 
 
 def learn_network(train: DataFrame, features: list[str], answer: str, layers: list[dict], classes: int, epochs: int = 100, seed: int = 1) -> PipelineModel:
-    """Dense layers ({"dense": width}) in a row, for an answer of classes 0 to classes - 1."""
-    widths = []
-    for layer in layers:
-        if set(layer) - {"dense", "activation"}:
-            raise Refused(f"{sorted(set(layer) - {'dense', 'activation'})[0]} layers are not trained here")
-        if "dense" in layer:
-            widths.append(layer["dense"])
+    """Dense layers ({"kind": "dense", "units": n}) with sigmoids between them ({"kind": "sigmoid"}, which may be left out), for an answer of
+    classes 0 to classes - 1. Other layers are refused."""
+    other = [x["kind"] for x in layers if x.get("kind") not in ("dense", "sigmoid", "softmax")]
+    if other:
+        raise Refused(f"{other[0]} layers are not trained here")
+    widths = [x["units"] for x in layers if x["kind"] == "dense"]
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     made = MultilayerPerceptronClassifier(layers=[len(features), *widths, classes], labelCol=answer, featuresCol="_features", maxIter=epochs, seed=seed)
     return PipelineModel([assembler, made.fit(assembler.transform(train))])
+
+
+@dataclass
+class Trained:
+    """A model behind a fit. predict adds `prediction`: the probability of 1 for classes, else the amount."""
+
+    model: PipelineModel
+    classes: bool
+    needs: str
+
+    def predict(self, handed: DataFrame) -> DataFrame:
+        out = self.model.transform(handed).drop("_features", "rawPrediction")
+        return out.withColumn("prediction", vector_to_array("probability")[1]).drop("probability") if self.classes else out.withColumn("prediction", F.col("prediction"))
+
+
+def train(step, rows: DataFrame, features: list[str], answer: str, classes: bool, needs: str) -> Trained:
+    """The learner that a step (learn.ml or learn.network) names, trained on rows of features and an answer (classes: 0 or 1)."""
+    p = step.params
+    dots = {f: f.replace(".", "_") for f in [*features, answer] if "." in f}
+    if dots:
+        raise Refused(f"Spark's learners take no dots in names: {', '.join(dots)}")
+    if step.verb == "learn.ml":
+        return Trained(learn_trees(rows, features, answer, p["trainer"], classes, p["seed"]), classes, needs)
+    if not classes:
+        raise Refused("a network for amounts is not trained here; classes are")
+    return Trained(learn_network(rows, features, answer, p["layers"], 2, p["epochs"], p["seed"]), True, needs)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.evidence import running
+
 
 def regression(y: Column, p: Column) -> dict[str, Column]:
     """rmse, mae, r2 and mape (of rows whose answer is not 0)."""
@@ -43,11 +46,10 @@ def confusion(df: DataFrame, y: Column, said: Column) -> DataFrame:
 
 
 def auc(df: DataFrame, y: Column, p: Column) -> DataFrame:
-    """The share of pairs of a 1 and a 0 that the probability puts in order, ties half. Rows are counted by probability first, so that
-    one task orders distinct probabilities and not rows."""
-    counts = df.groupBy(p.alias("p")).agg(F.count_if(y == 1).alias("ones"), F.count_if(y != 1).alias("zeros"))
-    below = F.coalesce(F.sum("zeros").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("won", F.col("ones") * (below + F.col("zeros") / 2.0))
+    """The share of pairs of a 1 and a 0 that the probability puts in order, ties half. Rows are counted by probability first, and ranges
+    of probabilities are added up apart."""
+    counts = df.groupBy(p.cast("double").alias("p")).agg(F.count_if(y == 1).alias("ones"), F.count_if(y != 1).alias("zeros"))
+    placed = running(counts, "p", {"upto": "zeros"}).withColumn("won", F.col("ones") * (F.col("upto") - F.col("zeros") / 2.0))
     return placed.agg(F.try_divide(F.sum("won"), F.sum("ones").cast("double") * F.sum("zeros")).alias("auc"))
 
 
@@ -60,9 +62,112 @@ def shares(truth: list[Column], said: list[Column]) -> dict[str, Column]:
     return {"kl": F.avg(add(parts)), "emd": F.avg(add([F.abs(g) for g in gaps])), "rps": F.avg(add([g * g for g in gaps]))}
 
 
-def baseline(train: DataFrame, y: str) -> Column:
-    """The training rows' average answer, which every measure is set beside."""
-    return F.lit(train.agg(F.avg(y)).first()[0])
+TOLD = "part string, metric string, answer string, held string, said string, model double, baseline double"
+CLASSES, SHARES, INTERVALS = ("accuracy", "precision", "recall", "f1", "confusionmatrix", "auc", "brier"), ("kl", "emd", "rps"), ("coverage", "width")
+
+
+def named(values: list[Column], ones: int) -> list[Column]:
+    """Which answers a prediction names: those at a half or more, or the `ones` largest, an earlier one first among equals."""
+    if not ones:
+        return [v >= 0.5 for v in values]
+    order = F.slice(F.array_sort(F.array(*(F.struct((-v).alias("less"), F.lit(i).alias("i")) for i, v in enumerate(values)))), 1, ones)
+    return [F.array_contains(F.transform(order, lambda x: x["i"]), i) for i in range(len(values))]
+
+
+def _add(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def of_answers(metric: str, y: list[Column], p: list[Column], ones: int, counted: int, margins: list[float] | None) -> Column:
+    """A measure of rows of answers and predictions as one aggregate (any but auc and the confusion matrix). Measures of amounts and of
+    classes are taken answer by answer and averaged, each counting alike; those of shares row by row, each row divided by its total,
+    emd and rps over the first `counted` answers, which stand in an order."""
+    mean = lambda each: _add([each(a, b) for a, b in zip(y, p, strict=True)]) / len(y)
+    if metric == "rmse":
+        return mean(lambda a, b: F.sqrt(F.avg((a - b) * (a - b))))
+    if metric == "mae":
+        return mean(lambda a, b: F.avg(F.abs(a - b)))
+    if metric == "mape":
+        return mean(lambda a, b: F.avg(F.abs(a - b) / F.abs(a)))
+    if metric == "r2":
+        left, spread = lambda a, b: F.avg((a - b) * (a - b)), lambda a: F.var_pop(a)
+        return mean(lambda a, b: F.when(left(a, b) == 0, 1.0).otherwise(1 - F.coalesce(F.try_divide(left(a, b), spread(a)), F.lit(1.0))))
+    if metric in INTERVALS:
+        each = [F.avg((F.abs(a - b) <= m).cast("double")) if metric == "coverage" else F.avg(F.lit(2.0 * m)) for a, b, m in zip(y, p, margins, strict=True)]
+        return _add(each) / len(y)
+    if metric == "brier":
+        square = [(b - a) * (b - a) for a, b in zip(y, p, strict=True)]
+        return F.avg(_add(square)) if ones == 1 and len(y) > 1 else _add([F.avg(x) for x in square]) / len(y)
+    if metric in ("accuracy", "precision", "recall", "f1"):
+        held, said = [a > 0.5 for a in y], named(p, ones)
+        if metric == "accuracy":
+            return F.avg(reduce(lambda a, b: a & b, [h == s for h, s in zip(held, said, strict=True)]).cast("double"))
+        share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+        each = []
+        for h, s in zip(held, said, strict=True):
+            both, of_h, of_s = F.count_if(h & s), F.count_if(h), F.count_if(s)
+            each.append(share(both, of_s) if metric == "precision" else share(both, of_h) if metric == "recall" else share(2 * both, of_h + of_s))
+        return _add(each) / len(y)
+    n = len(y) if metric == "kl" else counted
+    parts = lambda cs: [c / _add(cs[:n]) for c in cs[:n]]
+    return shares(parts(y), parts(p))[metric]
+
+
+def of_part(units: DataFrame, answers: list[str], metrics: list[str], ones: int, counted: int, margins: list[float] | None) -> list[tuple]:
+    """Rows of TOLD without the part, for units: y0.. (answers), p0.. (predictions) and b0.. (the baseline's), in the answers' units.
+    What a measure cannot be taken of is refused."""
+    from tidemark.operators.fits import Refused
+
+    k = range(len(answers))
+    y, p, b = ([F.col(f"{c}{i}") for i in k] for c in "ypb")
+    metrics = [m for m in dict.fromkeys(metrics) if margins is not None or m not in INTERVALS]
+    some = lambda tests: F.count_if(reduce(lambda a, c: a | c, tests))
+    bad = {"rows": F.count(F.lit(1)), "odd": some([x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) for x in p])}
+    if set(metrics) & set(CLASSES):
+        bad["classes"] = some([(F.abs(x) > 1e-6) & (F.abs(x - 1) > 1e-6) for x in y])
+    if set(metrics) & set(SHARES):
+        bad["shares"] = some([x < 0 for x in [*y, *p]] + [_add(y[:counted]) <= 0, _add(p[:counted]) <= 0])
+    if "mape" in metrics:
+        bad["mape"] = some([x == 0 for x in y])
+    if "auc" in metrics:
+        bad["auc"] = F.greatest(*(F.when((F.count_if(x > 0.5) == 0) | (F.count_if(x <= 0.5) == 0), 1).otherwise(0) for x in y), F.lit(0))
+    plain = [m for m in metrics if m not in ("auc", "confusionmatrix")]
+    taken = {f"{w}_{m}": of_answers(m, y, x, ones, counted, margins) for m in plain for w, x in (("m", p), ("b", b))}
+    seen = units.agg(*(c.alias(f"bad_{n}") for n, c in bad.items())).first().asDict()
+    if not seen["bad_rows"]:
+        raise Refused("the part holds no rows: there is nothing to measure")
+    wrong = {"odd": "predictions that are no finite numbers", "classes": "answers that are no classes, each 0 or 1", "shares": "rows that are no shares", "mape": "answers of 0, which have no share to be an error of", "auc": "an answer of one class alone, which leaves no curve"}
+    faults = [f"{seen[f'bad_{n}']} x {what}" for n, what in wrong.items() if seen.get(f"bad_{n}")]
+    if "r2" in metrics and seen["bad_rows"] < 2:
+        faults.append("one row, whose mean is its answer")
+    if faults:
+        raise Refused("; ".join(faults))
+    values = units.agg(*(c.cast("double").alias(n) for n, c in taken.items())).first().asDict() if taken else {}
+    out = []
+    for m in metrics:
+        if m == "auc":
+            both = [sum(auc(units, F.when(a > 0.5, 1).otherwise(0), x[i]).first()[0] for i, a in enumerate(y)) / len(y) for x in (p, b)]
+            out.append((m, None, None, None, *both))
+        elif m == "confusionmatrix":
+            out += _confusions(units, answers, y, p, b, ones)
+        else:
+            out.append((m, None, None, None, values[f"m_{m}"], values[f"b_{m}"]))
+    return out
+
+
+def _confusions(units: DataFrame, answers: list[str], y: list[Column], p: list[Column], b: list[Column], ones: int) -> list[tuple]:
+    """One matrix over the answers where a row holds one of them, else one of 0 and 1 for each answer."""
+    def cells(x: list[Column]) -> dict[tuple, int]:
+        held, said = [a > 0.5 for a in y], named(x, ones)
+        if ones == 1:
+            first = lambda flags: reduce(lambda rest, f: F.when(f[1], f[0]).otherwise(rest), reversed(list(zip(answers, flags, strict=True))), F.lit(None).cast("string"))
+            rows = units.select(F.lit(None).cast("string").alias("answer"), first(held).alias("held"), first(said).alias("said"))
+        else:
+            rows = units.select(F.inline(F.array(*(F.struct(F.lit(a).alias("answer"), h.cast("int").cast("string").alias("held"), s.cast("int").cast("string").alias("said")) for a, h, s in zip(answers, held, said, strict=True)))))
+        return {(r["answer"], r["held"], r["said"]): r["count"] for r in rows.groupBy("answer", "held", "said").count().collect()}
+
+    model, base = cells(p), cells(b)
+    return [("confusionmatrix", *cell, float(model.get(cell, 0)), float(base.get(cell, 0))) for cell in sorted({*model, *base}, key=str)]
 
 
 def across(folds: DataFrame, metric: str) -> DataFrame:
@@ -82,19 +187,59 @@ def blend_vote(members: DataFrame, key: str, word: str, weight: str) -> DataFram
 
 def conformal_margin(df: DataFrame, y: Column, p: Column, alpha: float) -> float:
     """The ceil((n + 1)(1 - alpha))-th smallest error of the calibration rows. Found among counts of errors, not by ordering rows."""
-    from tidemark.operators.splits import values_at
-
     errors = df.select(F.abs(y - p).alias("e")).where("e is not null")
     n = errors.count()
     place = math.ceil((n + 1) * (1 - alpha) - 1e-9)
     if place > n or place < 1:
         raise ValueError(f"{n} calibration rows are too few for alpha {alpha}")
-    # Non-negative doubles sort as their bits do; a millionth of the largest error is the grain.
-    top = errors.agg(F.max("e")).first()[0] or 0.0
-    grain = top / 1e12 or 1.0
-    whole = errors.select(F.round(F.col("e") / grain).cast("bigint").alias("v"), "e")
-    value = values_at(whole, "v", [place - 1])[(None, place - 1)][0]
-    return whole.where(F.col("v") == value).agg(F.max("e")).first()[0]
+    cuts = errors.agg(F.percentile_approx("e", [i / 1000 for i in range(1, 1000)], 100_000)).first()[0]
+    return _kth(errors, place, sorted(set(cuts)))
+
+
+def _kth(errors: DataFrame, place: int, cuts: list[float]) -> float:
+    """The place-th smallest of column e: counted by ranges first, then looked up among the values of one range."""
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("e"))) if cuts else F.lit(0)
+    dealt, below = errors.withColumn("range", at), 0
+    for r in dealt.groupBy("range").count().orderBy("range").collect():  # as many as there are cuts
+        if below + r["count"] >= place:
+            inside = dealt.where(F.col("range") == r["range"]).groupBy("e").count()
+            window = Window.orderBy("e").rowsBetween(Window.unboundedPreceding, 0)  # the values of one range
+            return inside.withColumn("upto", F.sum("count").over(window)).where(F.col("upto") >= place - below).agg(F.min("e")).first()[0]
+        below += r["count"]
+    raise ValueError("there are not so many values")
+
+
+def around(prediction: Column, margin: float) -> tuple[Column, Column]:
+    """The ends of the interval around a prediction."""
+    return prediction - margin, prediction + margin
+
+
+def make_up(df: DataFrame, row: DataFrame, answer: Callable[[DataFrame], DataFrame], columns: list[str], repeats: int = 32, seed: int = 1) -> DataFrame:
+    """column, contribution, answer and background: what each column adds to the answer of a row (one row of df), by Shapley's sampled
+    values. Each of `repeats` times a random row of df takes the row's cells over one after the other in a random order; what the answer
+    changes by is the column's. `answer` maps rows to rows with `prediction`, and keeps other columns. All steps are one table."""
+    import random
+
+    told = row.select(*columns).first()
+    given = random.Random(seed)
+    orders = [given.sample(range(len(columns)), len(columns)) for _ in range(repeats)]
+    drawn = df.select(F.struct(*columns).alias("_b"), F.xxhash64(F.lit(seed), *columns).alias("_h")).orderBy("_h").limit(repeats)  # repeats rows
+    held = drawn.select("_b").collect()
+    backgrounds = [held[i % len(held)]["_b"] for i in range(repeats)]
+    rows = []
+    for sample, order in enumerate(orders):
+        cells = list(backgrounds[sample])
+        rows.append((sample, 0, None, *cells))
+        for at, c in enumerate(order):
+            cells[c] = told[c]
+            rows.append((sample, at + 1, columns[c], *cells))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    asked = df.sparkSession.createDataFrame(rows, f"_sample int, _step int, _column string, {kinds}")
+    along = Window.partitionBy("_sample").orderBy("_step")
+    said = answer(asked).withColumn("_change", F.col("prediction") - F.lag("prediction").over(along))
+    ends = said.agg(F.avg(F.when(F.col("_step") == 0, F.col("prediction"))).alias("background"), F.avg(F.when(F.col("_step") == len(columns), F.col("prediction"))).alias("answer"))
+    each = said.where("_step > 0").groupBy(F.col("_column").alias("column")).agg((F.sum("_change") / repeats).alias("contribution"))
+    return each.crossJoin(ends)  # one row
 
 
 def importance(df: DataFrame, predict, y: str, columns: list[str], seed: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,14 +17,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import features, indicators, keys
 from tidemark.functions.kinds import TYPES, as_kind, cell_text, is_gap, kind_of, read_cell, unreadable
-from tidemark.operators import evidence, fits, outputs, splits
+from tidemark.operators import evidence, fits, learners, measures, outputs, splits
 from tidemark.operators.fits import Refused
+from tidemark.plans.needs import Landing, answers_of, left_out, missed
 from tidemark.plans.rules import DeclarationError, faults
 from tidemark.plans.verbs import VERBS, Step, step
+from tidemark.session import kept_table
 from tidemark.sources import readers
 
 VERSION = 16
 HIDDEN = ("_read_at", "_key", "_part")
+#: Beginning of the names of columns that keep what a way back needs of a row.
+KEPT = "_kept_"
 _LABEL = "tidemark.declaration"
 
 
@@ -37,7 +42,7 @@ class Declaration:
             raise DeclarationError(found)
 
     def to_list(self) -> list[dict]:
-        return [{"verb": s.verb, **{k: v for k, v in s.params.items() if v != VERBS[s.verb].keys[k]}} for s in self.steps]
+        return [{"step": s.verb, **{k: v for k, v in s.params.items() if v != VERBS[s.verb].keys[k]}} for s in self.steps]
 
     def prefixes(self) -> list[str]:
         """A digest of the steps up to each, chained, which a fit of other steps does not match."""
@@ -55,16 +60,28 @@ class Declaration:
         return Declaration(_steps(json.loads(text)))
 
     def run(self, spark: SparkSession, rows: DataFrame | None = None) -> Prepared:
+        """Every step taken, over the rows of its source or those handed in."""
         return _Walk(self, spark).run(rows)
 
+    def run_for(self, spark: SparkSession, needs: str, rows: DataFrame | None = None) -> Prepared:
+        """A run for a learner that needs 'numbers', 'oneScale', 'noScale' or 'categories': without the steps it does without."""
+        return _Walk(self, spark, skipped=left_out(self.steps, needs)).run(rows)
+
 
 def _steps(document: dict) -> tuple[Step, ...]:
-    if document.get("version", VERSION) > VERSION:
+    """The steps of a file: `declaration`, a list of objects that name their verb in `step`. A file without a version is of the first."""
+    if document.get("version", 1) > VERSION:
         raise ValueError(f"version {document['version']} is later than {VERSION}")
     found, wrong = [], []
     for i, one in enumerate(document["declaration"]):
+        verb = one.get("step", one.get("verb"))
         try:
-            found.append(step(one["verb"], **{k: v for k, v in one.items() if k != "verb"}))
+            if verb is None:
+                raise ValueError("a step names its verb in `step`")
+            made = step(verb, **{k: v for k, v in one.items() if k not in ("step", "verb")})
+            if made.spec.since > document.get("version", 1) and "version" in document:
+                raise ValueError(f"{verb} is there from version {made.spec.since} of the file")
+            found.append(made)
         except ValueError as e:
             wrong.append(f"step {i + 1}: {e}")
     if wrong:
@@ -107,13 +124,17 @@ def create() -> PipelineBuilder:
     return PipelineBuilder()
 
 
+def _kept(answer: str) -> str:
+    return f"{KEPT}{answer.replace('.', '_')}"
+
+
 def number_rows(df: DataFrame) -> DataFrame:
     """df with _read_at, which rises in the order in which rows are read."""
     return df.withColumn("_read_at", F.monotonically_increasing_id())
 
 
-def _fitted(s: Step, df: DataFrame) -> list[fits.FillMissing]:
-    """What a fitted verb learns with."""
+def _fitted(s: Step, df: DataFrame, places: bool = False) -> list[fits.FillMissing]:
+    """What a fitted verb learns with; places: an encoder hands categories over as their places."""
     p = s.params
     if s.verb == "fill.missing" and p["with"] != "previous":
         return [fits.FillMissing(p["column"], p["with"], p["value"], p["refuseAbove"])]
@@ -124,9 +145,9 @@ def _fitted(s: Step, df: DataFrame) -> list[fits.FillMissing]:
     if s.verb == "outliers.clip":
         return [fits.ClipOutliers(p["column"], p["bounds"], p["at"], p["outlier"])]
     if s.verb == "encode":
-        return [fits.Encode(p["column"], p["as"], p["unseen"])]
+        return [fits.Encode(p["column"], "places" if places else p["as"], p["unseen"])]
     if s.verb == "encode.categories":
-        return [fits.Encode(f.name, p["as"], p["unseen"]) for f in df.schema if f.metadata.get("kind") == "category"]
+        return [fits.Encode(f.name, "places" if places else p["as"], p["unseen"]) for f in df.schema if f.metadata.get("kind") == "category"]
     if s.verb == "encode.piecewise":
         return [fits.Piecewise(p["column"], p["bins"], p["outOfRange"])]
     return []
@@ -135,8 +156,11 @@ def _fitted(s: Step, df: DataFrame) -> list[fits.FillMissing]:
 class _Walk:
     """One run over the steps, fitting or replaying."""
 
-    def __init__(self, declaration: Declaration, spark: SparkSession, learned: dict[int, Any] | None = None, tables: dict[int, DataFrame] | None = None):
+    def __init__(self, declaration: Declaration, spark: SparkSession, learned: dict[int, Any] | None = None, tables: dict[int, DataFrame] | None = None, skipped: dict[int, str] | None = None):
         self.declaration, self.spark = declaration, spark
+        self.skipped = skipped or {}
+        self.divided: DataFrame | None = None  # the rows where the split stands
+        self.unmatched: DataFrame | None = None  # left rows that a join left out
         self.replaying = learned is not None
         self.learned: dict[int, Any] = learned or {}
         self.tables: dict[int, DataFrame] = tables or {}
@@ -153,11 +177,13 @@ class _Walk:
     def run(self, rows: DataFrame | None, until: int | None = None) -> Prepared:
         for i, s in enumerate(self.declaration.steps[:until]):
             role = s.spec.role
-            if role == "fit" and not self.replaying and _fitted(s, self.df):
+            if self.skipped.get(i) == "out":
+                continue
+            if role == "fit" and i not in self.learned and _fitted(s, self.df):
                 written = {c for _, ones in self.pending for one in ones for c in (one.column,)}
                 if any(c in written or any(c.startswith(f"{w}_") for w in written) for c in s.reads) or s.verb == "encode.categories":
                     self.flush()
-                self.pending.append((i, _fitted(s, self.df)))
+                self.pending.append((i, _fitted(s, self.df, i in self.skipped)))
                 continue
             self.flush()
             if role == "source":
@@ -175,7 +201,7 @@ class _Walk:
             else:
                 self._act(s)
         self.flush()
-        return Prepared(self.declaration, self.df, self.learned, self.tables, self.evidence, self.answers, self.id, self.order)
+        return Prepared(self.declaration, self.df, self.learned, self.tables, self.evidence, self.answers, self.id, self.order, self.skipped, rows, self.divided, self.unmatched)
 
     def flush(self) -> None:
         """One aggregation over the training rows for all that wait, then their projections."""
@@ -197,7 +223,7 @@ class _Walk:
                 raise Refused("rows are handed in when the pipeline is run")
             df = rows
         else:
-            part = lambda side: {"csv": readers.read_csv, "parquet": readers.read_parquet, "json": readers.read_json}[next(k for k in side if k != "path")](self.spark, side["path"]) if set(side) != {"csv", "path"} else readers.read_csv(self.spark, side["path"])
+            part = lambda side: {"csv": readers.read_csv, "parquet": readers.read_parquet, "json": readers.read_json}[side["kind"]](self.spark, side["path"])
             df = {
                 "read.csv": lambda: readers.read_csv(self.spark, p["path"]),
                 "read.parquet": lambda: readers.read_parquet(self.spark, p["path"]),
@@ -208,6 +234,8 @@ class _Walk:
                 "read.sounds": lambda: readers.read_sounds(self.spark, p["path"], p["rate"], p["length"], p["channels"]),
                 "read.join": lambda: readers.read_join(part(p["left"]), part(p["right"]), p["on"], p["unmatched"]),
             }[s.verb]()
+            if s.verb == "read.join" and p["unmatched"] == "drop":
+                self.unmatched = readers.alone(part(p["left"]), part(p["right"]), p["on"])
         plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
         # Both columns are expressions: a plan that does not use them does not compute them.
         self.df = df.withColumn("_key", keys.row_key(df, plain)) if plain else df.withColumn("_key", F.lit(None).cast("string"))
@@ -261,7 +289,7 @@ class _Walk:
                     df = df.where(F.col(f"`{c}`").isNotNull())
             self.df = df
         elif s.verb == "drop.warmup":
-            self.df = drop_warmup(df, self.order, [c for c in df.columns if c not in HIDDEN and c != self.id], p["atMost"])
+            self.df = drop_warmup(df, self.order, [c for c in df.columns if c not in HIDDEN and not c.startswith(KEPT) and c != self.id], p["atMost"])
         elif s.verb == "order.by":
             self.df, self.order = order_by(df, p["columns"]), p["columns"]
         elif s.verb == "shuffle":
@@ -279,7 +307,7 @@ class _Walk:
                 for c in made:
                     self.df = self.df.withMetadata(c, {"kind": "category"})
         elif s.verb == "feature.indicator":
-            self.df = indicators.add_indicator(df, p["column"], p["indicator"], p["period"], p["columns"], self.order)
+            self.df = indicators.add_indicator(df, p["column"], p["indicator"], p["period"], p["columns"], self._along(p["by"]), p["by"])
         elif s.verb == "maths":
             v = features.number(p["column"])
             if not df.isStreaming and df.where(features.maths_refused(v, p["maths"])).limit(1).count():
@@ -302,15 +330,23 @@ class _Walk:
             self.answers = [p["column"]]
         elif s.verb == "target.ahead":
             self.answers = [outputs.ahead_name(p["column"], p["ahead"])]
-            self.df = df.withColumn(self.answers[0], F.lit(None).cast("double")) if self.replaying else outputs.target_ahead(df, p["column"], p["ahead"], self.order, p["as"])
+            if p["as"] == "return":
+                df = df.withColumn(_kept(self.answers[0]), F.col(f"`{p['column']}`").cast("double"))
+            self.df = df.withColumn(self.answers[0], F.lit(None).cast("double")) if self.replaying else outputs.target_ahead(df, p["column"], p["ahead"], self._along(p["by"]), p["as"], p["by"])
         elif s.verb == "target.distribution":
             self.answers = [*p["columns"], *([p["remainder"]] if p["remainder"] else [])]
+            if p["scaleBy"] and p["scaleBy"] in df.columns:
+                df = df.withColumns({_kept(a): F.col(f"`{p['scaleBy']}`").cast("double") for a in self.answers})
             self.df = df if self.replaying else outputs.target_distribution(df, p["columns"], p["scaleBy"], p["remainder"])
         elif s.verb == "target.labels":
             self.answers, self.df = p["columns"], df if self.replaying else outputs.target_labels(df, p["columns"], p["ones"])
         elif s.verb == "target.numbers":
             self.answers, self.df = p["columns"], df if self.replaying else outputs.target_numbers(df, p["columns"])
 
+    def _along(self, by: list[str] | None) -> list[str]:
+        """The order of the rows within a series."""
+        return [c for c in self.order if c not in (by or [])] or self.order
+
     def _by(self, by_id: bool) -> Column:
         return keys.row_key(self.df, [self.id]) if by_id else F.col("_key")
 
@@ -325,14 +361,15 @@ class _Walk:
             self.df = splits.at_random(self.df, self._by(p["byId"]), shares, p["seed"], p["testSeed"], p["folds"], p["fold"])
         else:
             self.df = splits.stratified(self.df, p["column"], self._by(p["byId"]), shares, p["seed"], p["folds"], p["fold"])
+        self.divided = self.df
 
     def _fit(self, i: int, s: Step) -> None:
         p = s.params
         if _fitted(s, self.df):
-            for one, learned in zip(_fitted(s, self.df), self.learned[i], strict=True):
+            for one, learned in zip(_fitted(s, self.df, i in self.skipped), self.learned[i], strict=True):
                 self.df = one.apply(self.df, learned)
         elif s.verb == "fill.missing":
-            self.df = fits.fill_previous(self.df, p["column"], self.order)
+            self.df = fits.fill_previous(self.df, p["column"], self._along(p["by"]), p["by"])
         elif s.verb == "tokenize":
             one = fits.Tokenize(p["column"], p["length"], p["vocabulary"])
             if i not in self.learned:
@@ -341,22 +378,26 @@ class _Walk:
         elif s.verb in ("history", "history.known"):
             one = fits.History(p["key"], p["value"], p["orderBy"], p["shrink"], p["window"], p["into"], s.verb == "history.known")
             if i not in self.learned:
-                learned, self.tables[i] = one.fit(self.train())
-                self.learned[i] = [learned]
+                learned, sums = one.fit(self.train())
+                self.learned[i], self.tables[i] = [learned], kept_table(sums, "history")
             self.df = one.apply(self.df, self.learned[i][0], self.tables[i])
         elif s.verb == "watch.reference":
-            columns = p["columns"] or [c for c in self.df.columns if c not in HIDDEN]
+            columns = p["columns"] or [c for c in self.df.columns if c not in HIDDEN and not c.startswith(KEPT)]
             if i not in self.learned:
-                self.tables[i] = evidence.tallies(self.train(), columns)
+                self.tables[i] = kept_table(evidence.tallies(self.train(), columns), "tallies")
                 self.learned[i] = [{"columns": columns, "warnAbove": p["warnAbove"]}]
 
     def _evidence(self, s: Step) -> None:
         if self.replaying:
             return
         p = s.params
-        columns = p.get("columns") or [c for c in self.df.columns if c not in HIDDEN and c != self.id]
+        columns = p.get("columns") or [c for c in self.df.columns if c not in HIDDEN and not c.startswith(KEPT) and c != self.id]
         if s.verb == "evidence.profile":
-            self.evidence["profile"] = evidence.profile(self.train() if "_part" in self.df.columns else self.df, columns)
+            measured = self.train() if "_part" in self.df.columns else self.df
+            self.evidence["profile"] = evidence.profile(measured, columns)
+            along = [*self.order, *(x["column"] for x in self.declaration.steps if x.verb == "split.byTime")]
+            answers = [a for a in answers_of(self.declaration.steps) if a in self.df.columns]
+            self.evidence["alerts"] = evidence.Alerts(measured, columns, answers, along, p["rankAbove"])
             self.evidence["duplicates"] = evidence.duplicates(self.df, F.col("_key"), F.col("_part") if "_part" in self.df.columns else None)
         elif s.verb == "evidence.correlation":
             self.evidence["correlation"] = evidence.correlation(self.df, columns, p["coefficient"])
@@ -403,33 +444,145 @@ class Prepared:
     answers: list[str] = field(default_factory=list)
     id: str | None = None
     order: list[str] = field(default_factory=list)
+    skipped: dict[int, str] = field(default_factory=dict)
+    rows: DataFrame | None = None
+    divided: DataFrame | None = None
+    unmatched: DataFrame | None = None
 
     def features(self) -> list[str]:
-        return [c for c in self.df.columns if c not in HIDDEN and c != self.id and c not in self.answers]
+        return [c for c in self.df.columns if c not in HIDDEN and not c.startswith(KEPT) and c != self.id and c not in self.answers]
 
     def part(self, name: str) -> DataFrame:
         if name == "gap":
             raise ValueError("rows of the gap are handed to nobody")
         return self.df.where(F.col("_part") == name)
 
-    def batch(self, name: str, lowest: float | None = None) -> DataFrame:
-        """The features and answers of a part as numbers; words, gaps and values that are not finite are refused by column. With lowest,
-        so are features below it or above -lowest (learners on one scale)."""
-        rows, names = self.part(name), self.features()
+    def batch(self, name: str, needs: str = "numbers") -> DataFrame:
+        """The features and answers of a part as numbers, with the id and the key. Words, gaps and values that are not finite are refused
+        by column. needs: 'numbers'; 'oneScale', which refuses features that no step declares to land between -1 and 1; 'noScale' and
+        'categories', which take numbers of any size. A run that left out what the learner needs is refused."""
+        return self._checked(self.part(name), needs).drop("_read_at", *(c for c in self.df.columns if c.startswith(KEPT)))
+
+    def _checked(self, rows: DataFrame, needs: str) -> DataFrame:
+        names, steps = self.features(), self.declaration.steps
+        lacking = missed(self.skipped, steps, needs)
+        if lacking:
+            raise Refused(f"this run left out {', '.join(f'step {i + 1} ({steps[i].verb})' for i in lacking)}, which a learner that needs {needs} cannot do without")
         words = [c for c in names if rows.schema[c].dataType.typeName() == "string"]
         if words:
             raise Refused(f"words are left in {', '.join(words)}")
+        if needs == "oneScale":
+            landing = Landing(steps, {i: how for i, how in self.skipped.items() if how == "out"})
+            off = [c for c in names if not landing.of(c) and rows.schema[c].dataType.typeName() != "array"]
+            if off:
+                raise Refused(f"not declared to land between -1 and 1: {', '.join(off)}")
         plain = [c for c in names if rows.schema[c].dataType.typeName() != "array"]
         x = lambda c: F.col(f"`{c}`").cast("double")
         tests = [F.count_if(x(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))).alias(f"b{i}") for i, c in enumerate(plain)]
-        if lowest is not None:
-            tests += [F.count_if((x(c) < lowest) | (x(c) > -lowest)).alias(f"r{i}") for i, c in enumerate(plain)]
+        tests += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"b{len(plain) + i}") for i, c in enumerate(set(names) - set(plain))]
         if tests:
             seen = rows.agg(*tests).first().asDict()
-            bad = sorted({plain[int(k[1:])] for k, n in seen.items() if n})
+            every = [*plain, *(set(names) - set(plain))]
+            bad = sorted({every[int(k[1:])] for k, n in seen.items() if n})
             if bad:
                 raise Refused(f"{', '.join(bad)}: gaps, or values that a learner cannot take")
-        return rows.select(*(x(c).alias(c) if c in plain else F.col(f"`{c}`") for c in names), *(x(c).alias(c) for c in self.answers), *([self.id] if self.id else []), "_key")
+        hidden = [c for c in rows.columns if c in ("_key", "_read_at") or c.startswith(KEPT)]
+        return rows.select(*(x(c).alias(c) if c in plain else F.col(f"`{c}`") for c in names), *(x(c).alias(c) for c in self.answers), *([self.id] if self.id else []), *(F.col(f"`{c}`") for c in hidden))
+
+    def said_names(self) -> list[str]:
+        """The columns that a prediction is given in: `prediction`, or prediction_0 and so on where there are several answers."""
+        return ["prediction"] if len(self.answers) == 1 else [f"prediction_{k}" for k in range(len(self.answers))]
+
+    def measure(self, predict: Callable[[DataFrame], DataFrame], margins: list[float] | None = None, needs: str = "numbers") -> DataFrame:
+        """part, metric, model and baseline for each measure that the report names, and for a confusion matrix a row for each cell (answer,
+        held, said, and how many rows the model and the baseline put there).
+
+        predict takes a part as batch hands it over and adds said_names(), in the units of the prepared answers. Everything is measured
+        in the units the answers were read in; the baseline is the training rows' average answer, brought back the same way. margins (in
+        the answers' units) are half an interval for each answer; without them coverage and width are left out."""
+        report = next((s for s in self.declaration.steps if s.verb == "evidence.report"), None)
+        if report is None:
+            raise Refused("the pipeline declares no report, so nothing says what a model is measured by")
+        names = self.said_names()
+        train = self.part("train").agg(*(F.avg(F.col(f"`{a}`").cast("double")).alias(f"a{i}") for i, a in enumerate(self.answers))).first()
+        if train[0] is None:
+            raise Refused("the training part holds no rows, so there is no average to measure beside")
+        ones = next((s.params.get("ones", 0) for s in self.declaration.steps if s.spec.role == "answer"), 0)
+        counted = next((len(s["columns"]) for s in self.declaration.steps if s.verb == "target.distribution"), len(self.answers))
+        parts = report["parts"] if isinstance(report["parts"], list) else [report["parts"]]
+        metrics = report["metrics"] if isinstance(report["metrics"], list) else [report["metrics"]]
+        told = []
+        for part in dict.fromkeys(parts):
+            handed = predict(self._checked(self.part(part), needs))
+            lacking = [n for n in names if n not in handed.columns]
+            if lacking:
+                raise Refused(f"the predictions lack {', '.join(lacking)}")
+            units = handed.select(
+                *(self.back(F.col(f"`{a}`"), a).cast("double").alias(f"y{i}") for i, a in enumerate(self.answers)),
+                *(self.back(F.col(n).cast("double"), a).cast("double").alias(f"p{i}") for i, (n, a) in enumerate(zip(names, self.answers, strict=True))),
+                *(self.back(F.lit(train[i]), a).cast("double").alias(f"b{i}") for i, a in enumerate(self.answers)),
+            )
+            # Written once: the measures take several passes, and predictions may be dear.
+            told += [(part, *row) for row in measures.of_part(kept_table(units, "units"), self.answers, metrics, ones, counted, margins)]
+        return self.df.sparkSession.createDataFrame(told, measures.TOLD)
+
+    def predictions(self, predict: Callable[[DataFrame], DataFrame], needs: str = "numbers") -> DataFrame:
+        """What is kept of predictions so that they can be measured again: part, key, said (one number an answer) and fit (a digest of the
+        steps and of all that was learned)."""
+        report = next(s for s in self.declaration.steps if s.verb == "evidence.report")
+        parts, out = report["parts"] if isinstance(report["parts"], list) else [report["parts"]], None
+        for part in dict.fromkeys(parts):
+            handed = predict(self._checked(self.part(part), needs))
+            one = handed.select(F.lit(part).alias("part"), F.col("_key").alias("key"), F.array(*(F.col(n).cast("double") for n in self.said_names())).alias("said"))
+            out = one if out is None else out.unionByName(one)
+        return out.withColumn("fit", F.lit(self.fit_digest()))
+
+    def measure_again(self, predictions: DataFrame, margins: list[float] | None = None) -> DataFrame:
+        """measure() of kept predictions (part, key, said, fit), which must be of this very fit and hold each row of each part. Rows with one
+        key are alike in all they hold, so one prediction stands for them."""
+        other = predictions.where(F.col("fit") != self.fit_digest()).limit(1).count()
+        if other:
+            raise Refused("these predictions were made behind another fit than this one")
+        said = predictions.groupBy("key").agg(F.first("said").alias("_said"))
+
+        def predict(handed: DataFrame) -> DataFrame:
+            met = handed.join(said, handed["_key"] == said["key"], "left")
+            if met.where("_said is null").limit(1).count():
+                raise Refused("there are rows without a prediction")
+            return met.withColumns({n: F.col("_said")[k] for k, n in enumerate(self.said_names())})
+
+        return self.measure(predict, margins)
+
+    def fit_digest(self) -> str:
+        """A digest of the steps, of what was left out and of what was learned."""
+        told = [self.declaration.prefixes()[-1], sorted(self.skipped.items()), sorted((i, v) for i, v in self.learned.items())]
+        return hashlib.sha256(json.dumps(told, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
+
+    def train_learner(self) -> learners.Trained:
+        """The learner that the pipeline names, trained on the training rows. What is not trained here is refused."""
+        s = next((s for s in self.declaration.steps if s.spec.role == "learner"), None)
+        if s is None:
+            raise Refused("the pipeline names no learner")
+        if len(self.answers) != 1:
+            raise Refused("learners here answer one column")
+        needs = "oneScale" if s.verb == "learn.network" else "noScale"
+        asked = next((x["metrics"] for x in self.declaration.steps if x.verb == "evidence.report"), [])
+        classes = bool(set(asked) & {"accuracy", "precision", "recall", "f1", "confusionmatrix", "auc", "brier"})
+        return learners.train(s, self.batch("train", needs), self.features(), self.answers[0], classes, needs)
+
+    def fit_entries(self) -> DataFrame:
+        """What the split saw, as name and value: rows of each part, rows of a join without a partner, the first and last moment of each part
+        of a split by time, and a digest of the rows it divided."""
+        s = next(x for x in self.declaration.steps if x.spec.role == "split")
+        timed = s.verb == "split.byTime"
+        moment = F.col(f"`{s['column']}`").cast("string") if timed else F.lit(None).cast("string")
+        by_part = self.divided.groupBy("_part").agg(F.count("*").cast("string").alias("rows"), F.min(moment).alias("first"), F.max(moment).alias("last"))
+        entry = lambda name, value: F.struct(F.concat(F.lit(name), F.col("_part")).alias("name"), value.alias("value"))
+        told = by_part.select(F.inline(F.array(entry("rows.", F.col("rows")), *([entry("moments.", F.concat_ws(" .. ", "first", "last"))] if timed else []))))
+        more = [("digest", keys.digest(self.divided))]
+        if self.unmatched is not None:
+            more.append(("rows.unmatched", str(self.unmatched.count())))
+        return told.where("name <> 'moments.gap'").unionByName(self.df.sparkSession.createDataFrame(more, "name string, value string"))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Later rows, through the same steps with what was learned. Rows of a stream take every plan that does not read their order."""
@@ -440,13 +593,26 @@ class Prepared:
         names = {c["name"] for s in self.declaration.steps if s.verb == "declare" for c in s["columns"]}
         awaited = [c for c in self.answers if c not in rows.columns and (c in names or not names)]
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in awaited if "." not in c})
-        return _Walk(self.declaration, rows.sparkSession, self.learned, self.tables).run(rows).df
+        return _Walk(self.declaration, rows.sparkSession, self.learned, self.tables, self.skipped).run(rows).df
 
     def view(self, steps: int, rows: DataFrame | None = None) -> DataFrame:
-        """The table after so many steps."""
-        done = {i: v for i, v in self.learned.items()}
-        walk = _Walk(self.declaration, self.df.sparkSession)
-        walk.learned = done
+        """The table after so many steps, with _standing: the part each row is in, `dropped` if it does not reach the split, `undivided` where
+        there is none. What was learned is used as it is; nothing is fitted again."""
+        if not 1 <= steps <= len(self.declaration.steps):
+            raise ValueError(f"there are {len(self.declaration.steps)} steps")
+        given = rows if rows is not None else self.rows
+        split = next((i for i, s in enumerate(self.declaration.steps) if s.spec.role == "split"), None)
+        there = self._walked(given, steps)
+        if "_part" in there.columns:
+            return there.withColumn("_standing", F.col("_part"))
+        if split is None:
+            return there.withColumn("_standing", F.lit("undivided"))
+        later = self._walked(given, split + 1).select(F.col("_read_at").alias("_at"), F.col("_part").alias("_standing"))
+        return there.join(later, F.col("_read_at") == F.col("_at"), "left").drop("_at").withColumn("_standing", F.coalesce("_standing", F.lit("dropped")))
+
+    def _walked(self, rows: DataFrame | None, steps: int) -> DataFrame:
+        walk = _Walk(self.declaration, self.df.sparkSession, skipped=self.skipped)
+        walk.learned, walk.tables = dict(self.learned), dict(self.tables)
         return walk.run(rows, steps).df
 
     def back(self, prediction: Column, column: str | None = None) -> Column:
@@ -455,19 +621,22 @@ class Prepared:
         for i in range(len(self.declaration.steps) - 1, -1, -1):
             s = self.declaration.steps[i]
             p = s.params
+            if i in self.skipped:
+                continue
             if s.verb == "normalise" and p["column"] == name:
                 out = fits.Normalise(name, p["scale"], p["outOfRange"]).back(out, self.learned[i][0])
             elif s.verb == "maths" and (p["into"] or p["column"]) == name:
                 out, name = features.maths_back(out, p["maths"]), p["column"]
             elif s.verb == "scale.given" and p["column"] == name and p["lands"] != "splitsign":
                 out = features.scale_given_back(out, p["lowest"], p["highest"], p["lands"])
-            elif s.verb == "target.ahead" and outputs.ahead_name(p["column"], p["ahead"]) == name:
-                out, name = outputs.ahead_back(out, F.col(f"`{p['column']}`"), p["as"]), p["column"]
+            elif s.verb == "target.ahead" and s.makes == name:
+                out, name = outputs.ahead_back(out, F.col(f"`{_kept(name)}`"), p["as"]) if p["as"] == "return" else out, p["column"]
             elif s.verb == "target.distribution" and p["scaleBy"] and name in self.answers:
-                out = out * F.col(f"`{p['scaleBy']}`")
+                out = out * F.col(f"`{_kept(name)}`")
         return out
 
     def watched(self, window: DataFrame) -> DataFrame:
+        """How far the rows of a window (served rows, as transform gives them) are from the training rows, by watched column."""
         i = next(k for k, s in enumerate(self.declaration.steps) if s.verb == "watch.reference")
         kept = self.learned[i][0]
         return evidence.watched(self.tables[i], window, kept["columns"], kept["warnAbove"])
@@ -479,7 +648,7 @@ class Prepared:
             t.write.mode("overwrite").parquet(f"{path}/table-{i}")
         prefixes = self.declaration.prefixes()
         fitted = [{"step": i, "prefix": prefixes[i], "learned": v} for i, v in sorted(self.learned.items())]
-        told = {"version": VERSION, "declaration": self.declaration.to_list(), "fitted": fitted, "tables": sorted(self.tables), "answers": self.answers, "id": self.id}
+        told = {"version": VERSION, "declaration": self.declaration.to_list(), "fitted": fitted, "tables": sorted(self.tables), "answers": self.answers, "id": self.id, "skipped": sorted(self.skipped.items())}
         spark.createDataFrame([(json.dumps(told, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/pipeline.json")
 
     @staticmethod
@@ -491,4 +660,4 @@ class Prepared:
             if prefixes[f["step"]] != f["prefix"]:
                 raise ValueError(f"step {f['step'] + 1} was fitted under other steps")
         tables = {i: spark.read.parquet(f"{path}/table-{i}") for i in told["tables"]}
-        return Prepared(declaration, spark.createDataFrame([], "_part string"), {f["step"]: f["learned"] for f in told["fitted"]}, tables, {}, told["answers"], told["id"])
+        return Prepared(declaration, spark.createDataFrame([], "_part string"), {f["step"]: f["learned"] for f in told["fitted"]}, tables, {}, told["answers"], told["id"], skipped={i: how for i, how in told.get("skipped", [])})

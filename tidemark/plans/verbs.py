@@ -23,6 +23,8 @@ class Verb:
 
 @dataclass(frozen=True)
 class Step:
+    """A verb and its settings; `by` (columns that tell series apart) is an addition to the file's keys, written only where it is set."""
+
     verb: str
     params: dict[str, Any]
 
@@ -33,6 +35,18 @@ class Step:
     def __getitem__(self, key: str) -> Any:
         return self.params[key]
 
+    @property
+    def makes(self) -> str | None:
+        """The column that the step writes under a name of its own."""
+        p = self.params
+        if self.verb == "target.ahead":
+            return f"{p['column']}.ahead{p['ahead']}"
+        if self.verb == "maths":
+            return p["into"] or p["column"]
+        if self.verb in ("history", "history.known"):
+            return p["into"] or f"{p['value']}_history"
+        return p["column"] if self.verb in ("feature.add", "feature.indicator") else None
+
     @property
     def reads(self) -> list[str]:
         return [c for c in self.spec.reads(self.params) if c]
@@ -48,6 +62,10 @@ def step(verb: str, **given: Any) -> Step:
     lacking = [k for k, d in spec.keys.items() if d is REQUIRED and k not in given]
     if wrong or lacking:
         raise ValueError(f"{verb}: " + "; ".join([f"no key {k}" for k in wrong] + [f"{k} is left out" for k in lacking]))
+    for k in ("left", "right", "trainer", "optimizer", "loss", "stopping", "schedule"):
+        part = given.get(k)
+        if k in spec.keys and verb in ("read.join", "learn.ml", "learn.network") and part is not None and not (isinstance(part, dict) and part.get("kind")):
+            raise ValueError(f"{verb}: {k} is a part, written as its kind and its settings")
     for k, words in spec.words.items():
         values = given.get(k, spec.keys[k])
         for v in values if isinstance(values, list) else [values]:
@@ -65,6 +83,7 @@ def _many(p: dict) -> list[str]:
 
 
 FORMS, RANGES, UNSEEN = ("signed", "unit", "splitsign"), ("pass", "clip", "refuse"), ("reserve", "refuse")
+METRICS = ("rmse", "mae", "r2", "accuracy", "precision", "recall", "confusionmatrix", "emd", "kl", "rps", "f1", "auc", "mape", "brier", "coverage", "width")
 _SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15, "predict": 0.0, "calibration": 0.0}
 _R = REQUIRED
 
@@ -81,13 +100,13 @@ VERBS: dict[str, Verb] = {
         Verb("evidence.correlation", "evidence", 2, {"columns": _R, "shown": "numbers", "coefficient": "pearson"}, {"shown": ("drawn", "numbers"), "coefficient": ("pearson", "spearman")}, _many),
         Verb("evidence.likeness", "evidence", 10, {"warnAbove": _R, "columns": None}, reads=_many),
         Verb("evidence.profile", "evidence", 2, {"columns": None, "rankAbove": None}, reads=_many),
-        Verb("evidence.report", "report", 3, {"metrics": _R, "parts": _R, "shown": "numbers"}, {"shown": ("drawn", "numbers")}),
+        Verb("evidence.report", "report", 3, {"metrics": _R, "parts": _R, "shown": "numbers"}, {"metrics": METRICS, "parts": ("train", "validation", "test"), "shown": ("drawn", "numbers")}),
         Verb("feature.add", "add", 1, {"column": _R, "left": _R, "arithmetic": _R, "right": _R}, {"arithmetic": ("plus", "minus", "times", "dividedby")}, lambda p: [p["left"], p["right"]]),
         Verb("feature.cycle", "add", 8, {"column": _R, "length": _R, "form": "signed"}, {"form": FORMS}, _one),
         Verb("feature.cyclical", "add", 1, {"column": _R, "period": _R, "form": "signed"}, {"period": ("hourofday", "dayofweek", "dayofmonth", "monthofyear", "dayofyear", "season"), "form": FORMS}, _one),
-        Verb("feature.indicator", "add", 1, {"column": _R, "indicator": _R, "period": _R, "columns": _R}, {"indicator": ("sma", "ema", "rsi", "atr", "adx", "cci", "williamsr", "obv", "macd", "bollingerbands", "stochastic", "vwap")}, _many, True),
+        Verb("feature.indicator", "add", 1, {"column": _R, "indicator": _R, "period": _R, "columns": _R, "by": None}, {"indicator": ("sma", "ema", "rsi", "atr", "adx", "cci", "williamsr", "obv", "macd", "bollingerbands", "stochastic", "vwap")}, _many, True),
         Verb("feature.timeParts", "add", 1, {"column": _R, "asCategories": False, "parts": _R}, {"parts": ("minute", "hour", "dayofweek", "dayofmonth", "month", "quarter", "season", "year")}, _one),
-        Verb("fill.missing", "fit", 1, {"column": _R, "with": "mean", "value": 0.0, "refuseAbove": None}, {"with": ("mean", "median", "zero", "previous", "refuse", "constant")}, _one),
+        Verb("fill.missing", "fit", 1, {"column": _R, "with": "mean", "value": 0.0, "refuseAbove": None, "by": None}, {"with": ("mean", "median", "zero", "previous", "refuse", "constant")}, _one),
         Verb("fill.nan", "fit", 1, {"column": _R, "with": "refuse", "value": 0.0}, {"with": ("refuse", "mean", "median", "zero", "constant")}, _one),
         Verb("history", "fit", 10, {"key": _R, "value": _R, "orderBy": _R, "shrink": _R, "window": None, "into": None}, reads=lambda p: [p["key"], p["value"], *p["orderBy"]]),
         Verb("history.known", "fit", 16, {"key": _R, "value": _R, "orderBy": _R, "shrink": _R, "window": None, "into": None}, reads=lambda p: [p["key"], p["value"], *p["orderBy"]]),
@@ -114,7 +133,7 @@ VERBS: dict[str, Verb] = {
         Verb("split.byTime", "split", 2, {"column": _R, **_SHARES, "gap": 0, "origins": None, "origin": 0}, reads=_one),
         Verb("split.stratified", "split", 2, {"column": _R, **_SHARES, "seed": 1, "folds": None, "fold": 0, "byId": False}, reads=_one),
         Verb("target", "answer", 1, {"column": _R}, reads=_one),
-        Verb("target.ahead", "answer", 2, {"column": _R, "ahead": _R, "as": "value"}, {"as": ("value", "return")}, _one, True),
+        Verb("target.ahead", "answer", 2, {"column": _R, "ahead": _R, "as": "value", "by": None}, {"as": ("value", "return")}, _one, True),
         Verb("target.distribution", "answer", 2, {"columns": _R, "scaleBy": None, "ordered": False, "remainder": None}, reads=lambda p: [*p["columns"], p["scaleBy"]]),
         Verb("target.labels", "answer", 2, {"columns": _R, "ones": 0}, reads=_many),
         Verb("target.numbers", "answer", 8, {"columns": _R}, reads=_many),

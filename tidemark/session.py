@@ -1,13 +1,14 @@
-"""Making this package importable by a session's Python workers."""
+"""Making this package importable by a session's Python workers, and tables that outlive the plans they come from."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -25,3 +26,18 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _sent.add(context.applicationId)
     return spark
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read again, so that what was learned does not change with its source. It goes below spark.checkpoint.dir; where
+    that is unset, as in tests, below a temporary folder that only a session of one machine can use."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -116,6 +116,13 @@ def read_join(left: DataFrame, right: DataFrame, on: list[str], unmatched: str =
     return left.join(other, condition).drop(*names)
 
 
+def alone(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left rows without a partner."""
+    key = lambda df, c: F.nullif(trimmed(df[c].cast("string")), F.lit(""))
+    keys = right.select(*(key(right, c).alias(f"_r{i}") for i, c in enumerate(on)))
+    return left.join(keys, [key(left, c) == F.col(f"_r{i}") for i, c in enumerate(on)], "left_anti")
+
+
 def _files(spark: SparkSession, path: str, endings: tuple[str, ...]) -> DataFrame:
     """path, label (its folder) and content of the files of a folder of folders; a file at the root is refused."""
     glob = "*.{" + ",".join(endings) + "}"
