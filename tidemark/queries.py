@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import features, indicators, keys
 from tidemark.functions.kinds import propose_kinds
 from tidemark.operators import evidence, fits, measures, outputs, splits
-from tidemark.plans.pipeline import create
+from tidemark.plans.pipeline import Prepared, create
+from tidemark.session import kept_path
 from tidemark.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,7 +99,20 @@ def _gappy(t: DataFrame) -> DataFrame:
 
 _GAPPY = "WITH e AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"
 over("settle_gaps", "events", lambda t: (g := _gappy(t)).select("event_id", features.was_missing(g["value"]).alias("value_was_missing"), r6(features.filled(g["value"], 0.0, "number")).alias("value")), f"{_GAPPY} SELECT event_id, (value IS NULL)::INT::DOUBLE AS value_was_missing, round(coalesce(value, 0.0), 6) AS value FROM e")
-over("drop_gaps", "events", lambda t: _gappy(t).where("value is not null").select("event_id", "value"), f"{_GAPPY} SELECT event_id, value FROM e WHERE value IS NOT NULL")
+
+
+def by_verbs(rows: DataFrame, columns: list[tuple[str, str]], *verbs: tuple[str, dict], spark: SparkSession | None = None) -> Prepared:
+    """A pipeline over rows handed in."""
+    b = create().read_rows().declare(columns=[{"name": n, "kind": k} for n, k in columns])
+    for verb, params in verbs:
+        b = b.add(verb, **params)
+    return b.build().run(spark or rows.sparkSession, rows)
+
+
+over(
+    "drop_gaps", "events", lambda t: by_verbs(_gappy(t), [("event_id", "integer"), ("value", "number")], ("drop.gaps", {"columns": ["value"]})).df.select("event_id", "value"),
+    f"{_GAPPY} SELECT event_id, value FROM e WHERE value IS NOT NULL",
+)
 
 
 def _fit(t: DataFrame, one, keep: list[str], made: list[str], train: str = "true") -> DataFrame:
@@ -112,9 +126,12 @@ for _with, _sql in (("mean", "avg(value)"), ("median", "median(value)"), ("zero"
         f"fill_missing_{_with}", "events", lambda t, w=_with: _fit(_gappy(t), fits.FillMissing("value", w, 5.0), ["event_id"], ["value_was_missing", "value"], TRAIN),
         f"{_GAPPY}, f AS (SELECT {_sql} AS v FROM e WHERE {TRAIN}) SELECT event_id, (value IS NULL)::INT::DOUBLE AS value_was_missing, round(coalesce(value, v), 6) AS value FROM e, (SELECT any_value(v) AS v FROM f)",
     )
+_FIRST = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 over(
-    "fill_missing_previous", "events", lambda t: fits.fill_previous(_gappy(t), "value", ["ts", "event_id"], ["user_id"]).select("event_id", r6("value").alias("value")),
-    f"{_GAPPY} SELECT event_id, round(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM e",
+    "fill_missing_previous", "events",
+    lambda t: fits.fill_previous(t.withColumn("n", F.expr(_FIRST)).withColumn("value", F.when((F.col("event_id") % 7 != 0) | (F.col("n") == 1), F.col("value"))), "value", ["ts", "event_id"], ["user_id"]).select("event_id", r6("value").alias("value")),
+    f"""WITH e AS (SELECT event_id, ts, user_id, CASE WHEN event_id % 7 <> 0 OR {_FIRST} = 1 THEN value END AS value FROM events)
+    SELECT event_id, round(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM e""",
 )
 over(
     "fill_nan_mean", "events", lambda t: _fit(t.withColumn("value", F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("value"))), fits.FillNaN("value", "mean"), ["event_id"], ["value"], TRAIN),
@@ -177,8 +194,8 @@ over(
     SELECT o_orderkey, CASE WHEN f < floor(n * 0.7 + 0.5) THEN 'train' WHEN f < floor(n * 0.7 + 0.5) + floor(n * 0.15 + 0.5) THEN 'validation' ELSE 'test' END AS part FROM p""",
 )
 over(
-    "shuffle_byid", "orders", lambda t: t.orderBy(keys.rank(_key(t), 3)).limit(100).select("o_orderkey", "o_totalprice"),
-    f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {_rank_sql(3)} LIMIT 100",
+    "shuffle_byid", "orders", lambda t: evidence.running(t.select("o_orderkey", keys.rank_number(_key(t), 3).alias("r"), F.lit(1).alias("n")), "r", {"place": "n"}).select("o_orderkey", F.col("place").cast("long").alias("place")),
+    f"SELECT o_orderkey, row_number() OVER (ORDER BY {_rank_sql(3)}) AS place FROM orders",
 )
 
 # Fitted scales: the statistics of training orders' lines, then a projection
@@ -228,17 +245,21 @@ over("tokenize_counts", "documents", lambda t: fits.Tokenize("text").counts(t).s
 
 
 def _tokenized(t: DataFrame) -> DataFrame:
-    one = fits.Tokenize("text", 16, 500)
-    return one.apply(t, one.fit(t)).select("doc_id", F.array_join("text", " ").alias("ids"))
+    """A length that holds the longest text, so that no word is cut; what is compared is the number of words and a sum over all ids."""
+    longest = t.agg(F.max(F.size(fits.words_in(F.col("text"))))).first()[0]
+    one = fits.Tokenize("text", longest, 500)
+    ids = one.apply(t, one.fit(t)).select("doc_id", F.filter("text", lambda x: x > 0).alias("ids"))
+    placed = F.transform("ids", lambda x, i: x.cast("long") * (i % 1009 + 1))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_words"), F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("mark"))
 
 
 over(
     "tokenize_ids", "documents", _tokenized,
     f"""WITH v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS id FROM (SELECT word, count(*) AS n FROM (SELECT {_WORDS} FROM documents) GROUP BY word) ORDER BY n DESC, word LIMIT 498),
-    w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '')[1:16] AS ws FROM documents),
-    p AS (SELECT doc_id, i, ws[i] AS word FROM w, range(1, 17) t(i)),
-    j AS (SELECT doc_id, i, CASE WHEN p.word IS NULL THEN 0 ELSE coalesce(id, 1) END AS id FROM p LEFT JOIN v ON p.word = v.word)
-    SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids FROM j GROUP BY doc_id""",
+    w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '') AS ws FROM documents),
+    p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w),
+    j AS (SELECT doc_id, count(*) AS n, sum(coalesce(id, 1) * (i % 1009 + 1)) AS m FROM p LEFT JOIN v ON p.word = v.word GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(m, 0)::BIGINT AS mark FROM documents LEFT JOIN j USING (doc_id)""",
 )
 
 
@@ -269,10 +290,40 @@ over(
 )
 
 # Joins
+def _keyless(t: DataFrame) -> DataFrame:
+    """Orders of which a fifth lacks its customer's key."""
+    return t.withColumn("c_custkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey"))).drop("o_custkey")
+
+
 register(
-    "read_join_drop", lambda spark, d: readers.read_join(table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), table(spark, d, "customer").where("c_custkey % 3 > 0"), ["c_custkey"], "drop").select("o_orderkey", "c_custkey", "c_name", "c_mktsegment"),
-    "SELECT o_orderkey, c_custkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 > 0",
+    "read_join_drop", lambda spark, d: readers.read_join(_keyless(table(spark, d, "orders")), table(spark, d, "customer"), ["c_custkey"], "drop").select("o_orderkey", "c_custkey", "c_name", "c_mktsegment"),
+    "SELECT o_orderkey, c_custkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 <> 0",
 )
+
+
+def _joined_by_the_verb(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda name: {"kind": "parquet", "path": f"{d}/{name}.parquet"}
+    columns = [{"name": n, "kind": k} for n, k in (("doc_id", "integer"), ("quality", "number"), ("lang", "category"), ("n_chars", "number"))]
+    done = create().read_join(left=part("labels"), right=part("documents"), on=["doc_id"], unmatched="drop").declare(columns=columns).build().run(spark)
+    return done.df.select("doc_id", "quality", "lang", "n_chars")
+
+
+register("read_join_verb", _joined_by_the_verb, "SELECT doc_id, quality::DOUBLE AS quality, lang, n_chars::DOUBLE AS n_chars FROM labels JOIN documents USING (doc_id)")
+
+
+def _read_again(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """nation, written as a file of the kind and read by its verb."""
+    path, nation = kept_path(spark, f"nation-{kind}"), table(spark, d, "nation").withColumn("note", F.concat(F.lit('a "quoted", cell of\nline '), "n_name"))
+    if kind == "csv":
+        nation.coalesce(1).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    else:  # one array of objects: as many as there are nations
+        nation.agg(F.to_json(F.collect_list(F.struct(*nation.columns))).alias("value")).coalesce(1).write.text(path)
+    columns = [{"name": n, "kind": k} for n, k in (("n_nationkey", "integer"), ("n_name", "category"), ("n_regionkey", "integer"), ("note", "text"))]
+    return create().add(f"read.{kind}", path=path).declare(columns=columns).build().run(spark).df.select("n_nationkey", "n_name", "n_regionkey", "note")
+
+
+for _kind in ("csv", "json"):
+    register(f"read_{_kind}", lambda spark, d, k=_kind: _read_again(spark, d, k), "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey, 'a \"quoted\", cell of' || chr(10) || 'line ' || n_name AS note FROM nation")
 register(
     "read_join_refuse", lambda spark, d: readers.read_join(table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), table(spark, d, "nation"), ["n_nationkey"]).select("c_custkey", "n_nationkey", "n_name"),
     "SELECT c_custkey, n_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
@@ -314,8 +365,48 @@ over(
     f"""{_DAYS}, k AS (SELECT day, {_ENOUGH} 100 * (close - min(low) {_W}) / (max(high) {_W} - min(low) {_W}) END AS k FROM d)
     SELECT day::VARCHAR AS day, round(k, 4) AS x_k, round(CASE WHEN count(k) OVER w >= 3 THEN avg(k) OVER w END, 4) AS x_d FROM k WINDOW w AS (ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
 )
-for _name, _cols in (("ema", ["close"]), ("rsi", ["close"]), ("macd", ["close"]), ("atr", ["high", "low", "close"]), ("adx", ["high", "low", "close"])):
-    over(f"indicator_{_name}", "orders", lambda t, n=_name, c=_cols: indicators.add_indicator(_days(t), "x", n, 5, c, ["day"]).select(F.col("day").cast("string").alias("day"), *(F.round(f"x{e}", 4).alias(f"x{e}") for e in indicators.INDICATORS[n][1])))
+
+
+def _series(t: DataFrame) -> DataFrame:
+    """A series of days for each order priority."""
+    return t.groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), ((F.max("o_totalprice") + F.min("o_totalprice")) / 2).alias("close"))
+
+
+_SERIES = """d AS (SELECT o_orderpriority AS series, o_orderdate::DATE AS day, max(o_totalprice) AS high, min(o_totalprice) AS low, (max(o_totalprice) + min(o_totalprice)) / 2 AS close FROM orders GROUP BY 1, 2),
+    n AS (SELECT *, row_number() OVER w AS i, close - lag(close) OVER w AS step, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS reach,
+    high - lag(high) OVER w AS up, lag(low) OVER w - low AS down FROM d WINDOW w AS (PARTITION BY series ORDER BY day))"""
+
+
+def _recursion(name: str, source: str, x: str, first: int, period: int, weight: float) -> str:
+    """A recursive table (series, i, v): from row first + period - 1, the mean of the period rows there, then v + weight * (x - v)."""
+    at = first + period - 1
+    return f"""{name} AS (SELECT series, {at}::BIGINT AS i, avg({x}) AS v FROM {source} WHERE i BETWEEN {first} AND {at} GROUP BY series HAVING count({x}) = {period}
+    UNION ALL SELECT s.series, s.i, r.v + {weight!r} * ({x.replace('s.', '')} - r.v) FROM {name} r JOIN {source} s ON s.series = r.series AND s.i = r.i + 1)"""
+
+
+_RECURSIONS = {
+    "ema": ([_recursion("e", "n", "close", 1, 5, 2 / 6)], {"x": "e.v"}, "e"),
+    "rsi": ([_recursion("a", "n", "greatest(step, 0)", 2, 5, 1 / 5), _recursion("b", "n", "greatest(-step, 0)", 2, 5, 1 / 5)], {"x": "CASE WHEN b.v = 0 THEN CASE WHEN a.v = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + a.v / b.v) END"}, "a LEFT JOIN b"),
+    "macd": (
+        [_recursion("f", "n", "close", 1, 12, 2 / 13), _recursion("g", "n", "close", 1, 26, 2 / 27), "l AS (SELECT series, i, f.v - g.v AS line FROM f JOIN g USING (series, i))", _recursion("h", "l", "line", 26, 5, 2 / 6)],
+        {"x_line": "l.line", "x_signal": "h.v", "x_histogram": "l.line - h.v"}, "l LEFT JOIN h",
+    ),
+    "atr": ([_recursion("e", "n", "reach", 1, 5, 1 / 5)], {"x": "e.v"}, "e"),
+    "adx": (
+        [_recursion("a", "n", "CASE WHEN up > down AND up > 0 THEN up ELSE 0 END", 2, 5, 1 / 5), _recursion("b", "n", "CASE WHEN down > up AND down > 0 THEN down ELSE 0 END", 2, 5, 1 / 5),
+         "m AS (SELECT series, i, CASE WHEN a.v + b.v = 0 THEN 0.0 ELSE 100 * abs(a.v - b.v) / (a.v + b.v) END AS dx FROM a JOIN b USING (series, i))", _recursion("c", "m", "dx", 6, 5, 1 / 5)],
+        {"x": "c.v"}, "c",
+    ),
+}
+for _name, (_tables, _out, _from) in _RECURSIONS.items():
+    _cols = ["high", "low", "close"] if _name in ("atr", "adx") else ["close"]
+    _first, *_more = _from.split(" LEFT JOIN ")
+    _joins = f"LEFT JOIN {_first} ON {_first}.series = n.series AND {_first}.i = n.i" + "".join(f" LEFT JOIN {m} ON {m}.series = n.series AND {m}.i = n.i" for m in _more)
+    over(
+        f"indicator_{_name}", "orders",
+        lambda t, n=_name, c=_cols: indicators.add_indicator(_series(t), "x", n, 5, c, ["day"], ["series"]).select("series", F.col("day").cast("string").alias("day"), *(F.round(f"x{e}", 3).alias(f"x{e}") for e in indicators.INDICATORS[n][1])),
+        f"WITH RECURSIVE {_SERIES}, " + ", ".join(_tables) + " SELECT n.series, n.day::VARCHAR AS day, " + ", ".join(f"round({q}, 3) AS {k}" for k, q in _out.items()) + f" FROM n {_joins}",
+    )
 over(
     "target_distribution_remainder", "lineitem", lambda t: outputs.target_distribution(t.withColumns({"a": F.col("l_quantity"), "b": F.col("l_linenumber") * 1.0, "whole": F.lit(100.0)}), ["a", "b"], "whole", "rest").select(*LINE, r6("a").alias("a"), r6("b").alias("b"), r6("rest").alias("rest")),
     "SELECT l_orderkey, l_linenumber, round(l_quantity / 100.0, 6) AS a, round(l_linenumber / 100.0, 6) AS b, round((100.0 - l_quantity - l_linenumber) / 100.0, 6) AS rest FROM lineitem",
@@ -337,7 +428,27 @@ over(
     "evidence_duplicates", "lineitem", lambda t: evidence.duplicates(t, keys.row_key(t, ["l_quantity", "l_discount", "l_tax"]), F.col("l_returnflag")),
     "WITH g AS (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS p FROM lineitem GROUP BY l_quantity, l_discount, l_tax HAVING count(*) > 1) SELECT count(*) AS groups, sum(n)::BIGINT AS rows, sum(n - 1)::BIGINT AS extra, count(*) FILTER (p > 1) AS across FROM g",
 )
-over("evidence_pairs", "nation", lambda t: evidence.pairings(t.crossJoin(t.select(F.lit(1).alias("x")).limit(2)), ["n_nationkey", "n_name", "n_regionkey"]), "SELECT 'n_nationkey' AS left, 'n_name' AS right, 25::BIGINT AS values")
+
+
+def _alerted(t: DataFrame) -> DataFrame:
+    rows = t.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.substring("o_orderpriority", 1, 1).alias("first"), F.lit(1.0).alias("flat"), F.when(F.col("o_orderkey") % 10 == 0, -1.0).otherwise(F.col("o_totalprice") + 5000).alias("price"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("gappy"), F.col("o_orderstatus").alias("answer"))
+    for c, kind in (("o_orderstatus", "category"), ("o_orderpriority", "category"), ("first", "category"), ("answer", "category")):
+        rows = rows.withMetadata(c, {"kind": kind})
+    return evidence.Alerts(rows, rows.columns[:-1], ["answer"], []).table().select("column", "other", "alert", "rows", "action", "verb", "value")
+
+
+over(
+    "profile_alerts", "orders", _alerted,
+    """WITH a AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) = count(*) AND max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS running, count(*) FILTER (o_orderkey % 10 = 0) AS nothing, count(*) FILTER (o_orderkey % 3 = 0) AS gaps,
+    count(DISTINCT o_orderpriority) AS p, count(DISTINCT substr(o_orderpriority, 1, 1)) AS q, count(DISTINCT (o_orderpriority, substr(o_orderpriority, 1, 1))) AS pq FROM orders)
+    SELECT 'o_orderkey' AS "column", NULL AS other, 'identifier' AS alert, n AS rows, 'leaveout' AS action, NULL AS verb, NULL AS value FROM a WHERE running
+    UNION ALL SELECT c, NULL, 'category', n, 'step', 'encode.categories', NULL FROM a, (VALUES ('o_orderstatus'), ('o_orderpriority'), ('first')) t(c)
+    UNION ALL SELECT 'o_orderstatus', 'answer', 'answer', n, 'leaveout', NULL, NULL FROM a
+    UNION ALL SELECT 'first', 'o_orderpriority', 'repeats', n, 'leaveout', NULL, NULL FROM a WHERE p = q AND q = pq
+    UNION ALL SELECT 'flat', NULL, 'constant', n, 'leaveout', NULL, NULL FROM a
+    UNION ALL SELECT 'price', NULL, 'nothingknown', nothing, 'saymissing', NULL, '-1' FROM a
+    UNION ALL SELECT 'gappy', NULL, 'gaps', gaps, 'step', 'fill.missing', NULL FROM a""",
+)
 _PAIRS = (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))
 over("correlation_pearson", "lineitem", lambda t: evidence.correlation(t, ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("coefficient", r6("coefficient")), " UNION ALL ".join(f"SELECT '{a}' AS left, '{b}' AS right, round(corr({a}, {b}), 6) AS coefficient, count(*) AS kept, count(*) AS total FROM lineitem" for a, b in _PAIRS))
 _RANKS = "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount")) + " FROM lineitem)"
@@ -396,7 +507,11 @@ over("blend_average", "lineitem", lambda t: measures.blend_average(t, "l_partkey
 over("blend_vote", "lineitem", lambda t: measures.blend_vote(t, "l_partkey", "l_returnflag", "l_discount"), "WITH v AS (SELECT l_partkey, l_returnflag AS w, count(*) AS n, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2) SELECT l_partkey, w AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, m DESC, w) = 1")
 register("conformal", lambda spark, d: spark.createDataFrame([(measures.conformal_margin(table(spark, d, "orders"), F.col("o_totalprice"), F.lit(150000.0), 0.1),)], "margin double"), "WITH e AS (SELECT abs(o_totalprice - 150000.0) AS e FROM orders) SELECT e AS margin FROM e QUALIFY row_number() OVER (ORDER BY e) = (SELECT ceil((count(*) + 1) * 0.9 - 1e-9) FROM e)")
 over("kind_proposal", "customer", lambda t: propose_kinds(t.select(*(F.col(c).cast("string").alias(c) for c in t.columns))), "SELECT * FROM (VALUES ('c_custkey', 'integer'), ('c_name', 'text'), ('c_nationkey', 'integer'), ('c_acctbal', 'number'), ('c_mktsegment', 'category')) t(\"column\", kind)")
-over("drop_columns", "lineitem", lambda t: t.drop("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"), "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem")
+over(
+    "drop_columns", "lineitem",
+    lambda t: by_verbs(t, [("l_orderkey", "integer"), ("l_linenumber", "integer"), ("l_quantity", "number"), ("l_returnflag", "category")], ("drop.columns", {"columns": ["l_quantity"]})).df.drop("_key", "_read_at"),
+    "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_returnflag FROM lineitem",
+)
 
 
 def flagship_plan(path: str):
@@ -429,11 +544,11 @@ register(
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship pipeline fitted, then applied to lines as if they came later."""
     done = flagship_plan(f"{sf_dir}/lineitem.parquet").run(spark)
-    later = done.transform(table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0"))
+    later = done.transform(table(spark, sf_dir, "lineitem"))
     return later.agg(F.count("*").alias("n"), F.round(F.sum("l_linestatus"), 3).alias("l_linestatus"), F.round(F.sum("l_returnflag_R"), 3).alias("l_returnflag_R"))
 
 
-register("replay", replayed, "SELECT count(*) AS n, sum((l_linestatus = 'O')::INT)::DOUBLE AS l_linestatus, sum((l_returnflag = 'R')::INT)::DOUBLE AS \"l_returnflag_R\" FROM lineitem WHERE l_orderkey % 5 = 0")
+register("replay", replayed, "SELECT count(*) AS n, sum((l_linestatus = 'O')::INT)::DOUBLE AS l_linestatus, sum((l_returnflag = 'R')::INT)::DOUBLE AS \"l_returnflag_R\" FROM lineitem")
 
 
 def warmed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,3 +559,129 @@ def warmed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("drop_warmup", warmed_up, f"{_DAYS}, s AS (SELECT day, {_ENOUGH} avg(close) {_W} END AS x FROM d) SELECT day::VARCHAR AS day, round(x, 4) AS x FROM s WHERE x IS NOT NULL")
+
+
+# What a run can be asked. Orders are split by date: parts follow from the rank of the date.
+_ORDERS = [("o_orderkey", "integer"), ("o_custkey", "integer"), ("o_totalprice", "number"), ("o_orderdate", "timestamp"), ("o_orderstatus", "category"), ("o_orderpriority", "category")]
+_BY_TIME = ("split.byTime", {"column": "o_orderdate"})
+_SPLIT = f"p AS (SELECT *, {_PART} AS part FROM (SELECT *, rank() OVER (ORDER BY o_orderdate) - 1 AS f FROM orders), {_EDGE})"
+
+
+def _measured(told: DataFrame) -> DataFrame:
+    return told.select("part", "metric", r6("model").alias("model"), r6("baseline").alias("baseline"))
+
+
+def _wide(measures_sql: dict[str, tuple[str, str]]) -> str:
+    """A row for each measure out of a table x (part, y, p, b), for parts validation and test."""
+    each = [f"SELECT part, '{m}' AS metric, round({a}, 6)::DOUBLE AS model, round({b}, 6)::DOUBLE AS baseline FROM x WHERE part IN ('validation', 'test') GROUP BY part" for m, (a, b) in measures_sql.items()]
+    return " UNION ALL ".join(each)
+
+
+def _run_regression(t: DataFrame) -> DataFrame:
+    report = ("evidence.report", {"metrics": ["rmse", "mae", "r2", "mape"], "parts": ["validation", "test"]})
+    done = by_verbs(t, _ORDERS[:4], ("drop.columns", {"columns": ["o_custkey"]}), _BY_TIME, ("normalise", {"column": "o_totalprice", "scale": "standard"}), ("drop.columns", {"columns": ["o_orderdate"]}), ("target", {"column": "o_totalprice"}), report)
+    return _measured(done.measure(lambda rows: rows.withColumn("prediction", F.col("o_totalprice") * 0.9)))
+
+
+_ERR = {"rmse": "sqrt(avg(pow(y - {p}, 2)))", "mae": "avg(abs(y - {p}))", "r2": "1 - avg(pow(y - {p}, 2)) / var_pop(y)", "mape": "avg(abs((y - {p}) / y))"}
+over(
+    "measure_run_regression", "orders", _run_regression,
+    f"WITH {_SPLIT}, t AS (SELECT avg(o_totalprice) AS m FROM p WHERE part = 'train'), x AS (SELECT part, o_totalprice AS y, m + 0.9 * (o_totalprice - m) AS p, m AS b FROM p, t) " + _wide({m: (q.format(p="p"), q.format(p="b")) for m, q in _ERR.items()}),
+)
+
+
+def _run_classes(t: DataFrame) -> DataFrame:
+    report = ("evidence.report", {"metrics": ["accuracy", "precision", "recall", "f1", "brier", "auc"], "parts": ["validation", "test"]})
+    rows = t.withColumn("dear", F.when(F.col("o_totalprice") > 200000, 1.0).otherwise(0.0))
+    done = by_verbs(rows, [("o_orderkey", "integer"), ("o_orderdate", "timestamp"), ("dear", "number")], _BY_TIME, ("drop.columns", {"columns": ["o_orderdate"]}), ("target", {"column": "dear"}), report)
+    return _measured(done.measure(lambda rows: rows.withColumn("prediction", ((F.col("o_orderkey") * 31) % 101) / 100.0)))
+
+
+over(
+    "measure_run_classes", "orders", _run_classes,
+    f"""WITH {_SPLIT}, y AS (SELECT part, (o_totalprice > 200000)::INT AS y, ((o_orderkey * 31) % 101) / 100.0 AS p FROM p), t AS (SELECT avg(y) AS b FROM y WHERE part = 'train'),
+    x AS (SELECT y.*, b, (p >= 0.5)::INT AS s, (b >= 0.5)::INT AS sb, rank() OVER (PARTITION BY part ORDER BY p) + (count(*) OVER (PARTITION BY part, p) - 1) / 2.0 AS r FROM y, t) """
+    + _wide({
+        "accuracy": ("avg((y = s)::INT)", "avg((y = sb)::INT)"),
+        "precision": ("coalesce(sum(y * s) / nullif(sum(s), 0), 0)", "coalesce(sum(y * sb) / nullif(sum(sb), 0), 0)"),
+        "recall": ("sum(y * s) / sum(y)", "sum(y * sb) / sum(y)"),
+        "f1": ("2 * sum(y * s) / (sum(y) + sum(s))", "2 * sum(y * sb) / (sum(y) + sum(sb))"),
+        "brier": ("avg(pow(p - y, 2))", "avg(pow(b - y, 2))"),
+        "auc": ("(sum(r * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))", "0.5"),
+    }),
+)
+
+
+def _run_shares(t: DataFrame) -> DataFrame:
+    report = ("evidence.report", {"metrics": ["kl", "emd", "rps"], "parts": ["validation", "test"]})
+    rows = t.withColumns({"a": F.col("o_orderkey") % 7 + 1.0, "b": F.col("o_orderkey") % 5 + 1.0, "whole": F.lit(20.0)})
+    kinds = [("o_orderkey", "integer"), ("o_orderdate", "timestamp"), ("a", "number"), ("b", "number"), ("whole", "number")]
+    done = by_verbs(rows, kinds, _BY_TIME, ("drop.columns", {"columns": ["o_orderdate"]}), ("target.distribution", {"columns": ["a", "b"], "scaleBy": "whole", "remainder": "rest"}), report)
+    return _measured(done.measure(lambda rows: rows.withColumns({"prediction_0": F.lit(0.2), "prediction_1": F.lit(0.3), "prediction_2": F.lit(0.5)})))
+
+
+def _share_sql(a: str, b: str, c: str) -> dict[str, str]:
+    """Units are counts out of 20; kl over all three, emd and rps over the first two as shares of their sum."""
+    held = {"u": "a / 20", "v": "b / 20", "w": "(20 - a - b) / 20"}
+    kl = " + ".join(f"({h}) * ln(({h}) / ({s}))" for h, s in zip(held.values(), (a, b, c), strict=True))
+    gap = f"(a / (a + b) - {a} / ({a} + {b}))"
+    return {"kl": f"avg({kl})", "emd": f"avg(abs({gap}))", "rps": f"avg(pow({gap}, 2))"}
+
+
+_M3, _B3 = _share_sql("0.2", "0.3", "0.5"), _share_sql("ma", "mb", "(1 - ma - mb)")
+over(
+    "measure_run_shares", "orders", _run_shares,
+    f"WITH {_SPLIT}, c AS (SELECT part, o_orderkey % 7 + 1.0 AS a, o_orderkey % 5 + 1.0 AS b FROM p), t AS (SELECT avg(a) / 20 AS ma, avg(b) / 20 AS mb FROM c WHERE part = 'train'), x AS (SELECT * FROM c, t) " + _wide({m: (_M3[m], _B3[m]) for m in _M3}),
+)
+
+
+def _run_needs(t: DataFrame) -> DataFrame:
+    """Sums over the training batch of a run of every step, of one without scales, and of one with categories as places."""
+    b = create().read_rows().declare(columns=[{"name": n, "kind": k} for n, k in _ORDERS]).add("split.byTime", column="o_orderdate").drop_columns(columns=["o_orderdate", "o_custkey", "o_orderkey"])
+    b = b.normalise(column="o_totalprice", scale="minmax").encode(column="o_orderstatus").encode(column="o_orderpriority", as_="ordinal").build()
+    out = None
+    for needs in ("numbers", "noScale", "categories"):
+        done = b.run_for(t.sparkSession, needs, t)
+        rows = done.batch("train", needs)
+        status = F.col("o_orderstatus") if "o_orderstatus" in rows.columns else F.col("o_orderstatus_O") + 2 * F.col("o_orderstatus_P")
+        one = rows.agg(F.lit(needs).alias("needs"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"), F.sum(status).alias("status"), F.sum("o_orderpriority").alias("priority"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+over(
+    "batch_needs", "orders", _run_needs,
+    f"""WITH {_SPLIT}, t AS (SELECT *, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS s, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS q, min(o_totalprice) OVER () AS lo, max(o_totalprice) OVER () AS hi FROM p WHERE part = 'train')
+    SELECT needs, count(*) AS n, round(sum(CASE WHEN needs = 'numbers' THEN (o_totalprice - lo) / (hi - lo) ELSE o_totalprice END), 2) AS price, sum(s)::DOUBLE AS status, sum(q)::DOUBLE AS priority
+    FROM t, (VALUES ('numbers'), ('noScale'), ('categories')) v(needs) GROUP BY needs""",
+)
+over(
+    "fit_entry", "orders", lambda t: by_verbs(t, _ORDERS, _BY_TIME).fit_entries().where("name <> 'digest'"),
+    f"""WITH {_SPLIT} SELECT 'rows.' || part AS name, count(*)::VARCHAR AS value FROM p GROUP BY part
+    UNION ALL SELECT 'moments.' || part, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') || ' .. ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM p GROUP BY part""",
+)
+
+
+def _viewed(t: DataFrame) -> DataFrame:
+    rows = t.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")))
+    done = by_verbs(rows, _ORDERS, ("feature.add", {"column": "twice", "left": "o_totalprice", "arithmetic": "plus", "right": "o_totalprice"}), ("drop.gaps", {"columns": ["o_totalprice"]}), _BY_TIME, ("normalise", {"column": "o_totalprice"}))
+    return done.view(3).groupBy(F.col("_standing").alias("standing")).agg(F.count("*").alias("n"), F.round(F.sum("twice"), 2).alias("twice"))
+
+
+over(
+    "view_standing", "orders", _viewed,
+    f"""WITH orders AS (SELECT * FROM main.orders WHERE o_orderkey % 9 <> 0), {_SPLIT} SELECT part AS standing, count(*) AS n, round(sum(2 * o_totalprice), 2) AS twice FROM p GROUP BY part
+    UNION ALL SELECT 'dropped', count(*), NULL FROM main.orders WHERE o_orderkey % 9 = 0 HAVING count(*) > 0""",
+)
+over(
+    "watch_moments", "lineitem", lambda t: evidence.watched(evidence.tallies(t.where(_LT), ["l_shipdate"]), t.where(f"not ({_LT})"), ["l_shipdate"], 0.01).withColumn("distance", r6("distance")),
+    f"WITH {_SIDES}, {_KS.format(v='l_shipdate')}, d AS (SELECT abs(sum(a - b) OVER (ORDER BY v)) AS d FROM c) SELECT 'l_shipdate' AS column, round(max(d), 6) AS distance, max(d) > 0.01 AS warned FROM d",
+)
+over(
+    "encode_categories", "orders", lambda t: by_verbs(t, _ORDERS, _BY_TIME, ("encode.categories", {})).df.select("o_orderkey", *(F.col(f"`o_orderstatus_{w}`").alias(f"status_{w}") for w in "FOP"), "o_orderstatus_other", "o_orderpriority_was_missing", F.col("`o_orderpriority_1-URGENT`").alias("urgent")),
+    "SELECT o_orderkey, " + ", ".join(f"(o_orderstatus = '{w}')::INT::DOUBLE AS \"status_{w}\"" for w in "FOP") + ", 0.0::DOUBLE AS o_orderstatus_other, 0.0::DOUBLE AS o_orderpriority_was_missing, (o_orderpriority = '1-URGENT')::INT::DOUBLE AS urgent FROM orders",
+)
+over(
+    "target_numbers", "orders", lambda t: by_verbs(t, _ORDERS[:4], _BY_TIME, ("drop.columns", {"columns": ["o_orderdate"]}), ("target.numbers", {"columns": ["o_totalprice", "o_custkey"]})).batch("test").select("o_orderkey", "o_totalprice", "o_custkey"),
+    f"WITH {_SPLIT} SELECT o_orderkey::DOUBLE AS o_orderkey, o_totalprice, o_custkey::DOUBLE AS o_custkey FROM p WHERE part = 'test'",
+)

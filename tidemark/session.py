@@ -28,16 +28,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read again, so that what was learned does not change with its source. It goes below spark.checkpoint.dir; where
-    that is unset, as in tests, below a temporary folder that only a session of one machine can use."""
-    spark = df.sparkSession
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder that only a session of one
+    machine can use."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read again, so that what was learned does not change with its source."""
+    path = kept_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -40,8 +40,14 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of flat objects, cells as text; a missing name is a gap; nested values are refused."""
+    """An array of flat objects, cells as text, columns in the order in which their names are first seen; a missing name is a gap; nested
+    values are refused, and so is a name that stands twice in a record."""
     df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    # Names in the order in which they are first seen, as the records write them.
+    records = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("record", "cells"))
+    names = records.select("record", F.posexplode(F.map_keys("cells")).alias("place", "name")).groupBy("name").agg(F.min(F.struct("record", "place")).alias("first"))
+    order = [r["name"] for r in names.orderBy("first").collect()]  # a row for each column
+    df = df.select(*(f"`{n}`" for n in order if n in df.columns), *(f"`{n}`" for n in df.columns if n not in order))
     nested = [f.name for f in df.schema if not isinstance(f.dataType, T.StringType)]
     if nested:
         raise Refused(f"read.json: {', '.join(nested)} hold nested values")
@@ -87,12 +93,24 @@ def workbook_rows(data: bytes, sheet: str | None = None) -> list[list[str | None
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """The first row names the columns. A workbook is one file of at most a million rows, and one task reads it."""
-    data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
-    rows = workbook_rows(data, sheet)
-    names = [n or f"column{i + 1}" for i, n in enumerate(rows[0])]
-    fixed = [tuple((r + [None] * len(names))[: len(names)]) for r in rows[1:]]
-    return spark.createDataFrame(fixed, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    """The first row names the columns. A workbook is one file of at most a million rows; a task parses it, and only the names come to the
+    driver. path may be a folder of workbooks with the same columns."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def cells(frames: Iterator[pd.DataFrame], names: bool) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for where, content in zip(frame["path"], frame["content"], strict=True):
+                rows = workbook_rows(bytes(content), sheet)
+                rows = rows[:1] if names else rows[1:]
+                yield pd.DataFrame({"path": where, "row": range(len(rows)), "cells": rows})
+
+    layout = "path string, row long, cells array<string>"
+    heads = files.mapInPandas(lambda frames: cells(frames, True), layout).select("cells").distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise Refused("read.excel: the workbooks have different columns" if heads else f"read.excel: there is no workbook at {path}")
+    names = [n or f"column{i + 1}" for i, n in enumerate(heads[0]["cells"])]
+    read = files.mapInPandas(lambda frames: cells(frames, False), layout)
+    return read.select(*(F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
 
 
 def read_join(left: DataFrame, right: DataFrame, on: list[str], unmatched: str = "refuse") -> DataFrame:
