@@ -19,13 +19,16 @@ from tidemark.functions import features, indicators, keys
 from tidemark.functions.kinds import TYPES, as_kind, cell_text, is_gap, kind_of, read_cell, unreadable
 from tidemark.operators import evidence, fits, learners, measures, outputs, splits
 from tidemark.operators.fits import Refused
+from tidemark.plans.catalog import HANDLERS
 from tidemark.plans.needs import Landing, answers_of, left_out, missed
 from tidemark.plans.rules import DeclarationError, faults
-from tidemark.plans.verbs import VERBS, Step, step
+from tidemark.plans.verbs import FORMS, VERBS, Step, step
 from tidemark.session import kept_table
 from tidemark.sources import readers
 
 VERSION = 16
+#: Verbs that write features in a form, and the key that names it.
+FORMED = {"feature.cycle": "form", "feature.cyclical": "form", "scale.given": "lands"}
 HIDDEN = ("_read_at", "_key", "_part")
 #: Beginning of the names of columns that keep what a way back needs of a row.
 KEPT = "_kept_"
@@ -94,14 +97,27 @@ class FittingBuilder:
 
     roles = {"fit", "answer", "evidence", "report", "learner", "drop"}
 
-    def __init__(self, steps: tuple[Step, ...] = ()):
-        self.steps = steps
+    def __init__(self, steps: tuple[Step, ...] = (), form: str | None = None):
+        self.steps, self.form = steps, form
 
     def add(self, verb: str, **params: Any) -> FittingBuilder:
-        one = step(verb, **{k.rstrip("_"): v for k, v in params.items()})
+        given = {k.rstrip("_"): v for k, v in params.items()}
+        if self.form and verb in FORMED:
+            given.setdefault(FORMED[verb], self.form)
+        one = step(verb, **given)
         if one.spec.role not in self.roles:
             raise ValueError(f"{verb} does not stand here")
-        return (FittingBuilder if one.spec.role == "split" else type(self))((*self.steps, one))
+        return (FittingBuilder if one.spec.role == "split" else type(self))((*self.steps, one), self.form)
+
+    def lines(self, verb: str, key: str, groups: dict[Any, list[str]], **params: Any) -> FittingBuilder:
+        """One step a column, a setting named per group of columns: lines("normalise", "scale", {"minmax": ["a"], "robust": ["b", "c"]})."""
+        if not any(groups.values()):
+            raise ValueError("the line names no column")
+        out = self
+        for word, columns in groups.items():
+            for c in columns:
+                out = out.add(verb, column=c, **{key: word}, **params)
+        return out
 
     def __getattr__(self, name: str):
         verb = next((v for v in VERBS if v.replace(".", "_").lower() == name.replace("_", "").lower() or v.replace(".", "_").lower() == name.lower()), None)
@@ -119,6 +135,12 @@ class PipelineBuilder(FittingBuilder):
 
     roles = {"source", "schema", "add", "order", "drop", "split", "evidence", "answer"}
 
+    def default_features(self, form: str) -> PipelineBuilder:
+        """Where features written below land, unless a step says otherwise: signed, unit or splitsign."""
+        if form not in FORMS:
+            raise ValueError(f"a form is one of {', '.join(FORMS)}")
+        return PipelineBuilder(self.steps, form)
+
 
 def create() -> PipelineBuilder:
     return PipelineBuilder()
@@ -148,6 +170,8 @@ def _fitted(s: Step, df: DataFrame, places: bool = False) -> list[fits.FillMissi
         return [fits.Encode(p["column"], "places" if places else p["as"], p["unseen"])]
     if s.verb == "encode.categories":
         return [fits.Encode(f.name, "places" if places else p["as"], p["unseen"]) for f in df.schema if f.metadata.get("kind") == "category"]
+    if s.verb in HANDLERS:
+        return [HANDLERS[s.verb](p)]
     if s.verb == "encode.piecewise":
         return [fits.Piecewise(p["column"], p["bins"], p["outOfRange"])]
     return []
@@ -224,7 +248,7 @@ class _Walk:
             df = rows
         else:
             part = lambda side: {"csv": readers.read_csv, "parquet": readers.read_parquet, "json": readers.read_json}[side["kind"]](self.spark, side["path"])
-            df = {
+            df = HANDLERS[s.verb](self.spark, p) if s.verb in HANDLERS else {
                 "read.csv": lambda: readers.read_csv(self.spark, p["path"]),
                 "read.parquet": lambda: readers.read_parquet(self.spark, p["path"]),
                 "read.json": lambda: readers.read_json(self.spark, p["path"]),
@@ -278,7 +302,9 @@ class _Walk:
 
     def _act(self, s: Step) -> None:
         p, df = s.params, self.df
-        if s.verb == "drop.columns":
+        if s.verb in HANDLERS:
+            self.df = HANDLERS[s.verb](df, p)
+        elif s.verb == "drop.columns":
             lacking = [c for c in p["columns"] if c not in df.columns]
             if lacking:
                 raise Refused(f"there is no {', '.join(lacking)}")
@@ -392,7 +418,9 @@ class _Walk:
             return
         p = s.params
         columns = p.get("columns") or [c for c in self.df.columns if c not in HIDDEN and not c.startswith(KEPT) and c != self.id]
-        if s.verb == "evidence.profile":
+        if s.verb in HANDLERS:
+            self.evidence[s.verb] = HANDLERS[s.verb](self.df, p)
+        elif s.verb == "evidence.profile":
             measured = self.train() if "_part" in self.df.columns else self.df
             self.evidence["profile"] = evidence.profile(measured, columns)
             along = [*self.order, *(x["column"] for x in self.declaration.steps if x.verb == "split.byTime")]

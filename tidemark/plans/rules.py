@@ -53,6 +53,17 @@ def faults(steps: list[Step]) -> Iterator[str]:
                 yield say(i, "rows ahead need the split's column alone as order")
             elif steps[split]["gap"] < s["ahead"]:
                 yield say(i, f"the split's gap of {steps[split]['gap']} is less than {s['ahead']} rows ahead")
+        changed = [x for k, x in enumerate(steps[:i]) if x.verb in ("normalise", "scale.given", "outliers.clip", "fill.nan", "encode", "encode.piecewise") or (x.verb == "maths" and not x["into"])]
+        if s.verb == "target.ahead" and s["as"] == "return" and any(x["column"] == s["column"] for x in changed):
+            yield say(i, f"a return is made from {s['column']} as it was read")
+        if s.verb == "target.distribution" and s["remainder"]:
+            touched = [x["column"] for x in changed if x["column"] in (*s["columns"], s["scaleBy"])]
+            if touched:
+                yield say(i, f"a remainder is made from {', '.join(touched)} as read")
+            if not s["scaleBy"]:
+                yield say(i, "a remainder is what counts leave of a whole, and scaleBy names none")
+        if s.spec.ordered and i > split and s.spec.role != "answer" and steps[split].verb != "split.byTime":
+            yield say(i, "reads the rows' order below a split that is not by time")
     answer = at.get("answer", [None])[0]
     for role in ("report", "learner"):
         for i in at.get(role, []):
