@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import struct
 import wave
 import zlib
@@ -46,14 +47,35 @@ def test_splits_do_not_depend_on_row_order_and_keep_copies_together(spark, value
     assert all(len({p for x, p in parts[0] if x == v}) == 1 for v in values)
 
 
-def test_places_beyond_one_task(spark, monkeypatch):
-    monkeypatch.setattr(splits, "ORDERED_BY_ONE", 10)
-    values = [(i * i * 7919) % 1_000_003 for i in range(500)]
-    df = spark.createDataFrame([(v,) for v in values], "v long")
-    found = splits.values_at(df, "v", [0, 100, 333, 499])
-    for p in (0, 100, 333, 499):
+def test_places_of_values(spark):
+    values = [(i * i * 7919) % 1_000_003 for i in range(500)] + [5] * 40
+    df = spark.createDataFrame([(v, str(v % 3)) for v in values], "v long, g string")
+    found = splits.values_at(df, "v", [0, 20, 100, 333, 499])
+    for p in (0, 20, 100, 333, 499):
         want = sorted(values)[p]
-        assert found[(None, p)] == (want, sum(v < want for v in values))
+        assert found[(None, p)] == (want, sum(v < want for v in values), values.count(want))
+    by_group = splits.values_at(df, "v", {g: [0, 50] for g in "012"}, "g")
+    for g in range(3):
+        own = sorted(v for v in values if v % 3 == g)
+        assert [by_group[(str(g), p)][0] for p in (0, 50)] == [own[0], own[50]]
+
+
+@pytest.mark.parametrize("folds", [None, 4])
+def test_strata_are_dealt_by_their_own_ranks(spark, folds):
+    rows = [(i % 90, "abc"[i % 3] if i % 7 else None) for i in range(400)]  # copies too
+    df = spark.createDataFrame(rows, "x int, g string")
+    key = keys.row_key(df)
+    parts = splits.stratified(df, "g", key, splits.Shares(0.5, 0.2, 0.3), 3, folds, 1).withColumn("r", keys.rank_number(key, 3)).collect()
+    for g in (*"abc", None):
+        own = [r for r in parts if r.g == g]
+        ranks = sorted(r.r for r in own)
+        n = len(own)
+        a, b = math.floor(n * 0.5 + 0.5), math.floor(n * 0.5 + 0.5) + math.floor(n * 0.2 + 0.5)
+        m = sum(ranks.index(r.r) < b for r in own)
+        for r in own:
+            at = ranks.index(r.r)
+            want = "test" if at >= b else ("validation" if at * folds // m == 1 else "train") if folds else "train" if at < a else "validation"
+            assert r._part == want
 
 
 def test_history_golden(spark):

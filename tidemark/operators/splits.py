@@ -7,6 +7,7 @@ counting, and a row's part follows from comparing its own value. Equal values (c
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.keys import rank_number
+from tidemark.operators.evidence import running
+from tidemark.session import kept_table
 
 ORDER = ("train", "validation", "calibration", "test", "predict")
-#: Distinct values up to this many are ordered by one task; beyond it, places are found by halving ranges.
-ORDERED_BY_ONE = 1_000_000
-_BINS = 4096
+#: A stratum is a word of a category; more of them than this are refused.
+MOST_STRATA = 100_000
 
 
 @dataclass(frozen=True)
@@ -48,49 +50,23 @@ class Shares:
         return out
 
 
-def values_at(df: DataFrame, value: str, places: list[int], group: str | None = None) -> dict[tuple[object, int], tuple[int, int]]:
-    """For each place (from 0) in the order of the long column `value`: the value there and how many rows are below it.
-
-    Only as many rows as places come to the driver. Up to ORDERED_BY_ONE distinct values one window adds their counts up; beyond that
-    each pass counts rows in 4096 ranges around each place and goes on within one of them."""
-    places = sorted(set(places))
-    if not places:
+def values_at(df: DataFrame, value: str, places: Iterable[int] | dict[object, list[int]], group: str | None = None) -> dict[tuple[object, int], tuple[int, int, int]]:
+    """For each place (from 0) in the order of the long column `value`: the value there, how many rows are below it and how many hold it.
+    With a group (of few values), places is a list for each of them. Distinct values are added up by ranges; only as many rows as
+    places come to the driver."""
+    wanted = places if isinstance(places, dict) else {None: sorted(set(places))}
+    if not any(wanted.values()):
         return {}
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).count()
-    few = counts.limit(ORDERED_BY_ONE + 1).count() <= ORDERED_BY_ONE
-    if few:
-        below = F.coalesce(F.sum("count").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        placed = counts.withColumn("below", below)
-        wanted = F.array(*map(F.lit, places))
-        hit = placed.withColumn("place", F.explode(F.filter(wanted, lambda p: (p >= F.col("below")) & (p < F.col("below") + F.col("count")))))
-        return {(None, r["place"]): (r[value], r["below"]) for r in hit.collect()}
-    low, high = counts.agg(F.min(value), F.max(value)).first()
-    found, open_at = {}, {p: (low, high - low + 1, 0) for p in places}
-    while open_at:
-        starts = sorted(set(open_at.values()))
-        bins = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(span).alias("span")) for lo, span, _ in starts))
-        within = counts.withColumn("r", F.explode(F.filter(bins, lambda r: (F.col(value) >= r["lo"]) & (F.col(value) < r["lo"] + r["span"]))))
-        width = F.greatest(F.lit(1), F.ceil(F.col("r.span") / _BINS)).cast("bigint")
-        per = within.groupBy("r.lo", F.floor((F.col(value) - F.col("r.lo")) / width).cast("bigint").alias("bin")).agg(F.sum("count").alias("n"))
-        tally: dict[int, list[tuple[int, int]]] = {}
-        for r in per.collect():  # 4096 rows for each range
-            tally.setdefault(r["lo"], []).append((r["bin"], r["n"]))
-        following = {}
-        for p, (lo, span, below) in open_at.items():
-            width_of = max(1, -(-span // _BINS))
-            for b, n in sorted(tally[lo]):
-                if p < below + n:
-                    if width_of == 1:
-                        found[(None, p)] = (lo + b, below)
-                    else:
-                        following[p] = (lo + b * width_of, width_of, below)
-                    break
-                below += n
-        open_at = following
-    return found
-
-
-def _dealt(value: Column, edges: list[tuple[str, int]], at: dict[tuple[object, int], tuple[int, int]], n: int) -> Column:
+    by = [group] if group else []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).count()
+    placed = running(counts, value, {"upto": "count"}, by).withColumn("below", F.col("upto") - F.col("count"))
+    asked = df.sparkSession.createDataFrame([(g, sorted(set(p))) for g, p in wanted.items() if p], "asked_of string, asked array<long>")  # a row for each group
+    met = placed.join(F.broadcast(asked), F.col(group).eqNullSafe(F.col("asked_of")) if group else F.lit(True))
+    hit = met.withColumn("place", F.explode(F.filter("asked", lambda p: (p >= F.col("below")) & (p < F.col("upto")))))
+    return {(r["asked_of"], r["place"]): (r[value], r["below"], r["count"]) for r in hit.select("asked_of", "place", value, "below", "count").collect()}
+
+
+def _dealt(value: Column, edges: list[tuple[str, int]], at: dict[tuple[object, int], tuple[int, int, int]], n: int) -> Column:
     """The part of a row by its value: it is past an edge if no row below its value would be before the edge."""
     part, before = None, 0
     for name, edge in edges:
@@ -99,7 +75,7 @@ def _dealt(value: Column, edges: list[tuple[str, int]], at: dict[tuple[object, i
         if edge >= n:
             test = F.lit(True)
         else:
-            cut, below = at[(None, edge)]
+            cut, below, _ = at[(None, edge)]
             test = (value < cut) | ((value == cut) & F.lit(below < edge))
         part = F.when(test, name) if part is None else part.when(test, name)
         before = edge
@@ -157,9 +133,10 @@ def at_random(df: DataFrame, key: Column, shares: Shares, seed: int, test_seed:
     """df with _part by the rank of key (hexadecimal) under the seed; rows with one key stay together. test_seed deals test and predict
     first, and seed the rest anew. With folds, train and validation are one stretch of slices, of which slice `fold` validates."""
     ranked = df.withColumn("_rank", rank_number(key, test_seed if test_seed is not None else seed))
-    n = ranked.count()
+    ranks = kept_table(ranked.select("_rank"), "ranks")  # hashed once, then counted
+    n = ranks.count()
     edges = shares.edges(n)
-    part = _dealt(F.col("_rank"), edges, values_at(ranked, "_rank", [e for _, e in edges if e < n]), n)
+    part = _dealt(F.col("_rank"), edges, values_at(ranks, "_rank", [e for _, e in edges if e < n]), n)
     dealt = ranked.withColumn("_part", part)
     if test_seed is None and not folds:
         return dealt.drop("_rank")
@@ -182,26 +159,40 @@ def at_random(df: DataFrame, key: Column, shares: Shares, seed: int, test_seed:
 
 
 def stratified(df: DataFrame, column: str, key: Column, shares: Shares, seed: int, folds: int | None = None, fold: int = 0) -> DataFrame:
-    """df with _part, dealt as at_random within each group of the column (a gap is a group). Groups are as many as a category has; each
-    is ordered by its own task, on ranks alone."""
+    """df with _part, dealt as at_random within each group of the column (a gap is a group). The ranks at which the parts of each group
+    end are found by counting, and each row is compared with those of its group; MOST_STRATA groups at most."""
     ranked = df.withColumn("_rank", rank_number(key, seed)).withColumn("_group", F.col(f"`{column}`").cast("string"))
-    group = Window.partitionBy("_group")
-    first = F.rank().over(group.orderBy("_rank")) - 1
-    n = F.count(F.lit(1)).over(group)
-    placed = ranked.withColumn("_place", first).withColumn("_n", n)
+    ranks = kept_table(ranked.select("_group", "_rank"), "ranks")
+    sizes = {r["_group"]: r["count"] for r in ranks.groupBy("_group").count().limit(MOST_STRATA + 1).collect()}
+    if len(sizes) > MOST_STRATA:
+        raise ValueError(f"split.stratified: {column} has more than {MOST_STRATA} values")
     last = "predict" if shares.predict else "test"
-    part, at = None, F.lit(0)
-    for p in ORDER:
-        share = shares.of()[p]
-        if p == last or not share:
-            continue
-        at = at + F.round(F.col("_n") * share)
-        part = F.when(F.col("_place") < at, p) if part is None else part.when(F.col("_place") < at, p)
-    part = part.otherwise(last) if part is not None else F.lit(last)
-    dealt = placed.withColumn("_part", part)
+    edges: dict[object, list[tuple[str, int]]] = {}
+    for g, n in sizes.items():
+        at, edges[g] = 0, []
+        for p in ORDER:
+            if p != last and shares.of()[p]:
+                at += math.floor(n * shares.of()[p] + 0.5)
+                edges[g].append((p, at))
+    found = values_at(ranks, "_rank", {g: [e for _, e in some if e < sizes[g]] for g, some in edges.items()}, "_group")
     if folds:
-        both = F.col("_part").isin("train", "validation")
-        m = F.count_if(both).over(group)
-        told = F.when(F.floor(F.col("_place") * folds / m) == fold, "validation").otherwise("train")
-        dealt = dealt.withColumn("_part", F.when(both, told).otherwise(F.col("_part")))
-    return dealt.drop("_rank", "_group", "_place", "_n")
+        again = {}
+        for g, some in edges.items():
+            both = max((e for p, e in some if p in ("train", "validation")), default=0)
+            if both >= sizes[g]:
+                m = sizes[g]
+            else:  # copies go where the first of them falls
+                _, below, held = found[(g, both)]
+                m = below + held if below < both else both
+            low, high = -(-fold * m // folds), -(-(fold + 1) * m // folds)
+            again[g] = [("train", low), ("validation", high), ("train", m), *((p, e) for p, e in some if p not in ("train", "validation"))]
+        edges = again
+        found |= values_at(ranks, "_rank", {g: [e for _, e in some if e < sizes[g]] for g, some in edges.items()}, "_group")
+    rows = []
+    for g, some in edges.items():
+        tests = [(p, *((None, True) if e >= sizes[g] else (found[(g, e)][0], found[(g, e)][1] < e))) for p, e in some if e > 0]
+        rows.append((g, tests))
+    told = df.sparkSession.createDataFrame(rows, "_of string, _tests array<struct<part:string,cut:bigint,with_cut:boolean>>")  # a row for each stratum
+    met = ranked.join(F.broadcast(told), F.col("_group").eqNullSafe(F.col("_of")))
+    first = F.filter("_tests", lambda t: t["cut"].isNull() | (F.col("_rank") < t["cut"]) | ((F.col("_rank") == t["cut"]) & t["with_cut"]))
+    return met.withColumn("_part", F.coalesce(F.try_element_at(first, F.lit(1))["part"], F.lit(last))).drop("_rank", "_group", "_of", "_tests")
