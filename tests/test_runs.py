@@ -216,3 +216,31 @@ def test_make_up_adds_up(spark):
     told = measures.make_up(df, df.where("a = 9"), lambda d: d.withColumn("prediction", 2 * F.col("a") + F.col("b")), ["a", "b"], 40).collect()
     assert sum(r.contribution for r in told) == pytest.approx(told[0].answer - told[0].background)
     assert {r.column for r in told} == {"a", "b"}
+
+
+def test_members_are_blended(spark):
+    b = declared("x", "one").split_at_random(seed=2).target(column="one").evidence_report(metrics=["accuracy", "brier"], parts=["train"])
+    done = b.build().run(spark, table(spark))
+    say = lambda c: lambda d: d.withColumn("prediction", c)
+    members = [say(F.lit(0.9)), say(F.col("one")), say(F.when(F.col("x") > 0, 0.6).otherwise(0.2))]
+    rows = [(r.one, [0.9, r.one, 0.6 if r.x > 0 else 0.2]) for r in done.part("train").collect()]
+    average = {r.metric: r.model for r in done.measure(members).collect()}
+    assert average["brier"] == pytest.approx(np.mean([(np.mean(p) - y) ** 2 for y, p in rows]))
+    vote = {r.metric: r.model for r in done.measure(members, blend="vote").collect()}
+    assert vote["accuracy"] == pytest.approx(np.mean([(sum(x >= 0.5 for x in p) >= 2) == (y > 0.5) for y, p in rows]))
+
+
+def test_search(spark):
+    from tidemark.operators import search
+
+    space = {"x": search.Uniform(-4, 4), "k": search.Choice([1, 2]), "r": search.Uniform(0.01, 1, log=True)}
+    told = search.study(spark, space, lambda s, fold: (s["x"] - 1) ** 2 + fold + s["k"], 20, 3, seed=4)
+    rows = told.collect()
+    assert {r.state for r in rows} == {"done", "pruned"} and rows == search.study(spark, space, lambda s, fold: (s["x"] - 1) ** 2 + fold + s["k"], 20, 3, seed=4).collect()
+    best = search.best(told, 3).first()
+    whole = {t: [r.value for r in rows if r.trial == t] for t in {r.trial for r in rows}}
+    assert best["mean"] == pytest.approx(min(np.mean(v) for v in whole.values() if len(v) == 3))
+    a, b = [t for t, v in whole.items() if len(v) == 3][:2]
+    assert search.paired(told, a, b).first()["mean"] == pytest.approx(np.mean(np.subtract(whole[a], whole[b])))
+    points = spark.createDataFrame([(1.0, 5.0), (2.0, 3.0), (2.5, 4.0), (3.0, 1.0)], "a double, b double")
+    assert sorted(tuple(r) for r in search.front(points, "a", "b").collect()) == [(1.0, 5.0), (2.0, 3.0), (3.0, 1.0)]

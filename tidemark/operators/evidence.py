@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 from tidemark.functions.kinds import finite, is_not_finite, kind_of
 
 
+#: Ranges that values are cut into at most: each value is compared with all cuts.
+MOST_RANGES = 256
+
+
 def _is_number(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() in ("double", "float", "long", "integer", "short", "byte", "boolean", "decimal")
 
@@ -154,7 +158,7 @@ def running(counts: DataFrame, value: str, sums: dict[str, str], by: list[str] |
     """counts with, for each entry of sums (name: column), the sum of the column over the rows up to and with its own, by rising value
     (a number), within `by`. Values are cut into ranges at approximate quantiles; a task adds up one range, and what lies below a range
     is taken from a table of one row for each range. No task orders all values."""
-    by, n = by or [], buckets or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by, n = by or [], buckets or min(MOST_RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if n < 2:
         window = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         return counts.withColumns({name: F.sum(c).over(window) for name, c in sums.items()})
@@ -177,7 +181,7 @@ def running(counts: DataFrame, value: str, sums: dict[str, str], by: list[str] |
 def steps(counts: DataFrame, value: str) -> DataFrame:
     """step: from each value to the next larger one. Ranges of values are ordered by a task each; the first value of a range is told to
     the range below it."""
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MOST_RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({x for x in counts.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0] or [] if x is not None}) if n > 1 else []
     at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(value))) if cuts else F.lit(0)
     dealt = counts.select(value, at.alias("_range"))

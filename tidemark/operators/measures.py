@@ -78,6 +78,19 @@ def _add(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def blended(members: list[list[Column]], how: str, ones: int) -> list[Column]:
+    """What members say together of each answer: the mean, or how most of them name it, the mean deciding between as many votes."""
+    means = [_add([m[i] for m in members]) / len(members) for i in range(len(members[0]))]
+    if len(members) == 1 or how == "average":
+        return means
+    if how != "vote":
+        raise ValueError(f"members are averaged or vote, not {how}")
+    votes = [_add([c.cast("double") for c in each]) / len(members) for each in zip(*(named(m, ones) for m in members), strict=True)]
+    if not ones:
+        return [F.when(v > 0.5, 1.0).when(v < 0.5, 0.0).otherwise((m >= 0.5).cast("double")) for v, m in zip(votes, means, strict=True)]
+    return [v + m / 1e6 for v, m in zip(votes, means, strict=True)]
+
+
 def of_answers(metric: str, y: list[Column], p: list[Column], ones: int, counted: int, margins: list[float] | None) -> Column:
     """A measure of rows of answers and predictions as one aggregate (any but auc and the confusion matrix). Measures of amounts and of
     classes are taken answer by answer and averaged, each counting alike; those of shares row by row, each row divided by its total,

@@ -67,7 +67,12 @@ def values_at(df: DataFrame, value: str, places: Iterable[int] | dict[object, li
 
 
 def _dealt(value: Column, edges: list[tuple[str, int]], at: dict[tuple[object, int], tuple[int, int, int]], n: int) -> Column:
-    """The part of a row by its value: it is past an edge if no row below its value would be before the edge."""
+    """The part of a row by its value: it is past an edge if no row below its value would be before the edge. The value is bound once, as
+    a filter on the part would else evaluate it for each edge."""
+    return F.transform(F.array(value), lambda v: _by_edges(v, edges, at, n))[0]
+
+
+def _by_edges(value: Column, edges: list[tuple[str, int]], at: dict[tuple[object, int], tuple[int, int, int]], n: int) -> Column:
     part, before = None, 0
     for name, edge in edges:
         if edge <= before:
@@ -94,10 +99,10 @@ def micros(column: str) -> Column:
 def by_time(df: DataFrame, column: str, shares: Shares, gap: int = 0, origins: int | None = None, origin: int = 0) -> DataFrame:
     """df with _part by the moments of column. With origins, train and validation are one stretch of origins + 1 blocks: those up to
     `origin` train, the next validates, later ones are left out. The last `gap` moments of each part are left out too."""
-    if df.where(F.col(f"`{column}`").isNull()).limit(1).count():
-        raise ValueError(f"split.byTime: {column} has gaps")
     moments = df.select(micros(column).alias("v"))
-    n = moments.count()
+    n, gaps = moments.agg(F.count(F.lit(1)), F.count_if(F.col("v").isNull())).first()
+    if gaps:
+        raise ValueError(f"split.byTime: {column} has gaps")
     edges = shares.edges(n)
     at = values_at(moments, "v", [e for _, e in edges if e < n])
     v = micros(column)
@@ -194,5 +199,6 @@ def stratified(df: DataFrame, column: str, key: Column, shares: Shares, seed: in
         rows.append((g, tests))
     told = df.sparkSession.createDataFrame(rows, "_of string, _tests array<struct<part:string,cut:bigint,with_cut:boolean>>")  # a row for each stratum
     met = ranked.join(F.broadcast(told), F.col("_group").eqNullSafe(F.col("_of")))
-    first = F.filter("_tests", lambda t: t["cut"].isNull() | (F.col("_rank") < t["cut"]) | ((F.col("_rank") == t["cut"]) & t["with_cut"]))
-    return met.withColumn("_part", F.coalesce(F.try_element_at(first, F.lit(1))["part"], F.lit(last))).drop("_rank", "_group", "_of", "_tests")
+    first = lambda rank: F.filter("_tests", lambda t: t["cut"].isNull() | (rank < t["cut"]) | ((rank == t["cut"]) & t["with_cut"]))
+    part = F.transform(F.array("_rank"), lambda rank: F.coalesce(F.try_element_at(first(rank), F.lit(1))["part"], F.lit(last)))[0]
+    return met.withColumn("_part", part).drop("_rank", "_group", "_of", "_tests")

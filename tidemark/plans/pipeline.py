@@ -521,13 +521,15 @@ class Prepared:
         """The columns that a prediction is given in: `prediction`, or prediction_0 and so on where there are several answers."""
         return ["prediction"] if len(self.answers) == 1 else [f"prediction_{k}" for k in range(len(self.answers))]
 
-    def measure(self, predict: Callable[[DataFrame], DataFrame], margins: list[float] | None = None, needs: str = "numbers") -> DataFrame:
+    def measure(self, predict: Callable[[DataFrame], DataFrame] | list[Callable[[DataFrame], DataFrame]], margins: list[float] | None = None, needs: str = "numbers", blend: str = "average") -> DataFrame:
         """part, metric, model and baseline for each measure that the report names, and for a confusion matrix a row for each cell (answer,
         held, said, and how many rows the model and the baseline put there).
 
         predict takes a part as batch hands it over and adds said_names(), in the units of the prepared answers. Everything is measured
         in the units the answers were read in; the baseline is the training rows' average answer, brought back the same way. margins (in
-        the answers' units) are half an interval for each answer; without them coverage and width are left out."""
+        the answers' units) are half an interval for each answer; without them coverage and width are left out. Several predictions are
+        members of an ensemble, which are brought back and then averaged, or counted as votes for classes (blend 'vote')."""
+        members = predict if isinstance(predict, list) else [predict]
         report = next((s for s in self.declaration.steps if s.verb == "evidence.report"), None)
         if report is None:
             raise Refused("the pipeline declares no report, so nothing says what a model is measured by")
@@ -541,13 +543,18 @@ class Prepared:
         metrics = report["metrics"] if isinstance(report["metrics"], list) else [report["metrics"]]
         told = []
         for part in dict.fromkeys(parts):
-            handed = predict(self._checked(self.part(part), needs))
-            lacking = [n for n in names if n not in handed.columns]
-            if lacking:
-                raise Refused(f"the predictions lack {', '.join(lacking)}")
+            handed = self._checked(self.part(part), needs)
+            said: list[list[Column]] = []
+            for k, member in enumerate(members):
+                handed = member(handed)
+                lacking = [n for n in names if n not in handed.columns]
+                if lacking:
+                    raise Refused(f"the predictions lack {', '.join(lacking)}")
+                handed = handed.withColumnsRenamed({n: f"_said{k}_{i}" for i, n in enumerate(names)})
+                said.append([self.back(F.col(f"_said{k}_{i}").cast("double"), a).cast("double") for i, a in enumerate(self.answers)])
             units = handed.select(
                 *(self.back(F.col(f"`{a}`"), a).cast("double").alias(f"y{i}") for i, a in enumerate(self.answers)),
-                *(self.back(F.col(n).cast("double"), a).cast("double").alias(f"p{i}") for i, (n, a) in enumerate(zip(names, self.answers, strict=True))),
+                *(c.alias(f"p{i}") for i, c in enumerate(measures.blended(said, blend, ones))),
                 *(self.back(F.lit(train[i]), a).cast("double").alias(f"b{i}") for i, a in enumerate(self.answers)),
             )
             # Written once: the measures take several passes, and predictions may be dear.
