@@ -87,6 +87,7 @@ def templates(texts: Texts, lists: Lists) -> tuple[np.ndarray, np.ndarray, np.nd
     follows = np.concatenate(([False], capital[:-1])) & ~opens
     follows[first[:-1][first[:-1] < len(opens)]] = False
     after = np.concatenate((capital[1:], [False]))
+    after[first[1:][first[1:] > first[:-1]] - 1] = False
     name = capital & ((~opens & ~(follows & after)) | _among(names, word))
     unit = _among(units, word)
     slot = np.select([number, unit, name], [1, 2, 3], 0)
@@ -205,11 +206,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cove
     lengths = sorted({size, *(r["length"] for r in items.select("length").distinct().collect())})  # size of them at most
     rows = document_hits(docs, _filter_bits(items), lengths, size, lists)
     own = items.select("item_id", "n_windows", "n_plain", F.col("place").alias("at"), F.col("h").alias("hash"), "exact", "plain", F.col("slots").alias("own"))
+    # Where the words agree, what stands in the item's slots stands there in the document, whatever counts as a slot there.
     found = rows.join(own, F.col("h") == F.col("hash"))
     diagonal = found.groupBy("doc_id", "th", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.first("n_windows").alias("n_windows"),
         F.first("n_plain").alias("n_plain"),
-        F.collect_set(F.struct("at", "exact", "plain", F.arrays_zip("own", "slots").alias("pairs"))).alias("matched"),
+        F.collect_set(F.struct("at", "exact", "plain", F.arrays_zip("own", F.when(F.col("exact"), F.col("own")).otherwise(F.col("slots")).alias("slots")).alias("pairs"))).alias("matched"),
     )
     diagonal = diagonal.withColumn("pairs", F.expr("array_distinct(flatten(transform(matched, w -> w.pairs)))"))
     torn = "array_distinct(transform(filter(pairs, x -> exists(pairs, y -> y.own = x.own and y.slots <> x.slots)), x -> x.own))"
