@@ -91,8 +91,8 @@ def test_pieces_with_one_hash_keep_their_own_ids(monkeypatch):
 
     from tidemark.llm import spans, tokens
 
-    monkeypatch.setattr(spans.Texts, "hashes", lambda self, starts, ends, second=False: np.full(len(starts), 7, np.uint64))
-    texts = ["all of the pieces meet", "under one hash", "all of them"]
+    monkeypatch.setattr(tokens, "piece_keys", lambda low, high, size: np.full(len(low), 7, np.uint64))
+    texts = ["all of the pieces meet", "under one hash", "all of them", "and averyveryverylongpiece1 and averyveryverylongpiece2"]
     made = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for _ in range(2):
         for _, _, block in spans.blocks(pa.array(texts)):

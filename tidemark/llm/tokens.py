@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, each distinct piece of text between spaces encoded once per worker.
 
 A text is cut before a single space that stands between two visible characters. No pre-tokenizer of the two supported kinds
-lets a token cross such a place, so the ids of the pieces, joined, are the ids of the text. tests/llm compare both. Pieces are found
-again by hash and then compared byte by byte. A text that holds one of the vocabulary's special strings is encoded as a whole, as the
+lets a token cross such a place, so the ids of the pieces, joined, are the ids of the text. tests/llm compare both. A piece of up to
+WHOLE bytes is known by all its bytes, in two numbers, and its length; longer ones are found again within a block alone. A text that holds one of the vocabulary's special strings is encoded as a whole, as the
 tokenizer reads it.
 """
 
@@ -13,9 +13,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from tidemark.llm.spans import Texts, group_starts
+from tidemark.llm.spans import Texts, group_starts, pair
 
-CACHED_PIECES = 500_000
+CACHED_PIECES, CACHED_IDS = 500_000, 8_000_000
+WHOLE = 16
 _JOIN = 400
 
 
@@ -73,9 +74,9 @@ class Encoder:
 
     def _clear(self) -> None:
         none = np.zeros(0, np.int64)
-        self.levels = [(np.zeros(0, np.uint64), none, none, none, none), (np.zeros(0, np.uint64), none, none, none, none)]
+        empty = np.zeros(0, np.uint64)
+        self.levels = [(empty, none, none, empty, empty, none), (empty, none, none, empty, empty, none)]
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.seen, self.n_seen = np.zeros(1 << 16, np.uint8), 0  # bytes of the kept pieces
 
     def _keep(self, ids: np.ndarray) -> int:
         while self.used + len(ids) > len(self.pool):
@@ -119,13 +120,6 @@ class Encoder:
                 starts[k], lengths[k] = self._keep(ids), len(ids)
         return starts, lengths
 
-    def _remember(self, data: np.ndarray) -> int:
-        while self.n_seen + len(data) > len(self.seen):
-            self.seen = np.concatenate((self.seen, np.zeros_like(self.seen)))
-        self.seen[self.n_seen : self.n_seen + len(data)] = data
-        self.n_seen += len(data)
-        return self.n_seen - len(data)
-
     def _whole(self, texts: Texts) -> list[int]:
         """Which texts hold a special string."""
         raw, found = texts.data.tobytes(), set()
@@ -152,54 +146,66 @@ class Encoder:
         starts, ends, firsts = cuts(texts)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        if len(self.levels[0][0]) + len(self.levels[1][0]) > CACHED_PIECES:
+        if len(self.levels[0][0]) + len(self.levels[1][0]) > CACHED_PIECES or self.used > CACHED_IDS:
             self._clear()
-        keys, sizes = texts.hashes(starts, ends), ends - starts
+        sizes, n = ends - starts, len(texts.data)
+        at, length = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        raw = texts.data.tobytes() + bytes(8)
+        short = np.flatnonzero(sizes <= WHOLE)
+        self._short(raw, np.ndarray((n + 1,), "<u8", raw, strides=(1,)), starts, ends, sizes, short, at, length)
+        if len(short) < len(starts):
+            odd = np.flatnonzero(sizes > WHOLE)
+            pieces = [raw[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+            different = list(dict.fromkeys(pieces))
+            found = dict(zip(different, zip(*self._encode(different), strict=True), strict=True))
+            at[odd], length[odd] = np.array([found[p] for p in pieces]).T
+        before = np.cumsum(length) - length
+        ids = self.pool[np.repeat(at - before, length) + np.arange(int(length.sum()))]
+        return ids, np.append(before, len(ids))[firsts]
+
+    def _short(self, raw: bytes, eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, rows: np.ndarray, at: np.ndarray, length: np.ndarray) -> None:
+        """Sets where the ids of the pieces in rows start in the pool, and how many they are. eight holds the eight bytes from each place on."""
+        if not len(rows):
+            return
+        start, end, size = starts[rows], ends[rows], sizes[rows]
+        low = eight[start] & _MASKS[np.minimum(size, 8)]
+        high = np.where(size > 8, eight[np.maximum(end - 8, 0)], np.uint64(0))
+        keys = piece_keys(low, high, size)
         order = np.argsort(keys)
         heads = group_starts(keys[order])
         inverse = np.empty(len(keys), np.int64)
         inverse[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
-        unique, sample = keys[order[heads]], order[heads]
-        at, length = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
-        for known, where, count, place, size in self.levels:
+        sample = order[heads]
+        unique, where, count = keys[sample], np.full(len(sample), -1, np.int64), np.zeros(len(sample), np.int64)
+        for known, place, ids, a, b, n in self.levels:
             if len(known):
                 i = np.minimum(np.searchsorted(known, unique), len(known) - 1)
-                hit = np.flatnonzero((known[i] == unique) & (size[i] == sizes[sample]))
-                hit = hit[same_bytes(texts.data, starts[sample[hit]], self.seen, place[i[hit]], sizes[sample[hit]])]
-                at[hit], length[hit] = where[i[hit]], count[i[hit]]
-        raw = None
-        new = np.flatnonzero(at < 0)
+                hit = (known[i] == unique) & (a[i] == low[sample]) & (b[i] == high[sample]) & (n[i] == size[sample])
+                where[hit], count[hit] = place[i[hit]], ids[i[hit]]
+        new = np.flatnonzero(where < 0)
         if len(new):
-            raw, s = texts.data.tobytes(), sample[new]
-            at[new], length[new] = self._encode([raw[a:b] for a, b in zip(starts[s].tolist(), ends[s].tolist(), strict=True)])
-            own = np.cumsum(sizes[s]) - sizes[s]
-            place = own + self._remember(texts.data[np.repeat(starts[s] - own, sizes[s]) + np.arange(int(sizes[s].sum()))])
-            recent = tuple(np.concatenate(x) for x in zip(self.levels[1], (unique[new], at[new], length[new], place, sizes[s]), strict=True))
+            s = sample[new]
+            where[new], count[new] = self._encode([raw[a:b] for a, b in zip(start[s].tolist(), end[s].tolist(), strict=True)])
+            recent = tuple(np.concatenate(x) for x in zip(self.levels[1], (unique[new], where[new], count[new], low[s], high[s], size[s]), strict=True))
             if len(recent[0]) > 150_000:
                 recent, base = tuple(x[:0] for x in recent), tuple(np.concatenate(x) for x in zip(self.levels[0], recent, strict=True))
                 by = np.argsort(base[0])
                 self.levels[0] = tuple(x[by] for x in base)
             by = np.argsort(recent[0])
             self.levels[1] = tuple(x[by] for x in recent)
-        at, length, like = at[inverse], length[inverse], sample[inverse]
-        same = sizes[like] == sizes
-        same[same] = same_bytes(texts.data, starts[same], texts.data, starts[like[same]], sizes[same])
-        odd = np.flatnonzero(~same)  # unlike pieces with one hash
-        if len(odd):
-            raw = raw or texts.data.tobytes()
-            at[odd], length[odd] = self._encode([raw[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
-        before = np.cumsum(length) - length
-        ids = self.pool[np.repeat(at - before, length) + np.arange(int(length.sum()))]
-        return ids, np.append(before, len(ids))[firsts]
+        at[rows], length[rows] = where[inverse], count[inverse]
+        like = sample[inverse]
+        other = np.flatnonzero((low[like] != low) | (high[like] != high) | (size[like] != size))  # unlike pieces with one key
+        if len(other):
+            at[rows[other]], length[rows[other]] = self._encode([raw[a:b] for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)])
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether the bytes of a from `at` and those of b from `other` agree, for each pair of spans of so many bytes (one at least)."""
-    if not len(sizes):
-        return np.zeros(0, bool)
-    first = np.cumsum(sizes) - sizes
-    step = np.arange(int(sizes.sum()))
-    return np.logical_and.reduceat(a[np.repeat(at - first, sizes) + step] == b[np.repeat(other - first, sizes) + step], first)
+def piece_keys(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number to look a piece up by."""
+    return pair(low, high + size.astype(np.uint64))
 
 
 @lru_cache(maxsize=4)
