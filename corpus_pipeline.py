@@ -5,6 +5,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it k
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from tidemark.llm.langid import keep_identified
 from tidemark.llm.near_dup import drop_near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.repeats import cut_documents
-from tidemark.llm.shared import workspace
+from tidemark.llm.shared import scratch, shared_root
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. Each stage's documents are written to the shared folder; what a stage wrote on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = workspace(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = f"{shared_root(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

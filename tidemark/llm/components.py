@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import discard, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     """links (a, b; any orderable type, no nulls) as (node, label): the smallest node that each node reaches.
 
     Links of a node to itself and repeated links are ignored; an empty table gives no rows. Every step writes its links to the
-    shared folder, so no lineage grows; a step shuffles links by node, with minima combined before the shuffle."""
+    shared folder, so no lineage grows; a step shuffles links by node, with minima combined before the shuffle. A node that very many
+    links share is a skewed side of a join whose result is dealt anew by distinct(), which adaptive execution splits."""
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "links")
     before = _state(edges)
@@ -29,7 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hooked = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = low.select("a", F.col("m").alias("b")).union(hooked)
+        older = edges, large
         edges = written(small.distinct(), "small-star")
+        discard(*older)
         now = _state(edges)
         if now == before:
             break

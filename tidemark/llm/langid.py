@@ -23,7 +23,7 @@ DEPTH = 400
 #: The classifier is fitted on about so many rows of each language at most.
 FIT_ROWS = 4000
 UNKNOWN = "und"
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 @lru_cache(maxsize=1)

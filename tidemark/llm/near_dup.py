@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import written
+from tidemark.llm.shared import discard, written
 from tidemark.llm.spans import NONSPACE, Texts, blocks, mix, pair
 
 BANDS, ROWS = 30, 5
@@ -286,8 +286,10 @@ def labelled(docs: DataFrame, size: int, percent: int, bands: int = BANDS, rows:
     star = against.where(similar_sizes("n", "m", percent)).select(F.col("node").alias("a"), "b")
     found = written(linked(pairs.union(star).distinct(), sets, percent), "links")
     done = found.select(F.col("a").alias("node"), "b", F.lit(True).alias("with_centre")).distinct()
-    rest = against.join(done, ["node", "b"], "left").select("key", "node", "n", F.coalesce("with_centre", F.lit(False)).alias("with_centre"))
-    label = components(found.union(written(_blockwise(written(rest, "rest"), sets, percent), "links")))
+    rest = written(against.join(done, ["node", "b"], "left").select("key", "node", "n", F.coalesce("with_centre", F.lit(False)).alias("with_centre")), "rest")
+    more = written(_blockwise(rest, sets, percent), "links")
+    label = components(found.union(more))
+    discard(classes, members, sets, against, found, rest, more)
 
     # Nulls sort first in a struct, so a flag puts documents without an id behind the others.
     of_class = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("first")).join(label, "node", "left")

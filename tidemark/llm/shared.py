@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: list[list[str]] = []
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, as a URI. Where the setting is missing, a temporary folder is set in its place, but only
@@ -25,14 +31,43 @@ def shared_root(spark: SparkSession) -> str:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared root."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders named within it are deleted at its end: what a stage wrote on the way to a result that has been written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later plan reads."""
+    for t in tables:
+        path = _paths.pop(t, None)
+        if path:
+            _delete(t.sparkSession, path)
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df written once to the shared folder and read again, which cuts its lineage."""
+    """df written once to the shared folder and read again, which cuts its lineage. It stays there until discard() or the end of scratch()."""
     path = workspace(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
 def spread(df: DataFrame) -> int:
