@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 1 << 15
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 19, 1 << 15
 
 _PRIME, _BITS = np.uint64(2**31 - 1), np.uint64(31)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -54,7 +54,7 @@ def _power_tables(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
             t = np.ones(1, np.uint64)
             while len(t) < size:
                 t = np.concatenate((t, _reduced(t * np.uint64(pow(base, len(t), int(_PRIME))))))
-            tables.append(t[:size])
+            tables.append(t[:size].astype(np.uint32))  # residues of 31 bits; a worker keeps them
         have = tables[0], tables[1]
         if size <= 4 * BLOCK_BYTES:
             _powers[lane] = have
