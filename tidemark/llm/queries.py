@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, fingerprints, katz, langid, licenses, near_dup, repeats
+from tidemark.llm import decontam, fingerprints, katz, langid, licenses, near_dup, repeats, vector_codes
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.shared import workspace
 from tidemark.llm.token_records import read_token_records, write_token_records
@@ -68,14 +68,59 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.encode(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", "label", parts=16, entries=64, rounds=2, scale=256)
+    found = vector_codes.label_errors(coded).withColumn("codebooks_sha256", F.lit(coded.sha256()))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_records, op2_license_scan, op3_repeats, op4_warc, op5_near_duplicates,
         op6_fingerprints, op7_katz, op8_language, op9_decontaminate, op10_best_two_fit,
+        op11_vector_codes,
     )
 }
+
+
+def _round(name: str, before: str, moved: bool = True) -> str:
+    """DuckDB SQL of one round over the parts: the nearest entry of each (a_), and the codebook that it leaves (b_)."""
+    near = f"""a_{name} AS (
+            SELECT d.pos, d.part, any_value(d.n) AS n,
+                   min(list_sum([(d.part[j] - b.part[j]) * (d.part[j] - b.part[j]) FOR j IN range(1, len(d.part) + 1)])::HUGEINT * 64 + b.entry) AS best
+            FROM d JOIN {before} b USING (pos) GROUP BY d.pos, d.part)"""
+    if not moved:
+        return near
+    return near + f""",
+        s_{name} AS (
+            SELECT pos, entry, j, sum(n * part[j])::HUGEINT AS total, sum(n)::HUGEINT AS held
+            FROM (SELECT pos, part, n, best % 64 AS entry, unnest(range(1, len(part) + 1)) AS j FROM a_{name}) GROUP BY ALL),
+        m_{name} AS (
+            SELECT pos, entry, list(((total - ((total % held) + held) % held) // held)::BIGINT ORDER BY j) AS part FROM s_{name} GROUP BY ALL),
+        b_{name} AS (
+            SELECT b.pos, b.entry, coalesce(m.part, b.part) AS part FROM {before} b LEFT JOIN m_{name} m ON m.pos = b.pos AND m.entry = b.entry)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": f"""
+        WITH k AS (
+            SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        p AS (SELECT vec_id, label, pos, list_slice(v, pos * (len(v) // 16) + 1, (pos + 1) * (len(v) // 16)) AS part FROM k, range(16) t(pos)),
+        d AS (SELECT pos, part, count(*) AS n FROM p GROUP BY ALL),
+        b_0 AS (
+            SELECT pos, entry, part FROM p
+            JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 64) USING (vec_id)),
+        {_round("1", "b_0")},
+        {_round("2", "b_1")},
+        {_round("3", "b_2", moved=False)},
+        c AS (
+            SELECT vec_id, label, string_agg(printf('%02x', (best % 64)::BIGINT), '' ORDER BY pos) AS code, sum(best // 64)::BIGINT AS error
+            FROM p JOIN a_3 USING (pos, part) GROUP BY vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry)) FROM b_2) AS codebooks_sha256
+        FROM c""",
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),

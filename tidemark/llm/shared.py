@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _scopes: list[list[str]] = []
@@ -73,3 +74,26 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def spread(df: DataFrame) -> int:
     """How many partitions a shuffle of this session makes."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key is hot where more than one row in so many holds it; there are fewer of those keys than this.
+HOT_SHARE = 1024
+
+
+def matched(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with a written table of one row a key, whose column `weight` counts the rows that hold the key (nulls are equal).
+
+    Hot keys are broadcast, as fewer than HOT_SHARE of them can be there; the others are dealt by key, so that no task gets more than a
+    row in HOT_SHARE for one key. Where there are hot keys, rows is read twice. how: 'inner' or 'left'."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    renamed = table.drop(weight).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    told, own = [f"_of_{k}" for k in keys], [c for c in table.columns if c not in keys and c != weight]
+    heavy = table.where(F.col(weight) * HOT_SHARE > total)
+    met = lambda left, right: [left[k].eqNullSafe(right[f"_of_{k}"]) for k in keys]
+    if heavy.limit(1).count() == 0:
+        return rows.join(renamed, met(rows, renamed), how).select(*rows.columns, *own)
+    hot = F.broadcast(heavy.drop(weight).withColumnsRenamed(dict(zip(keys, told, strict=True))))
+    cold = table.where(F.col(weight) * HOT_SHARE <= total).drop(weight).withColumnsRenamed(dict(zip(keys, told, strict=True)))
+    first = rows.join(hot, met(rows, hot)).select(*rows.columns, *own)
+    others = rows.join(hot.select(*told), met(rows, hot), "left_anti")
+    return first.unionByName(others.join(cold, met(others, cold), how).select(*rows.columns, *own))
