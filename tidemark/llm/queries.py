@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, fingerprints, katz, langid, licenses, near_dup, repeats, vector_codes
+from tidemark.llm import decontam, fingerprints, katz, langid, licenses, line_dedup, near_dup, repeats, vector_codes
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.shared import workspace
 from tidemark.llm.token_records import read_token_records, write_token_records
@@ -74,12 +74,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_shared_lines(table(spark, sf_dir, "documents"), least_chars=20, least_documents=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_records, op2_license_scan, op3_repeats, op4_warc, op5_near_duplicates,
         op6_fingerprints, op7_katz, op8_language, op9_decontaminate, op10_best_two_fit,
-        op11_vector_codes,
+        op11_vector_codes, op12_line_dedup,
     )
 }
 
@@ -103,6 +108,18 @@ def _round(name: str, before: str, moved: bool = True) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (
+            SELECT doc_id, place, lines[place] AS line,
+                   translate(trim(lines[place], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS place FROM d)),
+        r AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        g AS (SELECT l.*, r.last IS NOT NULL AND l.doc_id < r.last AS gone FROM l LEFT JOIN r USING (key))
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM g GROUP BY doc_id""",
     "op11_vector_codes": f"""
         WITH k AS (
             SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
