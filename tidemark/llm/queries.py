@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, fingerprints, katz, langid, licenses, line_dedup, near_dup, repeats, vector_codes
+from tidemark.llm import decontam, filter_audit, fingerprints, katz, langid, licenses, line_dedup, near_dup, repeats, vector_codes
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.shared import workspace
 from tidemark.llm.token_records import read_token_records, write_token_records
@@ -79,12 +79,16 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_records, op2_license_scan, op3_repeats, op4_warc, op5_near_duplicates,
         op6_fingerprints, op7_katz, op8_language, op9_decontaminate, op10_best_two_fit,
-        op11_vector_codes, op12_line_dedup,
+        op11_vector_codes, op12_line_dedup, op13_filter_audit,
     )
 }
 
@@ -108,6 +112,39 @@ def _round(name: str, before: str, moved: bool = True) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+        f AS (
+            SELECT w.doc_id, part,
+                   (len(words) < 100)::INT AS a, (100 * len(list_distinct(words)) < 80 * len(words))::INT AS b,
+                   (100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(text))::INT AS c,
+                   regexp_matches(text, '[#$%&*|]')::INT AS d, (w.doc_id > min(w.doc_id) OVER (PARTITION BY text))::INT AS e,
+                   coalesce(g.good, false) AS good, coalesce(g.toxic, false) AS toxic
+            FROM w LEFT JOIN (
+                SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id) g USING (doc_id)),
+        m AS (SELECT *, a + 2 * b + 4 * c + 8 * d + 16 * e AS fails FROM f),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order FROM l l1, l l2, l l3, l l4, l l5
+            WHERE len(list_distinct([l1.x, l2.x, l3.x, l4.x, l5.x])) = 5),
+        s AS (
+            SELECT filter_order, step::INT AS step, 1 << (instr('ABCDE', filter_order[step]) - 1)::INT AS own,
+                   coalesce(list_sum([1 << (instr('ABCDE', filter_order[k]) - 1)::INT FOR k IN range(1, step)]), 0)::INT AS earlier
+            FROM o, range(1, 6) r(step)),
+        c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+        r AS (
+            SELECT part, filter_order, step, own,
+                   coalesce(sum(n) FILTER (fails & (own | earlier) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (fails & own <> 0 AND fails & earlier <> 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS toxic_lost
+            FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+        FROM r""",
     "op12_line_dedup": r"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (
