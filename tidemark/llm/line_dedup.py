@@ -34,8 +34,13 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_BLANKS)), _UPPER, _LOWER)
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANKS))
+
+
+def lowered(line: Column) -> Column:
+    """A-Z lower-cased; in a line of ASCII alone that is what lower() does, in one pass over bytes."""
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER))
 
 
 def _slice(h: Column, slices: int) -> Column:
@@ -116,13 +121,15 @@ def shared_lines(df: DataFrame, least_chars: int = 20, least_documents: int = 3,
     largest of them. A written table; tag is a hash of the text, which tells rows of one doc_id apart."""
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    keys = F.filter(F.transform(lines_of(F.col("text")), key_of), lambda k: F.char_length(k) >= least_chars)
-    hashed = docs.select(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k))).alias("h")).where(F.size("h") > 0)
-    n = hashed.agg(F.sum(F.size("h"))).first()[0] or 0
+    keys = F.filter(F.transform(lines_of(F.col("text")), stripped), lambda k: F.char_length(k) >= least_chars)
+    hashed = docs.select(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(lowered(k)))).alias("h")).where(F.size("h") > 0)
+    # Line ends are counted to size the filters: more lines than have keys, which makes the filters a little larger.
+    n = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     slices = max(1, -(-n // SLICE_HASHES))
     filters = written(twice_seen(hashed, slices), "twice-seen")
-    each = docs.select("doc_id", "tag", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).select("doc_id", "tag", "place", key_of(F.col("line")).alias("key"))
-    each = each.where(F.char_length("key") >= least_chars).withColumn("h", F.xxhash64("key"))
+    each = docs.select("doc_id", "tag", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).select("doc_id", "tag", "place", stripped(F.col("line")).alias("line"))
+    each = each.where(F.char_length("line") >= least_chars).select("doc_id", "tag", "place", lowered(F.col("line")).alias("key"))
+    each = each.withColumn("h", F.xxhash64("key"))
     tested = filters.withColumnRenamed("slice", "of_slice")
     if slices * TWICE_BITS // 8 <= broadcast_mb << 20:
         met = each.join(F.broadcast(tested), _slice(F.col("h"), slices) == F.col("of_slice"))
@@ -132,7 +139,7 @@ def shared_lines(df: DataFrame, least_chars: int = 20, least_documents: int = 3,
         met = light.join(tested.hint("merge"), _slice(F.col("h"), slices) == F.col("of_slice"))
         found = met.where(_known(F.col("h"), F.col("words"))).groupBy(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag")).agg(F.collect_set("place").alias("places"))
         back = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tag") == F.col("of_tag"))).withColumn("lines", lines_of(F.col("text")))
-        suspects = back.select("doc_id", "tag", "lines", F.explode("places").alias("place")).select("doc_id", "tag", "place", key_of(F.get("lines", F.col("place"))).alias("key"))
+        suspects = back.select("doc_id", "tag", "lines", F.explode("places").alias("place")).select("doc_id", "tag", "place", lowered(stripped(F.get("lines", F.col("place")))).alias("key"))
     suspects = written(suspects, "suspects")
     discard(filters)
     # Exact from here: by the key's text. A null doc_id is a document below all others.
