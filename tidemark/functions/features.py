@@ -93,8 +93,11 @@ def maths_refused(v: Column, shape: str) -> Column:
 
 
 def maths_back(v: Column, shape: str) -> Column:
-    """The value that the shape made v of, where there is one way back."""
+    """The value that the shape made v of, where there is one way back: none of abs and sign; of square the root that is not negative
+    (whether a run's answers are none is verified by the run)."""
     back = {"log": F.exp(v), "log1p": F.exp(v) - 1, "reciprocal": F.try_divide(F.lit(1.0), v), "sqrt": v * v, "arcsin": F.sin(v) * F.sin(v)}
+    if shape == "square":
+        return F.when(v >= 0, F.sqrt(v)).when(v.isNotNull(), F.raise_error(F.concat(F.lit("a square is never negative, so nothing squares to "), v.cast("string"))).cast("double"))
     if shape not in back:
         raise ValueError(f"{shape} has no way back")
     return back[shape]

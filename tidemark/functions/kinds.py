@@ -10,14 +10,15 @@ KINDS = ("text", "category", "number", "integer", "boolean", "timestamp", "media
 NUMBERS = ("number", "integer", "boolean")
 TYPES = {"text": "string", "category": "string", "number": "double", "integer": "bigint", "boolean": "boolean", "timestamp": "timestamp", "media": "array<float>"}
 TRUE, FALSE = ("true", "1", "yes", "y", "t"), ("false", "0", "no", "n", "f")
-_EDGES = r"^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+$"
+#: White space of all scripts.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _MOMENT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,7})?)?)?(Z|[+-]\d{2}:\d{2})?$"
 
 
 def trimmed(c: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def read_cell(c: Column, kind: str, pattern: str | None = None) -> Column:

@@ -1,13 +1,15 @@
 """Transforms that learn from the training rows alone: statistics in one aggregation, then column expressions over what was learned.
 
-stats() names the aggregates a step needs, learn() turns their values into what is kept, apply() is a projection. Steps whose columns
-do not depend on each other share one aggregation (plans/walk.py).
+sums() names the aggregates a step needs, learn() turns their values into what is kept, made() gives columns, what goes, and what is refused. Steps whose columns
+do not depend on each other share one aggregation (learned_by, which plans/pipeline.py calls at each barrier). Quantiles and words are no
+plain aggregates: a step names the shares it needs, or the words, and all columns are answered by one more pass (operators/quantiles.py).
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.features import filled, was_missing
 from tidemark.functions.kinds import cell_text, finite, is_not_finite
+from tidemark.operators.quantiles import around, at_hand, exact
 
 _EPSILON = 2.220446049250313e-16
 LAMBDAS = [round(-2 + 0.05 * i, 2) for i in range(81)]
@@ -26,26 +29,116 @@ class Refused(ValueError):
     """Data that a step does not take."""
 
 
+#: A category with more words than this is no category: it is refused before its words come to the driver.
+MOST_WORDS = 10_000
+#: A condition, the cell that is named where it holds, and what is wrong with it.
+Test = tuple[Column, Column, str]
+
+
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def said(tests: list[Test]) -> Column:
+    """What is wrong with a row, and its cell behind a line end; null where nothing is."""
+    out = None
+    for bad, cell, why in tests:
+        told = F.concat(F.lit(f"{why}\n"), F.coalesce(cell.cast("string"), F.lit("a gap")))
+        out = F.when(bad, told) if out is None else out.when(bad, told)
+    return out
+
+
 @dataclass(frozen=True)
-class FillMissing:
+class Fitted:
+    """A step that learns from one column. made() is all that a replay does; apply() is made() over rows at hand, refused at once."""
+
+    column: str
+
+    def sums(self, df: DataFrame) -> dict[str, Column]:
+        """Aggregates that learn() is given by name."""
+        return {}
+
+    def shares(self) -> list[float]:
+        """Quantiles of the finite values that learn() is given as `q`."""
+        return []
+
+    def words(self, df: DataFrame) -> Column | None:
+        """Text whose distinct values learn() is given as `words`."""
+        return None
+
+    def stats(self, df: DataFrame) -> dict[str, Column]:
+        """All that learn() is given as aggregates of Spark's own, for a small table at hand. Runs take learned_by."""
+        own, words = self.sums(df), self.words(df)
+        own = own | ({"q": at_hand(finite(_c(self.column)), self.shares())} if self.shares() else {})
+        return own | ({"words": F.collect_set(words)} if words is not None else {})
+
+    def learn(self, s: dict) -> dict:
+        raise NotImplementedError
+
+    def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
+        raise NotImplementedError
+
+    def apply(self, df: DataFrame, learned: dict) -> DataFrame:
+        columns, gone, tests = self.made(df, learned)
+        if tests and not df.isStreaming:
+            bad = df.select(said(tests).alias("bad")).where("bad is not null").limit(1).collect()
+            if bad:
+                why, cell = bad[0]["bad"].split("\n", 1)
+                raise Refused(f"{why}: {cell}")
+        return df.withColumns(columns).drop(*gone)
+
+
+def _sums(one, df: DataFrame) -> dict[str, Column]:
+    """A transform of one's own has stats() alone."""
+    return one.sums(df) if isinstance(one, Fitted) else one.stats(df)
+
+
+def learned_by(train: DataFrame, ones: list, observed: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[dict]:
+    """What each step learns of the training rows: one aggregation for all, one pass more for quantiles, one for words, if any ask for them.
+    observed marks the rows that the aggregation reads (see the walk)."""
+    columns = {f"s{k}_{n}": c for k, one in enumerate(ones) for n, c in _sums(one, train).items()}
+    asking = [(k, one, finite(_c(one.column))) for k, one in enumerate(ones) if isinstance(one, Fitted) and one.shares()]
+    for k, one, x in asking:
+        columns |= {f"n{k}": F.count(x), f"q{k}": around(x, one.shares())}
+    row = observed(train).agg(*(c.alias(n) for n, c in columns.items())).first().asDict() if columns else {}
+    told = [{n: row[f"s{k}_{n}"] for n in _sums(one, train)} for k, one in enumerate(ones)]
+    if asking:
+        found = exact(train, [x for _, _, x in asking], [one.shares() for _, one, _ in asking], [row[f"n{k}"] for k, _, _ in asking], [row[f"q{k}"] for k, _, _ in asking])
+        for (k, _, _), q in zip(asking, found, strict=True):
+            told[k]["q"] = q
+    texts = {k: one.words(train) for k, one in enumerate(ones) if isinstance(one, Fitted) and one.words(train) is not None}
+    if texts:
+        for k in texts:
+            told[k]["words"] = []
+        each = train.select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), t.alias("word")) for k, t in texts.items())))).where("word is not null").distinct()
+        rows = each.limit(len(texts) * MOST_WORDS + 1).collect()  # bounded
+        for r in rows:
+            told[r["k"]]["words"].append(r["word"])
+        for k in texts:
+            if len(told[k]["words"]) > MOST_WORDS or len(rows) > len(texts) * MOST_WORDS:
+                raise Refused(f"encode: {ones[k].column} has more than {MOST_WORDS} words")
+    return [one.learn(t) for one, t in zip(ones, told, strict=True)]
+
+
+@dataclass(frozen=True)
+class FillMissing(Fitted):
     """mean, median, zero, constant, refuse; the marker {column}_was_missing is always written. A column whose share of gaps is over
     refuse_above goes, and only its marker stays. (with='previous' is fill_previous.)"""
 
-    column: str
     with_: str = "mean"
     constant: float = 0.0
     refuse_above: float | None = None
 
-    def stats(self, df: DataFrame) -> dict[str, Column]:
+    def shares(self) -> list[float]:
+        return [0.5] if self.with_ == "median" else []
+
+    def sums(self, df: DataFrame) -> dict[str, Column]:
         x = finite(_c(self.column))
         own = {"rows": F.count(F.lit(1)), "gaps": F.count_if(_c(self.column).isNull()), "odd": F.count_if(is_not_finite(_c(self.column)))}
-        return own | {"mean": {"value": F.avg(x)}, "median": {"value": F.percentile(x, 0.5)}}.get(self.with_, {})
+        return own | ({"value": F.avg(x)} if self.with_ == "mean" else {})
 
     def learn(self, s: dict) -> dict:
+        s = s | ({"value": (s["q"] or [None])[0]} if self.with_ == "median" else {})
         if self.with_ in ("mean", "median") and s["odd"]:
             raise Refused(f"fill.missing: {self.column} has {s['odd']} values that are no finite numbers")
         if self.with_ == "refuse" and s["gaps"]:
@@ -55,12 +148,12 @@ class FillMissing:
         keep = self.refuse_above is None or share <= self.refuse_above
         return {"value": value if value is not None else 0.0, "gaps": s["gaps"], "share": share, "filled": keep}
 
-    def apply(self, df: DataFrame, learned: dict) -> DataFrame:
-        marked = df.withColumn(f"{self.column}_was_missing", was_missing(_c(self.column)))
+    def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
+        marked = {f"{self.column}_was_missing": was_missing(_c(self.column))}
         if not learned["filled"]:
-            return marked.drop(self.column)
+            return marked, [self.column], []
         kind = "integer" if df.schema[self.column].dataType.simpleString() in ("bigint", "int") else "number"
-        return marked.withColumn(self.column, filled(_c(self.column), learned["value"], kind))
+        return marked | {self.column: filled(_c(self.column), learned["value"], kind)}, [], []
 
 
 def fill_previous(df: DataFrame, column: str, order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -76,24 +169,29 @@ def fill_previous(df: DataFrame, column: str, order: list[str], by: list[str] |
 
 
 @dataclass(frozen=True)
-class FillNaN:
-    column: str
+class FillNaN(Fitted):
     with_: str = "refuse"
     constant: float = 0.0
 
-    def stats(self, df: DataFrame) -> dict[str, Column]:
+    def shares(self) -> list[float]:
+        return [0.5] if self.with_ == "median" else []
+
+    def sums(self, df: DataFrame) -> dict[str, Column]:
         x = finite(_c(self.column))
-        own = {"odd": F.count_if(is_not_finite(_c(self.column)))}
-        return own | {"mean": {"value": F.avg(x)}, "median": {"value": F.percentile(x, 0.5)}}.get(self.with_, {})
+        return {"odd": F.count_if(is_not_finite(_c(self.column)))} | ({"value": F.avg(x)} if self.with_ == "mean" else {})
 
     def learn(self, s: dict) -> dict:
+        s = s | ({"value": (s["q"] or [None])[0]} if self.with_ == "median" else {})
         if self.with_ == "refuse" and s["odd"]:
             raise Refused(f"fill.nan: {self.column} has {s['odd']} values that are no finite numbers")
         value = {"zero": 0.0, "constant": self.constant, "refuse": 0.0}.get(self.with_, s.get("value"))
         return {"value": value if value is not None else 0.0, "notNumbers": s["odd"]}
 
-    def apply(self, df: DataFrame, learned: dict) -> DataFrame:
-        return df.withColumn(self.column, F.when(is_not_finite(_c(self.column)), F.lit(learned["value"])).otherwise(_c(self.column)))
+    def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
+        odd, c = is_not_finite(_c(self.column)), _c(self.column)
+        if self.with_ == "refuse":
+            return {}, [], [(odd, c, f"fill.nan: {self.column} is no finite number")]
+        return {self.column: F.when(odd, F.lit(learned["value"])).otherwise(c)}, [], []
 
 
 def yeo_johnson(v: Column, lam: float) -> Column:
@@ -109,10 +207,9 @@ def yeo_johnson_back(s: Column, lam: float) -> Column:
 
 
 @dataclass(frozen=True)
-class Normalise:
+class Normalise(Fitted):
     """standard, minmax, midrange, maxabs, robust, quantile, power; out_of_range pass, clip or refuse (for scales with a range)."""
 
-    column: str
     scale: str = "midrange"
     out_of_range: str = "pass"
 
@@ -120,19 +217,18 @@ class Normalise:
         if self.scale == "quantile" and self.out_of_range == "pass":
             raise Refused("normalise: quantile cannot pass values out of range on")
 
+    def shares(self) -> list[float]:
+        return {"robust": [0.25, 0.5, 0.75], "quantile": KNOTS}.get(self.scale, [])
+
     @property
     def lands(self) -> tuple[float, float] | None:
         return {"minmax": (0, 1), "quantile": (0, 1), "midrange": (-1, 1), "maxabs": (-1, 1)}.get(self.scale)
 
-    def stats(self, df: DataFrame) -> dict[str, Column]:
+    def sums(self, df: DataFrame) -> dict[str, Column]:
         x = finite(_c(self.column))
         own = {"odd": F.count_if(is_not_finite(_c(self.column))), "n": F.count(x), "low": F.min(x), "high": F.max(x)}
         if self.scale == "standard":
             own |= {"mean": F.avg(x), "sd": F.stddev_pop(x)}
-        if self.scale == "robust":
-            own["q"] = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        if self.scale == "quantile":
-            own["q"] = F.percentile(x, F.array(*map(F.lit, KNOTS)))
         if self.scale == "power":
             own["logs"] = F.sum(F.signum(x) * F.log1p(F.abs(x)))
             for i, lam in enumerate(LAMBDAS):
@@ -185,8 +281,8 @@ class Normalise:
         shaped = yeo_johnson(v, learned["lambda"]) if self.scale == "power" else v
         return (shaped - learned["centre"]) / learned["spread"]
 
-    def apply(self, df: DataFrame, learned: dict) -> DataFrame:
-        v = _c(self.column).cast("double")
+    def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
+        v, tests = _c(self.column).cast("double"), []
         out = self._raw(v, learned)
         if self.lands:
             low, high = map(float, self.lands)
@@ -196,10 +292,9 @@ class Normalise:
             if self.out_of_range == "clip":
                 out = F.when(out.isNotNull(), F.least(F.greatest(out, F.lit(low)), F.lit(high)))
             elif self.out_of_range == "refuse":
-                outside = df.where((v < learned["knots"][0]) | (v > learned["knots"][-1])) if self.scale == "quantile" else df.where((out < low) | (out > high))
-                if outside.limit(1).count():
-                    raise Refused(f"normalise: {self.column} has values out of range")
-        return df.withColumn(self.column, out)
+                outside = (v < learned["knots"][0]) | (v > learned["knots"][-1]) if self.scale == "quantile" else (out < low) | (out > high)
+                tests = [(outside, v, f"normalise: {self.column} is out of the range of the training rows")]
+        return {self.column: out}, [], tests
 
     def back(self, v: Column, learned: dict) -> Column:
         if self.scale == "quantile":
@@ -212,21 +307,20 @@ class Normalise:
 
 
 @dataclass(frozen=True)
-class ClipOutliers:
+class ClipOutliers(Fitted):
     """bounds quantile (at: share cut at either end, 0 for the extremes), sigma or iqr (at: how many); outlier clip, blank or refuse."""
 
-    column: str
     bounds: str = "iqr"
     at: float = 1.5
     outlier: str = "clip"
 
-    def stats(self, df: DataFrame) -> dict[str, Column]:
+    def shares(self) -> list[float]:
+        return {"sigma": [], "iqr": [0.25, 0.75]}.get(self.bounds, [self.at, 1 - self.at])
+
+    def sums(self, df: DataFrame) -> dict[str, Column]:
         x = finite(_c(self.column))
         own = {"odd": F.count_if(is_not_finite(_c(self.column)))}
-        if self.bounds == "sigma":
-            return own | {"mean": F.avg(x), "sd": F.stddev_pop(x)}
-        low, high = (0.25, 0.75) if self.bounds == "iqr" else (self.at, 1 - self.at)
-        return own | {"q": F.percentile(x, F.array(F.lit(low), F.lit(high)))}
+        return own | {"mean": F.avg(x), "sd": F.stddev_pop(x)} if self.bounds == "sigma" else own
 
     def learn(self, s: dict) -> dict:
         if s["odd"]:
@@ -239,31 +333,28 @@ class ClipOutliers:
         reach = self.at * (high - low) if self.bounds == "iqr" else 0.0
         return {"lower": low - reach, "upper": high + reach}
 
-    def apply(self, df: DataFrame, learned: dict) -> DataFrame:
+    def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
         v, low, high = _c(self.column).cast("double"), F.lit(learned["lower"]), F.lit(learned["upper"])
         outside = (v < low) | (v > high)
         if self.outlier == "refuse":
-            if df.where(outside).limit(1).count():
-                raise Refused(f"outliers.clip: {self.column} has outliers")
-            return df
+            return {}, [], [(outside, v, f"outliers.clip: {self.column} is an outlier")]
         new = F.when(outside, None).otherwise(v) if self.outlier == "blank" else F.when(v < low, low).when(v > high, high).otherwise(v)
-        return df.withColumn(self.column, new)
+        return {self.column: new}, [], []
 
 
 @dataclass(frozen=True)
-class Encode:
+class Encode(Fitted):
     """onehot or ordinal over the training rows' words, ascending; unseen words are reserved a place or refused. as 'places' gives the
     ordinal with -1 for a gap, as trees take it."""
 
-    column: str
     as_: str = "onehot"
     unseen: str = "reserve"
 
     def _text(self, df: DataFrame) -> Column:
         return cell_text(_c(self.column), df.schema[self.column].dataType)
 
-    def stats(self, df: DataFrame) -> dict[str, Column]:
-        return {"words": F.collect_set(self._text(df))}  # as many as the category has
+    def words(self, df: DataFrame) -> Column | None:
+        return self._text(df)
 
     def learn(self, s: dict) -> dict:
         words = sorted(s["words"], key=lambda w: w.encode("utf-16-be"))
@@ -271,35 +362,35 @@ class Encode:
             raise Refused(f"encode: {self.column} has a category named other or was_missing")
         return {"categories": words}
 
-    def apply(self, df: DataFrame, learned: dict) -> DataFrame:
+    def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
         words, t = learned["categories"], self._text(df)
         known = t.isin(*words) if words else F.lit(False)
-        if self.unseen == "refuse" and df.where(t.isNotNull() & ~known).limit(1).count():
-            raise Refused(f"encode: {self.column} has words that training has not seen")
+        tests = [(t.isNotNull() & ~known, t, f"encode: {self.column} is a word that training has not seen")] if self.unseen == "refuse" else []
         if self.as_ == "onehot":
             made = {f"{self.column}_{w}": F.when(t == w, 1.0).otherwise(0.0) for w in words}
             if self.unseen == "reserve":
                 made[f"{self.column}_other"] = F.when(t.isNotNull() & ~known, 1.0).otherwise(0.0)
             made[f"{self.column}_was_missing"] = was_missing(t)
-            return df.withColumns(made).drop(self.column)
+            return made, [self.column], tests
         places = F.create_map(*(F.lit(x) for i, w in enumerate(words) for x in (w, float(i)))) if words else F.lit(None).cast("map<string,double>")
         gap = -1.0 if self.as_ == "places" else 0.0
         place = F.when(t.isNull(), gap).otherwise(F.coalesce(F.try_element_at(places, t), F.lit(float(len(words)))))
         made = {self.column: place} if self.as_ == "places" else {f"{self.column}_was_missing": was_missing(t), self.column: place}
-        return df.withColumns(made)
+        return made, [], tests
 
 
 @dataclass(frozen=True)
-class Piecewise:
+class Piecewise(Fitted):
     """{column}_bin{i}: 0 below the bin, 1 above it, linear inside; the end bins go on unless out_of_range is clip."""
 
-    column: str
     bins: int = 4
     out_of_range: str = "clip"
 
-    def stats(self, df: DataFrame) -> dict[str, Column]:
-        x = finite(_c(self.column))
-        return {"odd": F.count_if(is_not_finite(_c(self.column))), "q": F.percentile(x, F.array(*(F.lit(k / self.bins) for k in range(self.bins + 1))))}
+    def shares(self) -> list[float]:
+        return [k / self.bins for k in range(self.bins + 1)]
+
+    def sums(self, df: DataFrame) -> dict[str, Column]:
+        return {"odd": F.count_if(is_not_finite(_c(self.column)))}
 
     def learn(self, s: dict) -> dict:
         if s["odd"]:
@@ -309,7 +400,7 @@ class Piecewise:
             raise Refused(f"encode.piecewise: {self.column} has one value")
         return {"edges": edges}
 
-    def apply(self, df: DataFrame, learned: dict) -> DataFrame:
+    def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
         v, e, made = _c(self.column).cast("double"), learned["edges"], {}
         for i, (low, high) in enumerate(zip(e[:-1], e[1:], strict=True)):
             x = (v - low) / (high - low)
@@ -317,9 +408,8 @@ class Piecewise:
             last = i == len(e) - 2
             ceil = (x > 1) & F.lit(not last or self.out_of_range == "clip")
             made[f"{self.column}_bin{i}"] = (floor.when(ceil, 1.0) if floor is not None else F.when(ceil, 1.0)).otherwise(x)
-        if self.out_of_range == "refuse" and df.where((v < e[0]) | (v > e[-1])).limit(1).count():
-            raise Refused(f"encode.piecewise: {self.column} has values out of range")
-        return df.withColumns(made).drop(self.column)
+        tests = [((v < e[0]) | (v > e[-1]), v, f"encode.piecewise: {self.column} is out of the range of the training rows")] if self.out_of_range == "refuse" else []
+        return made, [self.column], tests
 
 
 def words_in(c: Column) -> Column:

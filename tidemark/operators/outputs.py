@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.fits import Refused
+from tidemark.operators.fits import Refused, Test, said
 
 
 def _c(name: str) -> Column:
@@ -26,43 +26,63 @@ def target_ahead(df: DataFrame, column: str, ahead: int, order: list[str], as_:
     return df.withColumn(ahead_name(column, ahead), made)
 
 
-def ahead_back(prediction: Column, now: Column, as_: str) -> Column:
-    return prediction if as_ == "value" else (prediction + 1) * now
+def later(column: str, ahead: int, order: list[str], by: list[str] | None = None) -> Column:
+    """A column so many rows later, in the window that target_ahead uses."""
+    return F.lead(F.col(f"`{column}`"), ahead).over(Window.partitionBy(*(by or [])).orderBy(*order))
 
 
-def _refuse(df: DataFrame, bad: Column, what: str) -> None:
-    row = df.where(bad).limit(1).collect()
-    if row:
-        raise Refused(f"{what}: {row[0].asDict()}")
+def ahead_back(prediction: Column, now: Column, as_: str) -> Column:
+    return prediction if as_ == "value" else (prediction + 1) * now
 
 
-def target_distribution(df: DataFrame, columns: list[str], scale_by: str | None = None, remainder: str | None = None) -> DataFrame:
-    """Shares of at least 0 that sum to 1. With scale_by the columns are counts out of that whole; with a remainder what they leave of
-    it becomes a share of its own."""
+def distribution_tests(columns: list[str], scale_by: str | None = None, remainder: str | None = None) -> list[Test]:
+    """Where the columns are no shares of at least 0 that sum to 1, or with scale_by no counts out of that whole."""
     values = [_c(c) for c in columns]
-    total = reduce(lambda a, b: a + b, values)
+    total, cells = reduce(lambda a, b: a + b, values), F.concat_ws(", ", *(v.cast("string") for v in values))
     there = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+    below = reduce(lambda a, b: a | b, [v < 0 for v in values])
     if scale_by is None:
-        bad = reduce(lambda a, b: a | b, [v < 0 for v in values]) | (F.abs(total - 1) > 1e-9 * len(columns))
-        _refuse(df, there & bad, "target.distribution: the shares are none")
-        return df
+        return [(there & (below | (F.abs(total - 1) > 1e-9 * len(columns))), cells, "target.distribution: the shares are at least 0 and sum to 1")]
     whole = _c(scale_by)
     limit = 1e-9 * len(columns) * F.greatest(F.abs(whole), F.lit(1.0))
     short = (total > whole + limit) if remainder else (F.abs(total - whole) > limit)
-    _refuse(df, there & (whole.isNull() | (whole <= 0) | short | reduce(lambda a, b: a | b, [v < 0 for v in values])), "target.distribution: the counts are no part of the whole")
-    made = {c: v / whole for c, v in zip(columns, values, strict=True)}
-    if remainder:
-        made[remainder] = F.greatest(F.lit(0.0), whole - total) / whole
-    return df.withColumns(made)
+    return [(there & (whole.isNull() | (whole <= 0) | short | below), F.concat_ws(" of ", cells, whole.cast("string")), "target.distribution: the counts are part of their whole")]
 
 
-def target_labels(df: DataFrame, columns: list[str], ones: int = 0) -> DataFrame:
-    """Each label is 0 or 1, and exactly `ones` of them are 1 where that is given."""
+def labels_tests(columns: list[str], ones: int = 0) -> list[Test]:
     values = [_c(c) for c in columns]
     bad = reduce(lambda a, b: a | b, [~v.isin(0.0, 1.0) for v in values])
     if ones:
         bad = bad | (reduce(lambda a, b: a + b, values) != ones)
-    _refuse(df, bad, "target.labels: not the labels that were said")
+    return [(bad, F.concat_ws(", ", *(v.cast("string") for v in values)), f"target.labels: each is 0 or 1{f', and {ones} of them are 1' if ones else ''}")]
+
+
+def _refuse(df: DataFrame, tests: list[Test]) -> None:
+    row = df.select(said(tests).alias("bad")).where("bad is not null").limit(1).collect()
+    if row:
+        raise Refused(row[0]["bad"].replace("\n", ": "))
+
+
+def distributed(columns: list[str], scale_by: str | None = None, remainder: str | None = None) -> dict[str, Column]:
+    """With scale_by the counts become shares of that whole; with a remainder what they leave of it becomes a share of its own."""
+    if scale_by is None:
+        return {}
+    values, whole = [_c(c) for c in columns], _c(scale_by)
+    made = {c: v / whole for c, v in zip(columns, values, strict=True)}
+    if remainder:
+        made[remainder] = F.greatest(F.lit(0.0), whole - reduce(lambda a, b: a + b, values)) / whole
+    return made
+
+
+def target_distribution(df: DataFrame, columns: list[str], scale_by: str | None = None, remainder: str | None = None) -> DataFrame:
+    """df with shares of at least 0 that sum to 1; other rows are refused at once (a run refuses them with all others)."""
+    _refuse(df, distribution_tests(columns, scale_by, remainder))
+    return df.withColumns(distributed(columns, scale_by, remainder))
+
+
+def target_labels(df: DataFrame, columns: list[str], ones: int = 0) -> DataFrame:
+    """Each label is 0 or 1, and exactly `ones` of them are 1 where that is given."""
+    _refuse(df, labels_tests(columns, ones))
     return df
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.keys import rank_number
 from tidemark.operators.evidence import running
+from tidemark.operators.quantiles import At, places
 from tidemark.session import kept_table
 
 ORDER = ("train", "validation", "calibration", "test", "predict")
@@ -66,13 +67,13 @@ def values_at(df: DataFrame, value: str, places: Iterable[int] | dict[object, li
     return {(r["asked_of"], r["place"]): (r[value], r["below"], r["count"]) for r in hit.select("asked_of", "place", value, "below", "count").collect()}
 
 
-def _dealt(value: Column, edges: list[tuple[str, int]], at: dict[tuple[object, int], tuple[int, int, int]], n: int) -> Column:
+def _dealt(value: Column, edges: list[tuple[str, int]], at: dict[int, At], n: int) -> Column:
     """The part of a row by its value: it is past an edge if no row below its value would be before the edge. The value is bound once, as
     a filter on the part would else evaluate it for each edge."""
     return F.transform(F.array(value), lambda v: _by_edges(v, edges, at, n))[0]
 
 
-def _by_edges(value: Column, edges: list[tuple[str, int]], at: dict[tuple[object, int], tuple[int, int, int]], n: int) -> Column:
+def _by_edges(value: Column, edges: list[tuple[str, int]], at: dict[int, At], n: int) -> Column:
     part, before = None, 0
     for name, edge in edges:
         if edge <= before:
@@ -80,8 +81,7 @@ def _by_edges(value: Column, edges: list[tuple[str, int]], at: dict[tuple[object
         if edge >= n:
             test = F.lit(True)
         else:
-            cut, below, _ = at[(None, edge)]
-            test = (value < cut) | ((value == cut) & F.lit(below < edge))
+            test = value <= at[edge].value if at[edge].below < edge else value < at[edge].value
         part = F.when(test, name) if part is None else part.when(test, name)
         before = edge
     return part if part is not None else F.lit("train")
@@ -99,20 +99,14 @@ def micros(column: str) -> Column:
 def by_time(df: DataFrame, column: str, shares: Shares, gap: int = 0, origins: int | None = None, origin: int = 0) -> DataFrame:
     """df with _part by the moments of column. With origins, train and validation are one stretch of origins + 1 blocks: those up to
     `origin` train, the next validates, later ones are left out. The last `gap` moments of each part are left out too."""
-    moments = df.select(micros(column).alias("v"))
-    n, gaps = moments.agg(F.count(F.lit(1)), F.count_if(F.col("v").isNull())).first()
+    v = micros(column)
+    blocks = lambda n: _blocks(dict(shares.edges(n))["validation"], origins + 1) if origins else []
+    n, gaps, at = places(df.select(v.alias("v")), F.col("v"), lambda n: [*(e for _, e in shares.edges(n)), *blocks(n)])
     if gaps:
         raise ValueError(f"split.byTime: {column} has gaps")
-    edges = shares.edges(n)
-    at = values_at(moments, "v", [e for _, e in edges if e < n])
-    v = micros(column)
-    part = _dealt(v, edges, at, n)
+    part = _dealt(v, shares.edges(n), at, n)
     if origins:
-        known = dict(edges)["validation"]
-        starts = _blocks(known, origins + 1)
-        inner = values_at(moments, "v", [s for s in starts if s < n])
-        block = [(str(i), s) for i, s in enumerate([*starts, n])]
-        number = _dealt(v, block, inner, n).cast("int")
+        number = _dealt(v, [(str(i), s) for i, s in enumerate([*blocks(n), n])], at, n).cast("int")
         told = F.when(number <= origin, "train").when(number == origin + 1, "validation").otherwise("gap")
         part = F.when(part.isin("train", "validation"), told).otherwise(part)
     dealt = df.withColumn("_part", part)
@@ -138,28 +132,25 @@ def at_random(df: DataFrame, key: Column, shares: Shares, seed: int, test_seed:
     """df with _part by the rank of key (hexadecimal) under the seed; rows with one key stay together. test_seed deals test and predict
     first, and seed the rest anew. With folds, train and validation are one stretch of slices, of which slice `fold` validates."""
     ranked = df.withColumn("_rank", rank_number(key, test_seed if test_seed is not None else seed))
-    ranks = kept_table(ranked.select("_rank"), "ranks")  # hashed once, then counted
-    n = ranks.count()
+    rank = F.col("_rank")
+    n, _, at = places(ranked, rank, lambda n: [e for _, e in shares.edges(n)])
     edges = shares.edges(n)
-    part = _dealt(F.col("_rank"), edges, values_at(ranks, "_rank", [e for _, e in edges if e < n]), n)
-    dealt = ranked.withColumn("_part", part)
+    dealt = ranked.withColumn("_part", _dealt(rank, edges, at, n))
     if test_seed is None and not folds:
         return dealt.drop("_rank")
     kinds = ("train", "validation", "calibration") if test_seed is not None else ("train", "validation")
     again = dealt.withColumn("_rank", F.when(F.col("_part").isin(*kinds), rank_number(key, seed)))
     if test_seed is not None:
-        m = again.where(F.col("_rank").isNotNull()).count()
-        inner = [(p, min(m, e)) for p, e in edges if p in kinds]
-        inner[-1] = (inner[-1][0], m)
-        found = _dealt(F.col("_rank"), inner, values_at(again, "_rank", [e for _, e in inner if e < m]), m)
-        again = again.withColumn("_part", F.when(F.col("_rank").isNotNull(), found).otherwise(F.col("_part")))
+        first = {p: e / max(1, n) for p, e in edges}
+        inner = lambda m: [*((p, min(m, e) if m <= n else round(m * first[p] / max(first[k] for k in kinds))) for p, e in edges if p in kinds[:-1]), (kinds[-1], m)]
+        m, _, at = places(again, rank, lambda m: [e for _, e in inner(m)])
+        again = again.withColumn("_part", F.when(rank.isNotNull(), _dealt(rank, inner(m), at, m)).otherwise(F.col("_part")))
     if folds:
         again = again.withColumn("_rank", F.when(F.col("_part").isin("train", "validation"), rank_number(key, seed)))
-        m = again.where(F.col("_rank").isNotNull()).count()
-        slices = [(str(i), e) for i, e in enumerate([*_blocks(m, folds), m])]
-        number = _dealt(F.col("_rank"), slices, values_at(again, "_rank", [e for _, e in slices if e < m]), m).cast("int")
+        m, _, at = places(again, rank, lambda m: _blocks(m, folds))
+        number = _dealt(rank, [(str(i), e) for i, e in enumerate([*_blocks(m, folds), m])], at, m).cast("int")
         told = F.when(number == fold, "validation").otherwise("train")
-        again = again.withColumn("_part", F.when(F.col("_rank").isNotNull(), told).otherwise(F.col("_part")))
+        again = again.withColumn("_part", F.when(rank.isNotNull(), told).otherwise(F.col("_part")))
     return again.drop("_rank")
 
 

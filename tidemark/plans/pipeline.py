@@ -2,6 +2,10 @@
 
 Fitting reads the rows of part train alone. Steps that learn by statistics share an aggregation as long as none reads what an earlier
 one of them writes; everything else is projection, so what a pipeline costs is a scan for each such barrier.
+
+What steps refuse is part of the plan: a hidden column says what is wrong with a row and in which cell. The aggregation at a barrier
+observes it on its way, and one at the end of a run sees to the rest, together with the way back of the answers; a stream raises it at the
+row. Only when something is refused are rows counted, to tell the place at which it was read.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import features, indicators, keys
@@ -30,8 +34,14 @@ VERSION = 16
 #: Verbs that write features in a form, and the key that names it.
 FORMED = {"feature.cycle": "form", "feature.cyclical": "form", "scale.given": "lands"}
 HIDDEN = ("_read_at", "_key", "_part")
+#: What is wrong with a row, while a walk lasts.
+WRONG = "_refused"
+#: How far a value may be from the one it was made of, as a share of it, when its steps are undone.
+WAY_BACK = 1e-6
 #: Beginning of the names of columns that keep what a way back needs of a row.
 KEPT = "_kept_"
+#: And of those that hold what an answer was made of, until a run has verified its way back.
+AS_READ = f"{KEPT}as_read_"
 _LABEL = "tidemark.declaration"
 
 
@@ -155,6 +165,31 @@ def number_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("_read_at", F.monotonically_increasing_id())
 
 
+def read_place(source: DataFrame | None, read_at: int) -> int:
+    """The place, from 1, of a row as it was read: _read_at tells its partition and its place there, and partitions are counted."""
+    part = read_at >> 33
+    earlier = source.where(F.shiftright("_read_at", 33) < part).count() if source is not None and part else 0
+    return earlier + (read_at & ((1 << 33) - 1)) + 1
+
+
+def undone(steps: tuple[Step, ...], answer: str, skipped: dict[int, str]) -> list[tuple[int, str]]:
+    """The steps that made an answer what it is, last first, each with the column that is left when it is undone."""
+    name, out = answer, []
+    for i in range(len(steps) - 1, -1, -1):
+        s = steps[i]
+        p = s.params
+        if i in skipped:
+            continue
+        if s.verb == "normalise" and p["column"] == name or s.verb == "scale.given" and p["column"] == name and p["lands"] != "splitsign":
+            out.append((i, name))
+        elif s.verb == "maths" and (p["into"] or p["column"]) == name or s.verb == "target.ahead" and s.makes == name:
+            name = p["column"]
+            out.append((i, name))
+        elif s.verb == "target.distribution" and p["scaleBy"] and name in p["columns"]:
+            out.append((i, name))
+    return out
+
+
 def _fitted(s: Step, df: DataFrame, places: bool = False) -> list[fits.FillMissing]:
     """What a fitted verb learns with; places: an encoder hands categories over as their places."""
     p = s.params
@@ -193,8 +228,38 @@ class _Walk:
         self.answers: list[str] = []
         self.id: str | None = None
         self.df: DataFrame = None
+        self.source: DataFrame | None = None  # the rows as read, with their places
+        self.way_back: dict[str, float] = {}
         self.pending: list[tuple[int, list]] = []
 
+    def refuse(self, tests: list[fits.Test]) -> None:
+        """Rows that meet a test are refused, the first test first; see settle."""
+        if tests:
+            before = [F.col(WRONG)] if WRONG in self.df.columns else []
+            self.df = self.df.withColumn(WRONG, F.coalesce(*before, fits.said(tests)))
+
+    def _wrong(self) -> Column:
+        """The first wrong row: its place, padded so that places sort, and what is wrong."""
+        place = F.lpad(F.col("_read_at").cast("string"), 20, "0") if "_read_at" in self.df.columns else F.lit("")
+        return F.min(F.when(F.col(WRONG).isNotNull(), F.concat(place, F.lit("\n"), F.col(WRONG))))
+
+    def _raise(self, found: str | None) -> None:
+        if found:
+            place, why, cell = found.split("\n", 2)
+            row = f"row {read_place(self.source, int(place))} holds " if place and self.source is not None else ""
+            raise Refused(f"{why}: {row}{cell}")
+
+    def settle(self) -> None:
+        """Refuses now what is wrong so far: before rows go, and at the end. A stream carries it to its rows."""
+        if WRONG not in self.df.columns:
+            return
+        if self.df.isStreaming:
+            wrong = F.raise_error(F.regexp_replace(WRONG, "\n", ": ")).cast("boolean")
+            self.df = self.df.where(F.when(F.col(WRONG).isNotNull(), wrong).otherwise(True)).drop(WRONG)
+            return
+        self._raise(self.df.agg(self._wrong()).first()[0])
+        self.df = self.df.drop(WRONG)
+
     def train(self) -> DataFrame:
         return self.df.where("_part = 'train'")
 
@@ -210,6 +275,8 @@ class _Walk:
                 self.pending.append((i, _fitted(s, self.df, i in self.skipped)))
                 continue
             self.flush()
+            if role in ("drop", "split", "order"):
+                self.settle()
             if role == "source":
                 self._open(s, rows)
             elif role == "schema":
@@ -225,20 +292,76 @@ class _Walk:
             else:
                 self._act(s)
         self.flush()
-        return Prepared(self.declaration, self.df, self.learned, self.tables, self.evidence, self.answers, self.id, self.order, self.skipped, rows, self.divided, self.unmatched)
+        if not self.replaying and until is None and not self.df.isStreaming:
+            self._verify()
+        self.settle()
+        kept = [c for c in self.df.columns if c.startswith(AS_READ)]
+        self.df = self.df.drop(*kept)
+        return Prepared(self.declaration, self.df, self.learned, self.tables, self.evidence, self.answers, self.id, self.order, self.skipped, rows, self.divided, self.unmatched, source=self.source, way_back=self.way_back)
+
+    def _verify(self) -> None:
+        """The answers are put back and compared with the column they come back to as it was read, in the aggregation that also looks for
+        refused rows. An answer without steps to undo, or one that comes back to a column that a step made, has nothing to be compared."""
+        told, asked = [], []
+        prepared = Prepared(self.declaration, self.df, self.learned, answers=self.answers, skipped=self.skipped)
+        for answer in self.answers:
+            chain = undone(self.declaration.steps, answer, self.skipped)
+            end = chain[-1][1] if chain else None
+            if not chain or f"{AS_READ}{end}" not in self.df.columns:
+                continue
+            for i, _ in chain:
+                s = self.declaration.steps[i]
+                if s.verb == "maths" and s["maths"] in ("abs", "sign"):
+                    raise Refused(f"step {i + 1}: {s['maths']} of the answer {answer} has no way back, as it throws the {'sign' if s['maths'] == 'abs' else 'size'} away")
+            was, now = F.col(f"`{AS_READ}{end}`"), F.col(f"`{answer}`").cast("double")
+            back = prepared.back(now, answer)
+            error = F.when(was.isNotNull() & now.isNotNull(), F.coalesce(F.abs(back - was) / F.greatest(F.abs(was), F.lit(1.0)), F.lit(float("inf"))))
+            asked.append((answer, error, F.struct(F.col("_read_at"), was.alias("was"), now.alias("now"), back.alias("back"))))
+        if not asked:
+            return
+        wrong = WRONG in self.df.columns
+        told = [F.max(e).alias(f"e{k}") for k, (_, e, _) in enumerate(asked)] + [F.max_by(r, e).alias(f"r{k}") for k, (_, e, r) in enumerate(asked)]
+        row = self.df.agg(*told, *([self._wrong().alias("wrong")] if wrong else [])).first()
+        if wrong:
+            self._raise(row["wrong"])
+            self.df = self.df.drop(WRONG)
+        for k, (answer, _, _) in enumerate(asked):
+            worst, r = row[f"e{k}"], row[f"r{k}"]
+            self.way_back[answer] = worst if worst is not None else 0.0
+            if worst is not None and not worst <= WAY_BACK:
+                steps = ", ".join(f"step {i + 1} ({self.declaration.steps[i].verb})" for i, _ in undone(self.declaration.steps, answer, self.skipped))
+                raise Refused(f"the way back of {answer} does not lead back through {steps}: row {read_place(self.source, r[0])} was {r['was']}, became {r['now']}, and comes back as {r['back']}")
 
     def flush(self) -> None:
-        """One aggregation over the training rows for all that wait, then their projections."""
+        """One aggregation over the training rows for all that wait, then one projection. What was refused so far is observed on the way."""
         pending, self.pending = self.pending, []
         if not pending:
             return
-        columns = {f"s{i}_{k}_{n}": c for i, ones in pending for k, one in enumerate(ones) for n, c in one.stats(self.df).items()}
-        row = self.train().agg(*(c.alias(n) for n, c in columns.items())).first().asDict()
-        for i, ones in pending:
-            self.learned[i] = [one.learn({n: row[f"s{i}_{k}_{n}"] for n in one.stats(self.df)}) for k, one in enumerate(ones)]
+        every = [one for _, ones in pending for one in ones]
+        seen, before = None, self.df
+        if WRONG in before.columns:
+            seen = Observation()
+            before = before.observe(seen, self._wrong().alias("wrong"))
+        told, at = fits.learned_by(self.train(), every, lambda train: before.where("_part = 'train'") if seen is not None else train), 0
+        if seen is not None:
+            self._raise(seen.get.get("wrong"))
+            self.df = self.df.drop(WRONG)
         for i, ones in pending:
-            for one, learned in zip(ones, self.learned[i], strict=True):
-                self.df = one.apply(self.df, learned)
+            self.learned[i] = told[at : at + len(ones)]
+            at += len(ones)
+        self._apply([(one, learned) for i, ones in pending for one, learned in zip(ones, self.learned[i], strict=True)])
+
+    def _apply(self, learned: list[tuple[Any, Any]]) -> None:
+        """The columns of steps that do not read each other's, in one projection."""
+        columns, gone, tests = {}, [], []
+        for one, values in learned:
+            if isinstance(one, fits.Fitted):
+                made, dropped, wrong = one.made(self.df, values)
+                columns, gone, tests = columns | made, gone + dropped, tests + wrong
+            else:  # a transform of one's own
+                self.df = one.apply(self.df, values)
+        self.refuse(tests)
+        self.df = self.df.withColumns(columns).drop(*gone)
 
     def _open(self, s: Step, rows: DataFrame | None) -> None:
         p = s.params
@@ -262,8 +385,8 @@ class _Walk:
                 self.unmatched = readers.alone(part(p["left"]), part(p["right"]), p["on"])
         plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
         # Both columns are expressions: a plan that does not use them does not compute them.
-        self.df = df.withColumn("_key", keys.row_key(df, plain)) if plain else df.withColumn("_key", F.lit(None).cast("string"))
-        self.df = self.df if df.isStreaming else number_rows(self.df)
+        self.df = df.withColumn("_key", keys.row_key(df, plain) if plain else F.lit(None).cast("string"))
+        self.df = self.source = self.df if df.isStreaming else number_rows(self.df)
 
     def _declare(self, s: Step) -> None:
         named = {c["name"]: c for c in s["columns"]}
@@ -295,10 +418,15 @@ class _Walk:
             out += [as_kind(self.df, n, kind_of(self.df.schema[n])) for n in own if n not in named]
         if bad and not self.df.isStreaming:
             seen = self.df.agg(*(x for n, b in bad for x in (F.count_if(b).alias(f"n_{n}"), F.min_by(F.struct(F.col("_read_at"), F.col(f"`{n}`")), F.when(b, F.col("_read_at"))).alias(f"r_{n}")))).first()
-            wrong = [f"{n}: {seen[f'n_{n}']} cells cannot be read, first {seen[f'r_{n}'][1]!r}" for n, _ in bad if seen[f"n_{n}"]]
+            wrong = [f"{n}: {seen[f'n_{n}']} cells cannot be read, first {seen[f'r_{n}'][1]!r} in row {read_place(self.source, seen[f'r_{n}'][0])}" for n, _ in bad if seen[f"n_{n}"]]
             if wrong:
                 raise Refused("\n".join(wrong))
-        self.df = self.df.select(*out, *(h for h in HIDDEN if h in self.df.columns))
+        ends = {c[-1][1] for a in answers_of(self.declaration.steps) if (c := undone(self.declaration.steps, a, self.skipped))} if not self.replaying else set()
+        numbers = [n for n, c in named.items() if n in ends and n in own and c["kind"] in ("number", "integer", "boolean") and not c.get("excluded")]
+        if self.df.isStreaming and bad:
+            self.refuse([(b, F.col(f"`{n}`"), f"{n}: the cell cannot be read") for n, b in bad])
+        self.df = self.df.select(*out, *(h for h in (*HIDDEN, WRONG) if h in self.df.columns))
+        self.df = self.df.withColumns({f"{AS_READ}{n}": F.col(f"`{n}`").cast("double") for n in numbers})
 
     def _act(self, s: Step) -> None:
         p, df = s.params, self.df
@@ -315,11 +443,12 @@ class _Walk:
                     df = df.where(F.col(f"`{c}`").isNotNull())
             self.df = df
         elif s.verb == "drop.warmup":
-            self.df = drop_warmup(df, self.order, [c for c in df.columns if c not in HIDDEN and not c.startswith(KEPT) and c != self.id], p["atMost"])
+            self.df = drop_warmup(df, self.order, [c for c in df.columns if c not in HIDDEN and c != WRONG and not c.startswith(KEPT) and c != self.id], p["atMost"])
         elif s.verb == "order.by":
             self.df, self.order = order_by(df, p["columns"]), p["columns"]
         elif s.verb == "shuffle":
-            self.df = df.orderBy(keys.rank(self._by(p["byId"]), p["seed"]))
+            self._known_id(s)
+            self.df = self.df.orderBy(keys.rank(self._by(p["byId"]), p["seed"]))
         elif s.verb == "feature.add":
             self.df = df.withColumn(p["column"], features.arithmetic(features.number(p["left"]), p["arithmetic"], features.number(p["right"])))
         elif s.verb == "feature.cycle":
@@ -336,17 +465,15 @@ class _Walk:
             self.df = indicators.add_indicator(df, p["column"], p["indicator"], p["period"], p["columns"], self._along(p["by"]), p["by"])
         elif s.verb == "maths":
             v = features.number(p["column"])
-            if not df.isStreaming and df.where(features.maths_refused(v, p["maths"])).limit(1).count():
-                raise Refused(f"maths: {p['column']} has values without a {p['maths']}")
-            self.df = df.withColumn(p["into"] or p["column"], features.maths(v, p["maths"]))
+            self.refuse([(features.maths_refused(v, p["maths"]), v, f"maths: {p['column']} has a value without a {p['maths']}")])
+            self.df = self.df.withColumn(p["into"] or p["column"], features.maths(v, p["maths"]))
         elif s.verb == "scale.given":
             v = features.scale_given(features.number(p["column"]), p["lowest"], p["highest"], "signed" if p["lands"] == "splitsign" else p["lands"])
             self.df = df.withColumns(features.formed({p["column"]: v}, "splitsign")).drop(p["column"]) if p["lands"] == "splitsign" else df.withColumn(p["column"], v)
         elif s.verb == "settle.gaps":
             c = F.col(f"`{p['column']}`")
             if p["with"] == "refuse":
-                if df.where(c.isNull()).limit(1).count():
-                    raise Refused(f"settle.gaps: {p['column']} has gaps")
+                self.refuse([(c.isNull(), c, f"settle.gaps: {p['column']} has gaps")])
             else:
                 kind = "integer" if df.schema[p["column"]].dataType.typeName() == "long" else "number"
                 self.df = df.withColumn(f"{p['column']}_was_missing", features.was_missing(c)).withColumn(p["column"], features.filled(c, p["value"] if p["with"] == "constant" else 0.0, kind))
@@ -358,14 +485,24 @@ class _Walk:
             self.answers = [outputs.ahead_name(p["column"], p["ahead"])]
             if p["as"] == "return":
                 df = df.withColumn(_kept(self.answers[0]), F.col(f"`{p['column']}`").cast("double"))
-            self.df = df.withColumn(self.answers[0], F.lit(None).cast("double")) if self.replaying else outputs.target_ahead(df, p["column"], p["ahead"], self._along(p["by"]), p["as"], p["by"])
+            if self.replaying:
+                self.df = df.withColumn(self.answers[0], F.lit(None).cast("double"))
+            else:
+                self.df = outputs.target_ahead(df, p["column"], p["ahead"], self._along(p["by"]), p["as"], p["by"])
+                # the answer comes back to the value that was read so many rows later
+                for c in (c for c in df.columns if c.startswith(AS_READ)):
+                    self.df = self.df.withColumn(c, outputs.later(c, p["ahead"], self._along(p["by"]), p["by"]))
         elif s.verb == "target.distribution":
             self.answers = [*p["columns"], *([p["remainder"]] if p["remainder"] else [])]
             if p["scaleBy"] and p["scaleBy"] in df.columns:
                 df = df.withColumns({_kept(a): F.col(f"`{p['scaleBy']}`").cast("double") for a in self.answers})
-            self.df = df if self.replaying else outputs.target_distribution(df, p["columns"], p["scaleBy"], p["remainder"])
+            self.df = df
+            if not self.replaying:
+                self.refuse(outputs.distribution_tests(p["columns"], p["scaleBy"], p["remainder"]))
+                self.df = self.df.withColumns(outputs.distributed(p["columns"], p["scaleBy"], p["remainder"]))
         elif s.verb == "target.labels":
-            self.answers, self.df = p["columns"], df if self.replaying else outputs.target_labels(df, p["columns"], p["ones"])
+            self.answers = p["columns"]
+            self.refuse([] if self.replaying else outputs.labels_tests(p["columns"], p["ones"]))
         elif s.verb == "target.numbers":
             self.answers, self.df = p["columns"], df if self.replaying else outputs.target_numbers(df, p["columns"])
 
@@ -376,10 +513,17 @@ class _Walk:
     def _by(self, by_id: bool) -> Column:
         return keys.row_key(self.df, [self.id]) if by_id else F.col("_key")
 
+    def _known_id(self, s: Step) -> None:
+        """Rows are dealt by their id only if each has one."""
+        if s.params.get("byId") and not self.replaying:
+            self.refuse([(F.col(f"`{self.id}`").isNull(), F.col(f"`{self.id}`"), f"{s.verb}: rows are dealt by {self.id}")])
+            self.settle()
+
     def _split(self, s: Step) -> None:
         if self.replaying:
             return
         p = s.params
+        self._known_id(s)
         shares = splits.Shares(p["train"], p["validation"], p["test"], p["predict"], p["calibration"])
         if s.verb == "split.byTime":
             self.df = splits.by_time(self.df, p["column"], shares, p["gap"], p["origins"], p["origin"])
@@ -392,8 +536,7 @@ class _Walk:
     def _fit(self, i: int, s: Step) -> None:
         p = s.params
         if _fitted(s, self.df):
-            for one, learned in zip(_fitted(s, self.df, i in self.skipped), self.learned[i], strict=True):
-                self.df = one.apply(self.df, learned)
+            self._apply(list(zip(_fitted(s, self.df, i in self.skipped), self.learned[i], strict=True)))
         elif s.verb == "fill.missing":
             self.df = fits.fill_previous(self.df, p["column"], self._along(p["by"]), p["by"])
         elif s.verb == "tokenize":
@@ -408,7 +551,7 @@ class _Walk:
                 self.learned[i], self.tables[i] = [learned], kept_table(sums, "history")
             self.df = one.apply(self.df, self.learned[i][0], self.tables[i])
         elif s.verb == "watch.reference":
-            columns = p["columns"] or [c for c in self.df.columns if c not in HIDDEN and not c.startswith(KEPT)]
+            columns = p["columns"] or [c for c in self.df.columns if c not in HIDDEN and c != WRONG and not c.startswith(KEPT)]
             if i not in self.learned:
                 self.tables[i] = kept_table(evidence.tallies(self.train(), columns), "tallies")
                 self.learned[i] = [{"columns": columns, "warnAbove": p["warnAbove"]}]
@@ -417,7 +560,7 @@ class _Walk:
         if self.replaying:
             return
         p = s.params
-        columns = p.get("columns") or [c for c in self.df.columns if c not in HIDDEN and not c.startswith(KEPT) and c != self.id]
+        columns = p.get("columns") or [c for c in self.df.columns if c not in HIDDEN and c != WRONG and not c.startswith(KEPT) and c != self.id]
         if s.verb in HANDLERS:
             self.evidence[s.verb] = HANDLERS[s.verb](self.df, p)
         elif s.verb == "evidence.profile":
@@ -436,9 +579,11 @@ class _Walk:
 def order_by(df: DataFrame, columns: list[str]) -> DataFrame:
     """df ordered; gaps, NaN and rows that the columns do not tell apart are refused."""
     if not df.isStreaming:
-        odd = [F.col(f"`{c}`").isNull() | (F.isnan(f"`{c}`") if df.schema[c].dataType.typeName() in ("double", "float") else F.lit(False)) for c in columns]
-        if any(df.where(o).limit(1).count() for o in odd):
-            raise Refused("order.by: a column has gaps")
+        odd = {c: F.col(f"`{c}`").isNull() | (F.isnan(f"`{c}`") if df.schema[c].dataType.typeName() in ("double", "float") else F.lit(False)) for c in columns}
+        seen = df.agg(*(F.count_if(o).alias(f"n{k}") for k, o in enumerate(odd.values()))).first()
+        gaps = [c for k, c in enumerate(odd) if seen[k]]
+        if gaps:
+            raise Refused(f"order.by: {', '.join(gaps)} has gaps")
         twice = df.groupBy(*(f"`{c}`" for c in columns)).count().where("count > 1").limit(1).collect()
         if twice:
             raise Refused(f"order.by: rows stand at one place: {tuple(twice[0])[:-1]}")
@@ -476,9 +621,13 @@ class Prepared:
     rows: DataFrame | None = None
     divided: DataFrame | None = None
     unmatched: DataFrame | None = None
+    #: The rows as read, with their places.
+    source: DataFrame | None = None
+    #: For each answer that steps have changed: the largest error, as a share of the value, when they are undone on every row of the run.
+    way_back: dict[str, float] = field(default_factory=dict)
 
     def features(self) -> list[str]:
-        return [c for c in self.df.columns if c not in HIDDEN and not c.startswith(KEPT) and c != self.id and c not in self.answers]
+        return [c for c in self.df.columns if c not in HIDDEN and c != WRONG and not c.startswith(KEPT) and c != self.id and c not in self.answers]
 
     def part(self, name: str) -> DataFrame:
         if name == "gap":
@@ -653,21 +802,22 @@ class Prepared:
     def back(self, prediction: Column, column: str | None = None) -> Column:
         """A prediction of an answer in the units it was read in: the steps that made it are undone, last first."""
         name, out = column or self.answers[0], prediction
-        for i in range(len(self.declaration.steps) - 1, -1, -1):
+        if any(s.verb == "target.distribution" and s["scaleBy"] and name == s["remainder"] for s in self.declaration.steps):
+            return out * F.col(f"`{_kept(name)}`")
+        for i, left in undone(self.declaration.steps, name, self.skipped):
             s = self.declaration.steps[i]
             p = s.params
-            if i in self.skipped:
-                continue
-            if s.verb == "normalise" and p["column"] == name:
+            if s.verb == "normalise":
                 out = fits.Normalise(name, p["scale"], p["outOfRange"]).back(out, self.learned[i][0])
-            elif s.verb == "maths" and (p["into"] or p["column"]) == name:
-                out, name = features.maths_back(out, p["maths"]), p["column"]
-            elif s.verb == "scale.given" and p["column"] == name and p["lands"] != "splitsign":
+            elif s.verb == "maths":
+                out = features.maths_back(out, p["maths"])
+            elif s.verb == "scale.given":
                 out = features.scale_given_back(out, p["lowest"], p["highest"], p["lands"])
-            elif s.verb == "target.ahead" and s.makes == name:
-                out, name = outputs.ahead_back(out, F.col(f"`{_kept(name)}`"), p["as"]) if p["as"] == "return" else out, p["column"]
-            elif s.verb == "target.distribution" and p["scaleBy"] and name in self.answers:
+            elif s.verb == "target.ahead":
+                out = outputs.ahead_back(out, F.col(f"`{_kept(name)}`"), p["as"]) if p["as"] == "return" else out
+            else:
                 out = out * F.col(f"`{_kept(name)}`")
+            name = left
         return out
 
     def watched(self, window: DataFrame) -> DataFrame:

@@ -116,8 +116,7 @@ over(
 
 
 def _fit(t: DataFrame, one, keep: list[str], made: list[str], train: str = "true") -> DataFrame:
-    row = t.where(train).agg(*(c.alias(n) for n, c in one.stats(t).items())).first().asDict()
-    return one.apply(t, one.learn(row)).select(*keep, *(r6(F.col(f"`{c}`")).alias(c) for c in made))
+    return one.apply(t, fits.learned_by(t.where(train), [one])[0]).select(*keep, *(r6(F.col(f"`{c}`")).alias(c) for c in made))
 
 
 TRAIN = "event_id % 10 < 7"
