@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.kinds import finite, is_not_finite, kind_of
-
+from tidemark.operators.quantiles import quantiles
 
 #: Ranges that values are cut into at most: each value is compared with all cuts.
 MOST_RANGES = 256
@@ -21,19 +25,23 @@ def _is_number(df: DataFrame, name: str) -> bool:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: rows, gaps, not_finite, distinct, constant, min, max, mean, median. One aggregation over all; distinct
-    counts are exact."""
-    aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
+    """A row for each column: rows, gaps, not_finite, distinct, constant, min, max, mean, median. One aggregation over all, and two passes
+    for all medians; distinct counts are exact."""
+    aggregates, rows, numbers = [F.count(F.lit(1)).alias("rows")], [], []
     for k, name in enumerate(columns):
         c, number = F.col(f"`{name}`"), _is_number(df, name)
         x = finite(c) if number else F.lit(None).cast("double")
         aggregates += [
             F.count_if(c.isNull()).alias(f"gaps{k}"),
             (F.count_if(is_not_finite(c)) if number else F.lit(0)).cast("bigint").alias(f"odd{k}"),
-            F.min(x).alias(f"min{k}"), F.max(x).alias(f"max{k}"), F.avg(x).alias(f"mean{k}"), F.percentile(x, F.lit(0.5)).alias(f"median{k}"),
+            F.min(x).alias(f"min{k}"), F.max(x).alias(f"max{k}"), F.avg(x).alias(f"mean{k}"),
         ]
+        if number:
+            numbers.append(k)
         fields = [F.lit(name).alias("column"), F.col("rows"), *(F.col(f"{f}{k}").alias(t) for f, t in (("gaps", "gaps"), ("odd", "not_finite")))]
-        rows.append(F.struct(*fields, *(F.col(f"{f}{k}").alias(f) for f in ("min", "max", "mean", "median"))))
+        rows.append((k, [*fields, *(F.col(f"{f}{k}").alias(f) for f in ("min", "max", "mean"))]))
+    middle = dict(zip(numbers, quantiles(df, [finite(F.col(f"`{columns[k]}`")) for k in numbers], [0.5]), strict=True))
+    rows = [F.struct(*cells, F.lit(middle[k][0] if middle.get(k) else None).cast("double").alias("median")) for k, cells in rows]
     told = df.agg(*aggregates).select(F.inline(F.array(*rows)))
     # one shuffle counts the distinct values of all columns
     values = df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("v")) for n in columns))))
@@ -91,7 +99,7 @@ class Alerts:
                     say("nothingknown", rows, "saymissing", value=f"{value:.0f}")
         out += self._pairs(seen)
         if self.rank_above is not None:
-            out += self._ranks(kinds, {o[1] for o in out if o[5] == "leaveout"})
+            out += self._ranks(seen, kinds, {o[1] for o in out if o[5] == "leaveout"})
         schema = "place int, column string, other string, alert string, rows long, action string, verb string, value string"
         return self.df.sparkSession.createDataFrame(out, schema)
 
@@ -103,7 +111,7 @@ class Alerts:
         counts = self.df.select(finite(F.col(f"`{c}`")).alias("v")).where("v is not null").groupBy("v").count()
         low = counts.orderBy("v").limit(2).collect()
         high = counts.orderBy(F.desc("v")).limit(2).collect()
-        usual = steps(counts, "v").agg(F.percentile("step", 0.5)).first()[0]
+        usual = quantiles(steps(counts, "v"), [F.col("step")], [0.5])[0][0]
         found = []
         for e, two in (("min", low), ("max", high)):
             if e in ends and len(two) == 2 and two[0]["count"] >= 2 and abs(two[0]["v"] - two[1]["v"]) > 10 * usual:
@@ -134,18 +142,17 @@ class Alerts:
                 out.append((place, c, other, alert, int(rows), "leaveout", None, None))
         return out
 
-    def _ranks(self, kinds: dict[str, str], left: set[str]) -> list[tuple]:
+    def _ranks(self, seen: dict, kinds: dict[str, str], left: set[str]) -> list[tuple]:
         numbers = [c for c in self.columns if kinds[c] in ("number", "integer", "boolean") and c not in left and c not in self.answers]
-        out = []
-        for at in range(1, len(numbers)):
-            best = None
-            for earlier in numbers[:at]:
-                r = correlation(self.df, [earlier, numbers[at]], "spearman").first()
-                if abs(r["coefficient"]) > self.rank_above and (best is None or abs(r["coefficient"]) > abs(best[0])):
-                    best = r["coefficient"], earlier, r["kept"]
-            if best:
-                out.append((self.columns.index(numbers[at]), numbers[at], best[1], "ranks", int(best[2]), "leaveout", None, None))
-        return out
+        # Columns without gaps are complete in the same rows, so all their pairs come of one table; others share what their pair has.
+        whole = [c for c in numbers if not seen[c]["gaps"] and not seen[c]["not_finite"]]
+        told = correlation(self.df, whole, "spearman").collect() if len(whole) > 1 else []  # a row for each two columns
+        told += [correlation(self.df, list(two), "spearman").first() for two in combinations(numbers, 2) if not set(two) <= set(whole)]
+        met: dict[str, tuple] = {}
+        for r in sorted(told, key=lambda r: numbers.index(r["left"])):
+            if abs(r["coefficient"]) > self.rank_above and (r["right"] not in met or abs(r["coefficient"]) > abs(met[r["right"]][0])):
+                met[r["right"]] = r["coefficient"], r["left"], r["kept"]
+        return [(self.columns.index(c), c, met[c][1], "ranks", int(met[c][2]), "leaveout", None, None) for c in numbers if c in met]
 
 
 def average_rank(c: Column, part: list[str] | None = None) -> Column:
@@ -192,12 +199,32 @@ def steps(counts: DataFrame, value: str) -> DataFrame:
     return met.select((after - F.col(value)).alias("step")).where("step is not null")
 
 
-def ranked(df: DataFrame, column: str) -> DataFrame:
-    """df with the average rank of column as {column}_rank. Values are counted first and only their counts are ordered: as many rows
-    as there are distinct values, however many rows share one."""
-    counts = df.groupBy(F.col(f"`{column}`").alias("_v")).agg(F.count("*").alias("_n"))
-    placed = running(counts, "_v", {"_upto": "_n"}).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"{column}_rank"))
-    return df.join(placed, F.col(f"`{column}`") == F.col("_v")).drop("_v")
+def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """c0, c1 and so on: the average ranks of columns without gaps, all from one long table. Values are counted first and only their
+    counts are ordered; each row's cells then meet their ranks by column and value, and meet each other by row."""
+    cells = F.array(*(F.col(f"`{c}`").cast("double") for c in columns))
+    # Rows are numbered before they are exploded: beside an explode, each cell would have a number of its own.
+    long = df.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells")).select("row", F.posexplode("cells").alias("i", "v"))
+    counts = df.select(F.posexplode(cells).alias("i", "v")).groupBy("i", "v").agg(F.count("*").alias("n"))
+    placed = running(counts, "v", {"upto": "n"}, ["i"]).select(F.col("i").alias("of"), F.col("v").alias("w"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias("r"))
+    met = long.join(placed, (F.col("i") == F.col("of")) & (F.col("v") == F.col("w")))
+    return met.groupBy("row").agg(*(F.max(F.when(F.col("i") == k, F.col("r"))).alias(f"c{k}") for k in range(len(columns)))).drop("row")
+
+
+def gram(df: DataFrame, centre: float) -> DataFrame:
+    """a, b and s: the sums of the products of each two columns of df, all doubles without gaps, less a centre. A task adds up its rows and
+    sends one number a pair."""
+    width = len(df.columns)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - centre
+            total += x.T @ x
+        at, by = np.triu_indices(width)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(by.astype(np.int32)), pa.array(total[at, by])], names=["a", "b", "s"])
+
+    return df.mapInArrow(summed, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
 
 
 def coefficient(a: Column, b: Column) -> Column:
@@ -211,48 +238,51 @@ def correlation(df: DataFrame, columns: list[str], how: str = "pearson") -> Data
     numbers = df.select(*(finite(F.col(f"`{c}`")).alias(c) for c in columns))
     total = numbers.agg(F.count("*").alias("total"))
     kept = numbers.dropna()
-    names = columns
     if how == "spearman":
-        for c in columns:
-            kept = ranked(kept, c)
-        names = [f"{c}_rank" for c in columns]
+        return _by_rank(kept, columns, total)
     pairs = list(combinations(range(len(columns)), 2))
-    told = kept.agg(F.count("*").alias("kept"), *(coefficient(F.col(f"`{names[i]}`"), F.col(f"`{names[j]}`")).alias(f"r{i}_{j}") for i, j in pairs))
+    told = kept.agg(F.count("*").alias("kept"), *(coefficient(F.col(f"`{columns[i]}`"), F.col(f"`{columns[j]}`")).alias(f"r{i}_{j}") for i, j in pairs))
     rows = F.array(*(F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.col(f"r{i}_{j}").alias("coefficient"), F.col("kept")) for i, j in pairs))
     return told.select(F.inline(rows)).crossJoin(total)  # one row
 
 
-def apart(df: DataFrame, column: str, side: str, number: bool) -> DataFrame:
-    """left, right and distance of each two sides of a column: the largest gap between their cumulative shares (numbers, moments), or half
-    the sum of the differences of shares (words). Values are counted by side first."""
-    there = df.where(F.col(f"`{column}`").isNotNull() & F.col(side).isNotNull())
-    counts = there.groupBy(F.col(side).alias("side"), F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("n"))
-    sides = {r["side"]: r["n"] for r in counts.groupBy("side").agg(F.sum("n").alias("n")).collect()}  # a few parts
-    pairs = [(x, y) for x in sorted(sides) for y in sorted(sides) if x < y]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "left string, right string, distance double")
-    wide = counts.groupBy("v").agg(*(F.coalesce(F.sum(F.when(F.col("side") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(sorted(sides))))
-    share = lambda x, prefix: F.col(f"{prefix}{sorted(sides).index(x)}") / F.lit(float(sides[x]))
-    if number:
-        moment = df.schema[column].dataType.typeName() in ("timestamp", "date", "timestamp_ntz")
-        v = F.unix_micros(F.col("v").cast("timestamp")) if moment else F.col("v").cast("double")
-        along = running(wide.withColumn("v", v), "v", {f"c{i}": f"n{i}" for i in range(len(sides))})
-        gaps = [F.max(F.abs(share(x, "c") - share(y, "c"))) for x, y in pairs]
-    else:
-        along, gaps = wide, [F.sum(F.abs(share(x, "n") - share(y, "n"))) / 2 for x, y in pairs]
-    rows = F.array(*(F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.col(f"d{i}").alias("distance")) for i, (x, y) in enumerate(pairs)))
-    return along.agg(*(g.alias(f"d{i}") for i, g in enumerate(gaps))).select(F.inline(rows))
+def _by_rank(kept: DataFrame, columns: list[str], total: DataFrame) -> DataFrame:
+    n = kept.count()
+    products = {(r["a"], r["b"]): r["s"] for r in gram(ranked(kept, columns), (n + 1) / 2).collect()}  # a number for each two columns
+    told = []
+    for i, j in combinations(range(len(columns)), 2):
+        size = math.sqrt(products.get((i, i), 0.0) * products.get((j, j), 0.0))
+        told.append((columns[i], columns[j], max(-1.0, min(1.0, products[i, j] / size)) if size else math.nan, n))
+    return kept.sparkSession.createDataFrame(told, "left string, right string, coefficient double, kept bigint").crossJoin(total)  # one row
+
+
+PARTS = ("calibration", "test", "train", "validation")
 
 
 def likeness(df: DataFrame, columns: list[str], part: str = "_part", warn_above: float = 0.1) -> DataFrame:
-    """column, left, right, distance and warned for each column and two parts; rows of gap and predict take no part."""
-    kept = df.where(F.col(part).isin("train", "validation", "calibration", "test"))
-    out = None
-    for c in columns:
-        number = _is_number(df, c) or df.schema[c].dataType.typeName() in ("timestamp", "date", "timestamp_ntz")
-        one = apart(kept, c, part, number).select(F.lit(c).alias("column"), "left", "right", "distance")
-        out = one if out is None else out.union(one)
-    return out.withColumn("warned", F.col("distance") > warn_above)
+    """column, left, right, distance and warned for each column and two parts that hold values of it; rows of gap and predict take no part.
+
+    The distance is the largest gap between cumulative shares (numbers, moments), or half the sum of the differences of shares (words).
+    All columns are counted in one long table, a value once with its rows in each part."""
+    cells = []
+    for i, c in enumerate(columns):
+        kind = df.schema[c].dataType.typeName()
+        moment = kind in ("timestamp", "date", "timestamp_ntz")
+        number = F.unix_micros(F.col(f"`{c}`").cast("timestamp")).cast("double") if moment else F.col(f"`{c}`").cast("double") if _is_number(df, c) else F.lit(None).cast("double")
+        word = F.lit(None).cast("string") if moment or _is_number(df, c) else F.col(f"`{c}`").cast("string")
+        cells.append(F.struct(F.lit(i).alias("i"), number.alias("v"), word.alias("word")))
+    long = df.where(F.col(part).isin(*PARTS)).select(F.col(part).alias("p"), F.inline(F.array(*cells))).where("v is not null or word is not null")
+    wide = long.groupBy("i", "v", "word").agg(*(F.count_if(F.col("p") == p).alias(f"n{k}") for k, p in enumerate(PARTS)))
+    totals = wide.groupBy(F.col("i").alias("of")).agg(*(F.sum(f"n{k}").alias(f"t{k}") for k in range(len(PARTS))))  # a row a column
+    pairs = list(combinations(range(len(PARTS)), 2))
+    share = lambda prefix, k: F.try_divide(F.col(f"{prefix}{k}").cast("double"), F.col(f"t{k}"))
+    apart = lambda prefix, a, b: F.abs(share(prefix, a) - share(prefix, b))
+    along = running(wide.where("word is null").drop("word"), "v", {f"c{k}": f"n{k}" for k in range(len(PARTS))}, ["i"]).join(F.broadcast(totals), F.col("i") == F.col("of"))
+    numbers = along.groupBy("i").agg(*(F.max(apart("c", a, b)).alias(f"d{a}{b}") for a, b in pairs))
+    words = wide.where("word is not null").join(F.broadcast(totals), F.col("i") == F.col("of")).groupBy("i").agg(*((F.sum(apart("n", a, b)) / 2).alias(f"d{a}{b}") for a, b in pairs))
+    rows = F.array(*(F.struct(F.lit(PARTS[a]).alias("left"), F.lit(PARTS[b]).alias("right"), F.col(f"d{a}{b}").alias("distance")) for a, b in pairs))
+    told = numbers.unionByName(words).select(F.get(F.array(*map(F.lit, columns)), F.col("i")).alias("column"), F.inline(rows)).where("distance is not null")
+    return told.withColumn("warned", F.col("distance") > warn_above)
 
 
 def _tallied(df: DataFrame, c: str) -> Column:

@@ -39,6 +39,28 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _sql(name: str) -> str:
+    """The column as a double, in SQL. Steps over many columns are told in SQL text: a call for each operation costs a driver more than the
+    plan does."""
+    return f"CAST(`{name}` AS DOUBLE)"
+
+
+def _finite(name: str) -> str:
+    return f"CASE WHEN NOT isnan({_sql(name)}) AND abs({_sql(name)}) <> double('infinity') THEN {_sql(name)} END"
+
+
+def _odd(name: str) -> Column:
+    return F.expr(f"count_if(isnan({_sql(name)}) OR abs({_sql(name)}) = double('infinity'))")
+
+
+def _double(v: float) -> str:
+    return f"{float(v)!r}D"
+
+
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def said(tests: list[Test]) -> Column:
     """What is wrong with a row, and its cell behind a line end; null where nothing is."""
     out = None
@@ -96,17 +118,18 @@ def _sums(one, df: DataFrame) -> dict[str, Column]:
 def learned_by(train: DataFrame, ones: list, observed: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[dict]:
     """What each step learns of the training rows: one aggregation for all, one pass more for quantiles, one for words, if any ask for them.
     observed marks the rows that the aggregation reads (see the walk)."""
-    columns = {f"s{k}_{n}": c for k, one in enumerate(ones) for n, c in _sums(one, train).items()}
+    sums = [_sums(one, train) for one in ones]
+    columns = {f"s{k}_{n}": c for k, some in enumerate(sums) for n, c in some.items()}
     asking = [(k, one, finite(_c(one.column))) for k, one in enumerate(ones) if isinstance(one, Fitted) and one.shares()]
     for k, one, x in asking:
         columns |= {f"n{k}": F.count(x), f"q{k}": around(x, one.shares())}
     row = observed(train).agg(*(c.alias(n) for n, c in columns.items())).first().asDict() if columns else {}
-    told = [{n: row[f"s{k}_{n}"] for n in _sums(one, train)} for k, one in enumerate(ones)]
+    told = [{n: row[f"s{k}_{n}"] for n in some} for k, some in enumerate(sums)]
     if asking:
         found = exact(train, [x for _, _, x in asking], [one.shares() for _, one, _ in asking], [row[f"n{k}"] for k, _, _ in asking], [row[f"q{k}"] for k, _, _ in asking])
         for (k, _, _), q in zip(asking, found, strict=True):
             told[k]["q"] = q
-    texts = {k: one.words(train) for k, one in enumerate(ones) if isinstance(one, Fitted) and one.words(train) is not None}
+    texts = {k: t for k, one in enumerate(ones) if isinstance(one, Fitted) and (t := one.words(train)) is not None}
     if texts:
         for k in texts:
             told[k]["words"] = []
@@ -133,9 +156,8 @@ class FillMissing(Fitted):
         return [0.5] if self.with_ == "median" else []
 
     def sums(self, df: DataFrame) -> dict[str, Column]:
-        x = finite(_c(self.column))
-        own = {"rows": F.count(F.lit(1)), "gaps": F.count_if(_c(self.column).isNull()), "odd": F.count_if(is_not_finite(_c(self.column)))}
-        return own | ({"value": F.avg(x)} if self.with_ == "mean" else {})
+        own = {"rows": F.expr("count(1)"), "gaps": F.expr(f"count_if(`{self.column}` IS NULL)"), "odd": _odd(self.column)}
+        return own | ({"value": F.expr(f"avg({_finite(self.column)})")} if self.with_ == "mean" else {})
 
     def learn(self, s: dict) -> dict:
         s = s | ({"value": (s["q"] or [None])[0]} if self.with_ == "median" else {})
@@ -177,8 +199,7 @@ class FillNaN(Fitted):
         return [0.5] if self.with_ == "median" else []
 
     def sums(self, df: DataFrame) -> dict[str, Column]:
-        x = finite(_c(self.column))
-        return {"odd": F.count_if(is_not_finite(_c(self.column)))} | ({"value": F.avg(x)} if self.with_ == "mean" else {})
+        return {"odd": _odd(self.column)} | ({"value": F.expr(f"avg({_finite(self.column)})")} if self.with_ == "mean" else {})
 
     def learn(self, s: dict) -> dict:
         s = s | ({"value": (s["q"] or [None])[0]} if self.with_ == "median" else {})
@@ -225,10 +246,10 @@ class Normalise(Fitted):
         return {"minmax": (0, 1), "quantile": (0, 1), "midrange": (-1, 1), "maxabs": (-1, 1)}.get(self.scale)
 
     def sums(self, df: DataFrame) -> dict[str, Column]:
-        x = finite(_c(self.column))
-        own = {"odd": F.count_if(is_not_finite(_c(self.column))), "n": F.count(x), "low": F.min(x), "high": F.max(x)}
+        x = F.expr(_finite(self.column)) if self.scale == "power" else None
+        own = {"odd": _odd(self.column)} | {n: F.expr(f"{how}({_finite(self.column)})") for n, how in (("n", "count"), ("low", "min"), ("high", "max"))}
         if self.scale == "standard":
-            own |= {"mean": F.avg(x), "sd": F.stddev_pop(x)}
+            own |= {n: F.expr(f"{how}({_finite(self.column)})") for n, how in (("mean", "avg"), ("sd", "stddev_pop"))}
         if self.scale == "power":
             own["logs"] = F.sum(F.signum(x) * F.log1p(F.abs(x)))
             for i, lam in enumerate(LAMBDAS):
@@ -282,19 +303,23 @@ class Normalise(Fitted):
         return (shaped - learned["centre"]) / learned["spread"]
 
     def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
-        v, tests = _c(self.column).cast("double"), []
-        out = self._raw(v, learned)
-        if self.lands:
-            low, high = map(float, self.lands)
-            if self.scale != "quantile":
-                near = _EPSILON * (abs(learned["centre"]) / learned["spread"] + 4)
-                out = F.when(F.abs(out - low) <= near, low).when(F.abs(out - high) <= near, high).otherwise(out)
-            if self.out_of_range == "clip":
-                out = F.when(out.isNotNull(), F.least(F.greatest(out, F.lit(low)), F.lit(high)))
-            elif self.out_of_range == "refuse":
-                outside = (v < learned["knots"][0]) | (v > learned["knots"][-1]) if self.scale == "quantile" else (out < low) | (out > high)
-                tests = [(outside, v, f"normalise: {self.column} is out of the range of the training rows")]
-        return {self.column: out}, [], tests
+        v = _c(self.column).cast("double")
+        if self.scale == "quantile":
+            out, knots = self._raw(v, learned), learned["knots"]
+            tests = [((v < knots[0]) | (v > knots[-1]), v, f"normalise: {self.column} is out of the range of the training rows")]
+            return {self.column: F.when(out.isNotNull(), F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))}, [], tests if self.out_of_range == "refuse" else []
+        if not self.lands:
+            return {self.column: self._raw(v, learned)}, [], []
+        low, high = map(_double, self.lands)
+        raw = f"(({_sql(self.column)} - {_double(learned['centre'])}) / {_double(learned['spread'])})"
+        near = _double(_EPSILON * (abs(learned["centre"]) / learned["spread"] + 4))
+        out = f"CASE WHEN abs({raw} - {low}) <= {near} THEN {low} WHEN abs({raw} - {high}) <= {near} THEN {high} ELSE {raw} END"
+        if self.out_of_range == "clip":
+            out = f"CASE WHEN {raw} <= {low} + {near} THEN {low} WHEN {raw} >= {high} - {near} THEN {high} ELSE {raw} END"
+        tests = []
+        if self.out_of_range == "refuse":
+            tests = [(F.expr(f"{out} < {low} OR {out} > {high}"), v, f"normalise: {self.column} is out of the range of the training rows")]
+        return {self.column: F.expr(out)}, [], tests
 
     def back(self, v: Column, learned: dict) -> Column:
         if self.scale == "quantile":
@@ -318,9 +343,8 @@ class ClipOutliers(Fitted):
         return {"sigma": [], "iqr": [0.25, 0.75]}.get(self.bounds, [self.at, 1 - self.at])
 
     def sums(self, df: DataFrame) -> dict[str, Column]:
-        x = finite(_c(self.column))
-        own = {"odd": F.count_if(is_not_finite(_c(self.column)))}
-        return own | {"mean": F.avg(x), "sd": F.stddev_pop(x)} if self.bounds == "sigma" else own
+        own = {"odd": _odd(self.column)}
+        return own | {n: F.expr(f"{how}({_finite(self.column)})") for n, how in (("mean", "avg"), ("sd", "stddev_pop"))} if self.bounds == "sigma" else own
 
     def learn(self, s: dict) -> dict:
         if s["odd"]:
@@ -364,6 +388,10 @@ class Encode(Fitted):
 
     def made(self, df: DataFrame, learned: dict) -> tuple[dict[str, Column], list[str], list[Test]]:
         words, t = learned["categories"], self._text(df)
+        if self.as_ == "onehot" and self.unseen == "reserve" and df.schema[self.column].dataType.typeName() == "string":
+            c = f"`{self.column}`"
+            told = {f"{self.column}_{w}": f"{c} = {_quoted(w)}" for w in words} | {f"{self.column}_other": f"{c} NOT IN ({', '.join(map(_quoted, words))})" if words else f"{c} IS NOT NULL", f"{self.column}_was_missing": f"{c} IS NULL"}
+            return {n: F.expr(f"CASE WHEN {test} THEN 1.0D ELSE 0.0D END") for n, test in told.items()}, [self.column], []
         known = t.isin(*words) if words else F.lit(False)
         tests = [(t.isNotNull() & ~known, t, f"encode: {self.column} is a word that training has not seen")] if self.unseen == "refuse" else []
         if self.as_ == "onehot":
@@ -390,7 +418,7 @@ class Piecewise(Fitted):
         return [k / self.bins for k in range(self.bins + 1)]
 
     def sums(self, df: DataFrame) -> dict[str, Column]:
-        return {"odd": F.count_if(is_not_finite(_c(self.column)))}
+        return {"odd": _odd(self.column)}
 
     def learn(self, s: dict) -> dict:
         if s["odd"]:

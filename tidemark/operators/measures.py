@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.evidence import running
+from tidemark.operators.quantiles import places
 
 
 def regression(y: Column, p: Column) -> dict[str, Column]:
@@ -199,27 +200,12 @@ def blend_vote(members: DataFrame, key: str, word: str, weight: str) -> DataFram
 
 
 def conformal_margin(df: DataFrame, y: Column, p: Column, alpha: float) -> float:
-    """The ceil((n + 1)(1 - alpha))-th smallest error of the calibration rows. Found among counts of errors, not by ordering rows."""
-    errors = df.select(F.abs(y - p).alias("e")).where("e is not null")
-    n = errors.count()
-    place = math.ceil((n + 1) * (1 - alpha) - 1e-9)
-    if place > n or place < 1:
+    """The ceil((n + 1)(1 - alpha))-th smallest error of the calibration rows, looked up by ranges and not by ordering rows."""
+    place = lambda n: math.ceil((n + 1) * (1 - alpha) - 1e-9)
+    n, _, at = places(df.select(F.abs(y - p).alias("e")), F.col("e"), lambda n: [place(n) - 1] if 1 <= place(n) <= n else [])
+    if not at:
         raise ValueError(f"{n} calibration rows are too few for alpha {alpha}")
-    cuts = errors.agg(F.percentile_approx("e", [i / 1000 for i in range(1, 1000)], 100_000)).first()[0]
-    return _kth(errors, place, sorted(set(cuts)))
-
-
-def _kth(errors: DataFrame, place: int, cuts: list[float]) -> float:
-    """The place-th smallest of column e: counted by ranges first, then looked up among the values of one range."""
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("e"))) if cuts else F.lit(0)
-    dealt, below = errors.withColumn("range", at), 0
-    for r in dealt.groupBy("range").count().orderBy("range").collect():  # as many as there are cuts
-        if below + r["count"] >= place:
-            inside = dealt.where(F.col("range") == r["range"]).groupBy("e").count()
-            window = Window.orderBy("e").rowsBetween(Window.unboundedPreceding, 0)  # the values of one range
-            return inside.withColumn("upto", F.sum("count").over(window)).where(F.col("upto") >= place - below).agg(F.min("e")).first()[0]
-        below += r["count"]
-    raise ValueError("there are not so many values")
+    return at[place(n) - 1].value
 
 
 def around(prediction: Column, margin: float) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,8 @@ from pyspark.sql.window import Window
 
 #: Approximate quantiles are within this share of the rows of their place.
 NEAR = 1 / 4000
-#: Up to so many stretches a row's slot is told by an expression; beyond, it is looked up in Arrow batches, as code grows with each stretch.
-MOST_TOLD = 32
+#: Counts of so many values at most are looked through by the driver; more of them are summed up where they are.
+MOST_HERE = 100_000
 
 
 #: The stretch of all values of a type.
@@ -60,33 +61,10 @@ def _stretches(found: list | None) -> list[tuple]:
     return out
 
 
-def _slot(x: Column, stretches: list[tuple]) -> Column:
-    """0 below the first stretch, 1 within it, 2 between it and the second, 3 within that, and so on: halved as one looks up a word."""
-
-    def look(first: int, last: int) -> Column:
-        if first == last:
-            low, high = stretches[first]
-            return F.when(x < low, 2 * first).when(x <= high, 2 * first + 1).otherwise(2 * first + 2)
-        mid = (first + last) // 2
-        return F.when(x <= stretches[mid][1], look(first, mid)).otherwise(look(mid + 1, last))
-
-    return look(0, len(stretches) - 1)
-
-
-def _told(df: DataFrame, asked: dict[int, tuple[Column, list[tuple], str]]) -> DataFrame:
-    """i (the column's number), slot, whole or part (the value, within stretches alone) and n, for all columns in one pass."""
-    cells = []
-    for i, (x, stretches, kind) in asked.items():
-        slot = _slot(x, stretches)
-        inside = F.when(slot % 2 == 1, x)
-        whole, part = (inside, F.lit(None).cast("double")) if kind == "bigint" else (F.lit(None).cast("bigint"), inside)
-        cells.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), slot.alias("slot"), whole.alias("whole"), part.alias("part"))))
-    long = df.select(F.explode(F.array(*cells)).alias("c")).where("c is not null").select("c.*")
-    return long.groupBy("i", "slot", "whole", "part").agg(F.count("*").alias("n"))
-
-
-def _looked_up(df: DataFrame, asked: dict[int, tuple[Column, list[tuple], str]]) -> DataFrame:
-    """The same by binary search in batches: a batch sends its counts, the values within stretches and a row a slot for the others."""
+def _counted(df: DataFrame, asked: dict[int, tuple[Column, list[tuple], str]]) -> DataFrame:
+    """i (the column's number), slot, whole or part (the value, within stretches alone) and n, for all columns in one pass. Slot 0 is below
+    the first stretch, 1 within it, 2 between it and the second, 3 within that, and so on: each batch looks its values up by binary
+    search and sends its counts, so the plan does not grow with the stretches."""
     ends = {i: (np.array([s[0] for s in stretches]), np.array([s[1] for s in stretches]), kind) for i, (_, stretches, kind) in asked.items()}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,26 +94,46 @@ def _looked_up(df: DataFrame, asked: dict[int, tuple[Column, list[tuple], str]])
     return sent.groupBy("i", "slot", "whole", "part").agg(F.sum("n").alias("n"))
 
 
-def places_at(df: DataFrame, columns: list[Column], found: list[list | None], wanted: list[list[int]]) -> list[dict[int, At]]:
+def _placed_here(counts: DataFrame, asked: dict) -> list[dict]:
+    """The counted values at which places stand, where few have been counted."""
+    told = sorted((r["i"], r["slot"], r["whole"] if r["part"] is None else r["part"], r["n"]) for r in counts.select("i", "slot", "whole", "part", "n").na.fill(0, ["whole"]).collect())
+    out, below = [], dict.fromkeys(asked, 0)
+    for i, slot, value, n in told:
+        places = asked[i][1]
+        if slot % 2 == 1:
+            some = places[bisect_left(places, below[i]) : bisect_left(places, below[i] + n)]
+            if some:
+                whole = isinstance(asked[i][0][0][0], int)
+                out.append({"i": i, "places": some, "whole": value if whole else None, "part": None if whole else value, "below": below[i], "n": n})
+        below[i] += n
+    return out
+
+
+def _placed(counts: DataFrame, asked: dict) -> list:
+    """The same where many have been counted: summed up slot by slot, and only rows that a place stands at come to the driver."""
+    # Within a slot by value (few rows: 4 * NEAR of all for each place), and what lies in the slots below from a row a slot.
+    upto = F.sum("n").over(Window.partitionBy("i", "slot").orderBy("whole", "part").rowsBetween(Window.unboundedPreceding, 0))
+    totals = counts.groupBy(F.col("i").alias("of_i"), F.col("slot").alias("of_slot")).agg(F.sum("n").alias("t"))
+    earlier = F.sum("t").over(Window.partitionBy("of_i").orderBy("of_slot").rowsBetween(Window.unboundedPreceding, -1))
+    based = totals.select("of_i", "of_slot", F.coalesce(earlier, F.lit(0)).alias("base"))
+    inner = counts.where(F.col("slot") % 2 == 1).withColumn("upto", upto)
+    placed = inner.join(F.broadcast(based), (F.col("i") == F.col("of_i")) & (F.col("slot") == F.col("of_slot"))).withColumn("below", F.col("base") + F.col("upto") - F.col("n"))
+    ask = F.from_json(F.lit(json.dumps({str(i): some for i, (_, some) in asked.items()})), "map<string,array<bigint>>")  # a constant
+    met = placed.withColumn("places", F.filter(F.try_element_at(ask, F.col("i").cast("string")), lambda p: (p >= F.col("below")) & (p < F.col("below") + F.col("n"))))
+    return met.where(F.size("places") > 0).select("i", "places", "whole", "part", "below", "n").collect()  # a row a place
+
+
+def places_at(df: DataFrame, columns: list[Column], found: list[list | None], wanted: list[list[int]], rows: list[int]) -> list[dict[int, At]]:
     """For each column the value at each wanted place (from 0) in its rising order of values that are no nulls; found: what around() gave
-    for it. Places beyond the last value are left out."""
+    for it, rows: how many values it has. Places beyond the last value are left out."""
     out: list[dict[int, At]] = [{} for _ in columns]
     asked = {i: (_stretches(found[i]), sorted(set(w))) for i, w in enumerate(wanted) if w and found[i]}
     kinds = {i: "bigint" if isinstance(found[i][0], int) else "double" for i in asked}
     while asked:
-        count = _looked_up if sum(len(s) for s, _ in asked.values()) > MOST_TOLD else _told
-        counts = count(df, {i: (columns[i], stretches, kinds[i]) for i, (stretches, _) in asked.items()})
-        # Within a slot by value (few rows: 4 * NEAR of all for each place), and what lies in the slots below from a row a slot.
-        upto = F.sum("n").over(Window.partitionBy("i", "slot").orderBy("whole", "part").rowsBetween(Window.unboundedPreceding, 0))
-        totals = counts.groupBy(F.col("i").alias("of_i"), F.col("slot").alias("of_slot")).agg(F.sum("n").alias("t"))
-        earlier = F.sum("t").over(Window.partitionBy("of_i").orderBy("of_slot").rowsBetween(Window.unboundedPreceding, -1))
-        based = totals.select("of_i", "of_slot", F.coalesce(earlier, F.lit(0)).alias("base"))
-        inner = counts.where(F.col("slot") % 2 == 1).withColumn("upto", upto)
-        placed = inner.join(F.broadcast(based), (F.col("i") == F.col("of_i")) & (F.col("slot") == F.col("of_slot"))).withColumn("below", F.col("base") + F.col("upto") - F.col("n"))
-        ask = F.from_json(F.lit(json.dumps({str(i): some for i, (_, some) in asked.items()})), "map<string,array<bigint>>")  # a constant
-        met = placed.withColumn("places", F.filter(F.try_element_at(ask, F.col("i").cast("string")), lambda p: (p >= F.col("below")) & (p < F.col("below") + F.col("n"))))
-        rows = met.where(F.size("places") > 0).select("i", "places", "whole", "part", "below", "n").collect()  # a row a place
-        for r in rows:
+        counts = _counted(df, {i: (columns[i], stretches, kinds[i]) for i, (stretches, _) in asked.items()})
+        expected = sum(rows[i] if stretches == _ALL[kinds[i]] else 2 * len(some) * 4 * NEAR * rows[i] for i, (stretches, some) in asked.items())
+        hit = _placed_here(counts, asked) if expected <= MOST_HERE else _placed(counts, asked)
+        for r in hit:
             value = r["whole"] if kinds[r["i"]] == "bigint" else r["part"]
             out[r["i"]] |= {p: At(value, r["below"], r["n"]) for p in r["places"]}
         # What the bounds have missed is counted again over all values, once.
@@ -164,7 +162,7 @@ def exact(df: DataFrame, columns: list[Column], shares: list[list[float]], n: li
     """The quantiles of each column, interpolated between neighbouring values; None where it has none. n and found come from an aggregation
     over the same rows (count and around)."""
     wanted = [sorted({p for s in some for p in between(k, s)[:2]}) if k else [] for some, k in zip(shares, n, strict=True)]
-    at = places_at(df, columns, found, wanted)
+    at = places_at(df, columns, found, wanted, n)
     return [interpolated(k, some, here) if k else None for some, k, here in zip(shares, n, at, strict=True)]
 
 
@@ -183,4 +181,4 @@ def places(df: DataFrame, x: Column, wanted: Callable[[int], list[int]]) -> tupl
     shares = [p / many for p in wanted(many)]
     row = df.agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("gaps"), (around(x, shares) if shares else F.lit(None)).alias("q")).first()
     n = row["n"]
-    return n, row["gaps"], places_at(df, [x], [row["q"]], [[p for p in wanted(n) if p < n]])[0]
+    return n, row["gaps"], places_at(df, [x], [row["q"]], [[p for p in wanted(n) if p < n]], [n])[0]

@@ -409,7 +409,8 @@ class _Walk:
             if "missing" in c and c["missing"] is not None:
                 cell = F.when(~(cell == F.lit(c["missing"]).cast(self.df.schema[name].dataType)), cell)
             if text:
-                bad.append((name, unreadable(cell, c["kind"], c.get("format"))))
+                if c["kind"] not in ("text", "category"):  # words are read as they are
+                    bad.append((name, unreadable(cell, c["kind"], c.get("format"))))
                 made = F.when(~is_gap(cell, c["kind"]), read_cell(cell, c["kind"], c.get("format")))
             else:
                 made = cell_text(cell, self.df.schema[name].dataType) if TYPES[c["kind"]] == "string" else cell.cast(TYPES[c["kind"]])
