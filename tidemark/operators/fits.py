@@ -26,7 +26,11 @@ KNOTS = [i / 100 for i in range(101)]
 
 
 class Refused(ValueError):
-    """Data that a step does not take."""
+    """Data that a step does not take; row is the place, from 1, at which the first such row was read, where that is known."""
+
+    def __init__(self, said: str, row: int | None = None):
+        super().__init__(said)
+        self.row = row
 
 
 #: A category with more words than this is no category: it is refused before its words come to the driver.

@@ -246,8 +246,8 @@ class _Walk:
     def _raise(self, found: str | None) -> None:
         if found:
             place, why, cell = found.split("\n", 2)
-            row = f"row {read_place(self.source, int(place))} holds " if place and self.source is not None else ""
-            raise Refused(f"{why}: {row}{cell}")
+            row = read_place(self.source, int(place)) if place and self.source is not None else None
+            raise Refused(f"{why}: {f'row {row} holds ' if row else ''}{cell}", row)
 
     def settle(self) -> None:
         """Refuses now what is wrong so far: before rows go, and at the end. A stream carries it to its rows."""
@@ -320,7 +320,7 @@ class _Walk:
         if not asked:
             return
         wrong = WRONG in self.df.columns
-        told = [F.max(e).alias(f"e{k}") for k, (_, e, _) in enumerate(asked)] + [F.max_by(r, e).alias(f"r{k}") for k, (_, e, r) in enumerate(asked)]
+        told = [F.max(e).alias(f"e{k}") for k, (_, e, _) in enumerate(asked)] + [F.max_by(r, F.when(e.isNotNull(), F.struct(e.alias("e"), -F.col("_read_at")))).alias(f"r{k}") for k, (_, e, r) in enumerate(asked)]  # the first of equally wrong rows
         row = self.df.agg(*told, *([self._wrong().alias("wrong")] if wrong else [])).first()
         if wrong:
             self._raise(row["wrong"])
@@ -626,6 +626,10 @@ class Prepared:
     source: DataFrame | None = None
     #: For each answer that steps have changed: the largest error, as a share of the value, when they are undone on every row of the run.
     way_back: dict[str, float] = field(default_factory=dict)
+    #: Half an interval around a prediction of each answer, in its units: see interval().
+    margins: list[float] = field(default_factory=list)
+    #: What the split saw, of a fit that was read from a file.
+    entries: list[tuple[str, str]] | None = None
 
     def features(self) -> list[str]:
         return [c for c in self.df.columns if c not in HIDDEN and c != WRONG and not c.startswith(KEPT) and c != self.id and c not in self.answers]
@@ -656,14 +660,15 @@ class Prepared:
                 raise Refused(f"not declared to land between -1 and 1: {', '.join(off)}")
         plain = [c for c in names if rows.schema[c].dataType.typeName() != "array"]
         x = lambda c: F.col(f"`{c}`").cast("double")
-        tests = [F.count_if(x(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))).alias(f"b{i}") for i, c in enumerate(plain)]
-        tests += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"b{len(plain) + i}") for i, c in enumerate(set(names) - set(plain))]
-        if tests:
-            seen = rows.agg(*tests).first().asDict()
-            every = [*plain, *(set(names) - set(plain))]
-            bad = sorted({every[int(k[1:])] for k, n in seen.items() if n})
+        odd = {c: F.expr(f"`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)) OR abs(CAST(`{c}` AS DOUBLE)) = double('infinity')") if c in plain else F.expr(f"`{c}` IS NULL") for c in names}
+        place = F.col("_read_at") if "_read_at" in rows.columns else F.lit(None).cast("bigint")
+        if odd:
+            seen = rows.agg(*(F.min(F.when(test, F.coalesce(place, F.lit(-1)))).alias(f"b{i}") for i, test in enumerate(odd.values()))).first()
+            bad = {c: seen[f"b{i}"] for i, c in enumerate(odd) if seen[f"b{i}"] is not None}
             if bad:
-                raise Refused(f"{', '.join(bad)}: gaps, or values that a learner cannot take")
+                rows_read = {c: read_place(self.source, at) for c, at in bad.items() if at >= 0 and self.source is not None}
+                told = ", ".join(f"{c}{f' (first in row {rows_read[c]})' if c in rows_read else ''}" for c in sorted(bad))
+                raise Refused(f"{told}: gaps, or values that a learner cannot take", min(rows_read.values(), default=None))
         hidden = [c for c in rows.columns if c in ("_key", "_read_at") or c.startswith(KEPT)]
         return rows.select(*(x(c).alias(c) if c in plain else F.col(f"`{c}`") for c in names), *(x(c).alias(c) for c in self.answers), *([self.id] if self.id else []), *(F.col(f"`{c}`") for c in hidden))
 
@@ -677,9 +682,11 @@ class Prepared:
 
         predict takes a part as batch hands it over and adds said_names(), in the units of the prepared answers. Everything is measured
         in the units the answers were read in; the baseline is the training rows' average answer, brought back the same way. margins (in
-        the answers' units) are half an interval for each answer; without them coverage and width are left out. Several predictions are
+        the answers' units) are half an interval for each answer, by default those that interval() has made; without them coverage and width
+        are left out. Several predictions are
         members of an ensemble, which are brought back and then averaged, or counted as votes for classes (blend 'vote')."""
         members = predict if isinstance(predict, list) else [predict]
+        margins = margins or self.margins or None
         report = next((s for s in self.declaration.steps if s.verb == "evidence.report"), None)
         if report is None:
             raise Refused("the pipeline declares no report, so nothing says what a model is measured by")
@@ -711,6 +718,27 @@ class Prepared:
             told += [(part, *row) for row in measures.of_part(kept_table(units, "units"), self.answers, metrics, ones, counted, margins)]
         return self.df.sparkSession.createDataFrame(told, measures.TOLD)
 
+    def interval(self, predict: Callable[[DataFrame], DataFrame], alpha: float = 0.1, needs: str = "numbers") -> list[float]:
+        """Half the interval around a prediction that holds the answer with a chance of 1 - alpha at least, for each answer in the units it was
+        read in: from the errors on the rows set apart for it, the part `calibration`. Kept with the fit, for measure() and save()."""
+        handed = predict(self._checked(self.part("calibration"), needs))
+        pairs = [(self.back(F.col(f"`{a}`"), a).cast("double").alias(f"y{i}"), self.back(F.col(n).cast("double"), a).cast("double").alias(f"p{i}")) for i, (a, n) in enumerate(zip(self.answers, self.said_names(), strict=True))]
+        both = handed.select(*(c for two in pairs for c in two))
+        self.margins = [measures.conformal_margin(both, F.col(f"y{i}"), F.col(f"p{i}"), alpha) for i in range(len(pairs))]
+        return self.margins
+
+    def over(self, rows: DataFrame | None = None) -> Prepared:
+        """A fit that was read from a file, over the rows it was fitted on (those of its source, or handed in): nothing is fitted again, the
+        rows are divided as they were. Other rows than those are refused by their digest."""
+        walk = _Walk(self.declaration, self.df.sparkSession, skipped=self.skipped)
+        walk.learned, walk.tables = dict(self.learned), dict(self.tables)
+        again = walk.run(rows)
+        held = dict(self.entries or []).get("digest")
+        if held is not None and keys.digest(again.divided) != held:
+            raise Refused("these are other rows than those of the fit")
+        again.margins, again.entries = self.margins, self.entries
+        return again
+
     def predictions(self, predict: Callable[[DataFrame], DataFrame], needs: str = "numbers") -> DataFrame:
         """What is kept of predictions so that they can be measured again: part, key, said (one number an answer) and fit (a digest of the
         steps and of all that was learned)."""
@@ -722,9 +750,14 @@ class Prepared:
             out = one if out is None else out.unionByName(one)
         return out.withColumn("fit", F.lit(self.fit_digest()))
 
-    def measure_again(self, predictions: DataFrame, margins: list[float] | None = None) -> DataFrame:
-        """measure() of kept predictions (part, key, said, fit), which must be of this very fit and hold each row of each part. Rows with one
-        key are alike in all they hold, so one prediction stands for them."""
+    def measure_again(self, predictions: DataFrame | str, margins: list[float] | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """measure() of kept predictions (part, key, said, fit; or the path of a Parquet table of them), which must be of this very fit and
+        hold each row of each part. Rows with one key are alike in all they hold, so one prediction stands for them. A fit that was read from
+        a file takes its rows from its source, or from those handed in: see over()."""
+        if isinstance(predictions, str):
+            predictions = self.df.sparkSession.read.parquet(predictions)
+        if self.divided is None:
+            return self.over(rows).measure_again(predictions, margins)
         other = predictions.where(F.col("fit") != self.fit_digest()).limit(1).count()
         if other:
             raise Refused("these predictions were made behind another fit than this one")
@@ -757,7 +790,9 @@ class Prepared:
 
     def fit_entries(self) -> DataFrame:
         """What the split saw, as name and value: rows of each part, rows of a join without a partner, the first and last moment of each part
-        of a split by time, and a digest of the rows it divided."""
+        of a split by time, and a digest of the rows it divided. A fit that was read from a file tells what it saw when it was fitted."""
+        if self.divided is None:
+            return self.df.sparkSession.createDataFrame(self.entries or [], "name string, value string")
         s = next(x for x in self.declaration.steps if x.spec.role == "split")
         timed = s.verb == "split.byTime"
         moment = F.col(f"`{s['column']}`").cast("string") if timed else F.lit(None).cast("string")
@@ -834,7 +869,8 @@ class Prepared:
             t.write.mode("overwrite").parquet(f"{path}/table-{i}")
         prefixes = self.declaration.prefixes()
         fitted = [{"step": i, "prefix": prefixes[i], "learned": v} for i, v in sorted(self.learned.items())]
-        told = {"version": VERSION, "declaration": self.declaration.to_list(), "fitted": fitted, "tables": sorted(self.tables), "answers": self.answers, "id": self.id, "skipped": sorted(self.skipped.items())}
+        entries = [tuple(r) for r in self.fit_entries().collect()] if any(x.spec.role == "split" for x in self.declaration.steps) else []  # a few for each part
+        told = {"version": VERSION, "entries": entries, "margins": self.margins, "wayBack": self.way_back, "declaration": self.declaration.to_list(), "fitted": fitted, "tables": sorted(self.tables), "answers": self.answers, "id": self.id, "skipped": sorted(self.skipped.items())}
         spark.createDataFrame([(json.dumps(told, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/pipeline.json")
 
     @staticmethod
@@ -846,4 +882,4 @@ class Prepared:
             if prefixes[f["step"]] != f["prefix"]:
                 raise ValueError(f"step {f['step'] + 1} was fitted under other steps")
         tables = {i: spark.read.parquet(f"{path}/table-{i}") for i in told["tables"]}
-        return Prepared(declaration, spark.createDataFrame([], "_part string"), {f["step"]: f["learned"] for f in told["fitted"]}, tables, {}, told["answers"], told["id"], skipped={i: how for i, how in told.get("skipped", [])})
+        return Prepared(declaration, spark.createDataFrame([], "_part string"), {f["step"]: f["learned"] for f in told["fitted"]}, tables, {}, told["answers"], told["id"], skipped={i: how for i, how in told.get("skipped", [])}, way_back=told.get("wayBack", {}), margins=told.get("margins", []), entries=[tuple(e) for e in told.get("entries", [])])

@@ -684,3 +684,62 @@ over(
     "target_numbers", "orders", lambda t: by_verbs(t, _ORDERS[:4], _BY_TIME, ("drop.columns", {"columns": ["o_orderdate"]}), ("target.numbers", {"columns": ["o_totalprice", "o_custkey"]})).batch("test").select("o_orderkey", "o_totalprice", "o_custkey"),
     f"WITH {_SPLIT} SELECT o_orderkey::DOUBLE AS o_orderkey, o_totalprice, o_custkey::DOUBLE AS o_custkey FROM p WHERE part = 'test'",
 )
+
+
+# What a run verifies and refuses, and what its file keeps
+_CHAIN = [("maths", {"column": "o_totalprice", "maths": "log1p"}), ("split.byTime", {"column": "o_orderdate"}), ("normalise", {"column": "o_totalprice", "scale": "standard"}), ("target", {"column": "o_totalprice"})]
+
+
+def _way_back(t: DataFrame) -> DataFrame:
+    """The largest error when logarithm and scale of the answer are undone on every row, as the run has verified it."""
+    done = by_verbs(t, _ORDERS[:4], *_CHAIN)
+    return t.sparkSession.createDataFrame([(a, round(e, 6)) for a, e in done.way_back.items()], "answer string, error double")
+
+
+over(
+    "way_back_error", "orders", _way_back,
+    """WITH s AS (SELECT o_totalprice AS y, ln(o_totalprice + 1) AS x, rank() OVER (ORDER BY o_orderdate) - 1 AS f FROM orders), e AS (SELECT floor(count(*) * 0.7 + 0.5) AS a FROM orders),
+    t AS (SELECT avg(x) AS m, stddev_pop(x) AS d FROM s, e WHERE f < a)
+    SELECT 'o_totalprice' AS answer, round(max(abs(exp(((x - m) / d) * d + m) - 1 - y) / greatest(1, abs(y))), 6) AS error FROM s, t""",
+)
+
+
+def _refused(run: Callable[[], Prepared], spark: SparkSession) -> DataFrame:
+    try:
+        run()
+    except fits.Refused as e:
+        return spark.createDataFrame([(str(e).split(":")[0], e.row)], "step string, row long")
+    return spark.createDataFrame([], "step string, row long")
+
+
+over(
+    "split_byid_refused", "orders",
+    lambda t: _refused(lambda: create().read_rows().declare(columns=[{"name": "o_orderkey", "kind": "integer", "id": True}, {"name": "o_totalprice", "kind": "number"}]).split_atRandom(byId=True, seed=7).build().run(t.sparkSession, t.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 1000 != 7, F.col("o_orderkey")))), t.sparkSession),
+    "SELECT 'split.atRandom' AS step, min(n) AS row FROM (SELECT o_orderkey, row_number() OVER () AS n FROM orders) WHERE o_orderkey % 1000 = 7",
+)
+over(
+    "maths_refused", "lineitem",
+    lambda t: _refused(lambda: by_verbs(t, [("l_quantity", "number"), ("l_tax", "number")], ("maths", {"column": "l_quantity", "maths": "square"}), ("maths", {"column": "l_tax", "maths": "log"})), t.sparkSession),
+    "SELECT 'maths' AS step, min(n) AS row FROM (SELECT l_tax, row_number() OVER () AS n FROM lineitem) WHERE l_tax <= 0",
+)
+
+
+def _interval(t: DataFrame) -> DataFrame:
+    """An interval around the middle of a given scale, from the calibration rows of a run that was kept and read again."""
+    b = create().read_rows().declare(columns=[{"name": n, "kind": k} for n, k in (("o_orderdate", "timestamp"), ("o_totalprice", "number"), ("o_orderkey", "integer"))])
+    b = b.scale_given(column="o_totalprice", lowest=0, highest=500_000).split_byTime(column="o_orderdate", train=0.6, validation=0.1, test=0.1, calibration=0.2).drop_columns(columns=["o_orderdate"]).target(column="o_totalprice")
+    done = b.build().run(t.sparkSession, t)
+    done.interval(lambda rows: rows.withColumn("prediction", F.lit(0.0)), 0.1)
+    path = kept_path(t.sparkSession, "fit")
+    done.save(path)
+    kept = Prepared.load(t.sparkSession, path)
+    entry = kept.fit_entries().where("name = 'rows.calibration'").select(F.col("value").cast("bigint").alias("rows"))
+    return entry.withColumn("margin", F.lit(round(kept.margins[0], 4)))
+
+
+over(
+    "interval_of_run", "orders", _interval,
+    """WITH s AS (SELECT o_totalprice AS y, rank() OVER (ORDER BY o_orderdate) - 1 AS f FROM orders), e AS (SELECT floor(count(*) * 0.6 + 0.5) + floor(count(*) * 0.1 + 0.5) AS a, floor(count(*) * 0.2 + 0.5) AS b FROM orders),
+    c AS (SELECT abs(y - 250000) AS d, row_number() OVER (ORDER BY abs(y - 250000)) AS k, count(*) OVER () AS n FROM s, e WHERE f >= a AND f < a + b)
+    SELECT max(n)::BIGINT AS rows, round(min(d) FILTER (k >= ceil((n + 1) * 0.9 - 1e-9)), 4) AS margin FROM c""",
+)
