@@ -1,8 +1,8 @@
 """Twelve indicators of a series, all looking backwards only: a row's value never depends on a later row.
 
 The definitions are the usual textbook ones. Values before an indicator has seen enough rows are gaps. Sums over a fixed span are
-window frames. Averages that feed on themselves (exponential and Wilder's) run along one series and so in one task for each series;
-`by` names the columns that tell series apart, and each series is ordered by `order`.
+window frames, averages that feed on themselves (exponential and Wilder's) recursions. `by` names the columns that tell series apart,
+each of which one task runs along; a table that is one series is cut into stretches of its order (operators/series.py) and run by many.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.series import STRETCH, along, edged, smoothed, stretched, summed, without_edges
+
 #: Columns that each takes, and the endings of what it makes.
 INDICATORS = {
     "sma": (1, [""]), "ema": (1, [""]), "rsi": (1, [""]), "atr": (3, [""]), "adx": (3, [""]), "cci": (3, [""]), "williamsr": (3, [""]),
@@ -100,14 +102,60 @@ def framed(name: str, period: int, x: list[Column], window: Window) -> list[Colu
     raise ValueError(f"unknown indicator {name}")
 
 
+def _long(df: DataFrame, names: list[str], indicator: str, period: int, columns: list[str], order: list[str]) -> DataFrame:
+    """An indicator of a table that is one series."""
+    there = stretched(df, order)
+    window, x = along(order), [F.col(f"`{c}`").cast("double") for c in columns]
+    if indicator in ("obv", "vwap"):
+        typical = (x[0] + x[1] + x[2]) / 3 if indicator == "vwap" else None
+        if indicator == "vwap":
+            made = summed(there, order, {"_pv": typical * x[3], "_v": x[3]}).withColumn(names[0], F.try_divide("_pv", "_v"))
+        else:
+            step = F.signum(F.coalesce(x[0] - F.lag(x[0]).over(window), F.lit(0.0))) * x[1]
+            made = summed(without_edges(edged(there, order, 1).withColumn("_step", step)), order, {names[0]: F.col("_step")})
+        return made.select(*df.columns, names[0])
+    if indicator not in RECURSIVE:
+        made = edged(there, order, period + 1).withColumns(dict(zip(names, framed(indicator, period, x, window), strict=False)))
+        if indicator == "stochastic":
+            span = window.rowsBetween(-2, 0)
+            made = made.withColumn(names[1], F.when(F.count(names[0]).over(span) >= 3, F.avg(names[0]).over(span)))
+        return without_edges(made).drop(STRETCH)
+    before = lambda c: F.lag(c).over(window)
+    if indicator in ("ema", "macd"):
+        made = there.withColumn("_x", x[0])
+        if indicator == "ema":
+            return smoothed(made, order, {names[0]: ("_x", period, 2 / (period + 1))}).select(*df.columns, *names)
+        made = smoothed(made, order, {"_fast": ("_x", 12, 2 / 13), "_slow": ("_x", 26, 2 / 27)}).withColumn(names[0], F.col("_fast") - F.col("_slow"))
+        made = smoothed(made, order, {names[1]: (names[0], period, 2 / (period + 1))})
+        return made.withColumn(names[2], F.col(names[0]) - F.col(names[1])).select(*df.columns, *names)
+    made = edged(there, order, 1)
+    if indicator == "rsi":
+        step = x[0] - before(x[0])
+        made = without_edges(made.withColumns({"_up": F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), "_down": F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))}))
+        made = smoothed(made, order, {"_u": ("_up", period, 1 / period), "_d": ("_down", period, 1 / period)})
+        told = F.when(F.col("_d") == 0, F.when(F.col("_u") == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + F.try_divide("_u", "_d")))
+        return made.withColumn(names[0], F.when(F.col("_u").isNotNull(), told)).select(*df.columns, *names)
+    if indicator == "atr":
+        reach = F.greatest(x[0] - x[1], F.abs(x[0] - before(x[2])), F.abs(x[1] - before(x[2])))
+        return smoothed(without_edges(made.withColumn("_reach", reach)), order, {names[0]: ("_reach", period, 1 / period)}).select(*df.columns, *names)
+    up, down = x[0] - before(x[0]), before(x[1]) - x[1]
+    moved = lambda a, b: F.when(a.isNotNull(), F.when((a > b) & (a > 0), a).otherwise(0.0))
+    made = without_edges(made.withColumns({"_up": moved(up, down), "_down": moved(down, up)}))
+    made = smoothed(made, order, {"_p": ("_up", period, 1 / period), "_m": ("_down", period, 1 / period)})
+    apart = F.when(F.col("_p") + F.col("_m") == 0, 0.0).otherwise(F.try_divide(100 * F.abs(F.col("_p") - F.col("_m")), F.col("_p") + F.col("_m")))
+    made = made.withColumn("_dx", F.when(F.col("_p").isNotNull(), apart))
+    return smoothed(made, order, {names[0]: ("_dx", period, 1 / period)}).select(*df.columns, *names)
+
+
 def add_indicator(df: DataFrame, column: str, indicator: str, period: int, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
-    """df with the indicator's columns, named column and its endings. With no `by` the table is one series, in one task: an ordered
-    sum along a single series cannot be dealt out. Ordering columns must tell the rows of a series apart."""
+    """df with the indicator's columns, named column and its endings. With no `by` the table is one series. Ordering columns must tell the
+    rows of a series apart."""
     takes, endings = INDICATORS[indicator]
     if len(columns) != takes:
         raise ValueError(f"{indicator} takes {takes} columns, not {len(columns)}")
     names = [column + e for e in endings]
-    by = by or []
+    if not by:
+        return _long(df, names, indicator, period, columns, order)
     if indicator not in RECURSIVE:
         window = Window.partitionBy(*by).orderBy(*order)
         made = df.withColumns(dict(zip(names, framed(indicator, period, [F.col(f"`{c}`").cast("double") for c in columns], window), strict=False)))

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.features import filled, was_missing
 from tidemark.functions.kinds import cell_text, finite, is_not_finite
 from tidemark.operators.quantiles import around, at_hand, exact
+from tidemark.operators.series import carried, stretched
 
 _EPSILON = 2.220446049250313e-16
 LAMBDAS = [round(-2 + 0.05 * i, 2) for i in range(81)]
@@ -190,7 +191,10 @@ def fill_previous(df: DataFrame, column: str, order: list[str], by: list[str] |
     bad = ends.where("start is not null and (value is null or value > start)").limit(1).collect()
     if bad:
         raise Refused(f"fill.missing: {column} is a gap with nothing before it to carry forward at {tuple(bad[0]['start'])}")
-    window = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not by:  # one series, in stretches
+        marked = df.withColumn(f"{column}_was_missing", was_missing(_c(column)))
+        return carried(stretched(marked, order), order, column).select(*marked.columns)
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(f"{column}_was_missing", was_missing(_c(column))).withColumn(column, F.last(_c(column), ignorenulls=True).over(window))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.operators.fits import Refused, Test, said
+from tidemark.operators.series import STRETCH, along, edged, stretched, without_edges
 
 
 def _c(name: str) -> Column:
@@ -21,14 +23,19 @@ def ahead_name(column: str, ahead: int) -> str:
 
 def target_ahead(df: DataFrame, column: str, ahead: int, order: list[str], as_: str = "value", by: list[str] | None = None) -> DataFrame:
     """{column}.ahead{k}: the value k rows later, or how much it has changed by then (a gap where the value now is 0 or a gap)."""
-    later = F.lead(_c(column), ahead).over(Window.partitionBy(*(by or [])).orderBy(*order))
-    made = later if as_ == "value" else F.try_divide(later, _c(column)) - 1
-    return df.withColumn(ahead_name(column, ahead), made)
+    def made(window: WindowSpec) -> Column:
+        later = F.lead(_c(column), ahead).over(window)
+        return later if as_ == "value" else F.try_divide(later, _c(column)) - 1
 
+    return over_series(df, {ahead_name(column, ahead): made}, ahead, order, by)
 
-def later(column: str, ahead: int, order: list[str], by: list[str] | None = None) -> Column:
-    """A column so many rows later, in the window that target_ahead uses."""
-    return F.lead(F.col(f"`{column}`"), ahead).over(Window.partitionBy(*(by or [])).orderBy(*order))
+
+def over_series(df: DataFrame, made: dict[str, Callable[[WindowSpec], Column]], ahead: int, order: list[str], by: list[str] | None) -> DataFrame:
+    """Columns that look so many rows ahead. A table that is one series is cut into stretches, which are shown the rows after them."""
+    if by:
+        return df.withColumns({n: f(Window.partitionBy(*by).orderBy(*order)) for n, f in made.items()})
+    there = edged(stretched(df, order), order, ahead, ahead=True)
+    return without_edges(there.withColumns({n: f(along(order)) for n, f in made.items()})).drop(STRETCH)
 
 
 def ahead_back(prediction: Column, now: Column, as_: str) -> Column:

@@ -491,8 +491,9 @@ class _Walk:
             else:
                 self.df = outputs.target_ahead(df, p["column"], p["ahead"], self._along(p["by"]), p["as"], p["by"])
                 # the answer comes back to the value that was read so many rows later
-                for c in (c for c in df.columns if c.startswith(AS_READ)):
-                    self.df = self.df.withColumn(c, outputs.later(c, p["ahead"], self._along(p["by"]), p["by"]))
+                read = [c for c in df.columns if c.startswith(AS_READ)]
+                if read:
+                    self.df = outputs.over_series(self.df, {c: (lambda w, c=c: F.lead(F.col(f"`{c}`"), p["ahead"]).over(w)) for c in read}, p["ahead"], self._along(p["by"]), p["by"])
         elif s.verb == "target.distribution":
             self.answers = [*p["columns"], *([p["remainder"]] if p["remainder"] else [])]
             if p["scaleBy"] and p["scaleBy"] in df.columns:
