@@ -20,14 +20,14 @@ from pyspark.sql import types as T
 
 from tidemark.functions.kinds import trimmed
 from tidemark.operators.fits import Refused
+from tidemark.sources.splitcsv import read_split_csv
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text; quoted cells may hold line breaks; a row with another number of cells is refused when it is read."""
+    """All cells as text; quoted cells may hold line breaks; a row with another number of cells is refused when it is read. A file is read
+    by many tasks (sources/splitcsv.py)."""
     names = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False, "nullValue": "", "emptyValue": ""}
-    return spark.read.options(**options).schema(schema).csv(path)
+    return read_split_csv(spark, path, names)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
