@@ -201,3 +201,15 @@ def test_a_fit_read_from_a_file_is_whole(spark, tmp_path):
         kept.measure_again(said, rows=rows.withColumn("y", F.col("y") + 1))
     with pytest.raises(Refused, match="another fit"):
         done.measure_again(spark.read.parquet(said).withColumn("fit", F.lit("x")))
+
+
+def test_a_small_window_is_watched_like_a_large_one(spark, monkeypatch):
+    kept = spark.createDataFrame([(i % 7 * 1.5, "abc"[i % 3], None, i % 11) for i in range(500)], "x double, w string, g double, k bigint")
+    window = spark.createDataFrame([(i % 5 * 1.5 + (i % 2) / 4, "bcd"[i % 3], None, 20) for i in range(90)], "x double, w string, g double, k bigint")
+    tallied = evidence.tallies(kept, kept.columns)
+    told = lambda: sorted((r["column"], None if r["distance"] is None else round(r["distance"], 12), r["warned"]) for r in evidence.watched(tallied, window, kept.columns, 0.3).collect())
+    small = told()
+    monkeypatch.setattr(evidence, "MOST_WATCHED", 3)
+    assert small == told() and [t[0] for t in small] == ["k", "w", "x"] and dict((t[0], t[1]) for t in small)["k"] == 1.0
+    monkeypatch.undo()
+    assert evidence.watched(tallied, window.where("false"), kept.columns, 0.3).where("distance is not null").count() == 0

@@ -300,9 +300,80 @@ def tallies(train: DataFrame, columns: list[str]) -> DataFrame:
     return rows.where("value is not null").groupBy("column", "value", "number").agg(F.count("*").alias("n"))
 
 
+#: A window of so many different cells at most is carried to the tallies; a larger one is joined with them.
+MOST_WATCHED = 200_000
+
+
 def watched(reference: DataFrame, window: DataFrame, columns: list[str], warn_above: float) -> DataFrame:
     """column, distance and warned: how far the rows of a window are from the tallies of training. Kolmogorov-Smirnov for numbers and
     moments, total variation for words; null where either side has no value."""
+    cells = tallies(window, columns).limit(MOST_WATCHED + 1).collect()  # bounded
+    if len(cells) > MOST_WATCHED:
+        return _watched_joined(reference, window, columns, warn_above)
+    numbers = {c: sorted((r["number"], r["n"]) for r in cells if r["column"] == c and r["number"] is not None) for c in columns}
+    words = {c: {r["value"]: r["n"] for r in cells if r["column"] == c and r["number"] is None} for c in columns}
+    told: dict[str, dict[tuple[str, int], int]] = {c: {} for c in columns}
+    for r in _placed_tallies(reference, numbers, words).collect():  # at most three rows a cell of the window
+        told[r["column"]][r["what"], r["k"]] = r["n"]
+    rows = []
+    for c in columns:
+        if not told[c] and not numbers[c] and not words[c]:
+            continue
+        of_window = sum(n for _, n in numbers[c]) + sum(words[c].values())
+        of_reference, distance = sum(told[c].values()), None
+        if of_window and of_reference and numbers[c]:
+            # Between two values of the window its share stands still, so the gap is widest at one of them or right before it.
+            below = held = 0
+            distance = 0.0
+            for k, (_, n) in enumerate(numbers[c]):
+                below += told[c].get(("below", k), 0)
+                distance = max(distance, abs(below / of_reference - held / of_window))
+                below, held = below + told[c].get(("at", k), 0), held + n
+                distance = max(distance, abs(below / of_reference - held / of_window))
+        elif of_window and of_reference:
+            met = {w: told[c].get(("word", k), 0) for k, w in enumerate(words[c])}
+            distance = (sum(abs(met[w] / of_reference - n / of_window) for w, n in words[c].items()) + (of_reference - sum(met.values())) / of_reference) / 2
+        rows.append((c, distance, distance is not None and distance > warn_above))
+    return window.sparkSession.createDataFrame(rows, "column string, distance double, warned boolean")
+
+
+def _placed_tallies(reference: DataFrame, numbers: dict[str, list], words: dict[str, dict]) -> DataFrame:
+    """column, what, k and n: how many training rows hold the window's k-th number (at), one right below it (below; above the last, the k
+    after it), its k-th word (word), or another one (other, -1). The tallies are read once, by binary search, and hardly anything moves."""
+    ends = {c: np.array([v for v, _ in some]) for c, some in numbers.items()}
+    at_word = {c: {w: k for k, w in enumerate(some)} for c, some in words.items()}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, str, int], int] = {}
+        for b in batches:
+            t = pa.Table.from_batches([b]).to_pandas()
+            for c, rows in t.groupby("column"):
+                if c not in ends:
+                    continue
+                x, n = rows["number"].to_numpy(float), rows["n"].to_numpy()
+                there = ~np.isnan(x)
+                if there.any():
+                    k = np.searchsorted(ends[c], x[there], "left")
+                    equal = (k < len(ends[c])) & (ends[c][np.minimum(k, len(ends[c]) - 1)] == x[there]) if len(ends[c]) else np.zeros(len(k), bool)
+                    for what, mask in (("at", equal), ("below", ~equal)):
+                        for i, m in zip(*(a.tolist() for a in _added(k[mask], n[there][mask])), strict=True):
+                            total[c, what, i] = total.get((c, what, i), 0) + m
+                for w, m in zip(rows["value"].to_numpy()[~there], n[~there].tolist(), strict=True):
+                    k = at_word[c].get(w, -1)
+                    total[c, "word" if k >= 0 else "other", k] = total.get((c, "word" if k >= 0 else "other", k), 0) + m
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([key[i] for key in total]) for i in range(3)] + [pa.array(list(total.values()), pa.int64())], names=["column", "what", "k", "n"])
+
+    sent = reference.select("column", "value", "number", "n").mapInArrow(placed, "column string, what string, k bigint, n bigint")
+    return sent.groupBy("column", "what", "k").agg(F.sum("n").alias("n"))
+
+
+def _added(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, where = np.unique(k, return_inverse=True)
+    return at, np.bincount(where, n, len(at)).astype(np.int64) if len(k) else n[:0]
+
+
+def _watched_joined(reference: DataFrame, window: DataFrame, columns: list[str], warn_above: float) -> DataFrame:
     both = reference.select("column", "value", "number", "n", F.lit("a").alias("side")).unionByName(tallies(window, columns).withColumn("side", F.lit("b")))
     wide = both.where(F.col("column").isin(*columns)).groupBy("column", F.when(F.col("number").isNull(), F.col("value")).alias("word"), "number").agg(
         F.coalesce(F.sum(F.when(F.col("side") == "a", F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("side") == "b", F.col("n"))), F.lit(0)).alias("b")
