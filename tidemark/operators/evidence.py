@@ -239,21 +239,23 @@ def correlation(df: DataFrame, columns: list[str], how: str = "pearson") -> Data
     total = numbers.agg(F.count("*").alias("total"))
     kept = numbers.dropna()
     if how == "spearman":
-        return _by_rank(kept, columns, total)
+        return _by_rank(numbers, columns)
     pairs = list(combinations(range(len(columns)), 2))
     told = kept.agg(F.count("*").alias("kept"), *(coefficient(F.col(f"`{columns[i]}`"), F.col(f"`{columns[j]}`")).alias(f"r{i}_{j}") for i, j in pairs))
     rows = F.array(*(F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.col(f"r{i}_{j}").alias("coefficient"), F.col("kept")) for i, j in pairs))
     return told.select(F.inline(rows)).crossJoin(total)  # one row
 
 
-def _by_rank(kept: DataFrame, columns: list[str], total: DataFrame) -> DataFrame:
-    n = kept.count()
+def _by_rank(numbers: DataFrame, columns: list[str]) -> DataFrame:
+    complete = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    total, n = numbers.agg(F.count("*"), F.count_if(complete)).first()
+    kept = numbers.where(complete)
     products = {(r["a"], r["b"]): r["s"] for r in gram(ranked(kept, columns), (n + 1) / 2).collect()}  # a number for each two columns
     told = []
     for i, j in combinations(range(len(columns)), 2):
         size = math.sqrt(products.get((i, i), 0.0) * products.get((j, j), 0.0))
-        told.append((columns[i], columns[j], max(-1.0, min(1.0, products[i, j] / size)) if size else math.nan, n))
-    return kept.sparkSession.createDataFrame(told, "left string, right string, coefficient double, kept bigint").crossJoin(total)  # one row
+        told.append((columns[i], columns[j], max(-1.0, min(1.0, products[i, j] / size)) if size else math.nan, n, total))
+    return kept.sparkSession.createDataFrame(told, "left string, right string, coefficient double, kept bigint, total bigint")
 
 
 PARTS = ("calibration", "test", "train", "validation")
