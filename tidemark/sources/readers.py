@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from tidemark.functions.kinds import trimmed
 from tidemark.operators.fits import Refused
 from tidemark.sources.splitcsv import read_split_csv
+from tidemark.sources.splitjson import read_split_json
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -40,18 +41,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of flat objects, cells as text, columns in the order in which their names are first seen; a missing name is a gap; nested
-    values are refused, and so is a name that stands twice in a record."""
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    # Names in the order in which they are first seen, as the records write them.
-    records = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("record", "cells"))
-    names = records.select("record", F.posexplode(F.map_keys("cells")).alias("place", "name")).groupBy("name").agg(F.min(F.struct("record", "place")).alias("first"))
-    order = [r["name"] for r in names.orderBy("first").collect()]  # a row for each column
-    df = df.select(*(f"`{n}`" for n in order if n in df.columns), *(f"`{n}`" for n in df.columns if n not in order))
-    nested = [f.name for f in df.schema if not isinstance(f.dataType, T.StringType)]
-    if nested:
-        raise Refused(f"read.json: {', '.join(nested)} hold nested values")
-    return df
+    """An array of flat objects, cells as text; a file is read by many tasks (sources/splitjson.py)."""
+    return read_split_json(spark, path)
 
 
 def _cells(sheet: bytes, shared: list[str]) -> list[list[str | None]]:

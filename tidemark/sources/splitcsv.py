@@ -1,21 +1,14 @@
-"""CSV files whose quoted cells may hold line breaks, read by many tasks a file.
-
-Whether a line begins a record depends on how many quotes stand before it. A first pass counts, for each split of a file, its quotes and how
-many records begin in it, for either way it may begin. From these few numbers it follows how each split does begin and how its records are
-numbered, and a second pass parses all splits at once. A record over several splits is put together from its pieces.
-"""
+"""CSV files whose quoted cells may hold line breaks, read by many tasks a file (sources/records.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PARSED = "file string, n bigint, start bigint, piece string, cells array<string>"
+from tidemark.sources.records import Records, Taken
 
 
 def cells_of(record: str) -> list[str | None]:
@@ -41,110 +34,21 @@ def cells_of(record: str) -> list[str | None]:
     return cells
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
-    """The lines of each split, batch by batch."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        files, starts = b.column("file").to_pylist(), b.column("start").to_numpy()
-        ends = [0, *(i for i in range(1, b.num_rows) if starts[i] != starts[i - 1] or files[i] != files[i - 1]), b.num_rows]
-        for a, z in zip(ends[:-1], ends[1:], strict=True):
-            yield (files[a], int(starts[a])), b.column("value").slice(a, z - a)
-
-
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    told: dict[tuple[str, int], list[int]] = {}  # a task's splits
-    for split, lines in _runs(batches):
-        held = told.setdefault(split, [0, 0, 0])
-        quotes = pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)
-        before = (held[0] + np.concatenate(([0], np.cumsum(quotes)[:-1]))) % 2
-        held[0] = int(held[0] + quotes.sum()) % 2
-        held[1] += int((before == 0).sum())
-        held[2] += int((before == 1).sum())
-    if told:
-        rows = [(*split, *held) for split, held in told.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "start", "odd", "outside", "inside"])
-
-
-def _begins(splits: list) -> dict[tuple[str, int], tuple[int, int]]:
-    """For each split whether it begins within quotes, and how many records of its file have begun before it."""
-    out: dict[tuple[str, int], tuple[int, int]] = {}
-    file, quoted, records = None, 0, 0
-    for s in sorted(splits, key=lambda s: (s["file"], s["start"])):
-        if s["file"] != file:
-            file, quoted, records = s["file"], 0, 0
-        out[file, s["start"]] = (quoted, records)
-        records += s["inside"] if quoted else s["outside"]
-        quoted ^= s["odd"]
-    return out
+def _quotes(lines: pa.Array) -> np.ndarray:
+    return pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)
 
 
 def read_split_csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Files of a header and records of as many cells, all as text. Another number of cells, or another header, is refused when the row is
     read, naming it (the first record below the header is row 1)."""
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    splits = lines.mapInArrow(_measured, "file string, start bigint, odd bigint, outside bigint, inside bigint").collect()  # a row a split
-    begins = _begins(splits)
 
-    def taken(file: str, n: int, record: str) -> list[str | None]:
+    def take(file: str, n: int, record: str) -> Taken:
         cells = cells_of(record)
         if n == 0:
             cells[0] = cells[0].lstrip("\ufeff") if cells[0] else cells[0]
         if len(cells) != len(names):
             raise ValueError(f"read.csv: row {n} of {file} holds {len(cells)} cells, not {len(names)}")
-        return cells
-
-    def told(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "n", "start", "piece", "cells"])
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, quoted, n, open_, headless = None, 0, 0, [], False
-        for split, some in _runs(batches):
-            rows = []
-            if split != now:
-                if open_:
-                    rows.append((*now[:1], n, now[1], "\n".join(open_), None))
-                now, (quoted, n) = split, begins[split]
-                n, open_, headless = n - 1, [], bool(quoted)
-            for line in some.to_pylist():
-                if not quoted:
-                    n += 1
-                open_.append(line)
-                quoted ^= line.count('"') & 1
-                if not quoted:
-                    if headless:  # it began in an earlier split
-                        rows.append((split[0], n, split[1], "\n".join(open_), None))
-                        headless = False
-                    else:
-                        cells = taken(split[0], n, "\n".join(open_))
-                        if n:
-                            rows.append((split[0], n, split[1], None, cells))
-                    open_ = []
-            if rows:
-                yield told(rows)
-        if open_:
-            yield told([(now[0], n, now[1], "\n".join(open_), None)])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(r["file"], r["n"], 0, None, taken(r["file"], r["n"], r["piece"])) for r in b.to_pylist()]
-            rows = [r for r in rows if r[1]]
-            if rows:
-                yield told(rows)
-
-    found = lines.mapInArrow(parsed, _PARSED)
-    whole = found.where("piece is null")
-    if any(quoted for quoted, _ in begins.values()) or _unclosed(splits):
-        parts = found.where("piece is not null").groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
-        one = parts.select("file", "n", F.array_join(F.col("parts.piece"), "\n").alias("piece"))
-        whole = whole.unionByName(one.mapInArrow(joined, _PARSED))
-    return whole.select(*(F.get("cells", i).alias(name) for i, name in enumerate(names)))
-
+        return (cells, None) if n else None
 
-def _unclosed(splits: list) -> bool:
-    """Whether a file ends within quotes: its last record is a piece, too."""
-    odd: dict[str, int] = {}
-    for s in splits:
-        odd[s["file"]] = odd.get(s["file"], 0) ^ s["odd"]
-    return any(odd.values())
+    rows = Records(spark, path, "\n", _quotes).rows(take)
+    return rows.select(*(F.get("cells", i).alias(name) for i, name in enumerate(names)))
