@@ -211,13 +211,6 @@ def test_conformal_margin_is_the_exact_place(spark):
     assert measures.conformal_margin(df, F.col("y"), F.lit(0.0), 0.1) == sorted(abs(y))[math.ceil(3001 * 0.9 - 1e-9) - 1]
 
 
-def test_make_up_adds_up(spark):
-    df = spark.createDataFrame([(float(i), float(i * i % 7)) for i in range(50)], "a double, b double")
-    told = measures.make_up(df, df.where("a = 9"), lambda d: d.withColumn("prediction", 2 * F.col("a") + F.col("b")), ["a", "b"], 40).collect()
-    assert sum(r.contribution for r in told) == pytest.approx(told[0].answer - told[0].background)
-    assert {r.column for r in told} == {"a", "b"}
-
-
 def test_members_are_blended(spark):
     b = declared("x", "one").split_at_random(seed=2).target(column="one").evidence_report(metrics=["accuracy", "brier"], parts=["train"])
     done = b.build().run(spark, table(spark))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -211,54 +210,3 @@ def conformal_margin(df: DataFrame, y: Column, p: Column, alpha: float) -> float
 def around(prediction: Column, margin: float) -> tuple[Column, Column]:
     """The ends of the interval around a prediction."""
     return prediction - margin, prediction + margin
-
-
-def make_up(df: DataFrame, row: DataFrame, answer: Callable[[DataFrame], DataFrame], columns: list[str], repeats: int = 32, seed: int = 1) -> DataFrame:
-    """column, contribution, answer and background: what each column adds to the answer of a row (one row of df), by Shapley's sampled
-    values. Each of `repeats` times a random row of df takes the row's cells over one after the other in a random order; what the answer
-    changes by is the column's. `answer` maps rows to rows with `prediction`, and keeps other columns. All steps are one table."""
-    import random
-
-    told = row.select(*columns).first()
-    given = random.Random(seed)
-    orders = [given.sample(range(len(columns)), len(columns)) for _ in range(repeats)]
-    drawn = df.select(F.struct(*columns).alias("_b"), F.xxhash64(F.lit(seed), *columns).alias("_h")).orderBy("_h").limit(repeats)  # repeats rows
-    held = drawn.select("_b").collect()
-    backgrounds = [held[i % len(held)]["_b"] for i in range(repeats)]
-    rows = []
-    for sample, order in enumerate(orders):
-        cells = list(backgrounds[sample])
-        rows.append((sample, 0, None, *cells))
-        for at, c in enumerate(order):
-            cells[c] = told[c]
-            rows.append((sample, at + 1, columns[c], *cells))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    asked = df.sparkSession.createDataFrame(rows, f"_sample int, _step int, _column string, {kinds}")
-    along = Window.partitionBy("_sample").orderBy("_step")
-    said = answer(asked).withColumn("_change", F.col("prediction") - F.lag("prediction").over(along))
-    ends = said.agg(F.avg(F.when(F.col("_step") == 0, F.col("prediction"))).alias("background"), F.avg(F.when(F.col("_step") == len(columns), F.col("prediction"))).alias("answer"))
-    each = said.where("_step > 0").groupBy(F.col("_column").alias("column")).agg((F.sum("_change") / repeats).alias("contribution"))
-    return each.crossJoin(ends)  # one row
-
-
-def importance(df: DataFrame, predict, y: str, columns: list[str], seed: int = 1) -> DataFrame:
-    """How much the mean squared error grows when a column's values are dealt anew over the rows. predict maps a DataFrame to one with
-    `prediction`. Values are dealt by joining two orders of the same row numbers, both by hash."""
-    own = predict(df).agg(F.avg((F.col(y) - F.col("prediction")) ** 2)).first()[0]
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
-    out = []
-    for c in columns:
-        n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        bucket = lambda s: F.pmod(F.xxhash64("_id", F.lit(s)), F.lit(int(n) * 8))
-        nth = lambda s: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_id", F.lit(s))))
-        at = rows.withColumn("_b", bucket(0)).withColumn("_n", nth(seed))
-        given = rows.select("_id", F.col(c).alias("_v")).withColumn("_b", bucket(0)).withColumn("_n", nth(seed + 1)).select("_b", "_n", "_v")
-        dealt = at.join(given, ["_b", "_n"]).withColumn(c, F.col("_v")).drop("_b", "_n", "_v", "_id")
-        out.append((c, predict(dealt).agg(F.avg((F.col(y) - F.col("prediction")) ** 2)).first()[0] - own))
-    return df.sparkSession.createDataFrame(out, "column string, growth double")
-
-
-def dependence(df: DataFrame, predict, column: str, grid: list[float]) -> DataFrame:
-    """The mean prediction with the column set to each value of the grid."""
-    spread = df.withColumn("_g", F.explode(F.array(*map(F.lit, grid)))).withColumn(column, F.col("_g"))
-    return predict(spread).groupBy(F.col("_g").alias("value")).agg(F.avg("prediction").alias("prediction"))

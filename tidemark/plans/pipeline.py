@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import features, indicators, keys
 from tidemark.functions.kinds import TYPES, as_kind, cell_text, is_gap, kind_of, read_cell, unreadable
-from tidemark.operators import evidence, fits, learners, measures, outputs, splits
+from tidemark.operators import evidence, fits, learners, measures, outputs, reasons, splits
 from tidemark.operators.fits import Refused
 from tidemark.plans.catalog import HANDLERS
 from tidemark.plans.needs import Landing, answers_of, left_out, missed
@@ -33,7 +33,7 @@ from tidemark.sources import readers
 VERSION = 16
 #: Verbs that write features in a form, and the key that names it.
 FORMED = {"feature.cycle": "form", "feature.cyclical": "form", "scale.given": "lands"}
-HIDDEN = ("_read_at", "_key", "_part")
+HIDDEN = ("_read_at", "_key", "_part", "_asked", "_draw")
 #: What is wrong with a row, while a walk lasts.
 WRONG = "_refused"
 #: How far a value may be from the one it was made of, as a share of it, when its steps are undone.
@@ -231,6 +231,8 @@ class _Walk:
         self.source: DataFrame | None = None  # the rows as read, with their places
         self.way_back: dict[str, float] = {}
         self.pending: list[tuple[int, list]] = []
+        #: What is refused is raised at the row when it is read, and not by a job while the steps are walked.
+        self.at_row = False
 
     def refuse(self, tests: list[fits.Test]) -> None:
         """Rows that meet a test are refused, the first test first; see settle."""
@@ -253,7 +255,7 @@ class _Walk:
         """Refuses now what is wrong so far: before rows go, and at the end. A stream carries it to its rows."""
         if WRONG not in self.df.columns:
             return
-        if self.df.isStreaming:
+        if self.df.isStreaming or self.at_row:
             wrong = F.raise_error(F.regexp_replace(WRONG, "\n", ": ")).cast("boolean")
             self.df = self.df.where(F.when(F.col(WRONG).isNotNull(), wrong).otherwise(True)).drop(WRONG)
             return
@@ -383,10 +385,10 @@ class _Walk:
             }[s.verb]()
             if s.verb == "read.join" and p["unmatched"] == "drop":
                 self.unmatched = readers.alone(part(p["left"]), part(p["right"]), p["on"])
-        plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
+        plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary") and f.name not in HIDDEN]
         # Both columns are expressions: a plan that does not use them does not compute them.
         self.df = df.withColumn("_key", keys.row_key(df, plain) if plain else F.lit(None).cast("string"))
-        self.df = self.source = self.df if df.isStreaming else number_rows(self.df)
+        self.df = self.source = self.df if df.isStreaming or "_asked" in df.columns else number_rows(self.df)
 
     def _declare(self, s: Step) -> None:
         named = {c["name"]: c for c in s["columns"]}
@@ -417,14 +419,14 @@ class _Walk:
             out.append(made.alias(name, metadata={"kind": c["kind"]}))
         if s["remainder"] == "keep":
             out += [as_kind(self.df, n, kind_of(self.df.schema[n])) for n in own if n not in named]
-        if bad and not self.df.isStreaming:
+        if bad and not (self.df.isStreaming or self.at_row):
             seen = self.df.agg(*(x for n, b in bad for x in (F.count_if(b).alias(f"n_{n}"), F.min_by(F.struct(F.col("_read_at"), F.col(f"`{n}`")), F.when(b, F.col("_read_at"))).alias(f"r_{n}")))).first()
             wrong = [f"{n}: {seen[f'n_{n}']} cells cannot be read, first {seen[f'r_{n}'][1]!r} in row {read_place(self.source, seen[f'r_{n}'][0])}" for n, _ in bad if seen[f"n_{n}"]]
             if wrong:
                 raise Refused("\n".join(wrong))
         ends = {c[-1][1] for a in answers_of(self.declaration.steps) if (c := undone(self.declaration.steps, a, self.skipped))} if not self.replaying else set()
         numbers = [n for n, c in named.items() if n in ends and n in own and c["kind"] in ("number", "integer", "boolean") and not c.get("excluded")]
-        if self.df.isStreaming and bad:
+        if (self.df.isStreaming or self.at_row) and bad:
             self.refuse([(b, F.col(f"`{n}`"), f"{n}: the cell cannot be read") for n, b in bad])
         self.df = self.df.select(*out, *(h for h in (*HIDDEN, WRONG) if h in self.df.columns))
         self.df = self.df.withColumns({f"{AS_READ}{n}": F.col(f"`{n}`").cast("double") for n in numbers})
@@ -446,7 +448,7 @@ class _Walk:
         elif s.verb == "drop.warmup":
             self.df = drop_warmup(df, self.order, [c for c in df.columns if c not in HIDDEN and c != WRONG and not c.startswith(KEPT) and c != self.id], p["atMost"])
         elif s.verb == "order.by":
-            self.df, self.order = order_by(df, p["columns"]), p["columns"]
+            self.df, self.order = order_by(df, [*p["columns"], *(c for c in ("_draw",) if c in df.columns)]), p["columns"]
         elif s.verb == "shuffle":
             self._known_id(s)
             self.df = self.df.orderBy(keys.rank(self._by(p["byId"]), p["seed"]))
@@ -463,7 +465,7 @@ class _Walk:
                 for c in made:
                     self.df = self.df.withMetadata(c, {"kind": "category"})
         elif s.verb == "feature.indicator":
-            self.df = indicators.add_indicator(df, p["column"], p["indicator"], p["period"], p["columns"], self._along(p["by"]), p["by"])
+            self.df = indicators.add_indicator(df, p["column"], p["indicator"], p["period"], p["columns"], self._along(p["by"]), self._within(p["by"]))
         elif s.verb == "maths":
             v = features.number(p["column"])
             self.refuse([(features.maths_refused(v, p["maths"]), v, f"maths: {p['column']} has a value without a {p['maths']}")])
@@ -512,6 +514,10 @@ class _Walk:
         """The order of the rows within a series."""
         return [c for c in self.order if c not in (by or [])] or self.order
 
+    def _within(self, by: list[str] | None) -> list[str] | None:
+        """The columns that tell the series: rows that are asked anew are a series of their own in each draw."""
+        return [*(by or []), "_draw"] if "_draw" in self.df.columns else by
+
     def _by(self, by_id: bool) -> Column:
         return keys.row_key(self.df, [self.id]) if by_id else F.col("_key")
 
@@ -540,7 +546,7 @@ class _Walk:
         if _fitted(s, self.df):
             self._apply(list(zip(_fitted(s, self.df, i in self.skipped), self.learned[i], strict=True)))
         elif s.verb == "fill.missing":
-            self.df = fits.fill_previous(self.df, p["column"], self._along(p["by"]), p["by"])
+            self.df = fits.fill_previous(self.df, p["column"], self._along(p["by"]), self._within(p["by"]))
         elif s.verb == "tokenize":
             one = fits.Tokenize(p["column"], p["length"], p["vocabulary"])
             if i not in self.learned:
@@ -646,7 +652,8 @@ class Prepared:
         'categories', which take numbers of any size. A run that left out what the learner needs is refused."""
         return self._checked(self.part(name), needs).drop("_read_at", *(c for c in self.df.columns if c.startswith(KEPT)))
 
-    def _checked(self, rows: DataFrame, needs: str) -> DataFrame:
+    def _checked(self, rows: DataFrame, needs: str, at_row: bool = False) -> DataFrame:
+        """What a learner is handed. at_row: a cell that it cannot take is an error when the row is read, and not before."""
         names, steps = self.features(), self.declaration.steps
         lacking = missed(self.skipped, steps, needs)
         if lacking:
@@ -663,14 +670,17 @@ class Prepared:
         x = lambda c: F.col(f"`{c}`").cast("double")
         odd = {c: F.expr(f"`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)) OR abs(CAST(`{c}` AS DOUBLE)) = double('infinity')") if c in plain else F.expr(f"`{c}` IS NULL") for c in names}
         place = F.col("_read_at") if "_read_at" in rows.columns else F.lit(None).cast("bigint")
-        if odd:
+        if odd and at_row:
+            wrong = F.coalesce(*(F.when(test, F.lit(f"{c}: a gap, or a value that a learner cannot take")) for c, test in odd.items()))
+            rows = rows.where(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(True))
+        elif odd:
             seen = rows.agg(*(F.min(F.when(test, F.coalesce(place, F.lit(-1)))).alias(f"b{i}") for i, test in enumerate(odd.values()))).first()
             bad = {c: seen[f"b{i}"] for i, c in enumerate(odd) if seen[f"b{i}"] is not None}
             if bad:
                 rows_read = {c: read_place(self.source, at) for c, at in bad.items() if at >= 0 and self.source is not None}
                 told = ", ".join(f"{c}{f' (first in row {rows_read[c]})' if c in rows_read else ''}" for c in sorted(bad))
                 raise Refused(f"{told}: gaps, or values that a learner cannot take", min(rows_read.values(), default=None))
-        hidden = [c for c in rows.columns if c in ("_key", "_read_at") or c.startswith(KEPT)]
+        hidden = [c for c in rows.columns if c in ("_key", "_read_at", "_asked", "_draw") or c.startswith(KEPT)]
         return rows.select(*(x(c).alias(c) if c in plain else F.col(f"`{c}`") for c in names), *(x(c).alias(c) for c in self.answers), *([self.id] if self.id else []), *(F.col(f"`{c}`") for c in hidden))
 
     def said_names(self) -> list[str]:
@@ -811,10 +821,71 @@ class Prepared:
             held = [s.verb for s in self.declaration.steps if s.spec.ordered or s.verb in ("order.by", "shuffle", "history", "history.known") or s.params.get("with") == "previous"]
             if held:
                 raise Refused(f"a stream has no order for {', '.join(held)}")
+        return self._replayed(rows)
+
+    def _replayed(self, rows: DataFrame, at_row: bool = False) -> DataFrame:
         names = {c["name"] for s in self.declaration.steps if s.verb == "declare" for c in s["columns"]}
         awaited = [c for c in self.answers if c not in rows.columns and (c in names or not names)]
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in awaited if "." not in c})
-        return _Walk(self.declaration, rows.sparkSession, self.learned, self.tables, self.skipped).run(rows).df
+        walk = _Walk(self.declaration, rows.sparkSession, self.learned, self.tables, self.skipped)
+        walk.at_row = at_row
+        return walk.run(rows).df
+
+    def _asking(self, rows: DataFrame, predict: Callable[[DataFrame], DataFrame], needs: str) -> tuple[DataFrame, list[str], reasons.Answered]:
+        """The rows with their places, the columns that can be changed, and how changed rows are answered: through the same steps with
+        what was learned, by predict, brought back to the units the answers were read in."""
+        if not self.answers:
+            raise Refused("the pipeline names no answer, so there is none to ask why of")
+
+        def answered(asked: DataFrame) -> DataFrame:
+            handed = predict(self._checked(self._replayed(asked, True), needs, True))
+            return handed.select("_asked", "_draw", *(self.back(F.col(n).cast("double"), a).cast("double").alias(f"a{i}") for i, (a, n) in enumerate(zip(self.answers, self.said_names(), strict=True))))
+
+        return number_rows(rows), [c for c in rows.columns if c not in self.answers and c != self.id], answered
+
+    def reliance(self, rows: DataFrame, predict: Callable[[DataFrame], DataFrame], seed: int, repeats: int, needs: str = "numbers") -> DataFrame:
+        """column, mean and spread: how far the answers to rows (as they are read) move when a column's cells are dealt among them anew. See
+        operators/reasons.py; predict as in measure()."""
+        if repeats < 1:
+            raise ValueError("cells are dealt once at least")
+        rows, columns, answered = self._asking(rows, predict, needs)
+        return reasons.reliance(rows, columns, answered, len(self.answers), seed, repeats)
+
+    def dependence(self, rows: DataFrame, predict: Callable[[DataFrame], DataFrame], column: str, points: int, needs: str = "numbers") -> DataFrame:
+        """value, place, answer and mean: the mean answers to rows (as they are read) when a column is moved through its range: a number from
+        its smallest to its largest in so many places, a category through the words that were learned of it, else those of the rows."""
+        if points < 2:
+            raise ValueError("a column is moved to two places at least")
+        rows, columns, answered = self._asking(rows, predict, needs)
+        if column not in columns:
+            raise Refused(f"{column} is none of the columns that can be moved: {', '.join(columns)}")
+        declared = next((c for s in self.declaration.steps if s.verb == "declare" for c in s["columns"] if c["name"] == column), {})
+        kind, cell, text = declared.get("kind"), F.col(f"`{column}`"), rows.schema[column].dataType.typeName() == "string"
+        if kind in ("number", "integer"):
+            value = F.when(~is_gap(cell, kind), read_cell(cell, kind, declared.get("format"))) if text else cell
+            low, high, n = rows.agg(F.min(value).cast("double"), F.max(value).cast("double"), F.count("*")).first()
+            if low is None:
+                raise Refused(f"{column} holds no number to move through")
+            grid = reasons.grid_of(low, high, points, kind == "integer")
+        elif kind == "category":
+            n, learned = rows.count(), next((self.learned[i][0] for i, s in enumerate(self.declaration.steps) if s.verb == "encode" and s.params.get("column") == column and i in self.learned), None)
+            grid = learned["categories"] if learned is not None else [r[0] for r in rows.select(cell.cast("string")).dropna().distinct().limit(fits.MOST_WORDS + 1).collect()]
+            if len(grid) > fits.MOST_WORDS:
+                raise Refused(f"{column} has more than {fits.MOST_WORDS} words")
+            grid = sorted(grid, key=lambda w: w.encode("utf-16-be"))
+            if not grid:
+                raise Refused(f"{column} holds no word to move through")
+        else:
+            raise Refused(f"{column} is {kind or 'not declared'}, which has no range to move through")
+        return reasons.dependence(rows, column, grid, answered, self.answers, n)
+
+    def make_up(self, rows: DataFrame, row: Column, predict: Callable[[DataFrame], DataFrame], seed: int, repeats: int, needs: str = "numbers") -> DataFrame:
+        """column, answer, contribution, said and background: what each column adds to the answers of the one row of rows (as they are read)
+        that a condition picks."""
+        if repeats < 1:
+            raise ValueError("a row is asked of once at least")
+        rows, columns, answered = self._asking(rows, predict, needs)
+        return reasons.make_up(rows, row, columns, answered, self.answers, seed, repeats)
 
     def view(self, steps: int, rows: DataFrame | None = None) -> DataFrame:
         """The table after so many steps, with _standing: the part each row is in, `dropped` if it does not reach the split, `undivided` where

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import features, indicators, keys
 from tidemark.functions.kinds import propose_kinds
 from tidemark.operators import evidence, fits, measures, outputs, splits
 from tidemark.plans.pipeline import Prepared, create
-from tidemark.session import kept_path
+from tidemark.session import kept_path, kept_table
 from tidemark.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -743,3 +744,76 @@ over(
     c AS (SELECT abs(y - 250000) AS d, row_number() OVER (ORDER BY abs(y - 250000)) AS k, count(*) OVER () AS n FROM s, e WHERE f >= a AND f < a + b)
     SELECT max(n)::BIGINT AS rows, round(min(d) FILTER (k >= ceil((n + 1) * 0.9 - 1e-9)), 4) AS margin FROM c""",
 )
+
+
+# Reasons: raw rows are changed, replayed and answered; the learner here is a given sum of the prepared cells
+def _asked_of(t: DataFrame) -> Prepared:
+    kinds = [("l_orderkey", "integer"), ("l_linenumber", "integer"), ("l_quantity", "number"), ("l_discount", "number"), ("l_tax", "number"), ("l_returnflag", "category"), ("l_shipdate", "timestamp"), ("l_extendedprice", "number")]
+    declared = create().read_rows().declare(columns=[{"name": n, "kind": k} for n, k in kinds]).split_byTime(column="l_shipdate").drop_columns(columns=["l_orderkey", "l_linenumber", "l_shipdate"])
+    return declared.normalise(column="l_quantity", scale="minmax").encode(column="l_returnflag").target(column="l_extendedprice").normalise(column="l_extendedprice", scale="minmax").build().run(t.sparkSession, t.select(*(n for n, _ in kinds)))
+
+
+def _say(handed: DataFrame) -> DataFrame:
+    return handed.withColumn("prediction", F.col("l_quantity") + 4 * F.col("l_quantity") * F.col("l_tax") + 0.25 * F.col("l_returnflag_R"))
+
+
+_ASKED = """WITH e AS (SELECT floor(count(*) * 0.7 + 0.5) AS a FROM lineitem), s AS (SELECT *, rank() OVER (ORDER BY l_shipdate) - 1 AS f FROM lineitem),
+t AS (SELECT min(l_quantity)::DOUBLE AS ql, max(l_quantity)::DOUBLE AS qh, min(l_extendedprice)::DOUBLE AS pl, max(l_extendedprice)::DOUBLE AS ph FROM s, e WHERE f < a)"""
+
+
+def _depends(t: DataFrame, column: str) -> DataFrame:
+    done = _asked_of(t)
+    return done.dependence(t.select("l_quantity", "l_discount", "l_tax", "l_returnflag"), _say, column, 5).select("value", "place", "answer", r4("mean").alias("mean"))
+
+
+def r4(c: str) -> Column:
+    return F.round(F.col(c), 4)
+
+
+over(
+    "reasons_dependence", "lineitem", lambda t: _depends(t, "l_quantity").select("place", F.round(F.col("value").cast("double"), 4).alias("value"), "answer", "mean"),
+    f"""{_ASKED}, g AS (SELECT min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi, avg(l_tax)::DOUBLE AS x, avg((l_returnflag = 'R')::INT) AS r FROM lineitem),
+    p AS (SELECT i AS place, lo + (hi - lo) * i / 4 AS value, x, r FROM g, range(5) AS q(i))
+    SELECT place::INT AS place, round(value, 4) AS value, 'l_extendedprice' AS answer, round(pl + (ph - pl) * ((value - ql) / (qh - ql) * (1 + 4 * x) + 0.25 * r), 4) AS mean FROM p, t""",
+)
+over(
+    "reasons_dependence_words", "lineitem", lambda t: _depends(t, "l_returnflag"),
+    f"""{_ASKED}, g AS (SELECT avg(l_quantity)::DOUBLE AS q, avg(l_quantity * l_tax)::DOUBLE AS qx, avg(l_tax)::DOUBLE AS x FROM lineitem),
+    w AS (SELECT l_returnflag AS value, row_number() OVER (ORDER BY l_returnflag) - 1 AS place FROM s, e WHERE f < a GROUP BY 1)
+    SELECT value, place::INT AS place, 'l_extendedprice' AS answer, round(pl + (ph - pl) * ((q - ql) / (qh - ql) + 4 * (qx - ql * x) / (qh - ql) + 0.25 * (value = 'R')::INT), 4) AS mean FROM w, g, t""",
+)
+
+
+def _leans(t: DataFrame) -> DataFrame:
+    done = _asked_of(t)
+    told = done.reliance(t.select("l_quantity", "l_discount", "l_tax", "l_returnflag"), _say, seed=3, repeats=4)
+    return told.select("column", (F.col("mean") == 0).alias("ignored"), F.row_number().over(Window.orderBy(F.desc("mean"))).alias("place"))  # a row a column
+
+
+over(
+    "reasons_reliance", "lineitem", _leans,
+    """WITH n AS (SELECT avg(l_tax)::DOUBLE AS x, count(*) AS n, (max(l_quantity) - min(l_quantity))::DOUBLE AS span FROM lineitem),
+    d AS (SELECT c, sum((2 * k - n - 1) * v) * 2 / any_value(n * n) AS apart FROM (SELECT c, v, n, row_number() OVER (PARTITION BY c ORDER BY v) AS k FROM (SELECT unnest(['l_quantity', 'l_tax']) AS c, unnest([l_quantity, l_tax]::DOUBLE[]) AS v FROM lineitem), n) GROUP BY c),
+    f AS (SELECT avg((l_returnflag = 'R')::INT) AS r, avg(l_quantity)::DOUBLE AS q, min(l_quantity)::DOUBLE AS ql FROM lineitem),
+    m AS (SELECT 'l_quantity' AS "column", apart / span * (1 + 4 * x) AS mean FROM d, n WHERE c = 'l_quantity' UNION ALL SELECT 'l_tax', 4 * apart * (q - ql) / span FROM d, n, f WHERE c = 'l_tax'
+    UNION ALL SELECT 'l_returnflag', 0.25 * 2 * r * (1 - r) FROM f UNION ALL SELECT 'l_discount', 0)
+    SELECT "column", mean = 0 AS ignored, row_number() OVER (ORDER BY mean DESC)::INT AS place FROM m""",
+)
+
+
+def _made_up(t: DataFrame) -> DataFrame:
+    """Of one segment of customers, with every segment as a background once: what a sum of cells is made of."""
+    told = t.groupBy(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("who")).agg(F.avg("c_acctbal").alias("balance"), F.count("*").cast("double").alias("many"), F.max("c_acctbal").alias("top"))
+    kinds = [("who", "text"), ("balance", "number"), ("many", "number"), ("top", "number")]
+    declared = create().read_rows().declare(columns=[{"name": n, "kind": k, **({"id": True} if n == "who" else {})} for n, k in kinds]).split_atRandom(seed=5, train=1.0, validation=0.0, test=0.0)
+    told = kept_table(told, "segments")
+    done = declared.target(column="top").build().run(t.sparkSession, told)
+    n = told.count()  # nations x segments rows
+    return done.make_up(told, F.col("who") == "7-BUILDING", lambda d: d.withColumn("prediction", F.col("balance") + 3 * F.col("many")), 2, n).select("column", *(r4(c).alias(c) for c in ("contribution", "said", "background")))
+
+
+over(
+    "reasons_make_up", "customer", _made_up,
+    """WITH s AS (SELECT c_nationkey || '-' || c_mktsegment AS who, avg(c_acctbal)::DOUBLE AS b, count(*)::DOUBLE AS m FROM customer GROUP BY 1), a AS (SELECT avg(b) AS b, avg(m) AS m FROM s)
+    SELECT unnest(['balance', 'many']) AS "column", round(unnest([s.b - a.b, 3 * (s.m - a.m)]), 4) AS contribution, round(s.b + 3 * s.m, 4) AS said, round(a.b + 3 * a.m, 4) AS background FROM s, a WHERE who = '7-BUILDING'""",
+)
