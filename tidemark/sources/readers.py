@@ -8,10 +8,8 @@ import json
 import re
 import struct
 import wave
-import zipfile
 import zlib
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +20,7 @@ from tidemark.functions.kinds import trimmed
 from tidemark.operators.fits import Refused
 from tidemark.sources.splitcsv import read_split_csv
 from tidemark.sources.splitjson import read_split_json
+from tidemark.sources.workbooks import read_workbooks
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,63 +44,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return read_split_json(spark, path)
 
 
-def _cells(sheet: bytes, shared: list[str]) -> list[list[str | None]]:
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    rows = []
-    for row in ElementTree.fromstring(sheet).iterfind(".//m:row", ns):
-        cells: list[str | None] = []
-        for c in row.iterfind("m:c", ns):
-            letters = re.match("[A-Z]+", c.get("r", "A"))[0]
-            at = 0
-            for x in letters:
-                at = at * 26 + ord(x) - 64
-            cells += [None] * (at - 1 - len(cells))
-            v, kind = c.find("m:v", ns), c.get("t")
-            if kind == "inlineStr":
-                cells.append("".join(t.text or "" for t in c.iterfind(".//m:t", ns)))
-            elif v is None or v.text is None:
-                cells.append(None)
-            else:
-                cells.append(shared[int(v.text)] if kind == "s" else {"0": "False", "1": "True"}[v.text] if kind == "b" else v.text)
-        rows.append(cells)
-    return rows
-
-
-def workbook_rows(data: bytes, sheet: str | None = None) -> list[list[str | None]]:
-    """The cells of a sheet of an .xlsx file as text; the first sheet unless one is named."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iterfind(".//m:t", ns)) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", ns)]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = {s.get("name"): targets[s.get(rel)] for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", ns)}
-        if sheet is not None and sheet not in sheets:
-            raise Refused(f"read.excel: no sheet {sheet}; there are {', '.join(sheets)}")
-        target = sheets[sheet] if sheet else next(iter(sheets.values()))
-        return _cells(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"), shared)
-
-
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """The first row names the columns. A workbook is one file of at most a million rows; a task parses it, and only the names come to the
-    driver. path may be a folder of workbooks with the same columns."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def cells(frames: Iterator[pd.DataFrame], names: bool) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for where, content in zip(frame["path"], frame["content"], strict=True):
-                rows = workbook_rows(bytes(content), sheet)
-                rows = rows[:1] if names else rows[1:]
-                yield pd.DataFrame({"path": where, "row": range(len(rows)), "cells": rows})
-
-    layout = "path string, row long, cells array<string>"
-    heads = files.mapInPandas(lambda frames: cells(frames, True), layout).select("cells").distinct().limit(2).collect()
-    if len(heads) != 1:
-        raise Refused("read.excel: the workbooks have different columns" if heads else f"read.excel: there is no workbook at {path}")
-    names = [n or f"column{i + 1}" for i, n in enumerate(heads[0]["cells"])]
-    read = files.mapInPandas(lambda frames: cells(frames, False), layout)
-    return read.select(*(F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
+    """A sheet of a workbook, or of each of a folder of workbooks; it is read by many tasks (sources/workbooks.py)."""
+    return read_workbooks(spark, path, sheet)
 
 
 def read_join(left: DataFrame, right: DataFrame, on: list[str], unmatched: str = "refuse") -> DataFrame:
