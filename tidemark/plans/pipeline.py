@@ -787,17 +787,22 @@ class Prepared:
         told = [self.declaration.prefixes()[-1], sorted(self.skipped.items()), sorted((i, v) for i, v in self.learned.items())]
         return hashlib.sha256(json.dumps(told, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
 
-    def train_learner(self) -> learners.Trained:
+    def train_learner(self) -> learners.Trained | learners.TrainedNetwork:
         """The learner that the pipeline names, trained on the training rows. What is not trained here is refused."""
         s = next((s for s in self.declaration.steps if s.spec.role == "learner"), None)
         if s is None:
             raise Refused("the pipeline names no learner")
-        if len(self.answers) != 1:
-            raise Refused("learners here answer one column")
-        needs = "oneScale" if s.verb == "learn.network" else "noScale"
         asked = next((x["metrics"] for x in self.declaration.steps if x.verb == "evidence.report"), [])
         classes = bool(set(asked) & {"accuracy", "precision", "recall", "f1", "confusionmatrix", "auc", "brier"})
-        return learners.train(s, self.batch("train", needs), self.features(), self.answers[0], classes, needs)
+        if s.verb == "learn.network":
+            answer = next(x for x in self.declaration.steps if x.spec.role == "answer")
+            shares = answer.verb == "target.distribution" or (answer.verb == "target.labels" and answer["ones"] == 1)
+            loss = "crossentropy" if shares else "binarycrossentropy" if answer.verb == "target.labels" or (classes and len(self.answers) == 1) else "meansquarederror"
+            stops = isinstance(s["stopping"], dict) and s["stopping"].get("kind") == "patience"
+            return learners.train_dense(s, self.batch("train", "oneScale"), self.features(), self.answers, loss, self.said_names(), "oneScale", self.batch("validation", "oneScale") if stops else None)
+        if len(self.answers) != 1:
+            raise Refused("trees here answer one column")
+        return learners.train(s, self.batch("train", "noScale"), self.features(), self.answers[0], classes, "noScale")
 
     def fit_entries(self) -> DataFrame:
         """What the split saw, as name and value: rows of each part, rows of a join without a partner, the first and last moment of each part
