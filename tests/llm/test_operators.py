@@ -142,6 +142,23 @@ def test_license_notices_are_verified_in_order(spark):
     assert got[0].labels == "" and got[1].score == 1 and [(x.first, x.last) for x in got[4].notices] == [(2, len(w) + 1), (len(w) + 3, 2 * len(w) + 2)]
 
 
+def test_license_names_are_whole(spark):
+    texts = {
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by", "under the Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "cc-by-nc-nd", "CC BY-NC-SA 4.0": "cc-by-nc-sa", "CC-BY-NC 4.0": "cc-by-nc", "CC BY 3.0, CC BY-SA 2.5": "cc-by,cc-by-sa",
+        "Creative Commons Attribution Non-Commercial Share Alike 3.0 Unported": "cc-by-nc-sa", "CC BY": "", "Creative Commons Attribution": "", "licensed under a Creative Commons license 4.0 International License": "", "CC BY x 4.0": "",
+    }
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        assert (got[d].labels, got[d].score, got[d].base_labels, got[d].n_base) == (texts[t], float(texts[t] != ""), "", 0), t
+    assert [tuple(x) for x in got[5].notices] == [("cc-by", 0, 3), ("cc-by-sa", 4, 8)]
+    for d, t in rows:  # against the words themselves
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        want = {(label, i, i + len(n.split()) - 1) for n, label in licenses.NAMES.items() for i in range(len(words)) if words[i : i + len(n.split())] == n.split()}
+        assert {tuple(x) for x in got[d].notices} == want
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for d, t in rows:

@@ -8,6 +8,8 @@ matched only the longest series counts that stands in the notice's own order, an
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,12 +26,21 @@ NOTICES = {
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
-    "cc-by": "licensed under a creative commons attribution 4 0 international license",
-    "cc-by-nc": "licensed under cc by nc 4 0",
 }
+#: What the terms of a family of licenses are called, and its versions; each license is some terms in their order.
+TERMS = {"by": ["attribution"], "nc": ["noncommercial", "non commercial"], "sa": ["sharealike", "share alike"], "nd": ["noderivatives", "noderivs", "no derivatives", "no derivs"]}
+FAMILY = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
+VERSIONS = ["4 0", "3 0", "2 5", "2 0"]
 PHRASE_GRAM, NOTICE_GRAM = 2, 4
 #: Diagonals of a notice that are no further apart are one, and this share of its grams, in order, makes it a finding.
 DRIFT, SHARE = 16, 0.5
+#: Names of licenses that differ in a word or two, and their labels. A share of a name says nothing, so all its words must stand consecutively,
+#: up to the version, which tells `by` from `by-sa`; one without a version is not found.
+NAMES = {
+    f"{' '.join(words)} {version}": f"cc-{label}"
+    for label in FAMILY for version in VERSIONS
+    for words in [("cc", *label.split("-")), *(("creative commons", *spelled) for spelled in product(*(TERMS[t] for t in label.split("-"))))]
+}
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,15 +57,17 @@ def words_of(parts: Column) -> Column:
     return F.slice(parts, first, F.greatest(F.size(parts) - last - first + 1, F.lit(0)))
 
 
-def template_grams(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """template, phrase (whether it is one), label, grams (how many it has), length, h, words and at (where the gram begins)."""
+def template_grams(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str], names: dict[str, str]) -> DataFrame:
+    """template, phrase (whether its words must stand consecutively), base (whether it is of the given phrases), label, grams (how many it
+    has), length, h, words and at (where the gram begins). Names have NOTICE_GRAM words at least."""
     rows = []
-    kinds = [(True, text, label, PHRASE_GRAM) for text, label in phrases.items()] + [(False, text, label, NOTICE_GRAM) for label, text in notices.items()]
-    for k, (phrase, text, label, size) in enumerate(kinds):
+    kinds = [(True, True, text, label, PHRASE_GRAM) for text, label in phrases.items()] + [(False, False, text, label, NOTICE_GRAM) for label, text in notices.items()]
+    kinds += [(True, False, text, label, NOTICE_GRAM) for text, label in names.items()]
+    for k, (phrase, base, text, label, size) in enumerate(kinds):
         words = text.split()
-        rows += [(k, phrase, label, len(words) - size + 1, len(words), " ".join(words[i : i + size]), i) for i in range(len(words) - size + 1)]
+        rows += [(k, phrase, base, label, len(words) - size + 1, len(words), " ".join(words[i : i + size]), i) for i in range(len(words) - size + 1)]
     # as many rows as the templates have words
-    frame = spark.createDataFrame(rows, "template int, phrase boolean, label string, grams int, length int, gram string, at int")
+    frame = spark.createDataFrame(rows, "template int, phrase boolean, base boolean, label string, grams int, length int, gram string, at int")
     return frame.withColumn("h", F.xxhash64("gram"))
 
 
@@ -74,14 +87,14 @@ def in_order(hits: str) -> Column:
     return F.aggregate(falling, F.array().cast(kind), step, lambda state: F.when(F.size(state) > 0, F.element_at(state, -1)).otherwise(F.array().cast("array<struct<pos:int,at:int>>")))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, names: dict[str, str] = NAMES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and notices (label, first and last word of each notice
-    found) for each row of docs (doc_id, text).
+    or name found) for each row of docs (doc_id, text).
 
-    A phrase is found where its words stand consecutively. labels also has those of notices of which SHARE is there. score is 1 where
-    a phrase was found, else the largest share of a notice. A null text is empty; an empty text has no words and no labels ('');
+    A phrase or a name is found where its words stand consecutively. labels also has those of names, and of notices of which SHARE is
+    there. score is 1 where a phrase or a name was found, else the largest share of a notice. A null text is empty; an empty text has no words and no labels ('');
     rows that repeat come out each; other columns are ignored; an empty table gives no rows."""
-    templates = template_grams(docs.sparkSession, phrases, notices)
+    templates = template_grams(docs.sparkSession, phrases, notices, names)
     # All rows of a text carry its id and hash, so texts that share an id stay apart; a text in two rows counts twice and comes out twice.
     # Words are split in one projection and used in the next, or they would be split again for every use.
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), split_text(F.col("text")).alias("parts"))
@@ -97,8 +110,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     # The templates' rows are bounded by the templates, not by the data.
     joined = grams.join(F.broadcast(templates.withColumnRenamed("gram", "words")), (F.col("hash") == F.col("h")) & (F.col("gram") != ""), "left")
     # verified on the words themselves
-    hits = joined.where("gram = '' or gram = words").select("doc_id", "th", "n_words", "template", "phrase", "label", "grams", "length", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
-    votes = hits.groupBy("doc_id", "th", "n_words", "template", "phrase", "label", "grams", "length", "diagonal").agg(F.count("*").alias("votes"), F.collect_set("at").alias("seen"))
+    hits = joined.where("gram = '' or gram = words").select("doc_id", "th", "n_words", "template", "phrase", "base", "label", "grams", "length", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    votes = hits.groupBy("doc_id", "th", "n_words", "template", "phrase", "base", "label", "grams", "length", "diagonal").agg(F.count("*").alias("votes"), F.collect_set("at").alias("seen"))
     key = ["doc_id", "th", "n_words"]
     by = Window.partitionBy(*key, "template").orderBy("diagonal")
     # A phrase must stand as it is. Of a notice, each diagonal is taken with those up to DRIFT behind it: as many hits as the notice has
@@ -113,17 +126,20 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     best = F.col("phrase") | (rank == F.max(rank).over(by.rangeBetween(-DRIFT, DRIFT)))
     merged = rated.select("*", best.alias("best")).where("template is null or best").withColumn("first", F.col("diagonal"))
     share = F.col("found") / F.col("grams")
-    whole = F.col("phrase") & (share == 1)
+    whole = F.col("base") & (share == 1)
+    named = F.col("phrase") & ~F.col("base") & (share == 1)
     notice = ~F.col("phrase") & (share >= SHARE)
+    begin = F.when(F.col("phrase"), F.col("first")).otherwise(F.get(F.sort_array("line"), F.lit(0))["pos"])
+    end = F.when(F.col("phrase"), F.col("first") + F.col("length") - 1).otherwise(F.element_at(F.sort_array("line"), -1)["pos"] + NOTICE_GRAM - 1)
     text = merged.groupBy(*key).agg(
         F.max(F.when(F.col("template").isNull(), F.col("votes"))).alias("copies"),
         F.sum(F.when(whole, F.col("votes") / F.col("grams"))).alias("places"),
         F.min(F.when(whole, F.col("first"))).alias("first_word"),
         F.max(F.when(whole, F.col("first"))).alias("last_word"),
         F.collect_set(F.when(whole, F.col("label"))).alias("base"),
-        F.collect_set(F.when(notice, F.col("label"))).alias("more"),
-        F.max(F.when(~F.col("phrase"), share)).alias("share"),
-        F.sort_array(F.collect_set(F.when(notice, F.struct("label", F.get(F.sort_array("line"), F.lit(0))["pos"].alias("first"), (F.element_at(F.sort_array("line"), -1)["pos"] + NOTICE_GRAM - 1).alias("last"))))).alias("notices"),
+        F.collect_set(F.when(notice | named, F.col("label"))).alias("more"),
+        F.max(F.when(~F.col("phrase") | named, share)).alias("share"),
+        F.sort_array(F.collect_set(F.when(notice | named, F.struct("label", begin.alias("first"), end.alias("last"))))).alias("notices"),
     )
     joined_labels = lambda c: F.concat_ws(",", F.sort_array(c))
     each = text.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
