@@ -110,7 +110,7 @@ def test_measures_of_classes_and_of_labels(spark):
 def test_measures_of_shares(spark):
     df = spark.createDataFrame([(i, float(i % 4 + 1), float(i % 3 + 1), 10.0) for i in range(40)], "id long, a double, b double, whole double")
     columns = [{"name": n, "kind": "number"} for n in ("a", "b", "whole")]
-    b = create().read_rows().declare(columns=[COLUMNS[1], *columns]).split_at_random(seed=1).target_distribution(columns=["a", "b"], scaleBy="whole", remainder="rest")
+    b = create().read_rows().declare(columns=[COLUMNS[1], *columns]).split_at_random(seed=1).target_distribution(columns=["a", "b"], scaleBy="whole", remainder="rest", ordered=True)
     done = b.evidence_report(metrics=["kl", "emd", "rps"], parts=["train"]).build().run(spark, df)
     got = {r.metric: r.model for r in done.measure(lambda d: d.withColumns({"prediction_0": F.lit(0.3), "prediction_1": F.lit(0.3), "prediction_2": F.lit(0.4)})).collect()}
     truth = np.array([[r.a, r.b, r.rest] for r in done.part("train").collect()])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -25,8 +26,9 @@ from tidemark.operators import evidence, fits, learners, measures, outputs, reas
 from tidemark.operators.fits import Refused
 from tidemark.plans.catalog import HANDLERS
 from tidemark.plans.needs import Landing, answers_of, left_out, missed
+from tidemark.plans.places import FileFaults, Surveyed, surveyed
 from tidemark.plans.rules import DeclarationError, faults
-from tidemark.plans.verbs import FORMS, VERBS, Step, step
+from tidemark.plans.verbs import FORMS, VERBS, Step, step, wrong_keys
 from tidemark.session import kept_table
 from tidemark.sources import readers
 
@@ -70,7 +72,9 @@ class Declaration:
 
     @staticmethod
     def from_json(text: str) -> Declaration:
-        return Declaration(_steps(json.loads(text)))
+        """The declaration of a file. All that is wrong with it is told at once, each thing by its line and column."""
+        found = surveyed(text)
+        return _read(found.value, found)
 
     def run(self, spark: SparkSession, rows: DataFrame | None = None) -> Prepared:
         """Every step taken, over the rows of its source or those handed in."""
@@ -81,25 +85,48 @@ class Declaration:
         return _Walk(self, spark, skipped=left_out(self.steps, needs)).run(rows)
 
 
-def _steps(document: dict) -> tuple[Step, ...]:
+_TOP = ("version", "declaration", "fitted", "skipped")
+
+
+def _read(document: dict, found: Surveyed | None = None) -> Declaration:
     """The steps of a file: `declaration`, a list of objects that name their verb in `step`. A file without a version is of the first."""
-    if document.get("version", 1) > VERSION:
-        raise ValueError(f"version {document['version']} is later than {VERSION}")
-    found, wrong = [], []
-    for i, one in enumerate(document["declaration"]):
-        verb = one.get("step", one.get("verb"))
+    wrong: list[tuple[tuple, str]] = []
+    if not isinstance(document, dict):
+        wrong.append(((), f"a pipeline file is an object that holds {', '.join(_TOP)}"))
+        document = {"declaration": []}
+    wrong += [((k,), f"a pipeline file has no {k!r}; it holds {', '.join(_TOP)}") for k in document if k not in _TOP and found is not None]
+    version, listed = document.get("version", 1), document.get("declaration")
+    if not isinstance(version, int) or isinstance(version, bool):
+        wrong.append((("version",), "a version is a whole number"))
+        version = VERSION
+    elif version > VERSION:
+        wrong.append((("version",), f"version {version} is later than {VERSION}"))
+    if not isinstance(listed, list):
+        wrong.append((("declaration",), "a declaration is a list of steps"))
+        listed = []
+    steps = []
+    for i, one in enumerate(listed):
+        at = ("declaration", i)
+        if not isinstance(one, dict) or not ("step" in one or "verb" in one):
+            wrong.append((at, f"step {i + 1}: a step names its verb in `step`"))
+            continue
+        named = "step" if "step" in one else "verb"
+        verb, given = one[named], {k: v for k, v in one.items() if k not in ("step", "verb")}
+        odd, known = wrong_keys(verb, given), isinstance(verb, str) and verb in VERBS
+        wrong += [((*at, k) if k else at if known else (*at, named), f"step {i + 1}: {f'{verb}: ' if known else ''}{what}") for k, what in odd]
+        if not odd:
+            steps.append(step(verb, **given))
+            if steps[-1].spec.since > version and "version" in document:
+                wrong.append(((*at, named), f"step {i + 1}: {verb} is there from version {steps[-1].spec.since} of the file"))
+    if not wrong:
         try:
-            if verb is None:
-                raise ValueError("a step names its verb in `step`")
-            made = step(verb, **{k: v for k, v in one.items() if k not in ("step", "verb")})
-            if made.spec.since > document.get("version", 1) and "version" in document:
-                raise ValueError(f"{verb} is there from version {made.spec.since} of the file")
-            found.append(made)
-        except ValueError as e:
-            wrong.append(f"step {i + 1}: {e}")
-    if wrong:
-        raise DeclarationError(wrong)
-    return tuple(found)
+            return Declaration(tuple(steps))
+        except DeclarationError as e:
+            places = [re.match(r"step (\d+) ", what) for what in e.faults]
+            wrong = [(("declaration", int(m[1]) - 1) if m else ("declaration",), what) for m, what in zip(places, e.faults, strict=True)]
+    if found is None:
+        raise DeclarationError([what for _, what in wrong])
+    raise FileFaults(found.text, [(found.place(*path), what) for path, what in wrong])
 
 
 class FittingBuilder:
@@ -953,7 +980,7 @@ class Prepared:
     @staticmethod
     def load(spark: SparkSession, path: str) -> Prepared:
         told = json.loads(spark.read.text(f"{path}/pipeline.json").first()[0])
-        declaration = Declaration(_steps(told))
+        declaration = _read(told)
         prefixes = declaration.prefixes()
         for f in told["fitted"]:
             if prefixes[f["step"]] != f["prefix"]:

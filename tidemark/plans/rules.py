@@ -76,6 +76,8 @@ def faults(steps: list[Step]) -> Iterator[str]:
         for m in steps[i]["metrics"]:
             if m in SHARE_METRICS and kind != "target.distribution":
                 yield say(i, f"{m} measures shares")
+            if m in ("emd", "rps") and kind == "target.distribution" and not steps[answer]["ordered"]:
+                yield say(i, f"{m} measures shares along an order, which the answer does not declare ('ordered')")
             if m in CLASS_METRICS and kind in ("target.ahead", "target.numbers", "target.distribution"):
                 yield say(i, f"{m} measures classes")
     if "schema" in at:

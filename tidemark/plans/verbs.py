@@ -54,24 +54,31 @@ class Step:
 
 def step(verb: str, **given: Any) -> Step:
     """A step with its defaults; unknown verbs, keys and words are refused, naming what is near."""
-    if verb not in VERBS:
-        near = difflib.get_close_matches(verb, VERBS, 1)
-        raise ValueError(f"no verb {verb}" + (f"; is it {near[0]}?" if near else ""))
+    wrong = wrong_keys(verb, given)
+    if wrong:
+        raise ValueError((f"{verb}: " if verb in VERBS else "") + "; ".join(what for _, what in wrong))
+    return Step(verb, {k: given.get(k, d) for k, d in VERBS[verb].keys.items()})
+
+
+def wrong_keys(verb: str, given: dict[str, Any]) -> list[tuple[str | None, str]]:
+    """What keeps a step from being made: the key it is about (None: the step itself), and what is wrong."""
+    if not isinstance(verb, str) or verb not in VERBS:
+        near = difflib.get_close_matches(str(verb), VERBS, 1)
+        return [(None, f"no verb {verb}" + (f"; is it {near[0]}?" if near else ""))]
     spec = VERBS[verb]
-    wrong = [k for k in given if k not in spec.keys]
-    lacking = [k for k, d in spec.keys.items() if d is REQUIRED and k not in given]
-    if wrong or lacking:
-        raise ValueError(f"{verb}: " + "; ".join([f"no key {k}" for k in wrong] + [f"{k} is left out" for k in lacking]))
+    wrong: list[tuple[str | None, str]] = [(k, f"no key {k}") for k in given if k not in spec.keys]
+    wrong += [(None, f"{k} is left out") for k, d in spec.keys.items() if d is REQUIRED and k not in given]
     for k in ("left", "right", "trainer", "optimizer", "loss", "stopping", "schedule"):
         part = given.get(k)
         if k in spec.keys and verb in ("read.join", "learn.ml", "learn.network") and part is not None and not (isinstance(part, dict) and part.get("kind")):
-            raise ValueError(f"{verb}: {k} is a part, written as its kind and its settings")
+            wrong.append((k, f"{k} is a part, written as its kind and its settings"))
     for k, words in spec.words.items():
         values = given.get(k, spec.keys[k])
+        values = None if values is REQUIRED else values
         for v in values if isinstance(values, list) else [values]:
             if v is not None and v not in words:
-                raise ValueError(f"{verb}: {k} is {v}, not one of {', '.join(words)}")
-    return Step(verb, {k: given.get(k, d) for k, d in spec.keys.items()})
+                wrong.append((k, f"{k} is {v}, not one of {', '.join(words)}"))
+    return wrong
 
 
 def _one(p: dict) -> list[str]:

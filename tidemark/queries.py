@@ -616,7 +616,7 @@ def _run_shares(t: DataFrame) -> DataFrame:
     report = ("evidence.report", {"metrics": ["kl", "emd", "rps"], "parts": ["validation", "test"]})
     rows = t.withColumns({"a": F.col("o_orderkey") % 7 + 1.0, "b": F.col("o_orderkey") % 5 + 1.0, "whole": F.lit(20.0)})
     kinds = [("o_orderkey", "integer"), ("o_orderdate", "timestamp"), ("a", "number"), ("b", "number"), ("whole", "number")]
-    done = by_verbs(rows, kinds, _BY_TIME, ("drop.columns", {"columns": ["o_orderdate"]}), ("target.distribution", {"columns": ["a", "b"], "scaleBy": "whole", "remainder": "rest"}), report)
+    done = by_verbs(rows, kinds, _BY_TIME, ("drop.columns", {"columns": ["o_orderdate"]}), ("target.distribution", {"columns": ["a", "b"], "scaleBy": "whole", "remainder": "rest", "ordered": True}), report)
     return _measured(done.measure(lambda rows: rows.withColumns({"prediction_0": F.lit(0.2), "prediction_1": F.lit(0.3), "prediction_2": F.lit(0.5)})))
 
 
