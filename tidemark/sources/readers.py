@@ -11,6 +11,7 @@ import wave
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,18 +78,22 @@ def alone(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(keys, [key(left, c) == F.col(f"_r{i}") for i, c in enumerate(on)], "left_anti")
 
 
-def _files(spark: SparkSession, path: str, endings: tuple[str, ...]) -> DataFrame:
-    """path, label (its folder) and content of the files of a folder of folders; a file at the root is refused."""
-    glob = "*.{" + ",".join(endings) + "}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+def _named(found: DataFrame, path: str, *others: str) -> DataFrame:
+    """path (below the folder), label (its folder) and others of found files; a file at the root is refused."""
     root = path.rstrip("/").rsplit("/", 1)[-1]
     inner = F.regexp_extract("path", f"/{re.escape(root)}/(.*)$", 1)
-    named = found.select(inner.alias("path"), F.substring_index(inner, "/", 1).alias("label"), "content")
+    named = found.select(inner.alias("path"), F.substring_index(inner, "/", 1).alias("label"), *others)
     if named.where(F.instr("path", "/") == 0).limit(1).count():
         raise Refused("files at the root have no class")
     return named
 
 
+def _files(spark: SparkSession, path: str, endings: tuple[str, ...]) -> DataFrame:
+    """path, label (its folder) and content of the files of a folder of folders; a file at the root is refused."""
+    glob = "*.{" + ",".join(endings) + "}"
+    return _named(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path), path, "content")
+
+
 def _classes(df: DataFrame, taken: list[str]) -> DataFrame:
     labels = sorted(r[0] for r in df.select("label").distinct().collect())  # a row for each folder
     clash = sorted(set(labels) & set(taken))
@@ -159,10 +164,37 @@ def _decoded(df: DataFrame, decode) -> DataFrame:
     return df.mapInPandas(run, "path string, label string, media array<float>")
 
 
+def image_samples(data: pd.Series, own: pd.Series, channels: int) -> pd.Series:
+    """The samples of images as Spark's image source holds them (own channels: 1, or blue, green, red and perhaps alpha), row by row, from
+    -1 to 1: one channel is the brightness of the colours, a missing alpha is full."""
+    told = []
+    for held, n in zip(data, own, strict=True):
+        pixels = np.frombuffer(held, np.uint8).reshape(-1, n)
+        colours = pixels[:, [2, 1, 0]] if n >= 3 else pixels[:, [0, 0, 0]]
+        if channels == 1:
+            pixels = pixels[:, :1] if n == 1 else np.rint(colours @ np.array([0.299, 0.587, 0.114]))
+        else:
+            alpha = pixels[:, 3:] if n == 4 else np.full((len(pixels), 1), 255)
+            pixels = np.concatenate([colours, alpha], axis=1)[:, :channels]
+        told.append((pixels.astype(np.float64) / 127.5 - 1).ravel())
+    return pd.Series(told)
+
+
+def _photographs(spark: SparkSession, path: str, width: int, height: int, channels: int) -> DataFrame:
+    """JPEG and GIF files (of the latter the first picture), decoded by Spark's image source; what it cannot decode is refused when it is read."""
+    found = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,gif}").load(path)
+    size = F.concat(F.lit("an image of "), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")), F.lit(f", not {width}x{height}: "), F.col("path"))
+    wrong = F.when(F.col("width") < 0, F.concat(F.lit("no image that can be read: "), F.col("path"))).when((F.col("width") != width) | (F.col("height") != height), size)
+    named = _named(found.select(F.col("image.origin").alias("path"), "image.width", "image.height", "image.nChannels", "image.data"), path, "width", "height", "nChannels", "data")
+    there = named.where(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(True))
+    samples = F.pandas_udf(lambda data, own: image_samples(data, own, channels), "array<float>")
+    return there.select("path", "label", samples("data", "nChannels").alias("media"))
+
+
 def read_images(spark: SparkSession, path: str, width: int, height: int, channels: int) -> DataFrame:
-    """media (samples / 127.5 - 1, row by row), label and a column for each class. JPEG, GIF and TGA need a decoder that is not here."""
+    """media (samples / 127.5 - 1, row by row), label and a column for each class. PNG, BMP, JPEG and GIF are read; TGA is not."""
     cells = lambda data: [b / 127.5 - 1 for b in image_cells(data, width, height, channels)]
-    files = _decoded(_files(spark, path, ("png", "bmp")), cells)
+    files = _decoded(_files(spark, path, ("png", "bmp")), cells).unionByName(_photographs(spark, path, width, height, channels))
     return _classes(files, ["media", "label", "path"]).orderBy("path").drop("path")
 
 
