@@ -375,6 +375,22 @@ def _added(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.bincount(where, n, len(at)).astype(np.int64) if len(k) else n[:0]
 
 
+def accounts(reference: DataFrame, window: DataFrame, columns: list[str], trained: int | None, along: list[str]) -> DataFrame:
+    """column, training_rows, training_gaps, window_rows, window_gaps, from and to: how many rows hold a value of each column and how many
+    none, in training (of `trained` rows; null where that is not known) and in a window, and the first and last moment of the window
+    by the first column of `along` that it holds moments in (null without one, and of a window without rows)."""
+    moment = next((c for c in along if c in window.columns and window.schema[c].dataType.typeName() in ("timestamp", "date", "timestamp_ntz")), None)
+    at = F.col(f"`{moment}`").cast("timestamp") if moment else F.lit(None).cast("timestamp")
+    odd = [_tallied(window, c).isNull() if _is_number(window, c) else F.col(f"`{c}`").isNull() for c in columns]
+    counted = window.agg(F.count("*").alias("rows"), F.min(at).alias("from"), F.max(at).alias("to"), *(F.count_if(o).alias(f"g{i}") for i, o in enumerate(odd)))  # one row
+    each = counted.select("rows", "from", "to", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"g{i}").alias("window_gaps")) for i, c in enumerate(columns)))))
+    held = reference.groupBy("column").agg(F.sum("n").alias("held"))  # a row a column
+    rows = F.coalesce("held", F.lit(0).cast("long"))
+    return each.join(held, "column", "left").select(
+        "column", rows.alias("training_rows"), (F.lit(trained).cast("long") - rows).alias("training_gaps"), (F.col("rows") - F.col("window_gaps")).alias("window_rows"), "window_gaps", "from", "to",
+    )
+
+
 def _watched_joined(reference: DataFrame, window: DataFrame, columns: list[str], warn_above: float) -> DataFrame:
     both = reference.select("column", "value", "number", "n", F.lit("a").alias("side")).unionByName(tallies(window, columns).withColumn("side", F.lit("b")))
     wide = both.where(F.col("column").isin(*columns)).groupBy("column", F.when(F.col("number").isNull(), F.col("value")).alias("word"), "number").agg(

@@ -588,8 +588,9 @@ class _Walk:
         elif s.verb == "watch.reference":
             columns = p["columns"] or [c for c in self.df.columns if c not in HIDDEN and c != WRONG and not c.startswith(KEPT)]
             if i not in self.learned:
-                self.tables[i] = kept_table(evidence.tallies(self.train(), columns), "tallies")
-                self.learned[i] = [{"columns": columns, "warnAbove": p["warnAbove"]}]
+                seen = Observation()
+                self.tables[i] = kept_table(evidence.tallies(self.train().observe(seen, F.count("*").alias("rows")), columns), "tallies")
+                self.learned[i] = [{"columns": columns, "warnAbove": p["warnAbove"], "rows": seen.get.get("rows")}]
 
     def _evidence(self, s: Step) -> None:
         if self.replaying:
@@ -962,10 +963,23 @@ class Prepared:
 
     def watched(self, window: DataFrame) -> DataFrame:
         """How far the rows of a window (served rows, as transform gives them) are from the training rows, by watched column."""
-        i = next(k for k, s in enumerate(self.declaration.steps) if s.verb == "watch.reference")
-        kept = self.learned[i][0]
+        i, kept = self._watch()
         return evidence.watched(self.tables[i], window, kept["columns"], kept["warnAbove"])
 
+    def watched_window(self, window: DataFrame) -> DataFrame:
+        """watched, with the rows that hold each column and those that do not, in training and in the window, and from when to when the window
+        is by the columns that the rows are ordered by."""
+        i, kept = self._watch()
+        along = next((s["columns"] for s in self.declaration.steps if s.verb == "order.by"), [])
+        told = evidence.accounts(self.tables[i], window, kept["columns"], kept.get("rows"), along)
+        return self.watched(window).join(told, "column", "right").withColumn("warned", F.coalesce("warned", F.lit(False)))
+
+    def _watch(self) -> tuple[int, dict]:
+        found = [k for k, s in enumerate(self.declaration.steps) if s.verb == "watch.reference" and k in self.learned]
+        if len(found) != 1:
+            raise Refused(f"a window is measured against one watch.reference; this pipeline keeps {len(found)}")
+        return found[0], self.learned[found[0]][0]
+
     def save(self, path: str) -> None:
         """path/pipeline.json, and a Parquet table beside it for each step whose memory is a table."""
         spark = self.df.sparkSession
