@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.kinds import finite, is_not_finite, kind_of
-from tidemark.operators.quantiles import quantiles
+from tidemark.operators.quantiles import quantiles, range_of
 
-#: Ranges that values are cut into at most: each value is compared with all cuts.
+#: Ranges that values are cut into at most.
 MOST_RANGES = 256
 
 
@@ -172,10 +172,7 @@ def running(counts: DataFrame, value: str, sums: dict[str, str], by: list[str] |
     shares = [i / n for i in range(1, n)]
     cuts = counts.agg(F.percentile_approx(value, shares, 10 * n)).first()[0] or []  # n numbers
     cuts = sorted({x for x in cuts if x is not None})
-    at = F.lit(0)
-    if cuts:
-        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(value)))
-    dealt = counts.withColumn("_range", at)
+    dealt = counts.withColumn("_range", range_of(F.col(value), cuts))
     totals = dealt.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_t_{name}") for name, c in sums.items()))
     below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     offsets = totals.select(*(F.col(b).alias(f"_b_{b}") for b in by), F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_t_{name}").over(below), F.lit(0)).alias(f"_o_{name}") for name in sums))
@@ -190,8 +187,7 @@ def steps(counts: DataFrame, value: str) -> DataFrame:
     the range below it."""
     n = min(MOST_RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({x for x in counts.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0] or [] if x is not None}) if n > 1 else []
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(value))) if cuts else F.lit(0)
-    dealt = counts.select(value, at.alias("_range"))
+    dealt = counts.select(value, range_of(F.col(value), cuts).alias("_range"))
     firsts = dealt.groupBy("_range").agg(F.min(value).alias("_first"))  # a row for each range
     follows = firsts.select(F.col("_range").alias("_at"), F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
     met = dealt.join(F.broadcast(follows), F.col("_range") == F.col("_at"))

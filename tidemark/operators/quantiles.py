@@ -45,6 +45,18 @@ def around(x: Column, shares: list[float]) -> Column:
     return F.percentile_approx(x, asked, round(1 / NEAR))
 
 
+def range_of(value: Column, cuts: list) -> Column:
+    """How many of the rising cuts are at most value; none are for a null. The value is worked out once, as the argument of a function, and
+    then searched for: where it stands in a function over all cuts, Spark may work it out anew for each of them."""
+    def search(v: Column, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(v >= F.lit(cuts[middle]), search(v, middle + 1, high)).otherwise(search(v, low, middle))
+
+    return F.transform(F.array(value), lambda v: search(v, 0, len(cuts)))[0] if cuts else F.lit(0)
+
+
 def at_hand(x: Column, shares: list[float]) -> Column:
     """Spark's own exact quantiles, whose last task holds all distinct values: for small tables."""
     return F.percentile(x, F.array(*map(F.lit, shares)))

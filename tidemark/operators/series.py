@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-#: Stretches at most: each row's place is compared with all cuts.
+from tidemark.operators.quantiles import range_of
+
+#: Stretches at most.
 MOST = 256
 STRETCH, EDGE = "_stretch", "_edge"
 
@@ -34,7 +36,7 @@ def stretched(df: DataFrame, order: list[str], most: int = MOST) -> DataFrame:
     n, place = min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), _place(df, order)
     cuts = df.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 and place is not None else None
     cuts = sorted({c for c in cuts or [] if c is not None})
-    return df.withColumn(STRETCH, F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= place)) if cuts else F.lit(0))
+    return df.withColumn(STRETCH, range_of(place, cuts) if cuts else F.lit(0))
 
 
 def along(order: list[str], by: Iterable[str] = (STRETCH,)) -> WindowSpec:
