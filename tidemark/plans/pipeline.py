@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -699,8 +700,12 @@ class Prepared:
         odd = {c: F.expr(f"`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)) OR abs(CAST(`{c}` AS DOUBLE)) = double('infinity')") if c in plain else F.expr(f"`{c}` IS NULL") for c in names}
         place = F.col("_read_at") if "_read_at" in rows.columns else F.lit(None).cast("bigint")
         if odd and at_row:
-            wrong = F.coalesce(*(F.when(test, F.lit(f"{c}: a gap, or a value that a learner cannot take")) for c, test in odd.items()))
-            rows = rows.where(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(True))
+            # Every number times 0 is 0 but for gaps and what is not finite. Which cell is wrong is told by one function over the cells, for the
+            # row that is refused alone: a test for each column would make code too long to be compiled to machine code.
+            cells = [x(c) if c in plain else F.when(F.col(f"`{c}`").isNotNull(), F.lit(0.0)) for c in names]
+            fine = F.coalesce(reduce(lambda a, b: a + b, (v * 0.0 for v in cells)) == 0.0, F.lit(False))
+            off = F.filter(F.zip_with(F.array(*map(F.lit, names)), F.array(*cells), lambda n, v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), n)), lambda n: n.isNotNull())
+            rows = rows.where(F.when(fine, True).otherwise(F.raise_error(F.concat(off[0], F.lit(": a gap, or a value that a learner cannot take"))).cast("boolean")))
         elif odd:
             seen = rows.agg(*(F.min(F.when(test, F.coalesce(place, F.lit(-1)))).alias(f"b{i}") for i, test in enumerate(odd.values()))).first()
             bad = {c: seen[f"b{i}"] for i, c in enumerate(odd) if seen[f"b{i}"] is not None}
