@@ -25,3 +25,55 @@ def test_ranges_of_values(spark):
     told = [(r["v"], r["at"]) for r in df.select("v", range_of(F.col("v"), cuts).alias("at")).collect()]
     assert [at for v, at in told] == [0 if v is None else 5 if v != v else sum(c <= v for c in cuts) for v, _ in told]
     assert {r["at"] for r in df.select(range_of(F.col("v"), []).alias("at")).collect()} == {0}
+
+
+def test_changed_rows_are_summed_and_not_sorted(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    from tidemark.plans.pipeline import create
+
+    plans, agg = [], GroupedData.agg
+
+    def told(grouped, *columns):
+        out = agg(grouped, *columns)
+        if "_draw" in out.columns:
+            plans.append(out._jdf.queryExecution())
+        return out
+
+    monkeypatch.setattr(GroupedData, "agg", told)
+    rows = spark.createDataFrame([(float(i), "ab"[i % 2], float(i % 7), float(i)) for i in range(50)], "x double, k string, z double, y double")
+    b = create().read_rows().declare(columns=[{"name": n, "kind": k} for n, k in (("x", "number"), ("k", "category"), ("z", "number"), ("y", "number"))])
+    done = b.split_atRandom(seed=3).normalise(column="x").encode(column="k").target(column="y").build().run(spark, rows)
+    say = lambda d: d.withColumn("prediction", 2 * F.col("x") + F.col("k_a"))
+    means = done.dependence(rows, say, "x", 3).collect()
+    assert [r["value"] for r in means] == ["0.0", "24.5", "49.0"] and [r["place"] for r in means] == [0, 1, 2]
+    assert {r["column"]: r["mean"] > 0 for r in done.reliance(rows, say, 1, 2).collect()} == {"x": True, "k": True, "z": False}
+    assert len(plans) == 2
+    for plan in plans:
+        assert "SortAggregate" not in plan.executedPlan().toString()
+        assert plan.optimizedPlan().toString().count("a learner cannot take") == 1  # the code does not grow with each column
+        assert "Join" not in plan.optimizedPlan().toString()
+
+
+def test_a_wrong_cell_of_changed_rows_is_named(spark):
+    import pytest
+
+    from tidemark.plans.pipeline import create
+
+    rows = spark.createDataFrame([(float(i), float(i % 7), float(i)) for i in range(50)], "x double, z double, y double")
+    done = create().read_rows().declare(columns=[{"name": n, "kind": "number"} for n in "xzy"]).split_atRandom(seed=3).target(column="y").build().run(spark, rows)
+    say = lambda d: d.withColumn("prediction", F.col("x"))
+    for wrong in (None, float("inf"), float("nan")):
+        with pytest.raises(Exception, match="z: a gap, or a value that a learner cannot take"):
+            done.dependence(rows.withColumn("z", F.when(F.col("x") != 7, F.col("z")).otherwise(F.lit(wrong).cast("double"))), say, "x", 2)
+
+
+def test_deals_in_packs_meet_all_rows(spark, monkeypatch):
+    """The mean move of packs is that of all pairs of rows."""
+    from tidemark.operators import reasons
+
+    monkeypatch.setattr(reasons, "PACK", 100)
+    rows = spark.range(0, 2000, 1, 3).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("z"), F.monotonically_increasing_id().alias("_read_at"))
+    answered = lambda d: d.select("_asked", "_draw", F.col("x").alias("a0"))
+    told = {r["column"]: r for r in reasons.reliance(rows, ["x", "z"], answered, 1, 4, 5).collect()}
+    assert told["z"]["mean"] == 0 and abs(told["x"]["mean"] / (2000 / 3) - 1) < 0.03

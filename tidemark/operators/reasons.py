@@ -15,23 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.operators.evidence import running
 from tidemark.operators.fits import Refused
 from tidemark.session import kept_table
 
 Answered = Callable[[DataFrame], DataFrame]
-#: A permutation of n places takes place i to (a i + b) mod n; with a below this, a i fits a long for up to 8 * 10**12 rows.
-MOST_FACTOR = 2**20
+#: Rows are dealt among so many, about, that a hash has brought together.
+PACK = 2**14
+#: Factors of permutations are primes between these; none divides a pack's size.
+FACTORS = 2**19, 2**20
 OTHERS = "the model answered other rows than it was handed"
 
 
 def _factors(n: int, k: int, given: random.Random) -> list[tuple[int, int]]:
-    """k permutations of n places."""
+    """k permutations of n places, and of any other number below the factors: place i goes to (a i + b) mod n."""
     out = []
     while len(out) < k:
-        a = given.randrange(1, max(2, min(n, MOST_FACTOR)))
-        if math.gcd(a, n) == 1:
-            out.append((a, given.randrange(n)))
+        a = given.randrange(max(FACTORS[0], n + 1), max(FACTORS[1], 2 * n + 2))
+        if all(a % p for p in range(2, math.isqrt(a) + 1)):
+            out.append((a, given.randrange(FACTORS[1])))
     return out
 
 
@@ -43,28 +44,30 @@ def reliance(rows: DataFrame, columns: list[str], answered: Answered, answers: i
     """column, mean and spread: how far an answer moves (in size, averaged over rows and answers) when a column's cells are dealt among the
     rows anew, over `repeats` deals; the spread is their sample standard deviation, 0 for one deal. The column that moves it most is first.
 
-    Rows are put in a random order once, and each deal is a permutation of their places that is told by two numbers: each cell knows where it
-    goes. All deals of all columns are one join on places and one replay."""
+    A hash of a row's place brings it to one of many packs, so that a pack is a random share of the rows and each row meets each other with
+    equal chance. Rows are sent to their packs once; within it each deal is a permutation of places that is told by two numbers."""
     own = [c for c in rows.columns if c != "_read_at"]
     told = F.struct(F.col("_read_at").alias("at"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own))).alias("cells"))
     said = answered(rows.select(*(F.col(f"`{c}`") for c in own), "_read_at", F.lit(-1).alias("_draw"), told.alias("_asked")))
-    base = kept_table(said.select("_asked.*", F.struct(*(f"a{i}" for i in range(answers))).alias("base"), F.xxhash64(F.lit(seed), "_asked.at").alias("_h"), F.lit(1).alias("_one")), "asked")
+    base = kept_table(said.select(F.xxhash64(F.lit(seed), "_asked.at").alias("h"), "_asked.*", F.struct(*(f"a{i}" for i in range(answers))).alias("base")), "asked")
     n = base.count()
     if n == 0:
         raise Refused("there are no rows to ask why of")
     if n != rows.count():
         raise Refused(OTHERS)
-    placed = kept_table(running(base, "_h", {"_upto": "_one"}).select("at", "cells", "base", (F.col("_upto") - 1).alias("_place")), "placed")
     numbers = [own.index(c) for c in columns]
     drawn = [(c, c * repeats + r) for c in range(len(columns)) for r in range(repeats)]
-    deals = F.array(*(F.struct(F.lit(d).alias("draw"), F.lit(numbers[c]).alias("column"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for (c, d), (a, b) in zip(drawn, _factors(n, len(drawn), random.Random(seed)), strict=True)))
-    # A cell on its way: all cells but the one that goes are null.
-    goes = F.struct(*(F.when(F.col("_deal.column") == i, F.col(f"cells.c{i}")).alias(f"c{i}") for i in numbers))
-    sent = placed.select(F.explode(deals).alias("_deal"), "cells", "_place").select(
-        F.pmod(F.col("_deal.a") * F.col("_place") + F.col("_deal.b"), F.lit(n)).alias("_place"), "_deal.draw", "_deal.column", goes.alias("_got"))
-    met = sent.join(placed, "_place")
-    cell = lambda i: F.when(F.col("column") == i, F.col(f"_got.c{i}")).otherwise(F.col(f"cells.c{i}")) if i in numbers else F.col(f"cells.c{i}")
-    asked = met.select(*(cell(i).alias(c) for i, c in enumerate(own)), F.col("at").alias("_read_at"), F.col("draw").alias("_draw"), F.struct("base").alias("_asked"))
+    deals = F.array(*(F.struct(F.lit(d).alias("draw"), F.lit(numbers[c]).alias("column"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for (c, d), (a, b) in zip(drawn, _factors(PACK, len(drawn), random.Random(seed)), strict=True)))
+    # The order within a pack is another hash's: what the first has in common in a pack says nothing of the second.
+    row = F.struct(F.xxhash64(F.lit(seed + 1), "at").alias("h"), "at", "cells", "base")
+    packs = base.groupBy(F.pmod("h", F.lit(-(-n // PACK))).alias("_pack")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))  # about PACK rows
+    each = packs.select(F.explode(deals).alias("_deal"), "_rows")
+
+    # What is told of each row is only which two rows meet; cells are chosen by compiled code, once they are rows again.
+    other = lambda place: F.get(F.col("_rows"), F.pmod(F.col("_deal.a") * place + F.col("_deal.b"), F.size("_rows")).cast("int"))
+    met = each.select("_deal.draw", "_deal.column", F.inline(F.transform("_rows", lambda r, place: F.struct(r.alias("r"), other(place)["cells"].alias("got")))))
+    cell = lambda i: F.when(F.col("column") == i, F.col(f"got.c{i}")).otherwise(F.col(f"r.cells.c{i}")) if i in numbers else F.col(f"r.cells.c{i}")
+    asked = met.select(*(cell(i).alias(c) for i, c in enumerate(own)), F.col("r.at").alias("_read_at"), F.col("draw").alias("_draw"), F.struct("r.base").alias("_asked"))
     moved = answered(asked).groupBy("_draw").agg(F.avg(_sizes(answers)).alias("moved"), F.count("*").alias("rows")).collect()  # a row a deal
     if len(moved) != len(drawn) or any(r["rows"] != n for r in moved):
         raise Refused(OTHERS)
@@ -83,11 +86,13 @@ def dependence(rows: DataFrame, column: str, grid: list, answered: Answered, nam
     places = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(v).cast(kind).alias("value")) for i, v in enumerate(grid)))
     own = [c for c in rows.columns if c != "_read_at"]
     spread = rows.withColumn("_put", F.explode(places))
-    asked = spread.select(*(F.col("_put.value").alias(c) if c == column else F.col(f"`{c}`") for c in own), "_read_at", F.col("_put.place").alias("_draw"), F.struct(F.col("_put.value").cast("string").alias("value")).alias("_asked"))
-    means = answered(asked).groupBy("_draw").agg(F.first("_asked.value").alias("value"), F.count("*").alias("rows"), *(F.avg(f"a{i}").alias(f"a{i}") for i in range(len(names)))).collect()  # a row a place
+    asked = spread.select(*(F.col("_put.value").alias(c) if c == column else F.col(f"`{c}`") for c in own), "_read_at", F.col("_put.place").alias("_draw"), F.lit(0).alias("_asked"))
+    # Sums alone, which a hash table keeps: a text among them would have all changed rows sorted, and be made anew for each.
+    means = answered(asked).groupBy("_draw").agg(F.count("*").alias("rows"), *(F.avg(f"a{i}").alias(f"a{i}") for i in range(len(names)))).collect()  # a row a place
     if len(means) != len(grid) or any(r["rows"] != n for r in means):
         raise Refused(OTHERS)
-    out = [(r["value"], r["_draw"], name, r[f"a{i}"]) for r in sorted(means, key=lambda r: r["_draw"]) for i, name in enumerate(names)]
+    said = rows.sparkSession.range(1).select(F.transform(places, lambda p: p["value"].cast("string"))).first()[0]
+    out = [(said[r["_draw"]], r["_draw"], name, r[f"a{i}"]) for r in sorted(means, key=lambda r: r["_draw"]) for i, name in enumerate(names)]
     return rows.sparkSession.createDataFrame(out, "value string, place int, answer string, mean double").coalesce(1)
 
 
