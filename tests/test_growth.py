@@ -77,3 +77,11 @@ def test_deals_in_packs_meet_all_rows(spark, monkeypatch):
     answered = lambda d: d.select("_asked", "_draw", F.col("x").alias("a0"))
     told = {r["column"]: r for r in reasons.reliance(rows, ["x", "z"], answered, 1, 4, 5).collect()}
     assert told["z"]["mean"] == 0 and abs(told["x"]["mean"] / (2000 / 3) - 1) < 0.03
+
+
+def test_a_vote_of_equal_means_does_not_hang_on_the_order_of_sums(spark):
+    from tidemark.operators import measures
+
+    votes = [(1, "b", 0.1), (1, "b", 0.2), (1, "b", 0.3), (1, "a", 0.3), (1, "a", 0.2), (1, "a", 0.1), (2, "a", 0.1), (2, "b", 0.2), (3, "a", 1e300), (3, "b", float("inf")), (4, "a", None), (4, "b", 0.5)]
+    said = measures.blend_vote(spark.createDataFrame(votes, "k int, word string, w double").coalesce(1), "k", "word", "w")
+    assert {r["k"]: r["prediction"] for r in said.collect()} == {1: "a", 2: "b", 3: "b", 4: "b"}

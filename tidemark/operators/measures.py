@@ -192,8 +192,11 @@ def blend_average(members: DataFrame, key: str, prediction: str) -> DataFrame:
 
 
 def blend_vote(members: DataFrame, key: str, word: str, weight: str) -> DataFrame:
-    """The word most members say; of words said as often, that with the larger mean weight, then the first by name."""
-    votes = members.groupBy(key, word).agg(F.count("*").alias("n"), F.avg(weight).alias("w"))
+    """The word most members say; of words said as often, that with the larger mean weight, then the first by name. Weights are added up as
+    decimals of 12 places, so that means that are equal do not differ by the order in which they are summed."""
+    exact, told = F.expr(f"try_cast(`{weight}` AS DECIMAL(28, 12))"), F.count(weight)
+    mean = F.when(F.count(exact) == told, F.try_divide(F.sum(exact).cast("double"), told)).otherwise(F.avg(weight))  # weights beyond decimals are added as they are
+    votes = members.groupBy(key, word).agg(F.count("*").alias("n"), mean.alias("w"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), F.desc("w"), word)
     return votes.withColumn("r", F.row_number().over(order)).where("r = 1").select(key, F.col(word).alias("prediction"))
 

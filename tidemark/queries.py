@@ -504,7 +504,7 @@ over(
 )
 over("measures_across", "lineitem", lambda t: measures.across(t.groupBy((F.col("l_orderkey") % 5).alias("fold")).agg(F.avg("l_quantity").alias("m")), "m").select(r6("mean").alias("mean"), r6("deviation").alias("deviation")), "WITH f AS (SELECT avg(l_quantity) AS m FROM lineitem GROUP BY l_orderkey % 5) SELECT round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS deviation FROM f")
 over("blend_average", "lineitem", lambda t: measures.blend_average(t, "l_partkey", "l_quantity").select("l_partkey", r6("prediction").alias("prediction")), "SELECT l_partkey, round(avg(l_quantity), 6) AS prediction FROM lineitem GROUP BY 1")
-over("blend_vote", "lineitem", lambda t: measures.blend_vote(t, "l_partkey", "l_returnflag", "l_discount"), "WITH v AS (SELECT l_partkey, l_returnflag AS w, count(*) AS n, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2) SELECT l_partkey, w AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, m DESC, w) = 1")
+over("blend_vote", "lineitem", lambda t: measures.blend_vote(t, "l_partkey", "l_returnflag", "l_discount"), "WITH v AS (SELECT l_partkey, l_returnflag AS w, count(*) AS n, sum(l_discount::DECIMAL(28, 12))::DOUBLE / count(l_discount) AS m FROM lineitem GROUP BY 1, 2) SELECT l_partkey, w AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, m DESC, w) = 1")
 register("conformal", lambda spark, d: spark.createDataFrame([(measures.conformal_margin(table(spark, d, "orders"), F.col("o_totalprice"), F.lit(150000.0), 0.1),)], "margin double"), "WITH e AS (SELECT abs(o_totalprice - 150000.0) AS e FROM orders) SELECT e AS margin FROM e QUALIFY row_number() OVER (ORDER BY e) = (SELECT ceil((count(*) + 1) * 0.9 - 1e-9) FROM e)")
 over("kind_proposal", "customer", lambda t: propose_kinds(t.select(*(F.col(c).cast("string").alias(c) for c in t.columns))), "SELECT * FROM (VALUES ('c_custkey', 'integer'), ('c_name', 'text'), ('c_nationkey', 'integer'), ('c_acctbal', 'number'), ('c_mktsegment', 'category')) t(\"column\", kind)")
 over(
