@@ -85,3 +85,15 @@ def test_a_vote_of_equal_means_does_not_hang_on_the_order_of_sums(spark):
     votes = [(1, "b", 0.1), (1, "b", 0.2), (1, "b", 0.3), (1, "a", 0.3), (1, "a", 0.2), (1, "a", 0.1), (2, "a", 0.1), (2, "b", 0.2), (3, "a", 1e300), (3, "b", float("inf")), (4, "a", None), (4, "b", 0.5)]
     said = measures.blend_vote(spark.createDataFrame(votes, "k int, word string, w double").coalesce(1), "k", "word", "w")
     assert {r["k"]: r["prediction"] for r in said.collect()} == {1: "a", 2: "b", 3: "b", 4: "b"}
+
+
+def test_words_are_looked_up_in_one_table(spark):
+    from tidemark.operators import fits
+
+    rows = [(0, "b a c a"), (1, None), (2, ""), (3, "d d, e? a"), (4, "zz " * 30)]
+    df, one = spark.createDataFrame(rows, "id int, t string").coalesce(1), fits.Tokenize("t", 5, 300)
+    many = {"tokens": ["a", "b", "d", *(f"w{i}" for i in range(250))]}
+    told = one.apply(df, many)
+    assert {r["id"]: r["t"] for r in told.collect()} == {0: [3, 2, 1, 2, 0], 1: [0] * 5, 2: [0] * 5, 3: [4, 4, 1, 2, 0], 4: [1] * 5}
+    assert {r["id"]: r["t"] for r in one.apply(df, {"tokens": []}).collect()}[0] == [1, 1, 1, 1, 0]
+    assert "element_at" not in told._jdf.queryExecution().optimizedPlan().toString()

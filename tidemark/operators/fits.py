@@ -7,11 +7,13 @@ plain aggregates: a step names the shares it needs, or the words, and all column
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -450,7 +452,23 @@ class Piecewise(Fitted):
 
 def words_in(c: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{Nd}]+"), "")
+
+
+def _ids_of(tokens: list[str]) -> Callable[[Column], Column]:
+    """The id of each word of a list: 1 where it is none of the tokens, which begin at 2. A batch looks all its words up in one hash table,
+    where a map of Spark's compares each word with the tokens one by one."""
+    known = pa.array(tokens, pa.string())
+
+    @F.arrow_udf("array<int>")
+    def ids(words: pa.Array) -> pa.Array:
+        words = pa.concat_arrays([words])  # from its first offset on
+        at = pc.index_in(words.flatten().cast(pa.string()), known)
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pc.fill_null(pc.add(at, 2), 1).cast(pa.int32()), mask=words.is_null() if words.null_count else None)
+
+    return ids
 
 
 @dataclass(frozen=True)
@@ -469,21 +487,12 @@ class Tokenize:
         return {"tokens": [r["word"] for r in top.collect()]}
 
     def apply(self, df: DataFrame, learned: dict) -> DataFrame:
-        ids = F.create_map(*(F.lit(x) for i, w in enumerate(learned["tokens"]) for x in (w, i + 2))) if learned["tokens"] else F.lit(None).cast("map<string,int>")
-        table = df.sparkSession.createDataFrame([(json.dumps(learned["tokens"]),)], "t string") if len(learned["tokens"]) > 200 else None
-        if table is None:
-            found = F.transform(F.slice(words_in(_c(self.column)), 1, self.length), lambda w: F.coalesce(F.try_element_at(ids, w), F.lit(1)))
-            return df.withColumn(self.column, self._padded(found))
-        # A long vocabulary is one broadcast row with a map, whose size the vocabulary bounds.
-        words = F.from_json("t", "array<string>")
-        one = table.select(F.map_from_arrays(words, F.sequence(F.lit(2), F.size(words) + 1)).alias("_ids"))
-        joined = df.crossJoin(F.broadcast(one))
-        found = F.transform(F.slice(words_in(_c(self.column)), 1, self.length), lambda w: F.coalesce(F.try_element_at(F.col("_ids"), w), F.lit(1)))
-        return joined.withColumn(self.column, self._padded(found)).drop("_ids")
+        words = F.slice(words_in(_c(self.column)), 1, self.length)
+        return df.withColumn(self.column, self._padded(_ids_of(learned["tokens"])(words)))
 
     def _padded(self, found: Column) -> Column:
         found = F.coalesce(found, F.array().cast("array<int>"))
-        return F.slice(F.concat(found, F.array_repeat(F.lit(0), self.length)), 1, self.length)
+        return F.concat(found, F.array_repeat(F.lit(0), self.length - F.size(found)))
 
 
 def _place(order: list[str]) -> list[Column]:

@@ -248,7 +248,7 @@ def _tokenized(t: DataFrame) -> DataFrame:
     """A length that holds the longest text, so that no word is cut; what is compared is the number of words and a sum over all ids."""
     longest = t.agg(F.max(F.size(fits.words_in(F.col("text"))))).first()[0]
     one = fits.Tokenize("text", longest, 500)
-    ids = one.apply(t, one.fit(t)).select("doc_id", F.filter("text", lambda x: x > 0).alias("ids"))
+    ids = one.apply(t, one.fit(t)).select("doc_id", F.array_remove("text", 0).alias("ids"))
     placed = F.transform("ids", lambda x, i: x.cast("long") * (i % 1009 + 1))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_words"), F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("mark"))
 
