@@ -138,6 +138,30 @@ def test_katz_scores(spark, rows_a_batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
+@pytest.mark.parametrize("named", [0, 7, 60, None])
+def test_katz_tells_all_words_apart(spark, named):
+    """A word beyond those with short numbers is a context and a successor of its own."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    chance = 1 / np.arange(1, 401) ** 0.9
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)), p=chance / chance.sum())) for _ in range(300)]
+    if named is None:  # as the query has it, with more words than that
+        texts += [" ".join(f"x{i + j % 500}" for j in range(1000)) for i in range(0, 70_000, 500)]
+    held = ["w1 w2 never seen w1", "", "w59 w58 w0 w0 w0", "x0 x5 x69999 w399 w398 new x3 x4", texts[3]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10**6 + i, t) for i, t in enumerate(held)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts, score = collections.Counter(w for t in texts for w in [*spaced(t), "</s>"]), brute_katz(texts, 10**9)
+    n, types = sum(counts.values()), len(counts)
+    assert named is not None or types > 65_000
+    found = katz.scored(docs, lambda i: i >= 10**6, **({} if named is None else {"named": named})).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        t = texts[r.doc_id] if r.doc_id < 10**6 else held[r.doc_id - 10**6]
+        assert r.score == pytest.approx(score(t), abs=1e-6)
+        assert r.n_known == sum(counts[w] > 0 for w in [*spaced(t), "</s>"])
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (types + 1))) for w in [*spaced(t), "</s>"]))
+
+
 def brute_grams(text):
     out = collections.Counter()
     for word in re.findall(r"[^\W\d_]+", text or ""):

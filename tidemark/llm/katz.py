@@ -1,12 +1,17 @@
 """A Katz backoff bigram model: Good-Turing discounted counts with exactly normalised backoff weights.
 
-Tokens are words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lowered) and one end for each text. Word counts are a table of
-all words. The `vocabulary` most frequent words are contexts and successors of their own; the others share one class, within which
-a word has its share of the unigram probability of the class, so that probabilities still sum to one over all words and one event
-for every word that training has not seen. Bigram counts are a table in parts by a hash of the bigram; a part is merged and later
-looked up by one task, and a frequent context is spread over all of them. Only what the vocabulary bounds comes to the driver.
-
-Scoring sends each distinct bigram of a chunk of texts to its part and gets back one sum for each text.
+Tokens are words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lowered) and one end for each text. Every word is a context and
+a successor of its own, and all words that training has not seen are one event, so that probabilities sum to one. The `named` most
+frequent words have short numbers, and what is known of them as contexts is sent to every task; the others go by their hashes. That
+changes what is sent and no result.
+
+Bigram counts are a table in parts; a part is merged and later looked up by one task. Bigrams of two named words are dealt by a hash
+of both, so that a frequent context is spread over all parts; with one other word, by a hash of that; with two, to the part of each.
+So the part of an other word has its count (that of its bigrams as a successor) and all its successors with their counts. Scoring
+sends each distinct bigram of a chunk of texts to its parts and gets back one row of sums for each text.
+
+With a `vocabulary`, a smaller model is fitted: words outside the so many most frequent share one class as contexts and successors,
+within which a word has its share of the unigram probability of the class.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import spread, written
 from tidemark.llm.spans import NONSPACE, Texts, blocks, mix
 
-VOCABULARY = 65_000
+#: Words with numbers of their own where bigrams are sent.
+NAMED = 65_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 CHUNK_BYTES, CHUNK_TEXTS = 8 << 20, 50_000
@@ -31,7 +37,13 @@ PART_TOKENS = 2_500_000
 END = np.uint64(0x6A09E667F3BCC908)
 RARE = 0
 MESSAGE = "part int, kind int, chunk long, payload binary"
-_PAIRS, _WORDS, _ASK_PAIRS, _ASK_WORDS, _STATS = range(5)
+#: Codes from here on are hashes of words without a number.
+OTHER = np.uint64(1 << 20)
+#: Bigrams of two named words, of a named and an other, of an other and a named, of two others (dealt by the second, and by the first).
+_PAIRS, _TO_OTHER, _FROM_OTHER, _OTHERS, _OTHERS_BY_FIRST, _WORDS, _STATS = range(7)
+_FORMS = {_PAIRS: ("<i4", "<i4"), _TO_OTHER: ("<i4", "<u8"), _FROM_OTHER: ("<u8", "<i4"), _OTHERS: ("<u8", "<u8"), _OTHERS_BY_FIRST: ("<u8", "<u8")}
+#: A question has this added to its kind.
+_ASK = 8
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -101,7 +113,8 @@ def _counted(*keys: np.ndarray, by: np.ndarray | None = None) -> tuple[list[np.n
 class Katz:
     """A fitted model: what the vocabulary bounds, and the tables."""
 
-    words: np.ndarray  # hashes of the vocabulary, ascending
+    whole: bool  # words without an id are told apart; otherwise they share the class RARE
+    words: np.ndarray  # hashes of the words with ids, ascending
     ids: np.ndarray  # their ids, from 1 by falling count
     unigram: np.ndarray  # probability of each id; RARE: of all other words and of unseen ones
     word_counts: np.ndarray  # count of each id
@@ -114,7 +127,7 @@ class Katz:
     scale: np.ndarray  # what seen successors of a context are multiplied with
     backoff: np.ndarray
     parts: int
-    table: DataFrame  # MESSAGE: counts of bigrams and of words outside the vocabulary
+    table: DataFrame  # MESSAGE: counts of bigrams, and in a model with a class those of its words
 
     def word_probability(self, counts: np.ndarray) -> np.ndarray:
         """Unigram probability of words with these counts in training."""
@@ -123,20 +136,52 @@ class Katz:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
-    def id_of(self, hashes: np.ndarray) -> np.ndarray:
+    def code_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of words that have one; others keep their hashes, or are RARE in a model with a class."""
+        others = np.where(hashes < OTHER, hashes | np.uint64(1 << 63), hashes) if self.whole else np.full(len(hashes), RARE, np.uint64)
         if not len(self.words):
-            return np.full(len(hashes), RARE)
+            return others
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.ids[at], RARE)
+        return np.where(self.words[at] == hashes, self.ids[at], others)
 
     def pairs(self, hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context and successor of each token; a text's first token follows an id of its own."""
-        w = self.id_of(hashes)
-        v = np.concatenate(([0], w[:-1]))
-        v[np.concatenate(([True], text[1:] != text[:-1]))] = len(self.unigram) - 1
+        w = self.code_of(hashes)
+        v = np.concatenate((w[:1], w[:-1]))
+        v[np.concatenate(([True], text[1:] != text[:-1]))[: len(v)]] = len(self.unigram) - 1
         return v, w
 
 
+def _dealt(v: np.ndarray, w: np.ndarray, parts: int, both: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """kind, part and places of bigrams; both: those of two other words go to the part of the first, too."""
+    for kind, at in enumerate((v < OTHER, v < OTHER, v >= OTHER, v >= OTHER, v >= OTHER)[: 4 + both]):
+        at = np.flatnonzero(at & (w >= OTHER if kind in (_TO_OTHER, _OTHERS, _OTHERS_BY_FIRST) else w < OTHER))
+        key = (v[at] << np.uint64(32)) | w[at] if kind == _PAIRS else w[at] if kind in (_TO_OTHER, _OTHERS) else v[at]
+        if kind in (_TO_OTHER, _OTHERS):  # equal hashes stand together, which packs them
+            by = np.argsort(key, kind="stable")
+            at, key = at[by], key[by]
+        for p, some in _by_part(_part_of(key, parts), parts):
+            yield kind, p, at[some]
+
+
+def _words_of(met: dict[int, tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The other words of a part and their counts: those of all bigrams that end in them."""
+    w, n = (np.concatenate([np.zeros(0, t), *(met[kind][k] for kind in (_TO_OTHER, _OTHERS) if kind in met)]) for k, t in ((1, np.uint64), (2, np.int64)))
+    (w,), n = _counted(w, by=n)
+    return w, n
+
+
+def _weights(n: np.ndarray, reached: np.ndarray, low: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts of n tokens, whose successors have the unigram probability `reached` and of which `low` have counts from 1: what
+    their seen successors are multiplied with, and their backoff weights."""
+    left = (low[:, :DISCOUNTED] * (1 - discount[1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1)).sum(axis=1) / n
+    scale = np.where(left > 1e-12, 1.0, n / (n + 1))  # a context without low counts gives one count away
+    left = np.where(left > 1e-12, left, 1 / (n + 1))
+    free = 1 - reached
+    full = free < 1e-12  # every successor is seen: nothing to back off to
+    return np.where(full, scale / np.maximum(1 - left, 1e-300), scale), np.where(full, 0.0, left / np.where(full, 1, free))
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -186,14 +231,17 @@ def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield p, order[edge[p] : edge[p + 1]]
 
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> Katz:
-    """Learns from every row of docs (text; null is empty; repeated rows count again; other columns are ignored). Without rows all
-    probability goes to unseen words."""
+def fit(docs: DataFrame, vocabulary: int | None = None, named: int = NAMED) -> Katz:
+    """Learns from every row of docs (text; null is empty; repeated rows count again; other columns are ignored): a model of all words,
+    or with `vocabulary` one of so many and a class. Without rows all probability goes to unseen words."""
+    whole, top = vocabulary is None, named if vocabulary is None else vocabulary
+    if top > int(OTHER) - 2:
+        raise ValueError(f"at most {int(OTHER) - 2} words can have numbers of their own, not {top}")
     spark = docs.sparkSession
     counts = written(_word_counts(docs), "word-counts")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     counts_of = {r["c"]: r["count"] for r in counts.where(F.col("c") <= DISCOUNTED + 1).groupBy("c").count().collect()}
-    top = counts.orderBy(F.desc("c"), "h").limit(vocabulary).toPandas()  # as many rows as the vocabulary has
+    top = counts.orderBy(F.desc("c"), "h").limit(top).toPandas()  # as many rows as have numbers
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     by = np.argsort(h)
     discount = np.append(discounts(counts_of), 1.0)
@@ -203,42 +251,56 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> Katz:
     seen = discount[np.minimum(c, DISCOUNTED + 1)] * c / max(total, 1)
     unigram = np.concatenate(([max(0.0, 1 - seen.sum())], seen, [0.0]))  # the last id stands before a text's first token
     parts = max(spread(docs), math.ceil(total / PART_TOKENS))
-    m = Katz(h[by], by + 1, unigram, np.concatenate(([0], c, [0])), total, types, discount, unseen, None, None, None, None, parts, None)
+    m = Katz(whole, h[by], (by + 1).astype(np.uint64), unigram, np.concatenate(([0], c, [0])), total, types, discount, unseen, None, None, None, None, parts, None)
     shared = spark.sparkContext.broadcast(m)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for _, hashes, text in _chunks(batches, 0):
             (v, w), n = _counted(*model.pairs(hashes, text))
-            for p, at in _by_part(_part_of((v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), parts), parts):
-                yield _row(p, _PAIRS, 0, _zip(v[at].astype("<i4"), w[at].astype("<i4"), n[at].astype("<i4")))
+            for kind, p, at in _dealt(v, w, parts, False):
+                yield _row(p, kind, 0, _zip(v[at].astype(_FORMS[kind][0]), w[at].astype(_FORMS[kind][1]), n[at].astype("<i4")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probability = shared.value.unigram
-        size = len(probability)
-
-        def out(part: int, held: list) -> Iterator[pa.RecordBatch]:
-            v, w, n = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
-            (v, w), n = _counted(v, w, by=n)
-            yield _row(part, _PAIRS, 0, _zip(v.astype("<i4"), w.astype("<i4"), n.astype("<i8")))
-            # for each context: its count, successors of each low count, probability of its successors
-            have = np.unique(v)
-            columns = [np.bincount(v, n, size)[have], np.bincount(v, probability[w], size)[have]]
-            columns += [np.bincount(v[n == r], minlength=size)[have].astype(float) for r in range(1, DISCOUNTED + 2)]
-            yield _row(part, _STATS, 0, _zip(have.astype("<i4"), *(x.astype("<f8") for x in columns)))
-
-        part, held = None, []
+        model = shared.value
+        size = len(model.unigram)
+
+        def merged(pieces: list) -> list[np.ndarray]:
+            v, w, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            (v, w), n = _counted(v, w, by=n.astype(np.int64))
+            return [v, w, n]
+
+        def out(part: int, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+            met = {kind: merged(held.pop(kind)) for kind in sorted(held)}
+            words = _words_of(met)
+            # for each context with an id: its count, probability of its successors, successors of each low count
+            sums = np.zeros((size, 3 + DISCOUNTED))
+            for kind, (v, w, n) in met.items():
+                yield _row(part, kind, 0, _zip(v, w, n.astype("<i8")))
+                if kind in (_PAIRS, _TO_OTHER):
+                    probability = model.unigram[w] if kind == _PAIRS else model.word_probability(_looked_up(*words, w))
+                    sums[:, :2] += np.column_stack([np.bincount(v, n, size), np.bincount(v, probability, size)])
+                else:
+                    v = np.full(len(w), RARE)  # all that is known at the driver of others
+                sums[:, 2:] += np.column_stack([np.bincount(v[n == r], minlength=size) for r in range(1, DISCOUNTED + 2)])
+            have = np.flatnonzero(sums.any(axis=1))
+            yield _row(part, _STATS, 0, _zip(have.astype("<i4"), *(x.astype("<f8") for x in sums[have].T)))
+            if _OTHERS in met:
+                v, w, n = met[_OTHERS]
+                count = _looked_up(*words, w)
+                for p, at in _by_part(_part_of(v, parts), parts):
+                    yield _row(p, _OTHERS_BY_FIRST, 0, _zip(v[at], w[at], n[at].astype("<i8"), count[at].astype("<i8")))
+
+        part, held = None, {}
         for batch in batches:
-            for p, payload in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for p, kind, payload in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
                 if p != part and held:
                     yield from out(part, held)
-                    held = []
+                    held = {}
                 part = p
-                held.append(_unzip(payload, "<i4", "<i4", "<i4"))
-                if len(held) > 64:  # keeps what is held near the size of the result
-                    v, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                    (v, w), n = _counted(v, w, by=n)
-                    held = [[v, w, n]]
+                held.setdefault(kind, []).append(_unzip(payload, *_FORMS[kind], "<i4"))
+                if len(held[kind]) > 64:  # keeps what is held near the size of the result
+                    held[kind] = [merged(held[kind])]
         if held:
             yield from out(part, held)
 
@@ -255,28 +317,25 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> Katz:
             for payload in batch.column(0).to_pylist():
                 have, *columns = _unzip(payload, "<i4", *["<f8"] * (len(names) - 1))
                 sums[have] += np.column_stack(columns)
-        have = np.flatnonzero(sums[:, 0])
+        have = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), *(pa.array(x) for x in sums[have].T)], names=names)
 
     pairs = docs.select("text").mapInArrow(send, MESSAGE).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, MESSAGE)
     pairs = written(pairs, "bigrams", "none")
-    rare = counts.repartition(parts, F.pmod(F.col("h"), F.lit(parts))).sortWithinPartitions("h").mapInArrow(pack, MESSAGE)
-    m.table = pairs.where(f"kind = {_PAIRS}").union(written(rare, "words", "none"))
+    m.table = pairs.where(f"kind <> {_STATS}")
+    if not whole:
+        rare = counts.repartition(parts, F.pmod(F.col("h"), F.lit(parts))).sortWithinPartitions("h").mapInArrow(pack, MESSAGE)
+        m.table = m.table.union(written(rare, "words", "none"))
     fields = ["total double", "reached double", *(f"n{r} double" for r in range(1, DISCOUNTED + 2))]
     by_context = pairs.where(f"kind = {_STATS}").select("payload").mapInArrow(stats, "v int, " + ", ".join(fields))
     by_context = by_context.groupBy("v").agg(*(F.sum(x.split()[0]).alias(x.split()[0]) for x in fields)).toPandas().sort_values("v")  # a row for each id
     low = by_context[[f"n{r}" for r in range(1, DISCOUNTED + 2)]].to_numpy(float)
     m.pair_discount = np.append(discounts({r: int(n) for r, n in enumerate(low.sum(axis=0), 1)}), 1.0)
-    r = np.arange(1, DISCOUNTED + 1)
-    v, n, reached = by_context["v"].to_numpy(int), by_context["total"].to_numpy(float), by_context["reached"].to_numpy(float)
-    left = (low[:, :DISCOUNTED] * (1 - m.pair_discount[1 : DISCOUNTED + 1]) * r).sum(axis=1) / n if len(n) else n
-    scale = np.where(left > 1e-12, 1.0, n / (n + 1))  # a context without low counts gives one count away
-    left = np.where(left > 1e-12, left, 1 / (n + 1))
-    free = 1 - reached
-    full = free < 1e-12  # every successor is seen: nothing to back off to
-    scale = np.where(full, scale / np.maximum(1 - left, 1e-300), scale)
+    is_context = by_context["total"].to_numpy(float) > 0
+    v, n, reached = (by_context[x].to_numpy(kind)[is_context] for x, kind in (("v", int), ("total", float), ("reached", float)))
     m.context, m.scale, m.backoff = np.zeros(len(unigram)), np.ones(len(unigram)), np.ones(len(unigram))
-    m.context[v], m.scale[v], m.backoff[v] = n, scale, np.where(full, 0.0, left / np.where(full, 1, free))
+    m.context[v] = n
+    m.scale[v], m.backoff[v] = _weights(n, reached, low[is_context], m.pair_discount)
     return m
 
 
@@ -287,8 +346,71 @@ def _looked_up(known: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.nd
     return np.where(known[at] == keys, values[at], 0)
 
 
-def _code(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (v.astype(np.int64) << 32) | w.astype(np.int64)
+def _code(kind: int, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for a bigram of a kind; where a word goes by its hash, a hash of both."""
+    v, w = v.astype(np.uint64), w.astype(np.uint64)
+    return (v << np.uint64(32)) | w if kind == _PAIRS else mix(v ^ mix(w))
+
+
+class _Part:
+    """The tables of one part, as they are looked up."""
+
+    def __init__(self, m: Katz, pieces: dict[int, list[list[np.ndarray]]]):
+        self.m, self.counts = m, {}
+        met = {kind: [np.concatenate(x) for x in zip(*some, strict=True)] for kind, some in pieces.items()}
+        self.words = _words_of(met)
+        if _WORDS in met:
+            h, n = met.pop(_WORDS)
+            by = np.argsort(h)
+            self.words = h[by], n[by]
+        for kind, (v, w, n, *_) in met.items():
+            code = _code(kind, v, w)
+            by = np.argsort(code)
+            self.counts[kind] = code[by], n[by]
+        # what is known of contexts without an id
+        v, n, p = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for kind in (_FROM_OTHER, _OTHERS_BY_FIRST):
+            if kind in met:
+                v.append(met[kind][0])
+                n.append(met[kind][2])
+                p.append(m.unigram[met[kind][1]] if kind == _FROM_OTHER else m.word_probability(met[kind][3]))
+        v, n, p = map(np.concatenate, (v, n, p))
+        (self.contexts,), total = _counted(v, by=n)
+        at, size = np.searchsorted(self.contexts, v), len(total)
+        low = np.column_stack([np.bincount(at[n == r], minlength=size) for r in range(1, DISCOUNTED + 2)])
+        self.known = np.column_stack([total, *_weights(total, np.bincount(at, p, size), low, m.pair_discount)])
+
+    def count(self, kind: int, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return _looked_up(*self.counts.get(kind, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), _code(kind, v, w))
+
+    def context(self, kind: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count, scale and backoff of contexts."""
+        if kind in (_PAIRS, _TO_OTHER):
+            return self.m.context[v], self.m.scale[v], self.m.backoff[v]
+        if not len(self.contexts):
+            return np.zeros(len(v)), np.ones(len(v)), np.ones(len(v))
+        at = np.minimum(np.searchsorted(self.contexts, v), len(self.contexts) - 1)
+        return tuple(np.where((self.contexts[at] == v)[:, None], self.known[at], (0.0, 1.0, 1.0)).T)
+
+    def told(self, kind: int, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The text of each question, and its share of the score and, where a word without an id is looked up, of the base score and of
+        the known tokens."""
+        log = lambda x: np.log10(np.maximum(x, 1e-300))
+        if kind == _WORDS:
+            h, doc, n = columns
+            c = _looked_up(*self.words, h)
+            return doc, [n * log(self.m.word_probability(c) / max(self.m.unigram[RARE], 1e-300)), n * self.m.base(c), n * (c > 0.0)]
+        v, w, doc, n = columns
+        c, to_other = self.count(kind, v, w), kind in (_TO_OTHER, _OTHERS)
+        of_word = _looked_up(*self.words, w) if to_other else None
+        if kind == _OTHERS:  # the part of the context tells the rest
+            score = np.where(c > 0, 0.0, log(self.m.word_probability(of_word)))
+        else:
+            total, scale, backoff = self.context(kind, v)
+            seen = self.m.pair_discount[np.minimum(c, DISCOUNTED + 1)] * c / np.maximum(total, 1) * scale
+            after = self.m.word_probability(of_word) if to_other else 1.0 if kind == _OTHERS_BY_FIRST else self.m.unigram[w]
+            score = log(np.where(c > 0, seen, backoff * after))
+        return doc, [n * score, *((n * self.m.base(of_word), n * (of_word > 0.0)) if to_other else ())]
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -312,59 +434,53 @@ def score(m: Katz, docs: DataFrame) -> DataFrame:
             number += 1
             v, w = model.pairs(hashes, text)
             n_texts = sum(r.num_rows for r in rows)
-            common = w != RARE
-            counts = model.word_counts[w]
+            common = (w != RARE) & (w < OTHER)
             known = np.bincount(text[common], minlength=n_texts)
-            base = np.bincount(text[common], model.base(counts[common]), n_texts)
+            base = np.bincount(text[common], model.base(model.word_counts[w[common]]), n_texts)
             ids = pa.concat_arrays([r.column(0) for r in rows])
             held = np.concatenate([r.column(1).to_numpy(zero_copy_only=False) for r in rows]).astype("<i8")
             null = ids.is_null().to_numpy(zero_copy_only=False).astype("<i8")
             yield _row(-1, -1, number, _zip(ids.fill_null(0).to_numpy().astype("<i8"), null, held, np.bincount(text, minlength=n_texts).astype("<i8"), known.astype("<i8"), base.astype("<f8")))
-            (pv, pw, doc), n = _counted(v, w, text)
-            for p, at in _by_part(_part_of((pv.astype(np.uint64) << np.uint64(32)) | pw.astype(np.uint64), parts), parts):
-                yield _row(p, _ASK_PAIRS, number, _zip(pv[at].astype("<i4"), pw[at].astype("<i4"), doc[at].astype("<i4"), n[at].astype("<i4")))
-            (h, doc), n = _counted(hashes[~common], text[~common])
-            for p, at in _by_part(_part_of(h, parts), parts):
-                yield _row(p, _ASK_WORDS, number, _zip(h[at].astype("<u8"), doc[at].astype("<i4"), n[at].astype("<i4")))
+            (pv, pw, doc), n = _counted(v, w, text.astype("<i4"))
+            for kind, p, at in _dealt(pv, pw, parts, True):
+                yield _row(p, _ASK + kind, number, _zip(pv[at].astype(_FORMS[kind][0]), pw[at].astype(_FORMS[kind][1]), doc[at], n[at].astype("<i4")))
+            if not model.whole:
+                (h, doc), n = _counted(hashes[~common], text[~common])
+                for p, at in _by_part(_part_of(h, parts), parts):
+                    yield _row(p, _ASK + _WORDS, number, _zip(h[at].astype("<u8"), doc[at].astype("<i4"), n[at].astype("<i4")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part = shared.value, None
-        tables: dict[int, list[list[np.ndarray]]] = {}
-        ready: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def known(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            if kind not in ready:
-                pieces = tables.pop(kind, [])
-                keys = np.concatenate([x[0] for x in pieces]) if pieces else np.zeros(0, np.uint64 if kind == _WORDS else np.int64)
-                values = np.concatenate([x[1] for x in pieces]) if pieces else np.zeros(0, np.int64)
-                by = np.argsort(keys)
-                ready[kind] = keys[by], values[by]
-            return ready[kind]
+        part, tables, ready = None, {}, None
+        asked, sums = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            """What a part has to say of a chunk, once."""
+            if sums:
+                told = np.zeros((3, max(len(x) for _, x in sums)))
+                for k, x in sums:
+                    told[k, : len(x)] += x
+                sums.clear()
+                yield _row(0, 0, asked, _zip(*told))
 
         for batch in batches:
             for p, kind, chunk, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (p, chunk) != (part, asked):
+                    yield from out()
                 if p != part:
-                    part, tables, ready = p, {}, {}
+                    tables, ready = {}, None
+                part, asked = p, chunk
                 if p < 0:
                     yield _row(-1, -1, chunk, payload)
-                elif kind == _PAIRS:
-                    v, w, n = _unzip(payload, "<i4", "<i4", "<i8")
-                    tables.setdefault(kind, []).append([_code(v, w), n])
-                elif kind == _WORDS:
-                    tables.setdefault(kind, []).append(_unzip(payload, "<u8", "<i8"))
-                elif kind == _ASK_PAIRS:
-                    v, w, doc, n = _unzip(payload, "<i4", "<i4", "<i4", "<i4")
-                    c = _looked_up(*known(_PAIRS), _code(v, w))
-                    seen = model.pair_discount[np.minimum(c, DISCOUNTED + 1)] * c / np.maximum(model.context[v], 1) * model.scale[v]
-                    probability = np.where(c > 0, seen, model.backoff[v] * model.unigram[w])
-                    sums = np.bincount(doc, n * np.log10(np.maximum(probability, 1e-300)))
-                    yield _row(0, kind, chunk, _zip(sums.astype("<f8")))
+                elif kind < _ASK:
+                    forms = ("<u8", "<i8") if kind == _WORDS else (*_FORMS[kind], "<i8", *(["<i8"] if kind == _OTHERS_BY_FIRST else []))
+                    tables.setdefault(kind, []).append(_unzip(payload, *forms))
                 else:
-                    h, doc, n = _unzip(payload, "<u8", "<i4", "<i4")
-                    c = _looked_up(*known(_WORDS), h)
-                    share = model.word_probability(c) / max(model.unigram[RARE], 1e-300)
-                    columns = [np.bincount(doc, n * x) for x in (np.log10(np.maximum(share, 1e-300)), model.base(c), (c > 0).astype(float))]
-                    yield _row(0, kind, chunk, _zip(*(x.astype("<f8") for x in columns)))
+                    if ready is None:
+                        ready, tables = _Part(shared.value, tables), {}
+                    kind -= _ASK
+                    doc, columns = ready.told(kind, _unzip(payload, *(("<u8",) if kind == _WORDS else _FORMS[kind]), "<i4", "<i4"))
+                    sums += [(k, np.bincount(doc, x)) for k, x in enumerate(columns)]
+        yield from out()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCORED.split(", ")]
@@ -385,8 +501,7 @@ def score(m: Katz, docs: DataFrame) -> DataFrame:
                     head = _unzip(payload, "<i8", "<i8", "<i8", "<i8", "<i8", "<f8")
                     sums = np.zeros((3, len(head[0])))
                 else:
-                    columns = _unzip(payload, *["<f8"] * (1 if kind == _ASK_PAIRS else 3))
-                    for k, x in enumerate(columns):
+                    for k, x in enumerate(_unzip(payload, "<f8", "<f8", "<f8")):
                         sums[k, : len(x)] += x
         if head is not None:
             yield out()
@@ -394,13 +509,13 @@ def score(m: Katz, docs: DataFrame) -> DataFrame:
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(ask, MESSAGE)
     # What a chunk's texts are goes past the parts, dealt by its chunk.
     place = F.when(F.col("part") < 0, F.pmod(F.col("chunk"), F.lit(parts))).otherwise(F.col("part"))
-    met = table.union(asked).repartition(parts, place).sortWithinPartitions("part", "kind", "chunk")
+    met = table.union(asked).repartition(parts, place).sortWithinPartitions("part", "chunk", "kind")  # tables are chunk 0
     answers = met.mapInArrow(answer, MESSAGE)
     done = answers.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(total, SCORED)
     return done.withColumn("train_tokens", F.lit(m.total).cast("long"))
 
 
-def scored(docs: DataFrame, held_out: Callable[[Column], Column], vocabulary: int = VOCABULARY) -> DataFrame:
+def scored(docs: DataFrame, held_out: Callable[[Column], Column], vocabulary: int | None = None, named: int = NAMED) -> DataFrame:
     """Learns from the rows of docs (doc_id, text) whose id is not held out, and scores all."""
     split = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return score(fit(split.where("not held_out"), vocabulary), split)
+    return score(fit(split.where("not held_out"), vocabulary, named), split)
