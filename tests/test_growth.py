@@ -97,3 +97,31 @@ def test_words_are_looked_up_in_one_table(spark):
     assert {r["id"]: r["t"] for r in told.collect()} == {0: [3, 2, 1, 2, 0], 1: [0] * 5, 2: [0] * 5, 3: [4, 4, 1, 2, 0], 4: [1] * 5}
     assert {r["id"]: r["t"] for r in one.apply(df, {"tokens": []}).collect()}[0] == [1, 1, 1, 1, 0]
     assert "element_at" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_are_met_by_as_many_tasks_as_cells_ask_for(spark, monkeypatch):
+    """A value of many rows is dealt to several tasks, and the tasks grow with the cells."""
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    told = []
+    join = DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda left, right, *a, **k: (told.append(left), join(left, right, *a, **k))[1])
+    monkeypatch.setattr(evidence, "MOST_CELLS", 500, raising=False)
+    monkeypatch.setattr(evidence, "MOST_ALIKE", 100, raising=False)
+    x = np.column_stack([np.arange(3000) % 3 - 1.0, (np.arange(3000) * 7919) % 3001, np.where(np.arange(3000) % 2, -0.0, 0.0)])
+    x[::50, 2] = 2.5
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double").repartition(3)
+    rank = lambda v: np.array([(v < y).sum() + ((v == y).sum() + 1) / 2 for y in v])
+    want = np.corrcoef([rank(x[:, k]) for k in range(3)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for r in evidence.correlation(df, ["a", "b", "c"], "spearman").collect():
+            assert abs(r["coefficient"] - want["abc".index(r["left"]), "abc".index(r["right"])]) < 1e-12 and r["kept"] == 3000
+        cells = told[-1]  # what the ranks are joined with
+        sizes = [r["count"] for r in cells.groupBy(*(c for c in cells.columns if c not in ("row", "v", "h")), "v").count().collect()]
+        assert sum(sizes) == 9000 and max(sizes) < 200
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert "18), REPARTITION_BY_NUM" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

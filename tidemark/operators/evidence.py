@@ -18,6 +18,8 @@ from tidemark.operators.quantiles import quantiles, range_of
 
 #: Ranges that values are cut into at most.
 MOST_RANGES = 256
+#: Cells that a task meets with their ranks, and rows of one value among them, on average and at most.
+MOST_CELLS, MOST_ALIKE = 1 << 21, 1 << 18
 
 
 def _is_number(df: DataFrame, name: str) -> bool:
@@ -195,16 +197,31 @@ def steps(counts: DataFrame, value: str) -> DataFrame:
     return met.select((after - F.col(value)).alias("step")).where("step is not null")
 
 
-def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+def ranked(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
     """c0, c1 and so on: the average ranks of columns without gaps, all from one long table. Values are counted first and only their
-    counts are ordered; each row's cells then meet their ranks by column and value, and meet each other by row."""
+    counts are ordered; each cell then meets its rank by column and value, and the cells of a row meet each other. rows: how many df
+    has. There are as many tasks as the cells ask for, and a value of many rows is dealt to several of them."""
     cells = F.array(*(F.col(f"`{c}`").cast("double") for c in columns))
     # Rows are numbered before they are exploded: beside an explode, each cell would have a number of its own.
     long = df.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells")).select("row", F.posexplode("cells").alias("i", "v"))
     counts = df.select(F.posexplode(cells).alias("i", "v")).groupBy("i", "v").agg(F.count("*").alias("n"))
-    placed = running(counts, "v", {"upto": "n"}, ["i"]).select(F.col("i").alias("of"), F.col("v").alias("w"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias("r"))
-    met = long.join(placed, (F.col("i") == F.col("of")) & (F.col("v") == F.col("w")))
-    return met.groupBy("row").agg(*(F.max(F.when(F.col("i") == k, F.col("r"))).alias(f"c{k}") for k in range(len(columns)))).drop("row")
+    placed = running(counts, "v", {"upto": "n"}, ["i"]).select(F.col("i").alias("of"), F.col("v").alias("w"), "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("r"))
+    # Spark deals doubles anew for a join, in as many tasks as the session has; their hashes, told apart by the values, stay where they are.
+    at, met_by = ["i", "h"], ["of", "g"]
+    if rows > MOST_ALIKE:
+        shares = F.ceil(F.col("n") / MOST_ALIKE)
+        many = counts.where(F.col("n") > MOST_ALIKE).select(F.col("i").alias("of"), F.col("v").alias("w"), shares.alias("shares"))  # rows x columns / MOST_ALIKE at most
+        share = F.pmod(F.hash("row"), F.coalesce(F.col("shares"), F.lit(1)))
+        long = long.join(F.broadcast(many), (F.col("i") == F.col("of")) & (F.col("v") == F.col("w")), "left").select("row", "i", "v", share.alias("share"))
+        placed = placed.select("of", "w", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("of_share"))
+        at, met_by = [*at, "share"], [*met_by, "of_share"]
+    long, placed = long.withColumn("h", F.xxhash64(F.col("v") + 0.0)), placed.withColumn("g", F.xxhash64(F.col("w") + 0.0))  # no -0.0
+    tasks = math.ceil(rows * len(columns) / MOST_CELLS)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda d, by: d.repartition(max(tasks, least), *by) if tasks > 1 else d
+    same = [F.col(a) == F.col(b) for a, b in zip(at, met_by, strict=True)] + [~((F.col("v") < F.col("w")) | (F.col("v") > F.col("w")))]
+    met = dealt(long, at).join(dealt(placed, met_by), same).select("row", "i", "r")
+    return dealt(met, ["row"]).groupBy("row").agg(*(F.max(F.when(F.col("i") == k, F.col("r"))).alias(f"c{k}") for k in range(len(columns)))).drop("row")
 
 
 def gram(df: DataFrame, centre: float) -> DataFrame:
@@ -246,7 +263,7 @@ def _by_rank(numbers: DataFrame, columns: list[str]) -> DataFrame:
     complete = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
     total, n = numbers.agg(F.count("*"), F.count_if(complete)).first()
     kept = numbers.where(complete)
-    products = {(r["a"], r["b"]): r["s"] for r in gram(ranked(kept, columns), (n + 1) / 2).collect()}  # a number for each two columns
+    products = {(r["a"], r["b"]): r["s"] for r in gram(ranked(kept, columns, n), (n + 1) / 2).collect()}  # a number for each two columns
     told = []
     for i, j in combinations(range(len(columns)), 2):
         size = math.sqrt(products.get((i, i), 0.0) * products.get((j, j), 0.0))
