@@ -5,10 +5,13 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -363,6 +366,38 @@ def test_katz_sums_to_one(spark):
         assert total == pytest.approx(1)
 
 
+def shuffle_files(spark):
+    return set(Path(spark.sparkContext.getConf().get("spark.local.dir")).rglob("shuffle_*.data"))
+
+
+def test_katz_frees_the_shuffles_of_its_fit(spark, docs):
+    """What learning dealt out is gone, before the collector runs, when scoring deals out as much again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(key, None)
+    m = katz.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    until = time.time() + 10  # executors delete files a little later
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(key, None) == setting
+    assert katz.score(m, spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.lit(False).alias("held_out"), "text")).count() == len(docs)
+
+
+@pytest.mark.parametrize("kind", sorted(katz._FORMS))
+def test_katz_packs_bigrams(kind):
+    """A bigram takes little more than what tells it from the others of its message, and comes back as it was."""
+    rng = np.random.default_rng(kind)
+    n, hashes = 20_000, rng.integers(1 << 63, 2**64 - 1, 4000, dtype=np.uint64)
+    v, w = (((rng.pareto(1, n) * 20) % 4000).astype(int) for _ in range(2))
+    v, w = (x.astype("<i4") if form == "<i4" else hashes[x] for x, form in zip((v, w), katz._FORMS[kind], strict=True))
+    by = np.lexsort((v, w) if kind in (katz._TO_OTHER, katz._OTHERS) else (w, v))
+    columns = v[by], w[by], rng.integers(0, 2600, n).astype("<i4"), np.minimum(rng.geometric(0.9, n), 9).astype("<i4")
+    sent = katz._zip_pairs(kind, *columns)
+    for got, want in zip(katz._unzip_pairs(kind, sent, "<i4", "<i4"), columns, strict=True):
+        assert got.dtype == want.dtype and (got == want).all()
+    plain = len(pa.compress(b"".join(x.tobytes() for x in columns), codec="zstd", asbytes=True))
+    assert len(sent) < 0.85 * plain
+
+
 def test_language(spark, docs, odd):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     held = [r.lang_pred == truth[d] for d, r in by_id(spark, "op8_language").items() if r.held_out]

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import spread, written
-from tidemark.llm.spans import NONSPACE, Texts, blocks, mix
+from tidemark.llm.shared import discard, freed, spread, written
+from tidemark.llm.spans import NONSPACE, Texts, blocks, group_starts, mix
 
 #: Words with numbers of their own where bigrams are sent.
 NAMED = 65_000
@@ -42,8 +42,14 @@ OTHER = np.uint64(1 << 20)
 #: Bigrams of two named words, of a named and an other, of an other and a named, of two others (dealt by the second, and by the first).
 _PAIRS, _TO_OTHER, _FROM_OTHER, _OTHERS, _OTHERS_BY_FIRST, _WORDS, _STATS = range(7)
 _FORMS = {_PAIRS: ("<i4", "<i4"), _TO_OTHER: ("<i4", "<u8"), _FROM_OTHER: ("<u8", "<i4"), _OTHERS: ("<u8", "<u8"), _OTHERS_BY_FIRST: ("<u8", "<u8")}
+#: Kinds that are sent in the order of their successors, and otherwise of their contexts.
+_BY_SECOND = (_TO_OTHER, _OTHERS)
+#: Of what a part knows of a context with an id: the id, its count, probability of its successors, successors of each low count.
+_STATS_FORMS = ("<i4", "<i8", "<f8", *["<i4"] * (DISCOUNTED + 1))
 #: A question has this added to its kind.
 _ASK = 8
+#: Sums of logarithms are sent as whole multiples of 1 / _UNIT, whatever the order they are added in.
+_UNIT = float(1 << 30)
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -71,18 +77,65 @@ def discounts(counts: dict[int, int]) -> np.ndarray:
     return out
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(a.tobytes() for a in arrays)
-    return np.array([len(arrays[0]), len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second, and so on: most of those are alike, which packs them."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _zip(*arrays: np.ndarray, runs: bool = False) -> bytes:
+    """Arrays of one length. runs: the first two are integers in ascending order; each number of the first is sent once, with how often
+    it stands there, and those of both as distances from the one before (any other order comes back as well, in more bytes). Long
+    numbers of the second go by their places in a list of them."""
+    n, heads = len(arrays[0]), 0
+    if runs and n:
+        first, second, *more = arrays
+        if second.itemsize == 8:
+            known, second = np.unique(second, return_inverse=True)
+            second = second.astype("<u4")
+            more.append(np.diff(known, prepend=known.dtype.type(0)))
+        at = group_starts(first)
+        heads, steps = len(at), np.diff(second, prepend=second[:1])
+        steps[at] = second[at]
+        arrays = np.diff(first[at], prepend=first.dtype.type(0)), np.diff(np.append(at, n)).astype("<u4"), steps, *more
+    raw = b"".join(map(_planes, arrays))
+    return np.array([len(raw), n, heads], "<u4").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unzip(payload: bytes, *kinds: str) -> list[np.ndarray]:
-    n, size = np.frombuffer(payload, "<i8", 2)
-    raw, at, out = pa.decompress(payload[16:], decompressed_size=int(size), codec="zstd", asbytes=True), 0, []
-    for kind in kinds:
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
-    return out
+    size, n, heads = (int(x) for x in np.frombuffer(payload, "<u4", 3))
+    raw, at = pa.decompress(payload[12:], decompressed_size=size, codec="zstd", asbytes=True), 0
+
+    def read(kind: str, count: int = n) -> np.ndarray:
+        nonlocal at
+        planes = np.frombuffer(raw, np.uint8, count * np.dtype(kind).itemsize, at).reshape(-1, count) if count else np.zeros((np.dtype(kind).itemsize, 0), np.uint8)
+        at += planes.size
+        return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+    if not heads:
+        return [read(kind) for kind in kinds]
+    listed = np.dtype(kinds[1]).itemsize == 8
+    first, count, second = read(kinds[0], heads), read("<u4", heads), read("<u4" if listed else kinds[1])
+    start = np.cumsum(count) - count
+    sums = np.cumsum(second, dtype=second.dtype)  # wraps round and back
+    sums -= np.repeat(sums[start] - second[start], count)
+    more = [read(kind) for kind in kinds[2:]]
+    if listed:
+        known = read(kinds[1], int(sums.max()) + 1)
+        sums = np.cumsum(known, dtype=known.dtype)[sums]
+    return [np.repeat(np.cumsum(first, dtype=first.dtype), count), sums, *more]
+
+
+def _zip_pairs(kind: int, v: np.ndarray, w: np.ndarray, *more: np.ndarray) -> bytes:
+    """Bigrams and what is told of each."""
+    v, w = v.astype(_FORMS[kind][0]), w.astype(_FORMS[kind][1])
+    return _zip(*((w, v) if kind in _BY_SECOND else (v, w)), *more, runs=True)
+
+
+def _unzip_pairs(kind: int, payload: bytes, *more: str) -> list[np.ndarray]:
+    if kind not in _BY_SECOND:
+        return _unzip(payload, *_FORMS[kind], *more)
+    w, v, *rest = _unzip(payload, *_FORMS[kind][::-1], *more)
+    return [v, w, *rest]
 
 
 def _row(part: int, kind: int, chunk: int, payload: bytes) -> pa.RecordBatch:
@@ -156,8 +209,8 @@ def _dealt(v: np.ndarray, w: np.ndarray, parts: int, both: bool) -> Iterator[tup
     """kind, part and places of bigrams; both: those of two other words go to the part of the first, too."""
     for kind, at in enumerate((v < OTHER, v < OTHER, v >= OTHER, v >= OTHER, v >= OTHER)[: 4 + both]):
         at = np.flatnonzero(at & (w >= OTHER if kind in (_TO_OTHER, _OTHERS, _OTHERS_BY_FIRST) else w < OTHER))
-        key = (v[at] << np.uint64(32)) | w[at] if kind == _PAIRS else w[at] if kind in (_TO_OTHER, _OTHERS) else v[at]
-        if kind in (_TO_OTHER, _OTHERS):  # equal hashes stand together, which packs them
+        key = (v[at] << np.uint64(32)) | w[at] if kind == _PAIRS else w[at] if kind in _BY_SECOND else v[at]
+        if kind in _BY_SECOND:
             by = np.argsort(key, kind="stable")
             at, key = at[by], key[by]
         for p, some in _by_part(_part_of(key, parts), parts):
@@ -234,6 +287,11 @@ def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 def fit(docs: DataFrame, vocabulary: int | None = None, named: int = NAMED) -> Katz:
     """Learns from every row of docs (text; null is empty; repeated rows count again; other columns are ignored): a model of all words,
     or with `vocabulary` one of so many and a class. Without rows all probability goes to unseen words."""
+    with freed(docs.sparkSession):
+        return _fit(docs, vocabulary, named)
+
+
+def _fit(docs: DataFrame, vocabulary: int | None, named: int) -> Katz:
     whole, top = vocabulary is None, named if vocabulary is None else vocabulary
     if top > int(OTHER) - 2:
         raise ValueError(f"at most {int(OTHER) - 2} words can have numbers of their own, not {top}")
@@ -259,7 +317,7 @@ def fit(docs: DataFrame, vocabulary: int | None = None, named: int = NAMED) -> K
         for _, hashes, text in _chunks(batches, 0):
             (v, w), n = _counted(*model.pairs(hashes, text))
             for kind, p, at in _dealt(v, w, parts, False):
-                yield _row(p, kind, 0, _zip(v[at].astype(_FORMS[kind][0]), w[at].astype(_FORMS[kind][1]), n[at].astype("<i4")))
+                yield _row(p, kind, 0, _zip_pairs(kind, v[at], w[at], n[at].astype("<i4")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -276,7 +334,8 @@ def fit(docs: DataFrame, vocabulary: int | None = None, named: int = NAMED) -> K
             # for each context with an id: its count, probability of its successors, successors of each low count
             sums = np.zeros((size, 3 + DISCOUNTED))
             for kind, (v, w, n) in met.items():
-                yield _row(part, kind, 0, _zip(v, w, n.astype("<i8")))
+                by = np.argsort(w, kind="stable") if kind in _BY_SECOND else slice(None)
+                yield _row(part, kind, 0, _zip_pairs(kind, v[by], w[by], n[by].astype("<i8")))
                 if kind in (_PAIRS, _TO_OTHER):
                     probability = model.unigram[w] if kind == _PAIRS else model.word_probability(_looked_up(*words, w))
                     sums[:, :2] += np.column_stack([np.bincount(v, n, size), np.bincount(v, probability, size)])
@@ -284,12 +343,12 @@ def fit(docs: DataFrame, vocabulary: int | None = None, named: int = NAMED) -> K
                     v = np.full(len(w), RARE)  # all that is known at the driver of others
                 sums[:, 2:] += np.column_stack([np.bincount(v[n == r], minlength=size) for r in range(1, DISCOUNTED + 2)])
             have = np.flatnonzero(sums.any(axis=1))
-            yield _row(part, _STATS, 0, _zip(have.astype("<i4"), *(x.astype("<f8") for x in sums[have].T)))
+            yield _row(part, _STATS, 0, _zip(*(x.astype(form) for x, form in zip((have, *sums[have].T), _STATS_FORMS, strict=True))))
             if _OTHERS in met:
                 v, w, n = met[_OTHERS]
                 count = _looked_up(*words, w)
                 for p, at in _by_part(_part_of(v, parts), parts):
-                    yield _row(p, _OTHERS_BY_FIRST, 0, _zip(v[at], w[at], n[at].astype("<i8"), count[at].astype("<i8")))
+                    yield _row(p, _OTHERS_BY_FIRST, 0, _zip_pairs(_OTHERS_BY_FIRST, v[at], w[at], n[at].astype("<i8"), count[at].astype("<i8")))
 
         part, held = None, {}
         for batch in batches:
@@ -298,7 +357,7 @@ def fit(docs: DataFrame, vocabulary: int | None = None, named: int = NAMED) -> K
                     yield from out(part, held)
                     held = {}
                 part = p
-                held.setdefault(kind, []).append(_unzip(payload, *_FORMS[kind], "<i4"))
+                held.setdefault(kind, []).append(_unzip_pairs(kind, payload, "<i4"))
                 if len(held[kind]) > 64:  # keeps what is held near the size of the result
                     held[kind] = [merged(held[kind])]
         if held:
@@ -315,7 +374,7 @@ def fit(docs: DataFrame, vocabulary: int | None = None, named: int = NAMED) -> K
         sums = np.zeros((size, len(names) - 1))
         for batch in batches:
             for payload in batch.column(0).to_pylist():
-                have, *columns = _unzip(payload, "<i4", *["<f8"] * (len(names) - 1))
+                have, *columns = _unzip(payload, *_STATS_FORMS)
                 sums[have] += np.column_stack(columns)
         have = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), *(pa.array(x) for x in sums[have].T)], names=names)
@@ -326,6 +385,7 @@ def fit(docs: DataFrame, vocabulary: int | None = None, named: int = NAMED) -> K
     if not whole:
         rare = counts.repartition(parts, F.pmod(F.col("h"), F.lit(parts))).sortWithinPartitions("h").mapInArrow(pack, MESSAGE)
         m.table = m.table.union(written(rare, "words", "none"))
+    discard(counts)
     fields = ["total double", "reached double", *(f"n{r} double" for r in range(1, DISCOUNTED + 2))]
     by_context = pairs.where(f"kind = {_STATS}").select("payload").mapInArrow(stats, "v int, " + ", ".join(fields))
     by_context = by_context.groupBy("v").agg(*(F.sum(x.split()[0]).alias(x.split()[0]) for x in fields)).toPandas().sort_values("v")  # a row for each id
@@ -443,7 +503,7 @@ def score(m: Katz, docs: DataFrame) -> DataFrame:
             yield _row(-1, -1, number, _zip(ids.fill_null(0).to_numpy().astype("<i8"), null, held, np.bincount(text, minlength=n_texts).astype("<i8"), known.astype("<i8"), base.astype("<f8")))
             (pv, pw, doc), n = _counted(v, w, text.astype("<i4"))
             for kind, p, at in _dealt(pv, pw, parts, True):
-                yield _row(p, _ASK + kind, number, _zip(pv[at].astype(_FORMS[kind][0]), pw[at].astype(_FORMS[kind][1]), doc[at], n[at].astype("<i4")))
+                yield _row(p, _ASK + kind, number, _zip_pairs(kind, pv[at], pw[at], doc[at], n[at].astype("<i4")))
             if not model.whole:
                 (h, doc), n = _counted(hashes[~common], text[~common])
                 for p, at in _by_part(_part_of(h, parts), parts):
@@ -458,9 +518,9 @@ def score(m: Katz, docs: DataFrame) -> DataFrame:
             if sums:
                 told = np.zeros((3, max(len(x) for _, x in sums)))
                 for k, x in sums:
-                    told[k, : len(x)] += x
+                    told[k, : len(x)] -= x  # logarithms are below zero
                 sums.clear()
-                yield _row(0, 0, asked, _zip(*told))
+                yield _row(0, 0, asked, _zip(*np.rint(told * _UNIT).astype("<i8")))
 
         for batch in batches:
             for p, kind, chunk, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -472,13 +532,13 @@ def score(m: Katz, docs: DataFrame) -> DataFrame:
                 if p < 0:
                     yield _row(-1, -1, chunk, payload)
                 elif kind < _ASK:
-                    forms = ("<u8", "<i8") if kind == _WORDS else (*_FORMS[kind], "<i8", *(["<i8"] if kind == _OTHERS_BY_FIRST else []))
-                    tables.setdefault(kind, []).append(_unzip(payload, *forms))
+                    columns = _unzip(payload, "<u8", "<i8") if kind == _WORDS else _unzip_pairs(kind, payload, "<i8", *(["<i8"] if kind == _OTHERS_BY_FIRST else []))
+                    tables.setdefault(kind, []).append(columns)
                 else:
                     if ready is None:
                         ready, tables = _Part(shared.value, tables), {}
                     kind -= _ASK
-                    doc, columns = ready.told(kind, _unzip(payload, *(("<u8",) if kind == _WORDS else _FORMS[kind]), "<i4", "<i4"))
+                    doc, columns = ready.told(kind, _unzip(payload, "<u8", "<i4", "<i4") if kind == _WORDS else _unzip_pairs(kind, payload, "<i4", "<i4"))
                     sums += [(k, np.bincount(doc, x)) for k, x in enumerate(columns)]
         yield from out()
 
@@ -488,7 +548,8 @@ def score(m: Katz, docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             ids, null, held, n_tokens, known, base = head
-            arrays = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known + np.rint(sums[2]).astype(np.int64)), pa.array(base + sums[1]), pa.array(sums[0])]
+            of_score, of_base, of_known = sums / -_UNIT
+            arrays = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known + np.rint(of_known).astype(np.int64)), pa.array(base + of_base), pa.array(of_score)]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
@@ -499,9 +560,9 @@ def score(m: Katz, docs: DataFrame) -> DataFrame:
                     chunk, head = number, None
                 if kind == -1:
                     head = _unzip(payload, "<i8", "<i8", "<i8", "<i8", "<i8", "<f8")
-                    sums = np.zeros((3, len(head[0])))
+                    sums = np.zeros((3, len(head[0])), np.int64)
                 else:
-                    for k, x in enumerate(_unzip(payload, "<f8", "<f8", "<f8")):
+                    for k, x in enumerate(_unzip(payload, "<i8", "<i8", "<i8")):
                         sums[k, : len(x)] += x
         if head is not None:
             yield out()

@@ -71,6 +71,21 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs started within it delete their shuffles when they end. Otherwise those stay until the driver's collector happens to run."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> int:
     """How many partitions a shuffle of this session makes."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
